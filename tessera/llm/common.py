@@ -1,16 +1,18 @@
-"""Shared helpers: scratch tables, size-checked joins, components and byte-level hashing."""
+"""Shared helpers: size-checked joins, components and byte-level hashing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, folder, written
+
+__all__ = ["dropped", "folder", "written"]
+
 #: Rows of a lookup side that may be broadcast. The side is counted first; beyond it a shuffle join is used.
 BROADCAST_ROWS = 400_000
 
@@ -19,37 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(scratch_dir, "local", None)
-        if base is None:
-            base = scratch_dir.local = tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    if not getattr(scratch_dir, "made", None):
-        scratch_dir.made = []
-        atexit.register(_clean)
-    scratch_dir.made.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in scratch_dir.made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete written tables that are no longer needed, and let Spark's cleaner drop shuffle files of dead frames."""
+    for df in done:
+        dropped(df)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:

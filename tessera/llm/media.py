@@ -118,7 +118,7 @@ def _store(folder: str, archive_bytes: int):
 
 def store(docs: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write the documents' payloads as archives; returns the folder (below the shared one unless given)."""
-    folder = folder or C.scratch_dir(docs.sparkSession)
+    folder = folder or C.folder(docs.sparkSession)
     done = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store(folder, archive_bytes), "archive string, members long")
     done.agg(F.sum("members")).first()
     return folder

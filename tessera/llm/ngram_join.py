@@ -8,8 +8,8 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
    suffices: stars, not pairs, so a group of thousands of near copies costs one check per member and min-hash.
 3. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
    link share one among their first n - ceil(0.8 n) + 1. Shingles of a single component so far need no look. Below a
-   shingle, nodes are size classes, then leaves; every node holds the OR of its documents' 1,024-bit signatures and
-   its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
+   shingle, nodes are size classes, then leaves; every node holds the OR of its documents' signatures (WIDTH bits per shingle or
+   more, a power of two; wider ones fold onto narrower) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
    node can overlap the other's OR-signature enough; leaves compare documents of different components by signature
    and emit the pairs that may still link, for an exact check on the whole sets.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, SIGNATURE = 5, 80, 4, 64, 500_000, 96, 1024
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH = 5, 80, 4, 64, 500_000, 96, 4
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -97,15 +97,20 @@ def _signatures(size: int):
         for batch in batches:
             ids, n, out = batch.column("doc_id").to_pylist(), [], []
             for u in _sets(batch.column("text"), size):
-                bits = np.zeros(SIGNATURE, np.uint8)
-                bits[(C.mix(u + np.uint64(77)) % np.uint64(SIGNATURE)).astype(np.int64)] = 1
-                out.append(np.packbits(bits).tobytes())
+                bits = np.zeros(max(256, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
+                bits[(C.mix(u + np.uint64(77)) % np.uint64(len(bits))).astype(np.int64)] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
                 n.append(len(u))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "bits"])
 
     return run
 
 
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    """A signature at a smaller power-of-two width: the OR of its parts."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width), axis=0)
+
+
 class Node:
     """Documents of a tree node: sizes (ascending), signatures, their OR, size range."""
 
@@ -157,9 +162,9 @@ def traverse(a: Node, b: Node, percent: int, out: list, same: bool = False) -> N
         out.append((np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j])))
 
 
-def _node(rows: list[dict]) -> Node:
+def _node(rows: list[dict], width: int) -> Node:
     rows.sort(key=lambda r: (r["n"], r["doc_id"]))
-    bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)
+    bits = np.stack([_folded(r["bits"], width) for r in rows])
     return Node(*(np.array([r[k] for r in rows], np.int64) for k in ("doc_id", "n", "component")), bits)
 
 
@@ -168,8 +173,9 @@ def _pairs(percent: int):
         for batch in batches:
             out: list = []
             for x, y, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist()):
-                a = _node(x)
-                traverse(a, a if same else _node(y), percent, out, same)
+                width = min(len(r["bits"]) // 8 for r in x + y)
+                a = _node(x, width)
+                traverse(a, a if same else _node(y, width), percent, out, same)
             a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
             b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
             unique = np.unique(np.stack([a, b], 1), axis=0)
@@ -184,34 +190,45 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     sets = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_arrays(size), "doc_id long, u array<long>"))
     both = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b")
     shared = F.size(F.array_intersect("ua", "ub"))
-    return C.written(both.select("a", "b", shared.alias("i"), (F.size("ua") + F.size("ub") - shared).alias("o")).where(F.col("i") * 100 >= F.col("o") * percent).select("a", "b").distinct())
+    out = C.written(both.select("a", "b", shared.alias("i"), (F.size("ua") + F.size("ub") - shared).alias("o")).where(F.col("i") * 100 >= F.col("o") * percent).select("a", "b").distinct())
+    C.tidy(docs.sparkSession, ids, sets)
+    return out
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>"
-    profile = C.written(docs.mapInArrow(_profile(size, percent, None), schema))
+_PROFILE = "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>"
+
+
+def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """sizes (doc_id, n), members (doc_id, rep), stars (a, b) to verify, and the frequent shingles."""
+    profile = C.written(docs.mapInArrow(_profile(size, percent, None), _PROFILE))
+    sizes = C.written(profile.select("doc_id", "n"))
     full = profile.where("n > 0 and doc_id is not null")
     classes = C.written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
     of_class = C.join_checked(full.select("doc_id", "n", "f1", "f2", "mins"), classes, ["n", "f1", "f2"], "left")
     member = C.written(of_class.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("mins")).alias("mins")))
-    edges = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-
     hashed = member.where("mins is not null").select(F.col("doc_id").alias("a"), F.posexplode("mins").alias("i", "v"))
     hubs = C.written(hashed.groupBy("i", "v").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last"))
     stars = C.written(C.join_checked(hashed, hubs, ["i", "v"], "inner").where("a <> b").select("a", "b").distinct())
-    edges = C.written(edges.unionByName(_verified(docs, stars, size, percent)))
-    known = components(edges)
+    often = full.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
+    heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
+    C.tidy(docs.sparkSession, profile, classes, hubs)
+    return sizes, member, stars, heavy
 
-    counts = full.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
-    heavy = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
-    ordered = docs.mapInArrow(_profile(size, percent, heavy), schema).where("n > 0 and doc_id is not null") if len(heavy) else full
+
+def _open_entries(docs: DataFrame, member: DataFrame, known: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(s, held, doc_id, component) of representatives: prefix shingles that documents of several components hold."""
+    ordered = docs.mapInArrow(_profile(size, percent, heavy), _PROFILE).where("n > 0 and doc_id is not null")
     placed = C.written(C.join_checked(ordered.select("doc_id", "prefix"), known, ["doc_id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), "prefix"))
     entries = placed.select("doc_id", "component", F.explode("prefix").alias("s"))
     open_ = C.written(entries.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high").select("s", "held"))
-    rest = C.join_checked(entries, open_, ["s"], "inner").join(member.where("rep <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    rest = C.written(rest.distinct())
+    copies = member.where("rep <> doc_id").select("doc_id").distinct()
+    rest = C.written(C.join_checked(entries, open_, ["s"], "inner").join(copies, "doc_id", "left_anti").distinct())
+    C.tidy(docs.sparkSession, placed, open_)
+    return rest
+
+
+def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of different components that the signature trees below the open shingles can't rule out."""
     ids = C.written(rest.select("doc_id").distinct())
     marks = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_signatures(size), "doc_id long, n long, bits binary"))
     leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / LEAF))
@@ -221,9 +238,24 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     near = (F.col("x.s") == F.col("y.s")) & (F.col("x.at") <= F.col("y.at")) & (F.col("y.class") - F.col("x.class") <= 1) & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     met = x.join(y, near).select(F.col("x.x").alias("x"), F.col("y.x").alias("y"), (F.col("x.at") == F.col("y.at")).alias("same"))
     pairs = C.written(met.mapInArrow(_pairs(percent), "a long, b long").distinct())
+    C.tidy(docs.sparkSession, ids, marks, nodes)
+    return pairs
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes, member, stars, heavy = _begun(docs, size, percent)
+    copies = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = C.written(copies.unionByName(_verified(docs, stars, size, percent)))
+    known = components(edges)
+    C.tidy(docs.sparkSession, stars)
+    rest = _open_entries(docs, member, known, heavy, size, percent)
+    pairs = _tree_pairs(docs, rest, size, percent)
+    C.tidy(docs.sparkSession, rest, member)
     if pairs.limit(1).count():
         known = components(edges.unionByName(_verified(docs, pairs, size, percent)))
-    out = C.join_checked(profile.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")
+    out = C.join_checked(sizes.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

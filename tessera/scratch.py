@@ -26,13 +26,17 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean() -> None:
     """Delete this process's scratch folders."""
     while _made:
         spark, path = _made.pop()
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 
@@ -41,4 +45,11 @@ def written(df: DataFrame) -> DataFrame:
     """Write df to a scratch folder and read it back: cuts the lineage and survives lost executors."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a written table before the session ends; nothing may read it later."""
+    _delete(df.sparkSession, df._scratch)

@@ -108,10 +108,10 @@ class VectorTable:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _current(self) -> str | None:
-        at = self._path(f"{self.path}/_current")
+        at = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def read(self) -> DataFrame:
         current = self._current()
@@ -124,12 +124,12 @@ class VectorTable:
             raise ValueError(f"vectors must have {self.dim} finite components")
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._path(f"{self.path}/_next"), True)
+        out = self._fs.create(self._path(f"{self.path}/NEXT"), True)
         out.write(bytearray(version.encode()))
         out.close()
         old = self._current()
-        self._fs.delete(self._path(f"{self.path}/_current"), False)
-        self._fs.rename(self._path(f"{self.path}/_next"), self._path(f"{self.path}/_current"))
+        self._fs.delete(self._path(f"{self.path}/CURRENT"), False)
+        self._fs.rename(self._path(f"{self.path}/NEXT"), self._path(f"{self.path}/CURRENT"))
         if old:
             self._fs.delete(self._path(f"{self.path}/{old}"), True)
 

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | No
     """The model from at most `rows` labelled documents, by the smallest hash of doc_id."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     labels = labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows).select("doc_id", "quality")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").mapInArrow(_features, "doc_id long, quality double, x array<double>").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").mapInArrow(_features, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.max(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").toArrow()
     if not found.num_rows:
         return None
     order = np.argsort(np.asarray(found.column("doc_id")), kind="stable")
@@ -155,18 +155,20 @@ def sites(scored: DataFrame) -> tuple[DataFrame, float]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """docs' columns and evidence, document_p, host_p, path_p, posterior, keep."""
+    """docs' columns and evidence, document_p, host_p, path_p, posterior, keep; input columns of these names are replaced."""
+    docs = docs.drop("evidence", "document_p", "host_p", "path_p", "posterior", "keep")
     model = train(docs, labels, rows)
     keys = {"source_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "lang_key": F.coalesce(F.concat(F.lit("s"), "lang"), F.lit("n"))}
     p = 1 / (1 + F.exp(-F.col("evidence")))
     narrow = evidence(docs.select(*[c.alias(k) for k, c in keys.items()], "text"), model).select("source_key", "lang_key", p.alias("p"))
     groups, mean = sites(narrow)
-    clash = [f"_{c}" for c in ("n", "s", "k", "host", "path", "source_key", "lang_key")]
-    groups = groups.toDF(*[f"_{c}" for c in groups.columns])
-    scored = evidence(docs.withColumns({f"_{k}": c for k, c in keys.items()}), model).withColumn("document_p", p)
-    out = C.join_checked(scored, groups, ["_source_key", "_lang_key"], "inner")
-    rest = (F.col("_s") - F.col("document_p") + F.col("_k") * F.col("_host")) / (F.col("_n") - 1 + F.col("_k"))
+    own = [f"_tessera_{c}" for c in ("n", "s", "k", "host", "path", "source_key", "lang_key", "up")]
+    groups = groups.toDF(*[f"_tessera_{c}" for c in groups.columns])
+    scored = evidence(docs.withColumns({f"_tessera_{k}": c for k, c in keys.items()}), model).withColumn("document_p", p)
+    out = C.join_checked(scored, groups, ["_tessera_source_key", "_tessera_lang_key"], "inner")
+    col = lambda c: F.col(f"_tessera_{c}")
+    rest = (col("s") - F.col("document_p") + col("k") * col("host")) / (col("n") - 1 + col("k"))
     rest = F.least(F.greatest(rest, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("evidence") + weight * (F.log(rest / (1 - rest)) - float(np.log(mean / (1 - mean))))
-    out = out.withColumns({"host_p": F.col("_host"), "path_p": F.col("_path"), "posterior": 1 / (1 + F.exp(-odds))})
-    return out.withColumn("keep", F.col("posterior") >= threshold).drop(*clash)
+    out = out.withColumns({"host_p": col("host"), "path_p": col("path"), "posterior": 1 / (1 + F.exp(-odds))})
+    return out.withColumn("keep", F.col("posterior") >= threshold).drop(*own)

@@ -162,11 +162,12 @@ def mix(docs: DataFrame, weights: list[int] | None = None, cap: int = CAP, block
     plan = aim.withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * cap)).mapInArrow(_plan(block, shards, seed), "g string, shard long, first long, n long, slots long, part long, blocks long")
     step = 1 << 16
     parts = plan.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long")))).select("g", "shard", (F.col("first") + F.col("skip")).alias("first"), F.least(F.lit(step).cast("long"), F.col("n") - F.col("skip")).alias("n"), "slots", "part", "blocks")
-    slots = parts.repartition("g", "first").mapInArrow(_slots(seed), "g string, shard long, block long, whole long, part long")
+    # A stated number of partitions: the rows are few and small but make many slots, which adaptive execution doesn't see.
+    slots = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "first").mapInArrow(_slots(seed), "g string, shard long, block long, whole long, part long")
     reads = slots.groupBy("g", "block").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
     last = (F.col("start") + F.col("size") - 1) / block
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last)))).withColumn("lo", F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
-    pieces = pieces.join(reads, ["g", "block"], "left").withColumns({"whole": F.coalesce("whole", F.lit(0)), "part": F.coalesce("part", F.lit(0))})
+    pieces = pieces.join(reads.hint("merge"), ["g", "block"], "left").withColumns({"whole": F.coalesce("whole", F.lit(0)), "part": F.coalesce("part", F.lit(0))})
     return placed, pieces, slots
 
 

@@ -8,7 +8,7 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
    suffices: stars, not pairs, so a group of thousands of near copies costs one check per member and min-hash.
 3. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
    link share one among their first n - ceil(0.8 n) + 1. Shingles of a single component so far need no look. Below a
-   shingle, nodes are size classes, then leaves; every node holds the OR of its documents' signatures (WIDTH bits per shingle or
+   shingle, nodes are neighbouring size classes, then leaves; every node holds the OR of its documents' signatures (WIDTH bits per shingle or
    more, a power of two; wider ones fold onto narrower) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
    node can overlap the other's OR-signature enough; leaves compare documents of different components by signature
    and emit the pairs that may still link, for an exact check on the whole sets.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH = 5, 80, 4, 64, 500_000, 96, 4
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH = 5, 80, 4, 64, 500_000, 96, 1
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -97,7 +97,7 @@ def _signatures(size: int):
         for batch in batches:
             ids, n, out = batch.column("doc_id").to_pylist(), [], []
             for u in _sets(batch.column("text"), size):
-                bits = np.zeros(max(256, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
+                bits = np.zeros(max(64, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
                 bits[(C.mix(u + np.uint64(77)) % np.uint64(len(bits))).astype(np.int64)] = 1
                 out.append(np.packbits(bits, bitorder="little").tobytes())
                 n.append(len(u))
@@ -173,7 +173,7 @@ def _pairs(percent: int):
         for batch in batches:
             out: list = []
             for x, y, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist()):
-                width = min(len(r["bits"]) // 8 for r in x + y)
+                width = min(len(r["bits"]) // 8 for r in x + (y or []))
                 a = _node(x, width)
                 traverse(a, a if same else _node(y, width), percent, out, same)
             a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
@@ -198,6 +198,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 _PROFILE = "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>"
 
 
+def _size_class(percent: int):
+    """Sets that link are of the same or neighbouring classes."""
+    return F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
+
+
 def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     """sizes (doc_id, n), members (doc_id, rep), stars (a, b) to verify, and the frequent shingles."""
     profile = C.written(docs.mapInArrow(_profile(size, percent, None), _PROFILE))
@@ -205,10 +210,10 @@ def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     full = profile.where("n > 0 and doc_id is not null")
     classes = C.written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
     of_class = C.join_checked(full.select("doc_id", "n", "f1", "f2", "mins"), classes, ["n", "f1", "f2"], "left")
-    member = C.written(of_class.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("mins")).alias("mins")))
-    hashed = member.where("mins is not null").select(F.col("doc_id").alias("a"), F.posexplode("mins").alias("i", "v"))
-    hubs = C.written(hashed.groupBy("i", "v").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last"))
-    stars = C.written(C.join_checked(hashed, hubs, ["i", "v"], "inner").where("a <> b").select("a", "b").distinct())
+    member = C.written(of_class.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("mins")).alias("mins"), "n"))
+    hashed = member.where("mins is not null").select(F.col("doc_id").alias("a"), _size_class(percent).alias("class"), F.posexplode("mins").alias("i", "v"))
+    hubs = C.written(hashed.groupBy("i", "v", "class").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last"))
+    stars = C.written(C.join_checked(hashed, hubs, ["i", "v", "class"], "inner").where("a <> b").select("a", "b").distinct())
     often = full.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
     heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
     C.tidy(docs.sparkSession, profile, classes, hubs)
@@ -216,14 +221,19 @@ def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
 
 
 def _open_entries(docs: DataFrame, member: DataFrame, known: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(s, held, doc_id, component) of representatives: prefix shingles that documents of several components hold."""
+    """(s, class, held, doc_id, component) of representatives: entries of prefix shingles whose documents of one size class
+    and the next have several components. Every entry stands under its class and the next."""
     ordered = docs.mapInArrow(_profile(size, percent, heavy), _PROFILE).where("n > 0 and doc_id is not null")
-    placed = C.written(C.join_checked(ordered.select("doc_id", "prefix"), known, ["doc_id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), "prefix"))
-    entries = placed.select("doc_id", "component", F.explode("prefix").alias("s"))
-    open_ = C.written(entries.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high").select("s", "held"))
+    placed = C.written(C.join_checked(ordered.select("doc_id", "n", "prefix"), known, ["doc_id"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), "prefix"))
+    entries = placed.select("doc_id", "component", _size_class(percent).alias("class"), F.explode("prefix").alias("s"))
+    differ = F.min("component").alias("low"), F.max("component").alias("high")
+    open_ = C.written(entries.groupBy("s").agg(*differ).where("low <> high").select("s"))
+    some = C.written(C.join_checked(entries, open_, ["s"], "inner"))
+    both = some.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
+    met = C.written(both.groupBy("s", "class").agg(*differ, F.count("*").alias("held")).where("low <> high").select("s", "class", "held"))
     copies = member.where("rep <> doc_id").select("doc_id").distinct()
-    rest = C.written(C.join_checked(entries, open_, ["s"], "inner").join(copies, "doc_id", "left_anti").distinct())
-    C.tidy(docs.sparkSession, placed, open_)
+    rest = C.written(C.join_checked(both, met, ["s", "class"], "inner").join(copies, "doc_id", "left_anti").distinct())
+    C.tidy(docs.sparkSession, placed, open_, some, met)
     return rest
 
 
@@ -232,12 +242,15 @@ def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> Da
     ids = C.written(rest.select("doc_id").distinct())
     marks = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_signatures(size), "doc_id long, n long, bits binary"))
     leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / LEAF))
-    nodes = rest.join(marks, "doc_id").withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent)))).groupBy("s", "class", leaf.alias("leaf")).agg(F.collect_list(F.struct("doc_id", "n", "component", "bits")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
-    nodes = C.written(nodes.withColumn("at", F.struct("class", "leaf")))
-    x, y = nodes.alias("x"), nodes.alias("y")
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.at") <= F.col("y.at")) & (F.col("y.class") - F.col("x.class") <= 1) & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-    met = x.join(y, near).select(F.col("x.x").alias("x"), F.col("y.x").alias("y"), (F.col("x.at") == F.col("y.at")).alias("same"))
-    pairs = C.written(met.mapInArrow(_pairs(percent), "a long, b long").distinct())
+    nodes = rest.join(marks, "doc_id").groupBy("s", "class", leaf.alias("leaf")).agg(F.collect_list(F.struct("doc_id", "n", "component", "bits")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("held").alias("held"))
+    nodes = C.written(nodes)
+    alone = nodes.where(F.col("held") <= LEAF).select("x", F.lit(None).cast(nodes.schema["x"].dataType).alias("y"), F.lit(True).alias("same"))
+    large = nodes.where(F.col("held") > LEAF)
+    x, y = large.alias("x"), large.alias("y")
+    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.leaf") <= F.col("y.leaf")) & ~one
+    met = x.join(y, near).select(F.col("x.x").alias("x"), F.col("y.x").alias("y"), (F.col("x.leaf") == F.col("y.leaf")).alias("same"))
+    pairs = C.written(alone.unionByName(met).mapInArrow(_pairs(percent), "a long, b long").distinct())
     C.tidy(docs.sparkSession, ids, marks, nodes)
     return pairs
 

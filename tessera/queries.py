@@ -657,3 +657,32 @@ def io_merged_metadata(s, d):
 def rank_longest_per_lang(s, d):
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
     return table(s, d, "documents").withColumn("r", rank).where("r <= 3").select("lang", "source", "n_chars")
+
+
+@query()
+def ann_cells(s, d):
+    from .operators import ann
+
+    points, centres = ann.with_cells(_points(s, d), 8)
+    return _shaped(ann.cell_search(points, centres, _asked(s, d), K, 4))
+
+
+@query()
+def ann_product_codes(s, d):
+    from .operators import ann
+
+    coded, books = ann.product_codes(_points(s, d), DIM, 8)
+    return _shaped(ann.product_search(coded, books, _asked(s, d), K))
+
+
+@query("SELECT CAST(floor((r - 1) / 100) AS BIGINT) AS chunk, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT row_number() OVER (ORDER BY doc_id) AS r, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents) GROUP BY 1")
+def etl_call_tokens(s, d):
+    """Tokens per request of 100 texts."""
+    rows = etl.batched(table(s, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens")), ["doc_id"], 100)
+    return rows.groupBy(F.floor(F.col("row_index") / 100).alias("chunk")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query("SELECT lang, min(x) AS min, max(x) AS max, round(avg(x), 6) AS avg, quantile_disc(x, 0.95) AS p95 FROM (SELECT lang, unnest([n_chars, n_chars * 2]) AS x FROM documents) GROUP BY lang")
+def agg_resource_stats(s, d):
+    docs = table(s, d, "documents").select("lang", F.array("n_chars", F.col("n_chars") * 2).alias("x"))
+    return metrics.resource_stats(docs, "x", ["lang"]).withColumn("avg", F.round("avg", 6)).withColumn("p95", F.col("p95").cast("long"))

@@ -56,8 +56,12 @@ def product_codes(points: DataFrame, dim: int, parts: int, k: int = 16, seed: in
 
 def product_search(coded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, oversampling: int = 4) -> DataFrame:
     """Table look-ups of sub-vector products rank k * oversampling candidates per query, exact cosine rescores them."""
-    parts, width = len(books), books[0].shape[1]
-    table = F.array(*[F.transform(_literal(b), lambda c, p=p: vectors.dot(F.slice("query", p * width + 1, width), c)) for p, b in enumerate(books)])
+    width = books[0].shape[1]
+
+    def products(part: int, book: np.ndarray):
+        return F.transform(_literal(book), lambda c: vectors.dot(F.slice("query", part * width + 1, width), c))
+
+    table = F.array(*[products(p, b) for p, b in enumerate(books)])
     asked = F.broadcast(queries.withColumn("table", table))
     estimate = F.aggregate(F.zip_with("codes", "table", lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "key"))

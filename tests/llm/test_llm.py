@@ -404,6 +404,7 @@ PAGES = [
     ("<p>only<!-- x --> text", "only text"),
     ("<article><p>open <p class=ad>advert<p>closed</article><article class='comment'><p>me</p></article>", "open\nclosed"),
     ("plain 1 < 2 text", "plain 1 < 2 text"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>one <span class='ad'>x <b>y</b></span>two <a href='#' class=q>three</a>.</p></article>", "T\none two three."),
 ]
 
 

@@ -6,7 +6,10 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
 1. Equal sets are one class with one representative (grouped by set fingerprint, partial aggregation).
 2. Representatives that share a min-hash link to the smallest of that value's documents if the exact similarity
    suffices: stars, not pairs, so a group of thousands of near copies costs one check per member and min-hash.
-3. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
+3. Sets that can't link at all go: in an order that puts the shingles of one set alone first, a set with more of them
+   than its prefix holds shares no prefix shingle. They are counted among the lowest SHARE of the hash range, a part of the
+   shingle space that is the same for all sets and counted whole; sets that this part doesn't rule out stay.
+4. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
    link share one among their first n - ceil(0.8 n) + 1. Shingles of a single component so far need no look. Below a
    shingle, nodes are neighbouring size classes, then leaves; every node holds the OR of its documents' signatures (WIDTH bits per shingle or
    more, a power of two; wider ones fold onto narrower) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
@@ -15,7 +18,7 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
 
 Frequent shingles (over HEAVY documents hold them in their prefix) go last in the order. Any fixed order is exact;
 this one keeps common passages out of the prefixes. If there are more than HEAVY_LIST of them, only the most frequent
-are moved. Steps 2 and 3 skip pairs known to be connected, so components are complete though not all links are listed.
+are moved. Steps 2 and 4 skip pairs known to be connected, so components are complete though not all links are listed.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of 1 to 4 words are one shingle; a
 null doc_id links with nothing and has a null component; rows that repeat a doc_id are one node (its texts' links
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH = 5, 80, 4, 64, 500_000, 96, 1
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 1, 0.27
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -68,7 +71,7 @@ def _profile(size: int, percent: int, heavy: np.ndarray | None):
                     spot = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
                     often = heavy[spot] == u
                     u = np.concatenate([u[~often], u[often]])
-                p = int(prefix_length(len(u), percent))
+                p = int(prefix_length(len(u), percent)) if heavy is not None else 0
                 prefix.append(u[:p])
                 prefix_n.append(p)
 
@@ -81,6 +84,20 @@ def _profile(size: int, percent: int, heavy: np.ndarray | None):
     return run
 
 
+def _lowest(size: int, share: float):
+    """doc_id -> the shingles in the lowest share of the hash range."""
+
+    def run(batches):
+        top = np.uint64(int(share * (1 << 64)))
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            found = [u[: np.searchsorted(u, top)] for u in _sets(batch.column("text"), size)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), C.lists(C.signed(np.concatenate(found)), np.concatenate([[0], np.cumsum([len(u) for u in found])]), pa.int64())], ["doc_id", "low"])
+
+    return run
+
+
 def _arrays(size: int):
     def run(batches):
         for batch in batches:
@@ -203,8 +220,8 @@ def _size_class(percent: int):
     return F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
 
 
-def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
-    """sizes (doc_id, n), members (doc_id, rep), stars (a, b) to verify, and the frequent shingles."""
+def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sizes (doc_id, n), members (doc_id, rep, n) and stars (a, b) to verify."""
     profile = C.written(docs.mapInArrow(_profile(size, percent, None), _PROFILE))
     sizes = C.written(profile.select("doc_id", "n"))
     full = profile.where("n > 0 and doc_id is not null")
@@ -214,25 +231,40 @@ def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     hashed = member.where("mins is not null").select(F.col("doc_id").alias("a"), _size_class(percent).alias("class"), F.posexplode("mins").alias("i", "v"))
     hubs = C.written(hashed.groupBy("i", "v", "class").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last"))
     stars = C.written(C.join_checked(hashed, hubs, ["i", "v", "class"], "inner").where("a <> b").select("a", "b").distinct())
-    often = full.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
-    heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
     C.tidy(docs.sparkSession, profile, classes, hubs)
-    return sizes, member, stars, heavy
+    return sizes, member, stars
+
+
+def _survivors(docs: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id of the representatives whose shingles, as far as counted, may occur in others often enough to link."""
+    ids = member.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("rep") == F.col("doc_id")).alias("is_rep"), F.min("n").alias("n"))
+    ids = C.written(ids)
+    copies = C.written(ids.where("not is_rep").select("doc_id"))
+    low = C.join_checked(docs, copies, ["doc_id"], "left_anti").where("doc_id is not null").mapInArrow(_lowest(size, SHARE), "doc_id long, low array<long>")
+    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a = b")
+    alone = C.written(alone.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("alone")))
+    reps = ids.where("is_rep").join(alone.hint("merge"), "doc_id", "left")
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    out = C.written(reps.where((F.coalesce("alone", F.lit(0)) < needed) | (F.col("times") > 1)).select("doc_id"))
+    C.tidy(docs.sparkSession, ids, copies, alone)
+    return out
 
 
-def _open_entries(docs: DataFrame, member: DataFrame, known: DataFrame, heavy: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(s, class, held, doc_id, component) of representatives: entries of prefix shingles whose documents of one size class
-    and the next have several components. Every entry stands under its class and the next."""
-    ordered = docs.mapInArrow(_profile(size, percent, heavy), _PROFILE).where("n > 0 and doc_id is not null")
+def _open_entries(docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """(s, class, held, doc_id, component): entries of prefix shingles whose documents of one size class and the next have
+    several components. Every entry stands under its class and the next."""
+    first = docs.mapInArrow(_profile(size, percent, np.zeros(0, np.uint64)), _PROFILE).where("n > 0")
+    often = first.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
+    heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
+    ordered = docs.mapInArrow(_profile(size, percent, heavy), _PROFILE).where("n > 0")
     placed = C.written(C.join_checked(ordered.select("doc_id", "n", "prefix"), known, ["doc_id"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), "prefix"))
     entries = placed.select("doc_id", "component", _size_class(percent).alias("class"), F.explode("prefix").alias("s"))
     differ = F.min("component").alias("low"), F.max("component").alias("high")
     open_ = C.written(entries.groupBy("s").agg(*differ).where("low <> high").select("s"))
-    some = C.written(C.join_checked(entries, open_, ["s"], "inner"))
+    some = C.written(entries.join(open_.hint("merge"), "s"))
     both = some.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
     met = C.written(both.groupBy("s", "class").agg(*differ, F.count("*").alias("held")).where("low <> high").select("s", "class", "held"))
-    copies = member.where("rep <> doc_id").select("doc_id").distinct()
-    rest = C.written(C.join_checked(both, met, ["s", "class"], "inner").join(copies, "doc_id", "left_anti").distinct())
+    rest = C.written(both.join(met.hint("merge"), ["s", "class"]).distinct())
     C.tidy(docs.sparkSession, placed, open_, some, met)
     return rest
 
@@ -258,14 +290,16 @@ def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> Da
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes, member, stars, heavy = _begun(docs, size, percent)
+    sizes, member, stars = _begun(docs, size, percent)
     copies = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     edges = C.written(copies.unionByName(_verified(docs, stars, size, percent)))
     known = components(edges)
-    C.tidy(docs.sparkSession, stars)
-    rest = _open_entries(docs, member, known, heavy, size, percent)
+    left = _survivors(docs, member, size, percent)
+    C.tidy(docs.sparkSession, stars, member)
+    some = C.join_checked(docs, left, ["doc_id"], "left_semi", 2_000_000)
+    rest = _open_entries(some, known, size, percent)
     pairs = _tree_pairs(docs, rest, size, percent)
-    C.tidy(docs.sparkSession, rest, member)
+    C.tidy(docs.sparkSession, rest)
     if pairs.limit(1).count():
         known = components(edges.unionByName(_verified(docs, pairs, size, percent)))
     out = C.join_checked(sizes.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")

@@ -141,9 +141,11 @@ def test_ngram_chain_and_tree(spark):
         t = edited(t, (i * 7) % 110, ["step", f"n{i}"])
     for i in range(30, 45):
         texts[i] = edited(edited(prose(21, 60), (i * 3) % 50, [f"x{i}"]), (i * 5 + 20) % 50, [f"y{i}", "z"])
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    more = [(0, prose(22, 80)), (99, edited(prose(22, 80), 3, ["other"])), (98, texts[0]), (98, prose(23, 50)), (97, edited(prose(23, 50), 48, ["other"]))]  # ids with two texts
+    df = spark.createDataFrame([*texts.items(), *more], "doc_id long, text string")
     want = groups({k: shingles(t) for k, t in texts.items()})
-    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == want
+    want |= {99: 0, 98: 0, 97: 0}
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == want and want[0] == 0
 
 
 def test_traverse_is_complete():

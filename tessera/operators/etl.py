@@ -97,3 +97,9 @@ def output_stats(rows: DataFrame, body: str, content: str) -> DataFrame:
     """Totals of a run: mean lengths before and after, and how many were truncated, quoted or shortened."""
     n0, n1 = F.length(body), F.length(content)
     return rows.agg(F.count("*").alias("n"), F.avg(n0).alias("avg_original"), F.avg(n1).alias("avg_processed"), F.count_if(F.col("processing.has_quotes")).alias("with_quotes"), F.count_if(F.col("processing.is_truncated")).alias("truncated"), F.avg((n0 - n1).cast("double")).alias("avg_reduction"))
+
+
+def request_items(rows: DataFrame, body: str, content: str, extra: list[str]) -> DataFrame:
+    """key, content and metadata as the embedding request has them; processing fields and extras stand beside the original text."""
+    fields = [F.lit("parquet_import").alias("source"), F.col(body).alias("original_text"), "processing.has_quotes", "processing.is_truncated", "processing.character_difference", *extra]
+    return rows.select("key", F.col(content).alias("content"), F.struct(*fields).alias("metadata"))

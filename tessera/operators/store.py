@@ -150,3 +150,8 @@ class VectorTable:
         if name in ("exists", "stats", "scroll", "range_scroll", "lookup", "id_bounds"):
             return lambda *a, **b: globals()[name](self.read(), *a, **b)
         raise AttributeError(name)
+
+
+def partitions(table: DataFrame) -> DataFrame:
+    """Rows per partition of the scan."""
+    return table.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))

@@ -686,3 +686,41 @@ def etl_call_tokens(s, d):
 def agg_resource_stats(s, d):
     docs = table(s, d, "documents").select("lang", F.array("n_chars", F.col("n_chars") * 2).alias("x"))
     return metrics.resource_stats(docs, "x", ["lang"]).withColumn("avg", F.round("avg", 6)).withColumn("p95", F.col("p95").cast("long"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(c) < length(text) THEN 'reduced' WHEN length(c) > length(text) THEN 'increased' ELSE 'unchanged' END AS change, concat_ws('_', source, lang) AS key FROM (SELECT *, {_CLEAN.format('text')} AS c FROM documents)")
+def text_size_change(s, d):
+    change = text.size_change(F.col("text"), text.clean(F.col("text")))
+    return table(s, d, "documents").select("doc_id", change.alias("change"), text.composite_key(F.col("source"), F.col("lang")).alias("key"))
+
+
+@query(f"WITH {_QUEUE} SELECT key, CASE WHEN CAST(key AS BIGINT) % 10 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN CAST(key AS BIGINT) % 10 = 0 THEN 0 ELSE retry_count END AS retry_count FROM q UNION ALL SELECT 'new', 'pending', 0")
+def queue_enqueue_replace(s, d):
+    q = _queue(s, d)
+    again = q.where(F.col("key").cast("long") % 10 == 0).withColumn("seq", F.lit(1))
+    fresh = q.limit(1).withColumns({"key": F.lit("new"), "seq": F.lit(1)})
+    return queue.enqueue(q, again.unionByName(fresh), ["seq"]).select("key", "status", "retry_count")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
+def etl_unprocessed(s, d):
+    return etl.unprocessed(table(s, d, "documents").select("doc_id"), _progress(s, d), "doc_id")
+
+
+@query(f"WITH {_POSTS}, k AS (SELECT * FROM posts WHERE turn <> 1) SELECT DISTINCT id, parent FROM k WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM k)")
+def etl_missing_quotes(s, d):
+    return etl.missing_quotes(_posts(s, d).where("turn <> 1"), "id", "parent")
+
+
+@query("SELECT vec_id AS key, round(list_cosine_similarity(embedding::DOUBLE[], list_value(" + ", ".join("1.0" if i % 2 else "-1.0" for i in range(DIM)) + ")::DOUBLE[]), 6) AS distance FROM embeddings")
+def vec_similarity_literal(s, d):
+    literal = F.array(*[F.lit(1.0 if i % 2 else -1.0) for i in range(DIM)])
+    return knn.similarity_to(_points(s, d), literal).select("key", F.round("distance", 6).alias("distance"))
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), k AS (SELECT p.vec_id, list_cosine_similarity(p.embedding::DOUBLE[], e::DOUBLE[]) AS x FROM embeddings p, q ORDER BY x DESC, p.vec_id LIMIT 10) SELECT round(avg(x), 6) AS avg_similarity, arg_max(vec_id, x) AS best FROM k")
+def search_summary(s, d):
+    """Mean similarity and best match of a search."""
+    vector = _points(s, d).where("key = 0").first()["vector"]
+    found = knn_one(_points(s, d), SearchQuery(vector, K))
+    return found.agg(F.round(F.avg("distance"), 6).alias("avg_similarity"), F.max_by("key", "distance").alias("best"))

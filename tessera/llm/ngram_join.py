@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 1, 0.27
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 1, 0.5
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -241,7 +241,7 @@ def _survivors(docs: DataFrame, member: DataFrame, size: int, percent: int) -> D
     ids = C.written(ids)
     copies = C.written(ids.where("not is_rep").select("doc_id"))
     low = C.join_checked(docs, copies, ["doc_id"], "left_anti").where("doc_id is not null").mapInArrow(_lowest(size, SHARE), "doc_id long, low array<long>")
-    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a = b")
+    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("a"), F.count("*").alias("held")).where("held = 1")
     alone = C.written(alone.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("alone")))
     reps = ids.where("is_rep").join(alone.hint("merge"), "doc_id", "left")
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1

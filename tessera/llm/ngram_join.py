@@ -11,10 +11,11 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
    shingle space that is the same for all sets and counted whole; sets that this part doesn't rule out stay.
 4. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
    link share one among their first n - ceil(0.8 n) + 1. Shingles of a single component so far need no look. Below a
-   shingle, nodes are neighbouring size classes, then leaves; every node holds the OR of its documents' signatures (WIDTH bits per shingle or
-   more, a power of two; wider ones fold onto narrower) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
-   node can overlap the other's OR-signature enough; leaves compare documents of different components by signature
-   and emit the pairs that may still link, for an exact check on the whole sets.
+   shingle, nodes are neighbouring size classes, then leaves; every node holds the OR of its documents' narrow signatures (NODE_WIDTH
+   words of 64 bits) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
+   node can overlap the other's OR-signature enough; leaves compare documents of different components and emit the
+   pairs that may still link. Distinct pairs then meet by full signatures (WIDTH bits per shingle or more, a power of two;
+   wider ones fold onto narrower), and what is left is checked exactly on the whole sets.
 
 Frequent shingles (over HEAVY documents hold them in their prefix) go last in the order. Any fixed order is exact;
 this one keeps common passages out of the prefixes. If there are more than HEAVY_LIST of them, only the most frequent
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 1, 0.5
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, NODE_WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 4, 4, 0.5
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -114,11 +115,12 @@ def _signatures(size: int):
         for batch in batches:
             ids, n, out = batch.column("doc_id").to_pylist(), [], []
             for u in _sets(batch.column("text"), size):
-                bits = np.zeros(max(64, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
+                bits = np.zeros(max(64 * NODE_WIDTH, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
                 bits[(C.mix(u + np.uint64(77)) % np.uint64(len(bits))).astype(np.int64)] = 1
                 out.append(np.packbits(bits, bitorder="little").tobytes())
                 n.append(len(u))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "bits"])
+            narrow = [_folded(b, NODE_WIDTH).tobytes() for b in out]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(narrow, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n", "bits", "full"])
 
     return run
 
@@ -179,20 +181,36 @@ def traverse(a: Node, b: Node, percent: int, out: list, same: bool = False) -> N
         out.append((np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j])))
 
 
-def _node(rows: list[dict], width: int) -> Node:
+def _node(rows: list[dict]) -> Node:
     rows.sort(key=lambda r: (r["n"], r["doc_id"]))
-    bits = np.stack([_folded(r["bits"], width) for r in rows])
+    bits = np.stack([np.frombuffer(r["bits"], np.uint64) for r in rows])
     return Node(*(np.array([r[k] for r in rows], np.int64) for k in ("doc_id", "n", "component")), bits)
 
 
+def _may_link(percent: int):
+    """(a, na, xa, b, nb, xb) -> the pairs whose full signatures leave enough possible overlap."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (na, xa, nb, xb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("na", "xa", "nb", "xb")))):
+                width = min(len(xa), len(xb)) // 8
+                x, y = _folded(xa, width), _folded(xb, width)
+                most = min(na - int(_missing(x, y)), nb - int(_missing(y, x)))
+                if (100 + percent) * most >= percent * (na + nb):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _pairs(percent: int):
     def run(batches):
         for batch in batches:
             out: list = []
             for x, y, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist()):
-                width = min(len(r["bits"]) // 8 for r in x + (y or []))
-                a = _node(x, width)
-                traverse(a, a if same else _node(y, width), percent, out, same)
+                a = _node(x)
+                traverse(a, a if same else _node(y), percent, out, same)
             a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
             b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
             unique = np.unique(np.stack([a, b], 1), axis=0)
@@ -272,9 +290,9 @@ def _open_entries(docs: DataFrame, known: DataFrame, size: int, percent: int) ->
 def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of different components that the signature trees below the open shingles can't rule out."""
     ids = C.written(rest.select("doc_id").distinct())
-    marks = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_signatures(size), "doc_id long, n long, bits binary"))
+    marks = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_signatures(size), "doc_id long, n long, bits binary, full binary"))
     leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / LEAF))
-    nodes = rest.join(marks, "doc_id").groupBy("s", "class", leaf.alias("leaf")).agg(F.collect_list(F.struct("doc_id", "n", "component", "bits")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("held").alias("held"))
+    nodes = rest.join(marks.drop("full"), "doc_id").groupBy("s", "class", leaf.alias("leaf")).agg(F.collect_list(F.struct("doc_id", "n", "component", "bits")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("held").alias("held"))
     nodes = C.written(nodes)
     alone = nodes.where(F.col("held") <= LEAF).select("x", F.lit(None).cast(nodes.schema["x"].dataType).alias("y"), F.lit(True).alias("same"))
     large = nodes.where(F.col("held") > LEAF)
@@ -283,8 +301,11 @@ def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> Da
     near = (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.leaf") <= F.col("y.leaf")) & ~one
     met = x.join(y, near).select(F.col("x.x").alias("x"), F.col("y.x").alias("y"), (F.col("x.leaf") == F.col("y.leaf")).alias("same"))
     pairs = C.written(alone.unionByName(met).mapInArrow(_pairs(percent), "a long, b long").distinct())
-    C.tidy(docs.sparkSession, ids, marks, nodes)
-    return pairs
+    C.tidy(docs.sparkSession, ids, nodes)
+    side = lambda k: marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("full").alias(f"x{k}"))
+    out = C.written(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(_may_link(percent), "a long, b long").distinct())
+    C.tidy(docs.sparkSession, marks, pairs)
+    return out
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -203,6 +203,26 @@ def test_exact_passages_are_found(spark):
                 assert cover[i][k : k + 51].all()
 
 
+def test_passages_behind_partial_copies(spark):
+    """Documents that share a passage meet even if earlier ones hold only parts of it, each of under 50 words."""
+    rows, at = [], 0
+    for i in range(12):
+        p = prose(3000 + i, 51 if i % 2 else 60).split()
+        parts = [p[:40], p[-40:]] if i % 3 else [p[:30], p[10:48], p[-30:]]
+        rows += [(at + j, " ".join([prose(4000 + 10 * i + j, 60), *x, prose(5000 + 10 * i + j, 60)])) for j, x in enumerate([*parts, p, p])]
+        at += len(parts) + 2
+        # An earlier place of the first document itself holds a part.
+        rows += [(at, " ".join([*p[::-1][:40], prose(6000 + i, 70), *p[::-1], prose(7000 + i, 60)])), (at + 1, " ".join([prose(8000 + i, 60), *p[::-1]]))]
+        at += 2
+    found = {(r.doc_id, r.first_doc_id) for r in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).where("end_word - start_word >= 50").collect()}
+    want, at = set(), 0
+    for i in range(12):
+        n = 2 if i % 3 else 3
+        want |= {(at + n + 1, at + n), (at + n + 3, at + n + 2)}
+        at += n + 4
+    assert found == want
+
+
 def test_extents():
     rng = np.random.default_rng(1)
     keys = common.mix(rng.permutation(500).astype(np.uint64))

@@ -8,8 +8,9 @@ pair at the threshold reach that count with probability RECALL, by the binomial
 
 Dense groups are drawn together first, so that no group's pairs are all listed: on HUB_LINES lines, every vector
 meets the smallest vec_id of its region, and joins it as a ball's centre if their angle is at most half the linking
-angle; members of a ball all link with each other. Only centres go through the lines, verified with the slack of their
-radii. Links are then counted exactly inside each group of touching balls, in blocks of about BLOCK vectors by
+angle; members of a ball all link with each other. On the lines, a ball's members of one region are one interval from the
+least to the greatest of their values, so every member takes part: balls collide where members would, and colliding balls
+are verified by their centres' angle with the slack of their radii. Links are then counted exactly inside each group of touching balls, in blocks of about BLOCK vectors by
 BLOCK; the blocks yield counts and one edge per vector, not pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
@@ -90,17 +91,18 @@ _LINES = "vec_id long, line long, region long, value double"
 
 
 def _collisions(reach: float):
-    """Rows sorted by (line, region, value): pairs whose values on one line and region differ by at most `reach`."""
+    """Rows sorted by (line, region, value): pairs on one line and region whose intervals (value to high, if there is one) are at most `reach` apart."""
 
-    def pairs(line, region, value, ids, fresh):
+    def pairs(line, region, value, ids, high, fresh):
         """Pairs whose later member is at index `fresh` or after."""
         n, step, out = len(ids), 1, []
+        longest = (high - value).max()
         while step < n:
             a, b = np.arange(n - step), np.arange(step, n)
-            near = (line[a] == line[b]) & (region[a] == region[b]) & (value[b] - value[a] <= reach)
-            if not near.any():
+            same = (line[a] == line[b]) & (region[a] == region[b])
+            if not (same & (value[b] - value[a] <= reach + longest)).any():
                 break
-            hit = near & (b >= fresh)
+            hit = same & (value[b] - high[a] <= reach) & (b >= fresh)
             out.append((np.minimum(ids[a[hit]], ids[b[hit]]), np.maximum(ids[a[hit]], ids[b[hit]])))
             step += 1
         return out
@@ -109,13 +111,14 @@ def _collisions(reach: float):
         held = None
         for batch in batches:
             new = [np.asarray(batch.column(c)) for c in ("line", "region", "value", "vec_id")]
+            new.append(np.asarray(batch.column("high")) if "high" in batch.schema.names else new[2])
             if not len(new[0]):
                 continue
             fresh = 0 if held is None else len(held[0])
             both = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             for a, b in pairs(*both, fresh):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            tail = (both[0] == both[0][-1]) & (both[1] == both[1][-1]) & (both[2] >= both[2][-1] - reach)
+            tail = (both[0] == both[0][-1]) & (both[1] == both[1][-1]) & (both[4] >= both[2][-1] - reach)
             held = [x[tail] for x in both]
 
     return run
@@ -189,9 +192,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int
     member = C.written(valid.join(ball, "vec_id", "left").select("vec_id", F.coalesce("centre", "vec_id").alias("centre"), F.coalesce("angle", F.lit(0.0)).alias("angle"), "unit"))
     radius = C.written(member.groupBy("centre").agg(F.max("angle").alias("radius"), F.count("*").alias("held")))
 
-    middle = member.where("vec_id = centre").select("vec_id", "unit")
+    parts = member.select(F.col("centre").alias("vec_id"), "unit").mapInArrow(_lines(lines, bits, lines, seed), _LINES)
+    balls = parts.groupBy("line", "region", "vec_id").agg(F.min("value").alias("value"), F.max("value").alias("high"))
     reach = WINDOW * math.sqrt(2 - 2 * cosine)
-    spread = middle.mapInArrow(_lines(lines, bits, lines, seed), _LINES).repartition("line", "region").sortWithinPartitions("line", "region", "value", "vec_id")
+    spread = balls.repartition("line", "region").sortWithinPartitions("line", "region", "value", "vec_id")
     counted = C.written(spread.mapInArrow(_collisions(reach), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= collisions).select("a", "b"))
     near = _cosine(counted, valid).join(radius.select(F.col("centre").alias("a"), F.col("radius").alias("ra")), "a").join(radius.select(F.col("centre").alias("b"), F.col("radius").alias("rb")), "b")
     touching = C.written(near.where(F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) <= math.acos(cosine) + F.col("ra") + F.col("rb") + 1e-9).select("a", "b"))

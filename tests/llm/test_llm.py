@@ -406,6 +406,19 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_links_between_members_of_different_balls(spark):
+    """Members near the edges of two balls link, though the balls' centres are 46 degrees apart."""
+    rng = np.random.default_rng(6)
+    rows, groups = [], 150
+    for i in range(groups):
+        u, v = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for j, angle in enumerate((0, 46, 12, 34)):
+            rows.append((i + j * groups, (np.cos(np.radians(angle)) * u + np.sin(np.radians(angle)) * v).tolist()))
+    got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    whole = [all(got[i + j * groups].component_id == i for j in range(4)) and got[i + 2 * groups].n_links == 2 for i in range(groups)]
+    assert sum(whole) >= 0.98 * groups
+
+
 def test_collision_windows_cross_batches():
     import pyarrow as pa
 

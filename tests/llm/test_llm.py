@@ -223,6 +223,19 @@ def test_passages_behind_partial_copies(spark):
     assert found == want
 
 
+def test_passages_with_inserted_and_deleted_words(spark):
+    """An 80-word passage with a word more or less in the middle is found whole."""
+    rows = []
+    for i in range(20):
+        p = prose(9000 + i, 80).split()
+        q = p[:40] + ["between"] + p[40:] if i % 2 else p[:40] + p[41:]
+        rows += [(2 * i, " ".join([prose(9100 + i, 60), *p, prose(9200 + i, 60)])), (2 * i + 1, " ".join([prose(9300 + i, 50), *q, prose(9400 + i, 60)]))]
+    found = {r.doc_id: r for r in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [i for i in range(20) if (r := found.get(2 * i + 1)) and r.first_doc_id == 2 * i and r.start_word <= 52 and r.end_word >= 127 and r.similarity >= 0.8]
+    assert len(whole) >= 18
+    assert all(r.doc_id == r.first_doc_id + 1 for r in found.values())
+
+
 def test_extents():
     rng = np.random.default_rng(1)
     keys = common.mix(rng.permutation(500).astype(np.uint64))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +21,26 @@ def best(scored: DataFrame, k: int, query: str = "query_id", key: str = "key") -
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in ranges of query_id of about QUERY_BLOCK rows; rows of one query_id stay together."""
+    starts = []
+    for i, r in enumerate(queries.select("query_id").orderBy("query_id").toLocalIterator()):
+        if i % QUERY_BLOCK == 0 and i and r["query_id"] is not None and r["query_id"] not in starts[-1:]:
+            starts.append(r["query_id"])
+    if not starts:
+        return [queries]
+    q = F.col("query_id")
+    inner = [queries.where((q >= a) & (q < b)) for a, b in zip(starts[:-1], starts[1:])]
+    return [queries.where(q.isNull() | (q < starts[0])), *inner, queries.where(q >= starts[-1])]
+
+
 def knn_sql(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """points (key, vector), queries (query_id, query) -> query_id, key, distance, rank. Exact; expressions only."""
-    pairs = points.join(F.broadcast(queries.limit(QUERY_BLOCK)), F.lit(True))
+    return reduce(DataFrame.unionByName, [_knn_block(points, part, k, threshold) for part in blocks(queries)])
+
+
+def _knn_block(points: DataFrame, queries: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    pairs = points.join(F.broadcast(queries), F.lit(True))
     scored = pairs.select("query_id", "key", vectors.cosine(F.col("vector"), F.col("query")).alias("distance")).where("distance is not null")
     if threshold is not None:
         scored = scored.where(F.col("distance") >= threshold)
@@ -75,8 +94,12 @@ def knn_batched(points: DataFrame, queries: DataFrame, k: int, threshold: float
 
 def knn_two_phase(points: DataFrame, queries: DataFrame, dim: int, k: int, oversampling: int = 2) -> DataFrame:
     """Candidates by Hamming distance of sign bits (k * oversampling, ties by key), then exact cosine. Approximate: report recall."""
+    return reduce(DataFrame.unionByName, [_two_phase_block(points, part, dim, k, oversampling) for part in blocks(queries)])
+
+
+def _two_phase_block(points: DataFrame, queries: DataFrame, dim: int, k: int, oversampling: int) -> DataFrame:
     left = points.select("key", "vector", vectors.sign_bits(F.col("vector"), dim).alias("bits"))
-    right = F.broadcast(queries.limit(QUERY_BLOCK).withColumn("query_bits", vectors.sign_bits(F.col("query"), dim)))
+    right = F.broadcast(queries.withColumn("query_bits", vectors.sign_bits(F.col("query"), dim)))
     pairs = left.join(right, F.lit(True)).withColumn("hamming", vectors.hamming(F.col("bits"), F.col("query_bits")))
     near = F.row_number().over(Window.partitionBy("query_id").orderBy("hamming", "key"))
     kept = pairs.withColumn("near", near).where(F.col("near") <= k * oversampling)

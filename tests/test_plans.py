@@ -156,3 +156,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert {r.key: r.metadata.text for r in t.read().collect()} == {"1": "one @x", "3": "three", "5": "five"}
     assert ingest.stats(q)["batches"] >= 1
+
+
+def test_queries_beyond_one_block_are_answered(spark, monkeypatch):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0, float(i % 3)]) for i in range(30)]
+    points = spark.createDataFrame(rows, "key long, vector array<float>")
+    queries = points.selectExpr("key as query_id", "vector as query")
+    plans = lambda: [knn.knn_sql(points, queries, 2), knn.knn_two_phase(points, queries, 4, 2, 3)]
+    whole = [sorted((r.query_id, r["rank"], r.key) for r in p.collect()) for p in plans()]
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    assert [sorted((r.query_id, r["rank"], r.key) for r in p.collect()) for p in plans()] == whole
+    assert {q for q, _, _ in whole[0]} == set(range(30))

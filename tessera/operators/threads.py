@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..scratch import written
 
-MAX_DEPTH = 64
-
 
 def edges(posts: DataFrame, conversation: str, key: str, parent: str) -> DataFrame:
     """(conversation, child, parent) for replies whose parent is in the same conversation."""
@@ -18,33 +16,38 @@ def edges(posts: DataFrame, conversation: str, key: str, parent: str) -> DataFra
     return child.join(have, ["conversation", "parent"], "left_semi").select("conversation", "child", "parent")
 
 
-def paths(posts: DataFrame, conversation: str, key: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def paths(posts: DataFrame, conversation: str, key: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """(conversation, key, root, depth, path): ancestors from the root down. Replies to absent posts are roots.
 
     Rounds of pointer doubling over written tables: each joins the half-known paths with themselves, so depth d takes
-    log2 d joins. Cycles end at max_depth.
+    log2 d joins. On a cycle, the path ends before the first ancestor that it would hold twice.
+    Paths longer than max_depth, if it is given, are left as they are then.
     """
     up = edges(posts, conversation, key, parent)
     nodes = posts.select(F.col(conversation).alias("conversation"), F.col(key).alias("key")).distinct()
     known = nodes.join(up.withColumnRenamed("child", "key"), ["conversation", "key"], "left").select("conversation", "key", F.col("parent").alias("top"), F.when(F.col("parent").isNull(), F.array("key")).otherwise(F.array("parent", "key")).alias("path"))
-    step = 1
-    while step < max_depth:
+    while True:
         known = written(known)
         if not known.where("top is not null").limit(1).count():
             break
         above = known.select("conversation", F.col("key").alias("top"), F.col("path").alias("head"), F.col("top").alias("higher"))
-        known = known.join(above, ["conversation", "top"], "left").select("conversation", "key", F.when(F.size("path") > max_depth, F.lit(None)).otherwise(F.col("higher")).alias("top"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", F.slice("path", 2, 1 << 30))).alias("path"))
-        step *= 2
+        longer = F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", F.slice("path", 2, (1 << 31) - 1)))
+        known = known.join(above, ["conversation", "top"], "left").select("conversation", "key", F.col("higher").alias("top"), longer.alias("path"))
+        once = F.reverse(F.array_distinct(F.reverse("path")))
+        is_open = F.size(once) == F.size("path")
+        if max_depth is not None:
+            is_open &= F.size("path") <= max_depth
+        known = known.select("conversation", "key", F.when(is_open, F.col("top")).alias("top"), once.alias("path"))
     return known.select("conversation", "key", F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
-def paths_sql(view: str, conversation: str, key: str, parent: str, max_depth: int = MAX_DEPTH) -> str:
-    """The same as a recursive query, for spark.sql over a view."""
+def paths_sql(view: str, conversation: str, key: str, parent: str) -> str:
+    """The same as a recursive query, for spark.sql over a view; posts on or below a cycle have no row. Spark takes a number of levels, 2^31 - 1 at most."""
     return f"""
-    WITH RECURSIVE walk(conversation, key, root, depth) AS (
+    WITH RECURSIVE walk(conversation, key, root, depth) MAX RECURSION LEVEL {(1 << 31) - 1} AS (
       SELECT p.{conversation}, p.{key}, p.{key}, 0 FROM {view} p LEFT JOIN {view} q ON p.{conversation} = q.{conversation} AND p.{parent} = q.{key} WHERE q.{key} IS NULL
       UNION ALL
-      SELECT p.{conversation}, p.{key}, w.root, w.depth + 1 FROM {view} p JOIN walk w ON p.{conversation} = w.conversation AND p.{parent} = w.key WHERE w.depth < {max_depth}
+      SELECT p.{conversation}, p.{key}, w.root, w.depth + 1 FROM {view} p JOIN walk w ON p.{conversation} = w.conversation AND p.{parent} = w.key
     ) SELECT * FROM walk"""
 
 

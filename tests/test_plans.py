@@ -167,3 +167,15 @@ def test_queries_beyond_one_block_are_answered(spark, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
     assert [sorted((r.query_id, r["rank"], r.key) for r in p.collect()) for p in plans()] == whole
     assert {q for q, _, _ in whole[0]} == set(range(30))
+
+
+def test_threads_deeper_than_64_and_cycles(spark):
+    chain = [("c", i, i - 1 if i else None) for i in range(150)]
+    ring = [("r", 0, 2), ("r", 1, 0), ("r", 2, 1), ("r", 3, 2)]
+    posts = spark.createDataFrame(chain + ring, "conversation string, key long, parent long")
+    got = {(r.conversation, r.key): (r.root, r.depth, list(r.path)) for r in threads.paths(posts, "conversation", "key", "parent").collect()}
+    assert len(got) == 154 and all(got["c", i] == (0, i, list(range(i + 1))) for i in range(150))
+    assert got["r", 0] == (1, 2, [1, 2, 0]) and got["r", 3] == (0, 3, [0, 1, 2, 3])
+    posts.where("conversation = 'c'").createOrReplaceTempView("deep_posts")
+    walked = spark.sql(threads.paths_sql("deep_posts", "conversation", "key", "parent")).collect()
+    assert {(r.key, r.root, r.depth) for r in walked} == {(i, 0, i) for i in range(150)}

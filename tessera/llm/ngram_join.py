@@ -4,22 +4,25 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
 0.8 or more. The join is exact over the hashes:
 
 1. Equal sets are one class with one representative (grouped by set fingerprint, partial aggregation).
-2. Representatives that share a min-hash link to the smallest of that value's documents if the exact similarity
-   suffices: stars, not pairs, so a group of thousands of near copies costs one check per member and min-hash.
-3. Sets that can't link at all go: in an order that puts the shingles of one set alone first, a set with more of them
-   than its prefix holds shares no prefix shingle. They are counted among the lowest SHARE of the hash range, a part of the
-   shingle space that is the same for all sets and counted whole; sets that this part doesn't rule out stay.
-4. The rest is found by signature trees. The root fans out by prefix shingles: ordered rare first, two sets that
-   link share one among their first n - ceil(0.8 n) + 1. Shingles of a single component so far need no look. Below a
-   shingle, nodes are neighbouring size classes, then leaves; every node holds the OR of its documents' narrow signatures (NODE_WIDTH
-   words of 64 bits) and its size range. The dual traversal of two nodes ends when the sizes can't reach 0.8 or when no document of one
-   node can overlap the other's OR-signature enough; leaves compare documents of different components and emit the
-   pairs that may still link. Distinct pairs then meet by full signatures (WIDTH bits per shingle or more, a power of two;
-   wider ones fold onto narrower), and what is left is checked exactly on the whole sets.
-
-Frequent shingles (over HEAVY documents hold them in their prefix) go last in the order. Any fixed order is exact;
-this one keeps common passages out of the prefixes. If there are more than HEAVY_LIST of them, only the most frequent
-are moved. Steps 2 and 4 skip pairs known to be connected, so components are complete though not all links are listed.
+2. The root. Its OR holds every shingle, one row each, dealt out by shingle (the lowest SHARE of the hash range: a part of
+   the shingle space that is the same for all sets and counted whole). A document overlaps any other by its size less
+   the shingles that no other has, at most; those that can't reach 0.8 so go. What is left are near copies and documents made of
+   shared passages.
+3. Every document left is held against one hub: of the documents that share a min-hash with it, the one with the fewest
+   shingles of its own (an original has fewer than its edited copies). So a group of thousands of near copies costs
+   one check per member, and most of it is one component before the tree is built.
+4. The tree. Documents are put in order by size class, the least min-hash of their component, component and min-hash, and cut
+   into leaves of LEAF documents; FAN leaves make a branch. Nodes hold their size range, their components and ORs of token
+   bitmaps, at 8 bits or more for each distinct shingle. Branches meet where they share a prefix shingle (rare first;
+   two sets that link share one among their first n - ceil(0.8 n) + 1). The dual traversal goes down from two branches to
+   pairs of leaves; it ends where sizes can't reach 0.8, where all is one component, where the prefix bitmaps have
+   nothing in common, or where the ORs' common bits, plus the bits a document may lose to collisions, are under the least
+   overlap needed. Only then the leaves' sets are sent, and overlaps are counted exactly. A pair of leaves yields a
+   forest of links, not its pairs.
+
+Prefix shingles of over HEAVY documents go last in the order. Any fixed order is exact; this one keeps common passages
+out of the prefixes. If there are more than HEAVY_LIST of them, only the most frequent are moved. Links inside a component
+known so far aren't listed, so components are complete though not all links are.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of 1 to 4 words are one shingle; a
 null doc_id links with nothing and has a null component; rows that repeat a doc_id are one node (its texts' links
@@ -28,14 +31,19 @@ together); an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, WIDTH, NODE_WIDTH, SHARE = 5, 80, 4, 64, 500_000, 96, 4, 4, 0.5
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, LEAF_TOKENS, FAN, BITS, SHARE = 5, 80, 4, 64, 500_000, 64, 1 << 18, 16, 8, 0.4
+#: Bytes of sets in one partition of the tree's order.
+PART_BYTES = 32 << 20
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -51,36 +59,18 @@ def _sets(column: pa.Array, size: int):
             yield np.unique(values[a:b])
 
 
-def _profile(size: int, percent: int, heavy: np.ndarray | None):
-    """doc_id -> n, fingerprint, min-hashes and prefix."""
+def _profile(size: int):
+    """doc_id -> n and two fingerprints of the set."""
 
     def run(batches):
-        seeds = C.mix(np.arange(901, 901 + HASHES, dtype=np.uint64))
         for batch in batches:
-            n, f1, f2, mins, mins_n, prefix, prefix_n = [], [], [], [], [], [], []
+            n, f1, f2 = [], [], []
             for u in _sets(batch.column("text"), size):
-                n.append(len(u))
-                if not len(u):
-                    f1.append(0), f2.append(0), mins_n.append(0), prefix_n.append(0)
-                    continue
                 m = C.mix(u)
-                f1.append(int(C.signed(m.sum(dtype=np.uint64, keepdims=True))[0]))
-                f2.append(int(C.signed(np.bitwise_xor.reduce(C.mix(m + np.uint64(1)), keepdims=True))[0]))
-                mins.append(np.array([C.mix(u ^ s).min() for s in seeds]))
-                mins_n.append(HASHES)
-                if heavy is not None and len(heavy):
-                    spot = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
-                    often = heavy[spot] == u
-                    u = np.concatenate([u[~often], u[often]])
-                p = int(prefix_length(len(u), percent)) if heavy is not None else 0
-                prefix.append(u[:p])
-                prefix_n.append(p)
-
-            def listed(values, counts):
-                flat = C.signed(np.concatenate(values)) if values else np.zeros(0, np.int64)
-                return C.lists(flat, np.concatenate([[0], np.cumsum(counts)]), pa.int64())
-
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), listed(mins, mins_n), listed(prefix, prefix_n)], ["doc_id", "n", "f1", "f2", "mins", "prefix"])
+                n.append(len(u))
+                f1.append(m.sum(dtype=np.uint64))
+                f2.append(np.bitwise_xor.reduce(C.mix(m + np.uint64(1))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(C.signed(np.array(f, np.uint64))) for f in (f1, f2))], ["doc_id", "n", "f1", "f2"])
 
     return run
 
@@ -91,146 +81,245 @@ def _lowest(size: int, share: float):
     def run(batches):
         top = np.uint64(int(share * (1 << 64)))
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            found = [u[: np.searchsorted(u, top)] for u in _sets(batch.column("text"), size)]
-            if found:
+            for ids, some in zip(itertools.batched(batch.column("doc_id").to_pylist(), 512), itertools.batched(_sets(batch.column("text"), size), 512)):
+                found = [u[: np.searchsorted(u, top)] for u in some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), C.lists(C.signed(np.concatenate(found)), np.concatenate([[0], np.cumsum([len(u) for u in found])]), pa.int64())], ["doc_id", "low"])
 
     return run
 
 
-def _arrays(size: int):
+def _whole(size: int):
+    """doc_id, alone -> n, alone, min-hashes and the set as bytes; empty sets go."""
+
     def run(batches):
+        seeds = C.mix(np.arange(901, 901 + HASHES, dtype=np.uint64))
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            found = list(_sets(batch.column("text"), size))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), C.lists(C.signed(np.concatenate(found)), np.concatenate([[0], np.cumsum([len(u) for u in found])]), pa.int64())], ["doc_id", "u"])
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("alone").to_pylist(), _sets(batch.column("text"), size))
+            for part in itertools.batched((r for r in rows if len(r[2])), 512):
+                mins = [C.signed(np.array([C.mix(u ^ s).min() for s in seeds])) for _, _, u in part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in part], pa.int64()), pa.array([len(r[2]) for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), C.lists(np.concatenate(mins), np.arange(len(part) + 1) * HASHES, pa.int64()), pa.array([r[2].tobytes() for r in part], pa.binary())],
+                    ["doc_id", "n", "alone", "mins", "u"],
+                )
 
     return run
 
 
-def _signatures(size: int):
+def _tokens(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _prefix(u: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order: frequent ones last, else by hash."""
+    if len(heavy):
+        often = heavy[np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)] == u
+        u = np.concatenate([u[~often], u[often]])
+    return u[: int(prefix_length(len(u), percent))]
+
+
+def _prefixes(percent: int):
     def run(batches):
         for batch in batches:
-            ids, n, out = batch.column("doc_id").to_pylist(), [], []
-            for u in _sets(batch.column("text"), size):
-                bits = np.zeros(max(64 * NODE_WIDTH, 1 << (WIDTH * len(u) - 1).bit_length()), np.uint8)
-                bits[(C.mix(u + np.uint64(77)) % np.uint64(len(bits))).astype(np.int64)] = 1
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-                n.append(len(u))
-            narrow = [_folded(b, NODE_WIDTH).tobytes() for b in out]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(narrow, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n", "bits", "full"])
+            for u in batch.column("u"):
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(_prefix(_tokens(u.as_py()), np.zeros(0, np.uint64), percent).copy()))], ["s"])
 
     return run
 
 
-def _folded(raw: bytes, width: int) -> np.ndarray:
-    """A signature at a smaller power-of-two width: the OR of its parts."""
-    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width), axis=0)
+def _linked(percent: int):
+    """(a, ua, b, ub) -> the pairs that link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("ua"), batch.column("ub"))):
+                x, y = _tokens(x.as_py()), _tokens(y.as_py())
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared * (100 + percent) >= percent * (len(x) + len(y)):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+# ---- the tree ----
+
 
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of `bits` (a power of two, 64 or more) as words of 64 bits."""
+    out = np.zeros(bits, np.uint8)
+    out[(C.mix(tokens + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
-class Node:
-    """Documents of a tree node: sizes (ascending), signatures, their OR, size range."""
 
-    __slots__ = ("ids", "n", "component", "bits", "either")
+def width(tokens: int) -> int:
+    return max(64, 1 << (BITS * tokens - 1).bit_length())
 
-    def __init__(self, ids, n, component, bits):
-        self.ids, self.n, self.component, self.bits = ids, n, component, bits
-        self.either = np.bitwise_or.reduce(bits, axis=0)
 
-    def halves(self):
-        h = len(self.n) // 2
-        return [Node(self.ids[s], self.n[s], self.component[s], self.bits[s]) for s in (slice(0, h), slice(h, None))]
+def node(leaf: int, sets: list[np.ndarray], prefixes: list[np.ndarray], components: list[int]) -> dict:
+    """A leaf's summary. lost: the most shingles of one document that share a bit with others of it."""
+    every, first = np.unique(np.concatenate(sets)), np.unique(np.concatenate(prefixes))
+    bits = width(len(every))
+    lost = max(len(u) - len(np.unique(C.mix(u + np.uint64(77)) & np.uint64(bits - 1))) for u in sets)
+    sizes = [len(u) for u in sets]
+    return {"leaf": leaf, "n_min": min(sizes), "n_max": max(sizes), "low": min(components), "high": max(components), "lost": lost, "either": bitmap(every, bits).tobytes(), "prefix": bitmap(first, width(len(first))).tobytes()}
 
 
-def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
+def _common(x: bytes, y: bytes) -> int:
+    """Bits set in both bitmaps, the narrower one repeated."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(y.reshape(-1, len(x)) & x).sum())
 
 
-def traverse(a: Node, b: Node, percent: int, out: list, same: bool = False) -> None:
-    """Dual traversal: appends (x, y) arrays of pairs of different components that the signatures let link."""
-    need = 100 + percent
-    if same and (a.component == a.component[0]).all():
-        return
-    if not same:
-        if a.n[-1] * 100 < percent * b.n[0] or b.n[-1] * 100 < percent * a.n[0]:
-            return
-        # The overlap of a document with any of the other node is at most its size less its bits outside the OR.
-        for x, y in ((a, b), (b, a)):
-            most = x.n - _missing(x.bits, y.either)
-            if (need * most < percent * (x.n + np.maximum(y.n[0], most))).all():
-                return
-    if max(len(a.n), len(b.n)) > 24:
-        if same:
-            p, q = a.halves()
-            traverse(p, p, percent, out, True)
-            traverse(p, q, percent, out)
-            traverse(q, q, percent, out, True)
-        elif len(a.n) >= len(b.n):
-            for p in a.halves():
-                traverse(p, b, percent, out)
-        else:
-            for q in b.halves():
-                traverse(a, q, percent, out)
-        return
-    most = np.minimum(a.n[:, None] - _missing(a.bits[:, None], b.bits[None]), b.n[None] - _missing(b.bits[None], a.bits[:, None]))
-    good = (need * most >= percent * (a.n[:, None] + b.n[None])) & (a.component[:, None] != b.component[None])
-    i, j = np.nonzero(good)
-    if len(i):
-        out.append((np.minimum(a.ids[i], b.ids[j]), np.maximum(a.ids[i], b.ids[j])))
+def may_link(a: dict, b: dict, percent: int = PERCENT) -> bool:
+    """Whether two nodes can hold documents of different components that link."""
+    if a["low"] == a["high"] == b["low"] == b["high"]:
+        return False
+    small_a, small_b = max(a["n_min"], -(-percent * b["n_min"] // 100)), max(b["n_min"], -(-percent * a["n_min"] // 100))
+    if small_a > a["n_max"] or small_b > b["n_max"]:
+        return False
+    if not _common(a["prefix"], b["prefix"]):
+        return False
+    # The lost shingles are those at the wider bitmap's width.
+    wide = max(a, b, key=lambda x: len(x["either"]))
+    lost = min(a["lost"], b["lost"]) if len(a["either"]) == len(b["either"]) else wide["lost"]
+    return (_common(a["either"], b["either"]) + lost) * (100 + percent) >= percent * (small_a + small_b)
 
 
-def _node(rows: list[dict]) -> Node:
-    rows.sort(key=lambda r: (r["n"], r["doc_id"]))
-    bits = np.stack([np.frombuffer(r["bits"], np.uint64) for r in rows])
-    return Node(*(np.array([r[k] for r in rows], np.int64) for k in ("doc_id", "n", "component")), bits)
+def traverse(a: list[dict], b: list[dict] | None, percent: int = PERCENT):
+    """Pairs of leaves (of two branches, or of one if b is None, not of a leaf with itself) that may link."""
+    for x, y in itertools.combinations(a, 2) if b is None else itertools.product(a, b):
+        if may_link(x, y, percent):
+            yield x["leaf"], y["leaf"]
 
 
-def _may_link(percent: int):
-    """(a, na, xa, b, nb, xb) -> the pairs whose full signatures leave enough possible overlap."""
+def _leaves(heavy: np.ndarray, percent: int):
+    """Documents in order -> leaf rows (leaf, ids, sizes, components, sets) and branch rows (branch, size range, nodes, prefix shingles)."""
 
     def run(batches):
+        task, count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, itertools.count()
+        held, nodes, first = [], [], []
+        class_, tokens = None, 0
+
+        def leaf():
+            at = task | next(count)
+            prefixes = [_prefix(r[2], heavy, percent) for r in held]
+            nodes.append(node(at, [r[2] for r in held], prefixes, [r[1] for r in held]))
+            first.append(np.unique(np.concatenate(prefixes)))
+            out = {"leaf": at, "ids": [r[0] for r in held], "sizes": [len(r[2]) for r in held], "components": [r[1] for r in held], "sets": b"".join(r[2].tobytes() for r in held)}
+            held.clear()
+            return _row(**out)
+
+        def branch():
+            out = _row(branch=nodes[0]["leaf"], n_min=min(x["n_min"] for x in nodes), n_max=max(x["n_max"] for x in nodes), nodes=list(nodes), tokens=C.signed(np.unique(np.concatenate(first))))
+            nodes.clear(), first.clear()
+            return out
+
         for batch in batches:
-            keep = []
-            for i, (na, xa, nb, xb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("na", "xa", "nb", "xb")))):
-                width = min(len(xa), len(xb)) // 8
-                x, y = _folded(xa, width), _folded(xb, width)
-                most = min(na - int(_missing(x, y)), nb - int(_missing(y, x)))
-                if (100 + percent) * most >= percent * (na + nb):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for doc, component, kind, u in zip(*(batch.column(c) for c in ("doc_id", "component", "class", "u"))):
+                u = _tokens(u.as_py())
+                if held and (kind.as_py() != class_ or len(held) >= LEAF or tokens + len(u) > LEAF_TOKENS):
+                    yield leaf()
+                    tokens = 0
+                    if len(nodes) >= FAN:
+                        yield branch()
+                held.append((doc.as_py(), component.as_py(), u))
+                class_, tokens = kind.as_py(), tokens + len(u)
+        if held:
+            yield leaf()
+        if nodes:
+            yield branch()
 
     return run
 
 
-def _pairs(percent: int):
+_NODE = pa.struct([("leaf", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("lost", pa.int64()), ("either", pa.binary()), ("prefix", pa.binary())])
+_TREE = pa.schema([("leaf", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("components", pa.list_(pa.int64())), ("sets", pa.binary()), ("branch", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("nodes", pa.list_(_NODE)), ("tokens", pa.list_(pa.int64()))])
+_TREE_SQL = "leaf long, ids array<long>, sizes array<long>, components array<long>, sets binary, branch long, n_min long, n_max long, nodes array<struct<leaf:long,n_min:long,n_max:long,low:long,high:long,lost:long,either:binary,prefix:binary>>, tokens array<long>"
+
+
+def _row(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in _TREE], schema=_TREE)
+
+
+def _descend(percent: int):
+    """Pairs of branches (x, y; y null for a branch with itself) -> pairs of leaves."""
+
     def run(batches):
         for batch in batches:
-            out: list = []
-            for x, y, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist()):
-                a = _node(x)
-                traverse(a, a if same else _node(y), percent, out, same)
-            a = np.concatenate([o[0] for o in out]) if out else np.zeros(0, np.int64)
-            b = np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)
-            unique = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(unique[:, 0].copy()), pa.array(unique[:, 1].copy())], ["a", "b"])
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                found = list(traverse(x.as_py(), y.as_py(), percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link by their exact sets."""
-    ids = C.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_arrays(size), "doc_id long, u array<long>"))
-    both = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b")
-    shared = F.size(F.array_intersect("ua", "ub"))
-    out = C.written(both.select("a", "b", shared.alias("i"), (F.size("ua") + F.size("ub") - shared).alias("o")).where(F.col("i") * 100 >= F.col("o") * percent).select("a", "b").distinct())
-    C.tidy(docs.sparkSession, ids, sets)
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of the sets of x with those of y, by products over their common tokens."""
+    tokens = [np.concatenate(s) for s in (x, y)]
+    common = np.intersect1d(np.unique(tokens[0]), np.unique(tokens[1]), assume_unique=True)
+    total = np.zeros((len(x), len(y)))
+    at = []
+    for sets, flat in zip((x, y), tokens):
+        spot = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        good = common[spot] == flat if len(common) else np.zeros(len(flat), bool)
+        at.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[good], spot[good]))
+    for lo in range(0, len(common), columns):
+        hold = []
+        for (row, spot), n in zip(at, (len(x), len(y))):
+            inside = (spot >= lo) & (spot < lo + columns)
+            m = np.zeros((n, min(columns, len(common) - lo)), np.float32)
+            m[row[inside], spot[inside] - lo] = 1
+            hold.append(m)
+        total += hold[0] @ hold[1].T
+    return total
+
+
+def links(a: tuple, b: tuple, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A forest of the links between documents (ids, components, sets) of different components."""
+    sizes = [np.array([len(u) for u in side[2]]) for side in (a, b)]
+    component = [np.array(side[1], np.int64) for side in (a, b)]
+    good = (overlaps(a[2], b[2]) * (100 + percent) >= percent * (sizes[0][:, None] + sizes[1])) & (component[0][:, None] != component[1])
+    parent: dict[int, int] = {}
+
+    def find(c):
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(good))):
+        p, q = find(a[1][i]), find(b[1][j])
+        if p != q:
+            parent[p] = q
+            out.append((a[0][i], b[0][j]))
     return out
 
 
-_PROFILE = "doc_id long, n long, f1 long, f2 long, mins array<long>, prefix array<long>"
+def _split(ids, components, sizes, sets) -> tuple:
+    cuts = np.cumsum([0, *(sizes := sizes.as_py())])
+    flat = _tokens(sets.as_py())
+    return ids.as_py(), components.as_py(), [flat[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
+
+
+def _compare(percent: int):
+    """Rows with one leaf, or two (the second's columns end in _y) -> links."""
+
+    def run(batches):
+        names = ("ids", "components", "sizes", "sets")
+        for batch in batches:
+            two = "ids_y" in batch.schema.names
+            for i in range(batch.num_rows):
+                a = _split(*(batch.column(c)[i] for c in names))
+                found = links(a, _split(*(batch.column(f"{c}_y")[i] for c in names)) if two else a, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+_EDGES = "a long, b long"
 
 
 def _size_class(percent: int):
@@ -238,92 +327,94 @@ def _size_class(percent: int):
     return F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
 
 
-def _begun(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sizes (doc_id, n), members (doc_id, rep, n) and stars (a, b) to verify."""
-    profile = C.written(docs.mapInArrow(_profile(size, percent, None), _PROFILE))
-    sizes = C.written(profile.select("doc_id", "n"))
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """profile (doc_id, n, f1, f2) and copies (a, b): documents and the smallest one of their set."""
+    profile = C.written(docs.mapInArrow(_profile(size), "doc_id long, n long, f1 long, f2 long"))
     full = profile.where("n > 0 and doc_id is not null")
     classes = C.written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
-    of_class = C.join_checked(full.select("doc_id", "n", "f1", "f2", "mins"), classes, ["n", "f1", "f2"], "left")
-    member = C.written(of_class.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("mins")).alias("mins"), "n"))
-    hashed = member.where("mins is not null").select(F.col("doc_id").alias("a"), _size_class(percent).alias("class"), F.posexplode("mins").alias("i", "v"))
-    hubs = C.written(hashed.groupBy("i", "v", "class").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").drop("last"))
-    stars = C.written(C.join_checked(hashed, hubs, ["i", "v", "class"], "inner").where("a <> b").select("a", "b").distinct())
-    C.tidy(docs.sparkSession, profile, classes, hubs)
-    return sizes, member, stars
-
-
-def _survivors(docs: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id of the representatives whose shingles, as far as counted, may occur in others often enough to link."""
-    ids = member.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("rep") == F.col("doc_id")).alias("is_rep"), F.min("n").alias("n"))
-    ids = C.written(ids)
-    copies = C.written(ids.where("not is_rep").select("doc_id"))
-    low = C.join_checked(docs, copies, ["doc_id"], "left_anti").where("doc_id is not null").mapInArrow(_lowest(size, SHARE), "doc_id long, low array<long>")
-    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("a"), F.count("*").alias("held")).where("held = 1")
-    alone = C.written(alone.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("alone")))
-    reps = ids.where("is_rep").join(alone.hint("merge"), "doc_id", "left")
-    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    out = C.written(reps.where((F.coalesce("alone", F.lit(0)) < needed) | (F.col("times") > 1)).select("doc_id"))
-    C.tidy(docs.sparkSession, ids, copies, alone)
+    copies = C.written(C.join_checked(full, classes, ["n", "f1", "f2"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    C.tidy(docs.sparkSession, classes)
+    return profile, copies
+
+
+def _survivors(docs: DataFrame, profile: DataFrame, copies: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, alone) of the documents that the root can't rule out: a document's copies and shingles of its own go.
+
+    A doc_id of several texts stays if any of them is no copy and might link by its size and all the id's own shingles.
+    """
+    gone = C.written(copies.select(F.col("a").alias("doc_id")).distinct())
+    texts = profile.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("times"))
+    # An id whose every text is a copy needs no look; one of several texts stays whole.
+    out = C.written(C.join_checked(texts, gone, ["doc_id"], "left_anti").unionByName(C.join_checked(texts.where("times > 1"), gone, ["doc_id"], "left_semi")))
+    some = C.written(out.select("doc_id"))
+    low = C.join_checked(docs, some, ["doc_id"], "left_semi").mapInArrow(_lowest(size, SHARE), "doc_id long, low array<long>")
+    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("held")).where("held = 1")
+    alone = C.written(alone.groupBy("doc_id").agg(F.count("*").alias("alone")))
+    own = F.coalesce("alone", F.lit(0))
+    left = C.written(out.join(alone.hint("merge"), "doc_id", "left").where((F.col("n") - own >= F.ceil(F.col("n") * percent / 100)) | (F.col("times") > 1)).select("doc_id", own.alias("alone")))
+    C.tidy(docs.sparkSession, gone, out, some, alone)
+    return left
+
+
+def _stars(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents and the hub that each is held against."""
+    hashed = C.written(sets.select(F.col("doc_id").alias("a"), "alone", _size_class(percent).alias("class"), F.posexplode("mins").alias("i", "v")))
+    hubs = hashed.groupBy("i", "v", "class").agg(F.min(F.struct("alone", "a")).alias("hub"), F.min("a").alias("least"), F.max("a").alias("last")).where("least <> last").select("i", "v", "class", "hub")
+    best = hashed.join(hubs.hint("merge"), ["i", "v", "class"]).where("a <> hub.a").groupBy("a").agg(F.min("hub").alias("hub"))
+    asked = C.written(best.select("a", F.col("hub.a").alias("b")))
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("u").alias(f"u{k}"))
+    both = asked.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    out = C.written(both.select("a", "ua", "b", "ub").mapInArrow(_linked(percent), _EDGES).distinct())
+    C.tidy(sets.sparkSession, hashed, asked)
     return out
 
 
-def _open_entries(docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """(s, class, held, doc_id, component): entries of prefix shingles whose documents of one size class and the next have
-    several components. Every entry stands under its class and the next."""
-    first = docs.mapInArrow(_profile(size, percent, np.zeros(0, np.uint64)), _PROFILE).where("n > 0")
-    often = first.select(F.explode("prefix").alias("s")).groupBy("s").count().where(F.col("count") > HEAVY)
+def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components, by the tree."""
+    spark = sets.sparkSession
+    often = sets.select("u").mapInArrow(_prefixes(percent), "s long").groupBy("s").count().where(F.col("count") > HEAVY)
     heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
-    ordered = docs.mapInArrow(_profile(size, percent, heavy), _PROFILE).where("n > 0")
-    placed = C.written(C.join_checked(ordered.select("doc_id", "n", "prefix"), known, ["doc_id"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component"), "prefix"))
-    entries = placed.select("doc_id", "component", _size_class(percent).alias("class"), F.explode("prefix").alias("s"))
-    differ = F.min("component").alias("low"), F.max("component").alias("high")
-    open_ = C.written(entries.groupBy("s").agg(*differ).where("low <> high").select("s"))
-    some = C.written(entries.join(open_.hint("merge"), "s"))
-    both = some.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-    met = C.written(both.groupBy("s", "class").agg(*differ, F.count("*").alias("held")).where("low <> high").select("s", "class", "held"))
-    rest = C.written(both.join(met.hint("merge"), ["s", "class"]).distinct())
-    C.tidy(docs.sparkSession, placed, open_, some, met)
-    return rest
-
-
-def _tree_pairs(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of different components that the signature trees below the open shingles can't rule out."""
-    ids = C.written(rest.select("doc_id").distinct())
-    marks = C.written(C.join_checked(docs, ids, ["doc_id"], "left_semi", 2_000_000).mapInArrow(_signatures(size), "doc_id long, n long, bits binary, full binary"))
-    leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / LEAF))
-    nodes = rest.join(marks.drop("full"), "doc_id").groupBy("s", "class", leaf.alias("leaf")).agg(F.collect_list(F.struct("doc_id", "n", "component", "bits")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"), F.first("held").alias("held"))
-    nodes = C.written(nodes)
-    alone = nodes.where(F.col("held") <= LEAF).select("x", F.lit(None).cast(nodes.schema["x"].dataType).alias("y"), F.lit(True).alias("same"))
-    large = nodes.where(F.col("held") > LEAF)
-    x, y = large.alias("x"), large.alias("y")
-    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.leaf") <= F.col("y.leaf")) & ~one
-    met = x.join(y, near).select(F.col("x.x").alias("x"), F.col("y.x").alias("y"), (F.col("x.leaf") == F.col("y.leaf")).alias("same"))
-    pairs = C.written(alone.unionByName(met).mapInArrow(_pairs(percent), "a long, b long").distinct())
-    C.tidy(docs.sparkSession, ids, nodes)
-    side = lambda k: marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("full").alias(f"x{k}"))
-    out = C.written(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(_may_link(percent), "a long, b long").distinct())
-    C.tidy(docs.sparkSession, marks, pairs)
+    joined = sets.select("doc_id", "n", "mins", "u").join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), _size_class(percent).alias("class"), F.col("mins")[0].alias("m0"), F.col("mins")[1].alias("m1"), "u")
+    least = C.written(joined.groupBy("component").agg(F.min("m0").alias("least"), F.count("*").alias("held")).where("held > 1").drop("held"))
+    placed = joined.join(least.hint("merge"), "component", "left").withColumn("least", F.coalesce("least", "m0"))
+    bytes_ = sets.agg(F.sum("n")).first()[0] or 0
+    order = ["class", "least", "component", "m0", "m1", "doc_id"]
+    ranged = placed.repartitionByRange(-(-8 * bytes_ // PART_BYTES) + 1, *order).sortWithinPartitions(*order)
+    tree = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(_leaves(heavy, percent), _TREE_SQL))
+    leaves = tree.where("leaf is not null").select("leaf", "ids", "components", "sizes", "sets")
+    branches = tree.where("branch is not null").select("branch", "n_min", "n_max", "nodes", "tokens")
+    C.tidy(spark, least)
+
+    entries = branches.select("branch", "n_min", "n_max", F.explode("tokens").alias("s"))
+    x, y = entries.alias("x"), entries.alias("y")
+    met = (F.col("x.s") == F.col("y.s")) & (F.col("x.branch") < F.col("y.branch")) & (F.col("x.n_max") * 100 >= F.col("y.n_min") * percent) & (F.col("y.n_max") * 100 >= F.col("x.n_min") * percent)
+    pairs = C.written(x.join(y.hint("merge"), met).select(F.col("x.branch").alias("p"), F.col("y.branch").alias("q")).distinct())
+    side = lambda k, name: branches.select(F.col("branch").alias(k), F.col("nodes").alias(name))
+    two = pairs.join(side("p", "x").hint("merge"), "p").join(side("q", "y").hint("merge"), "q").select("x", "y")
+    one = branches.select(F.col("nodes").alias("x"), F.lit(None).cast(branches.schema["nodes"].dataType).alias("y"))
+    below = C.written(two.unionByName(one).mapInArrow(_descend(percent), _EDGES))
+
+    inside = leaves.where("array_min(components) <> array_max(components)").drop("leaf").mapInArrow(_compare(percent), _EDGES)
+    left = leaves.withColumnRenamed("leaf", "a")
+    right = leaves.select(F.col("leaf").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("ids", "components", "sizes", "sets")])
+    across = below.join(left.hint("merge"), "a").join(right.hint("merge"), "b").drop("a", "b").mapInArrow(_compare(percent), _EDGES)
+    out = C.written(inside.unionByName(across).distinct())
+    C.tidy(spark, tree, pairs, below)
     return out
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes, member, stars = _begun(docs, size, percent)
-    copies = member.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = C.written(copies.unionByName(_verified(docs, stars, size, percent)))
-    known = components(edges)
-    left = _survivors(docs, member, size, percent)
-    C.tidy(docs.sparkSession, stars, member)
-    some = C.join_checked(docs, left, ["doc_id"], "left_semi", 2_000_000)
-    rest = _open_entries(some, known, size, percent)
-    pairs = _tree_pairs(docs, rest, size, percent)
-    C.tidy(docs.sparkSession, rest)
-    if pairs.limit(1).count():
-        known = components(edges.unionByName(_verified(docs, pairs, size, percent)))
-    out = C.join_checked(sizes.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")
+    profile, copies = _classes(docs, size)
+    left = _survivors(docs, profile, copies, size, percent)
+    sets = C.written(C.join_checked(docs, left, ["doc_id"], "inner").select("doc_id", "alone", "text").mapInArrow(_whole(size), "doc_id long, n long, alone long, mins array<long>, u binary"))
+    C.tidy(docs.sparkSession, left)
+    stars = _stars(sets, percent)
+    found = stars.unionByName(_tree_links(sets, components(stars), percent))
+    C.tidy(docs.sparkSession, sets)
+    known = components(copies.unionByName(found))
+    out = C.join_checked(profile.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -332,9 +423,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the document of the smallest doc_id stays, once.
+    """docs without the near copies: of each component the document of the smallest doc_id stays.
 
-    Rows of an empty set or a null doc_id all stay. All columns are kept.
+    Rows that repeat a doc_id and its text leave once; rows of one doc_id with different texts all stay, as do rows of an
+    empty set or a null doc_id. All columns are kept.
     """
     found = C.written(join(docs))
     gone = C.written(found.where("component_id <> doc_id").select("doc_id").distinct())
@@ -342,5 +434,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     twice = C.written(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.limit(1).count():
         return out
-    again = C.join_checked(out, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    again = C.join_checked(out, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return C.join_checked(out, twice, ["doc_id"], "left_anti").unionByName(again)

@@ -149,26 +149,57 @@ def test_ngram_chain_and_tree(spark):
 
 
 def test_traverse_is_complete():
+    """Leaves that hold a linking pair of different components meet, and the pairs are found; none below the threshold is."""
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(20, 60)).astype(np.uint64)) for _ in range(40)]
     for _ in range(60):
         s = sets[rng.integers(len(sets))]
         sets.append(np.unique(np.r_[s[rng.random(len(s)) > 0.08], rng.integers(0, 400, 2).astype(np.uint64)]))
-    bits = []
-    for s in sets:
-        b = np.zeros(256, np.uint8)
-        b[(common.mix(s) % np.uint64(256)).astype(int)] = 1
-        bits.append(np.packbits(b).view(np.uint64))
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    node = ngram_join.Node(np.arange(100)[order], np.array([len(s) for s in sets])[order], np.arange(100)[order], np.array(bits)[order])
-    out = []
-    ngram_join.traverse(node, node, 80, out, True)
-    pairs = {(int(x), int(y)) for a, b in out for x, y in zip(a, b)}
+    order = sorted(range(100), key=lambda i: len(sets[i]))
+    none = np.zeros(0, np.uint64)
+    leaves = [order[i : i + 7] for i in range(0, 100, 7)]
+    nodes = [ngram_join.node(k, [sets[i] for i in leaf], [ngram_join._prefix(sets[i], none, 80) for i in leaf], leaf) for k, leaf in enumerate(leaves)]
+    met = {tuple(sorted(p)) for p in [*ngram_join.traverse(nodes[:8], None), *ngram_join.traverse(nodes[8:], None), *ngram_join.traverse(nodes[:8], nodes[8:])]}
+    assert len(met) < len(leaves) * (len(leaves) - 1) // 2
+    side = lambda k: (leaves[k], leaves[k], [sets[i] for i in leaves[k]])
+    found = {frozenset(p) for k in range(len(leaves)) for p in ngram_join.links(side(k), side(k))} | {frozenset(p) for a, b in met for p in ngram_join.links(side(a), side(b))}
+    of = {i: k for k, leaf in enumerate(leaves) for i in leaf}
+    parent = list(range(100))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in map(tuple, found):
+        parent[find(x)] = find(y)
     for i in range(100):
         for j in range(i + 1, 100):
             k = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
-                assert (i, j) in pairs
+            good = 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k)
+            assert k == ngram_join.overlaps([sets[i]], [sets[j]], 16)[0, 0]
+            assert good or frozenset((i, j)) not in found
+            if good:
+                assert find(i) == find(j) and (of[i] == of[j] or tuple(sorted((of[i], of[j]))) in met)
+
+
+def test_near_copies_that_miss_each_other(spark):
+    """Heavily edited copies link with the original only, next to copies of another, some long and some short texts."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for g in range(3):
+        base = prose(700 + g, 150)
+        texts[g * 100 + 50] = base
+        for i in range(45):
+            t = base.split()
+            for at in rng.choice(150, 1 + i % 6, replace=False):
+                t[at] = f"e{g}x{i}x{at}"
+            texts[g * 100 + i] = " ".join(t)
+    texts[900], texts[901] = prose(800, 30_000), edited(prose(800, 30_000), 15_000, ["other"] * 40)
+    texts |= {1000 + i: prose(900, 4 + i % 3) for i in range(6)}
+    want = groups({k: shingles(t) for k, t in texts.items()})
+    got = ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
 
 
 def test_one_of_each(docs):

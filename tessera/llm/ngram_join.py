@@ -12,17 +12,17 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
    shingles of its own (an original has fewer than its edited copies). So a group of thousands of near copies costs
    one check per member, and most of it is one component before the tree is built.
 4. The tree. Documents are put in order by size class, the least min-hash of their component, component and min-hash, and cut
-   into leaves of LEAF documents; FAN leaves make a branch. Nodes hold their size range, their components and ORs of token
-   bitmaps, at 8 bits or more for each distinct shingle. Branches meet where they share a prefix shingle (rare first;
-   two sets that link share one among their first n - ceil(0.8 n) + 1). The dual traversal goes down from two branches to
-   pairs of leaves; it ends where sizes can't reach 0.8, where all is one component, where the prefix bitmaps have
-   nothing in common, or where the ORs' common bits, plus the bits a document may lose to collisions, are under the least
-   overlap needed. Only then the leaves' sets are sent, and overlaps are counted exactly. A pair of leaves yields a
-   forest of links, not its pairs.
-
-Prefix shingles of over HEAVY documents go last in the order. Any fixed order is exact; this one keeps common passages
-out of the prefixes. If there are more than HEAVY_LIST of them, only the most frequent are moved. Links inside a component
-known so far aren't listed, so components are complete though not all links are.
+   into leaves of LEAF documents; FAN leaves make a branch. Nodes hold their size range, the range of their components and the OR of
+   their documents' prefix bitmaps (over 2^32 positions, kept as the sorted positions that are set). Two sets that link share one
+   of their first n - ceil(0.8 n) + 1 shingles in a common order, so branches meet where they share such a prefix shingle. The
+   dual traversal goes down from two branches to leaves and documents; it ends where sizes can't reach 0.8, where all is
+   one component, where the ORs have nothing in common, and at documents whose prefixes' common positions plus the longer
+   of the rests, the greatest overlap possible, are too few. Only then the sets of the documents left are fetched, and
+   overlaps are counted exactly. A pair of leaves yields a forest of links, not its pairs.
+
+The order of shingles is by frequency among the documents left, as far as it is over HEAVY (of at most HEAVY_LIST shingles, the
+most frequent), then by hash. Any fixed order is exact; this one keeps common passages out of the prefixes. Links inside
+a component known so far aren't listed, so components are complete though not all links are.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of 1 to 4 words are one shingle; a
 null doc_id links with nothing and has a null component; rows that repeat a doc_id are one node (its texts' links
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, LEAF_TOKENS, FAN, BITS, SHARE = 5, 80, 4, 64, 500_000, 64, 1 << 18, 16, 8, 0.4
+SIZE, PERCENT, HASHES, HEAVY, HEAVY_LIST, LEAF, LEAF_TOKENS, FAN, SHARE = 5, 80, 4, 8, 500_000, 64, 1 << 18, 16, 0.4
 #: Bytes of sets in one partition of the tree's order.
 PART_BYTES = 32 << 20
 
@@ -109,21 +109,19 @@ def _tokens(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _prefix(u: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the order: frequent ones last, else by hash."""
+def _prefix(u: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order: those of `heavy` (sorted) last, by rank, else by hash."""
     if len(heavy):
-        often = heavy[np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)] == u
-        u = np.concatenate([u[~often], u[often]])
+        spot = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
+        often = heavy[spot] == u
+        u = np.concatenate([u[~often], u[often][np.argsort(rank[spot[often]], kind="stable")]])
     return u[: int(prefix_length(len(u), percent))]
 
 
-def _prefixes(percent: int):
-    def run(batches):
-        for batch in batches:
-            for u in batch.column("u"):
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(_prefix(_tokens(u.as_py()), np.zeros(0, np.uint64), percent).copy()))], ["s"])
-
-    return run
+def _every(batches):
+    for batch in batches:
+        for u in batch.column("u"):
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(_tokens(u.as_py())))], ["s"])
 
 
 def _linked(percent: int):
@@ -145,56 +143,64 @@ def _linked(percent: int):
 # ---- the tree ----
 
 
-def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """A bitmap of `bits` (a power of two, 64 or more) as words of 64 bits."""
-    out = np.zeros(bits, np.uint8)
-    out[(C.mix(tokens + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
-
+def node(leaf: int, docs: list[tuple[int, int, int, np.ndarray]]) -> dict:
+    """A leaf of documents (id, component, size, prefix). Positions of bitmaps are the lowest 32 bits of hashes."""
+    ids, components, sizes, prefixes = (list(x) for x in zip(*docs))
+    places = [np.unique(p.astype("<u4")) for p in prefixes]
+    return {"leaf": leaf, "n_min": min(sizes), "n_max": max(sizes), "low": min(components), "high": max(components), "either": np.unique(np.concatenate(places)).tobytes(), "ids": ids, "components": components, "sizes": sizes, "held": [len(x) for x in places], "places": b"".join(x.tobytes() for x in places)}
 
-def width(tokens: int) -> int:
-    return max(64, 1 << (BITS * tokens - 1).bit_length())
 
-
-def node(leaf: int, sets: list[np.ndarray], prefixes: list[np.ndarray], components: list[int]) -> dict:
-    """A leaf's summary. lost: the most shingles of one document that share a bit with others of it."""
-    every, first = np.unique(np.concatenate(sets)), np.unique(np.concatenate(prefixes))
-    bits = width(len(every))
-    lost = max(len(u) - len(np.unique(C.mix(u + np.uint64(77)) & np.uint64(bits - 1))) for u in sets)
-    sizes = [len(u) for u in sets]
-    return {"leaf": leaf, "n_min": min(sizes), "n_max": max(sizes), "low": min(components), "high": max(components), "lost": lost, "either": bitmap(every, bits).tobytes(), "prefix": bitmap(first, width(len(first))).tobytes()}
-
-
-def _common(x: bytes, y: bytes) -> int:
-    """Bits set in both bitmaps, the narrower one repeated."""
-    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    return int(np.bitwise_count(y.reshape(-1, len(x)) & x).sum())
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], common: np.ndarray | None = None, columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of the sets of x with those of y, by products over their common members."""
+    flat = [np.concatenate(s) for s in (x, y)]
+    if common is None:
+        common = np.intersect1d(*flat)
+    total = np.zeros((len(x), len(y)), np.int64)
+    if not len(common):
+        return total
+    at = []
+    for sets, values in zip((x, y), flat):
+        spot = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        good = common[spot] == values
+        at.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[good], spot[good]))
+    for lo in range(0, len(common), columns):
+        hold = []
+        for (row, spot), n in zip(at, (len(x), len(y))):
+            inside = (spot >= lo) & (spot < lo + columns)
+            m = np.zeros((n, min(columns, len(common) - lo)), np.float32)
+            m[row[inside], spot[inside] - lo] = 1
+            hold.append(m)
+        total += (hold[0] @ hold[1].T).astype(np.int64)
+    return total
 
 
-def may_link(a: dict, b: dict, percent: int = PERCENT) -> bool:
-    """Whether two nodes can hold documents of different components that link."""
+def may_link(a: dict, b: dict, percent: int = PERCENT) -> tuple[list[int], list[int]] | None:
+    """The documents of two leaves that may link with one of the other leaf and of another component, or None."""
     if a["low"] == a["high"] == b["low"] == b["high"]:
-        return False
-    small_a, small_b = max(a["n_min"], -(-percent * b["n_min"] // 100)), max(b["n_min"], -(-percent * a["n_min"] // 100))
-    if small_a > a["n_max"] or small_b > b["n_max"]:
-        return False
-    if not _common(a["prefix"], b["prefix"]):
-        return False
-    # The lost shingles are those at the wider bitmap's width.
-    wide = max(a, b, key=lambda x: len(x["either"]))
-    lost = min(a["lost"], b["lost"]) if len(a["either"]) == len(b["either"]) else wide["lost"]
-    return (_common(a["either"], b["either"]) + lost) * (100 + percent) >= percent * (small_a + small_b)
+        return None
+    if a["n_max"] * 100 < b["n_min"] * percent or b["n_max"] * 100 < a["n_min"] * percent:
+        return None
+    common = np.intersect1d(np.frombuffer(a["either"], "<u4"), np.frombuffer(b["either"], "<u4"), assume_unique=True)
+    if not len(common):
+        return None
+    parts = [np.split(np.frombuffer(x["places"], "<u4"), np.cumsum(x["held"])[:-1]) for x in (a, b)]
+    n, m = (np.array(x["sizes"], np.int64) for x in (a, b))
+    shared = overlaps(*parts, common)
+    most = shared + np.maximum((n - prefix_length(n, percent))[:, None], m - prefix_length(m, percent))
+    good = (shared > 0) & (most * (100 + percent) >= percent * (n[:, None] + m)) & (np.array(a["components"])[:, None] != np.array(b["components"]))
+    return ([a["ids"][i] for i in np.flatnonzero(good.any(1))], [b["ids"][j] for j in np.flatnonzero(good.any(0))]) if good.any() else None
 
 
 def traverse(a: list[dict], b: list[dict] | None, percent: int = PERCENT):
-    """Pairs of leaves (of two branches, or of one if b is None, not of a leaf with itself) that may link."""
-    for x, y in itertools.combinations(a, 2) if b is None else itertools.product(a, b):
-        if may_link(x, y, percent):
-            yield x["leaf"], y["leaf"]
+    """(leaf, leaf, documents, documents) of two branches, or of one if b is None, that may link."""
+    for x, y in itertools.combinations_with_replacement(a, 2) if b is None else itertools.product(a, b):
+        found = may_link(x, y, percent)
+        if found:
+            yield x["leaf"], y["leaf"], *found
 
 
-def _leaves(heavy: np.ndarray, percent: int):
-    """Documents in order -> leaf rows (leaf, ids, sizes, components, sets) and branch rows (branch, size range, nodes, prefix shingles)."""
+def _tree(heavy: np.ndarray, rank: np.ndarray, percent: int):
+    """Documents in order -> branches (branch, size range, nodes, prefix shingles)."""
 
     def run(batches):
         task, count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, itertools.count()
@@ -202,85 +208,56 @@ def _leaves(heavy: np.ndarray, percent: int):
         class_, tokens = None, 0
 
         def leaf():
-            at = task | next(count)
-            prefixes = [_prefix(r[2], heavy, percent) for r in held]
-            nodes.append(node(at, [r[2] for r in held], prefixes, [r[1] for r in held]))
-            first.append(np.unique(np.concatenate(prefixes)))
-            out = {"leaf": at, "ids": [r[0] for r in held], "sizes": [len(r[2]) for r in held], "components": [r[1] for r in held], "sets": b"".join(r[2].tobytes() for r in held)}
+            nodes.append(node(task | next(count), held))
+            first.append(np.unique(np.concatenate([r[3] for r in held])))
             held.clear()
-            return _row(**out)
 
         def branch():
-            out = _row(branch=nodes[0]["leaf"], n_min=min(x["n_min"] for x in nodes), n_max=max(x["n_max"] for x in nodes), nodes=list(nodes), tokens=C.signed(np.unique(np.concatenate(first))))
+            out = (nodes[0]["leaf"], min(x["n_min"] for x in nodes), max(x["n_max"] for x in nodes), list(nodes), C.signed(np.unique(np.concatenate(first))))
             nodes.clear(), first.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, _BRANCH)], schema=_BRANCH)
 
         for batch in batches:
             for doc, component, kind, u in zip(*(batch.column(c) for c in ("doc_id", "component", "class", "u"))):
                 u = _tokens(u.as_py())
                 if held and (kind.as_py() != class_ or len(held) >= LEAF or tokens + len(u) > LEAF_TOKENS):
-                    yield leaf()
+                    leaf()
                     tokens = 0
                     if len(nodes) >= FAN:
                         yield branch()
-                held.append((doc.as_py(), component.as_py(), u))
+                held.append((doc.as_py(), component.as_py(), len(u), _prefix(u, heavy, rank, percent)))
                 class_, tokens = kind.as_py(), tokens + len(u)
         if held:
-            yield leaf()
+            leaf()
         if nodes:
             yield branch()
 
     return run
 
 
-_NODE = pa.struct([("leaf", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("lost", pa.int64()), ("either", pa.binary()), ("prefix", pa.binary())])
-_TREE = pa.schema([("leaf", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("components", pa.list_(pa.int64())), ("sets", pa.binary()), ("branch", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("nodes", pa.list_(_NODE)), ("tokens", pa.list_(pa.int64()))])
-_TREE_SQL = "leaf long, ids array<long>, sizes array<long>, components array<long>, sets binary, branch long, n_min long, n_max long, nodes array<struct<leaf:long,n_min:long,n_max:long,low:long,high:long,lost:long,either:binary,prefix:binary>>, tokens array<long>"
-
-
-def _row(**values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in _TREE], schema=_TREE)
+_LONGS = pa.list_(pa.int64())
+_NODE = pa.struct([("leaf", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("either", pa.binary()), ("ids", _LONGS), ("components", _LONGS), ("sizes", _LONGS), ("held", _LONGS), ("places", pa.binary())])
+_BRANCH = pa.schema([("branch", pa.int64()), ("n_min", pa.int64()), ("n_max", pa.int64()), ("nodes", pa.list_(_NODE)), ("tokens", _LONGS)])
+_BRANCH_SQL = "branch long, n_min long, n_max long, nodes array<struct<leaf:long,n_min:long,n_max:long,low:long,high:long,either:binary,ids:array<long>,components:array<long>,sizes:array<long>,held:array<long>,places:binary>>, tokens array<long>"
 
 
 def _descend(percent: int):
-    """Pairs of branches (x, y; y null for a branch with itself) -> pairs of leaves."""
+    """Pairs of branches (x, y; y null for a branch with itself) -> (p, q, side, doc_id): the documents of leaves p and q to compare."""
 
     def run(batches):
         for batch in batches:
             for x, y in zip(batch.column("x"), batch.column("y")):
-                found = list(traverse(x.as_py(), y.as_py(), percent))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                for p, q, a, b in traverse(x.as_py(), y.as_py(), percent):
+                    n = len(a) + len(b)
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int64()), pa.array([q] * n, pa.int64()), pa.array([0] * len(a) + [1] * len(b), pa.int32()), pa.array(a + b, pa.int64())], ["p", "q", "side", "doc_id"])
 
     return run
 
 
-def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of the sets of x with those of y, by products over their common tokens."""
-    tokens = [np.concatenate(s) for s in (x, y)]
-    common = np.intersect1d(np.unique(tokens[0]), np.unique(tokens[1]), assume_unique=True)
-    total = np.zeros((len(x), len(y)))
-    at = []
-    for sets, flat in zip((x, y), tokens):
-        spot = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
-        good = common[spot] == flat if len(common) else np.zeros(len(flat), bool)
-        at.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[good], spot[good]))
-    for lo in range(0, len(common), columns):
-        hold = []
-        for (row, spot), n in zip(at, (len(x), len(y))):
-            inside = (spot >= lo) & (spot < lo + columns)
-            m = np.zeros((n, min(columns, len(common) - lo)), np.float32)
-            m[row[inside], spot[inside] - lo] = 1
-            hold.append(m)
-        total += hold[0] @ hold[1].T
-    return total
-
-
 def links(a: tuple, b: tuple, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A forest of the links between documents (ids, components, sets) of different components."""
     sizes = [np.array([len(u) for u in side[2]]) for side in (a, b)]
-    component = [np.array(side[1], np.int64) for side in (a, b)]
-    good = (overlaps(a[2], b[2]) * (100 + percent) >= percent * (sizes[0][:, None] + sizes[1])) & (component[0][:, None] != component[1])
+    good = (overlaps(a[2], b[2]) * (100 + percent) >= percent * (sizes[0][:, None] + sizes[1])) & (np.array(a[1])[:, None] != np.array(b[1]))
     parent: dict[int, int] = {}
 
     def find(c):
@@ -297,24 +274,17 @@ def links(a: tuple, b: tuple, percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def _split(ids, components, sizes, sets) -> tuple:
-    cuts = np.cumsum([0, *(sizes := sizes.as_py())])
-    flat = _tokens(sets.as_py())
-    return ids.as_py(), components.as_py(), [flat[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
-
-
 def _compare(percent: int):
-    """Rows with one leaf, or two (the second's columns end in _y) -> links."""
+    """All rows (side, doc_id, component, u) of one pair of leaves -> links."""
 
-    def run(batches):
-        names = ("ids", "components", "sizes", "sets")
-        for batch in batches:
-            two = "ids_y" in batch.schema.names
-            for i in range(batch.num_rows):
-                a = _split(*(batch.column(c)[i] for c in names))
-                found = links(a, _split(*(batch.column(f"{c}_y")[i] for c in names)) if two else a, percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        sides = []
+        for k in (0, 1):
+            part = table.filter(pa.array(side == k))
+            sides.append((part.column("doc_id").to_pylist(), part.column("component").to_pylist(), [_tokens(u.as_py()) for u in part.column("u")]))
+        found = links(*sides, percent) if len(sides[0][0]) and len(sides[1][0]) else []
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
@@ -371,19 +341,19 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
 
 def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components, by the tree."""
-    spark = sets.sparkSession
-    often = sets.select("u").mapInArrow(_prefixes(percent), "s long").groupBy("s").count().where(F.col("count") > HEAVY)
-    heavy = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).collect()], np.int64).view(np.uint64))
+    often = sets.select("u").mapInArrow(_every, "s long").groupBy("s").count().where(F.col("count") > HEAVY)
+    heavy = often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).toArrow()
+    s, rank = np.asarray(heavy.column("s").combine_chunks()).view(np.uint64), np.arange(heavy.num_rows, 0, -1)
+    order = np.argsort(s)
     joined = sets.select("doc_id", "n", "mins", "u").join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), _size_class(percent).alias("class"), F.col("mins")[0].alias("m0"), F.col("mins")[1].alias("m1"), "u")
+    joined = C.written(joined)
     least = C.written(joined.groupBy("component").agg(F.min("m0").alias("least"), F.count("*").alias("held")).where("held > 1").drop("held"))
     placed = joined.join(least.hint("merge"), "component", "left").withColumn("least", F.coalesce("least", "m0"))
-    bytes_ = sets.agg(F.sum("n")).first()[0] or 0
-    order = ["class", "least", "component", "m0", "m1", "doc_id"]
-    ranged = placed.repartitionByRange(-(-8 * bytes_ // PART_BYTES) + 1, *order).sortWithinPartitions(*order)
-    tree = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(_leaves(heavy, percent), _TREE_SQL))
-    leaves = tree.where("leaf is not null").select("leaf", "ids", "components", "sizes", "sets")
-    branches = tree.where("branch is not null").select("branch", "n_min", "n_max", "nodes", "tokens")
-    C.tidy(spark, least)
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    by = ["class", "least", "component", "m0", "m1", "doc_id"]
+    ranged = placed.repartitionByRange(-(-8 * size // PART_BYTES) + 1, *by).sortWithinPartitions(*by)
+    branches = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(_tree(s[order], rank[order], percent), _BRANCH_SQL))
+    C.tidy(sets.sparkSession, least)
 
     entries = branches.select("branch", "n_min", "n_max", F.explode("tokens").alias("s"))
     x, y = entries.alias("x"), entries.alias("y")
@@ -392,14 +362,10 @@ def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     side = lambda k, name: branches.select(F.col("branch").alias(k), F.col("nodes").alias(name))
     two = pairs.join(side("p", "x").hint("merge"), "p").join(side("q", "y").hint("merge"), "q").select("x", "y")
     one = branches.select(F.col("nodes").alias("x"), F.lit(None).cast(branches.schema["nodes"].dataType).alias("y"))
-    below = C.written(two.unionByName(one).mapInArrow(_descend(percent), _EDGES))
-
-    inside = leaves.where("array_min(components) <> array_max(components)").drop("leaf").mapInArrow(_compare(percent), _EDGES)
-    left = leaves.withColumnRenamed("leaf", "a")
-    right = leaves.select(F.col("leaf").alias("b"), *[F.col(c).alias(f"{c}_y") for c in ("ids", "components", "sizes", "sets")])
-    across = below.join(left.hint("merge"), "a").join(right.hint("merge"), "b").drop("a", "b").mapInArrow(_compare(percent), _EDGES)
-    out = C.written(inside.unionByName(across).distinct())
-    C.tidy(spark, tree, pairs, below)
+    asked = C.written(two.unionByName(one).mapInArrow(_descend(percent), "p long, q long, side int, doc_id long"))
+    fetched = asked.join(joined.select("doc_id", "component", "u").hint("merge"), "doc_id")
+    out = C.written(fetched.groupBy("p", "q").applyInArrow(_compare(percent), _EDGES).distinct())
+    C.tidy(sets.sparkSession, joined, branches, pairs, asked)
     return out
 
 

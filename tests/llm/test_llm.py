@@ -158,12 +158,12 @@ def test_traverse_is_complete():
     order = sorted(range(100), key=lambda i: len(sets[i]))
     none = np.zeros(0, np.uint64)
     leaves = [order[i : i + 7] for i in range(0, 100, 7)]
-    nodes = [ngram_join.node(k, [sets[i] for i in leaf], [ngram_join._prefix(sets[i], none, 80) for i in leaf], leaf) for k, leaf in enumerate(leaves)]
-    met = {tuple(sorted(p)) for p in [*ngram_join.traverse(nodes[:8], None), *ngram_join.traverse(nodes[8:], None), *ngram_join.traverse(nodes[:8], nodes[8:])]}
-    assert len(met) < len(leaves) * (len(leaves) - 1) // 2
-    side = lambda k: (leaves[k], leaves[k], [sets[i] for i in leaves[k]])
-    found = {frozenset(p) for k in range(len(leaves)) for p in ngram_join.links(side(k), side(k))} | {frozenset(p) for a, b in met for p in ngram_join.links(side(a), side(b))}
-    of = {i: k for k, leaf in enumerate(leaves) for i in leaf}
+    nodes = [ngram_join.node(k, [(i, i, len(sets[i]), ngram_join._prefix(sets[i], none, none, 80)) for i in leaf]) for k, leaf in enumerate(leaves)]
+    met = {(p, q): (a, b) for part in (ngram_join.traverse(nodes[:8], None), ngram_join.traverse(nodes[8:], None), ngram_join.traverse(nodes[:8], nodes[8:])) for p, q, a, b in part}
+    assert len(met) < len(leaves) * (len(leaves) + 1) // 2
+    side = lambda ids: (ids, ids, [sets[i] for i in ids])
+    found = {frozenset(p) for a, b in met.values() for p in ngram_join.links(side(a), side(b))}
+    asked = {frozenset((i, j)) for a, b in met.values() for i in a for j in b}
     parent = list(range(100))
 
     def find(x):
@@ -177,10 +177,10 @@ def test_traverse_is_complete():
         for j in range(i + 1, 100):
             k = len(np.intersect1d(sets[i], sets[j]))
             good = 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k)
-            assert k == ngram_join.overlaps([sets[i]], [sets[j]], 16)[0, 0]
+            assert k == ngram_join.overlaps([sets[i]], [sets[j]], columns=16)[0, 0]
             assert good or frozenset((i, j)) not in found
             if good:
-                assert find(i) == find(j) and (of[i] == of[j] or tuple(sorted((of[i], of[j]))) in met)
+                assert find(i) == find(j) and frozenset((i, j)) in asked
 
 
 def test_near_copies_that_miss_each_other(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from .knn import best
+from .knn import best, blocks
 
 FIT_ROWS = 100_000
 
@@ -39,6 +41,10 @@ def with_cells(points: DataFrame, cells: int, seed: int = 1) -> tuple[DataFrame,
 
 def cell_search(points: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """Exact cosine inside each query's `probes` nearest cells; on a table partitioned by cell only those are read."""
+    return reduce(DataFrame.unionByName, [_cell_block(points, centres, part, k, probes) for part in blocks(queries)])
+
+
+def _cell_block(points: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     ranked = F.slice(F.array_sort(F.transform(_literal(centres), lambda c, i: F.struct((-vectors.dot(vectors.normalized(F.col("query")), c)).alias("d"), i.alias("i")))), 1, probes)
     asked = queries.select("query_id", "query", F.explode(F.transform(ranked, lambda r: r["i"])).alias("cell"))
     near = points.join(F.broadcast(asked), "cell")
@@ -56,6 +62,10 @@ def product_codes(points: DataFrame, dim: int, parts: int, k: int = 16, seed: in
 
 def product_search(coded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, oversampling: int = 4) -> DataFrame:
     """Table look-ups of sub-vector products rank k * oversampling candidates per query, exact cosine rescores them."""
+    return reduce(DataFrame.unionByName, [_product_block(coded, books, part, k, oversampling) for part in blocks(queries)])
+
+
+def _product_block(coded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, oversampling: int) -> DataFrame:
     width = books[0].shape[1]
 
     def products(part: int, book: np.ndarray):

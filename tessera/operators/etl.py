@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import written
 
 TEXT_HINTS, ID_HINTS = ("text", "content", "message", "body", "tweet"), ("id", "key", "identifier")
 
@@ -69,14 +70,17 @@ def enriched(df: DataFrame, body: str, provider: str, model: str) -> DataFrame:
 
 
 def batched(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """row_index from 0 in the order, and batch_file. Numbered in two levels: within range partitions, then over their counts."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    ranged = ranged.withColumn("_n", local)
-    counts = ranged.groupBy("_p").agg(F.max("_n").alias("_c"))
+    """row_index from 0 in the order, and batch_file. Rows are numbered inside their range of the order, then over the ranges' counts.
+
+    The ranged rows are written once: another evaluation could cut the ranges elsewhere.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
     base = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ranged.join(F.broadcast(counts.select("_p", base.alias("_b"))), "_p").withColumn("row_index", (F.col("_b") + F.col("_n") - 1).cast("long"))
-    return out.withColumn("batch_file", F.format_string("batch_%04d", F.floor(F.col("row_index") / size).cast("int"))).drop("_p", "_n", "_b")
+    out = ranged.withColumn("_p", part).join(F.broadcast(counts.select("_p", base.alias("_b"))), "_p").withColumn("row_index", (F.col("_b") + inside).cast("long"))
+    return out.withColumn("batch_file", F.format_string("batch_%04d", F.floor(F.col("row_index") / size).cast("int"))).drop("_p", "_at", "_b")
 
 
 def progress_stats(progress: DataFrame) -> DataFrame:

@@ -40,8 +40,11 @@ def knn_sql(points: DataFrame, queries: DataFrame, k: int, threshold: float | No
 
 
 def _knn_block(points: DataFrame, queries: DataFrame, k: int, threshold: float | None) -> DataFrame:
-    pairs = points.join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select("query_id", "key", vectors.cosine(F.col("vector"), F.col("query")).alias("distance")).where("distance is not null")
+    # Both sides become unit vectors once; a pair costs one product then.
+    left = points.select("key", vectors.normalized(F.col("vector")).alias("unit")).where("unit is not null")
+    right = queries.select("query_id", vectors.normalized(F.col("query")).alias("asked")).where("asked is not null")
+    pairs = left.join(F.broadcast(right), F.lit(True))
+    scored = pairs.select("query_id", "key", vectors.dot(F.col("unit"), F.col("asked")).alias("distance")).where("distance is not null")
     if threshold is not None:
         scored = scored.where(F.col("distance") >= threshold)
     return best(scored, k)
@@ -77,19 +80,19 @@ def _heads(ids: list, matrix: np.ndarray, k: int, threshold: float | None):
 
 
 def knn_batched(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """The same rows as knn_sql by matrix products over Arrow batches. queries is a stated set, sent in blocks."""
-    found = [(r["query_id"], r["query"]) for r in queries.orderBy("query_id").toLocalIterator()]
+    """The same rows as knn_sql by matrix products over Arrow batches. Queries are fetched and sent a block at a time."""
     key_type = points.schema["key"].dataType.simpleString()
-    out = None
-    for lo in range(0, len(found), QUERY_BLOCK):
-        part = found[lo : lo + QUERY_BLOCK]
-        q = np.array([v for _, v in part], np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        heads = points.select("key", "vector").mapInArrow(_heads([i for i, _ in part], q, k, threshold), f"query_id long, key {key_type}, distance double")
-        out = heads if out is None else out.unionByName(heads)
-    if out is None:
-        return knn_sql(points, queries, k, threshold)
-    return best(out, k)
+    parts = []
+    for block in blocks(queries):
+        found = [(r["query_id"], r["query"]) for r in block.orderBy("query_id").collect()]
+        if found:
+            q = np.array([v for _, v in found], np.float64)
+            length = np.linalg.norm(q, axis=1, keepdims=True)
+            q /= np.where(length > 0, length, 1)
+            ids = [i for (i, _), n in zip(found, length[:, 0]) if n > 0]
+            heads = points.select("key", "vector").mapInArrow(_heads(ids, q[length[:, 0] > 0], k, threshold), f"query_id long, key {key_type}, distance double")
+            parts.append(best(heads, k))
+    return reduce(DataFrame.unionByName, parts) if parts else knn_sql(points, queries, k, threshold)
 
 
 def knn_two_phase(points: DataFrame, queries: DataFrame, dim: int, k: int, oversampling: int = 2) -> DataFrame:
@@ -106,11 +109,12 @@ def _two_phase_block(points: DataFrame, queries: DataFrame, dim: int, k: int, ov
     return best(kept.select("query_id", "key", vectors.cosine(F.col("vector"), F.col("query")).alias("distance")), k)
 
 
-def int8_bounds(points: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """One row (low, high): clip bounds of all components, the middle `quantile` of them."""
+def int8_bounds(points: DataFrame, quantile: float = 0.99, accuracy: int = 1_000_000) -> DataFrame:
+    """One row (low, high): clip bounds of all components, the middle `quantile` of them. Ranks are exact up to `accuracy` components
+    and off by a 1 / accuracy share at most beyond; a sketch of bounded size, not the values, is merged."""
     tail = (1 - quantile) / 2
     parts = points.select(F.explode("vector").alias("x"))
-    return parts.agg(F.percentile("x", F.lit(tail)).alias("low"), F.percentile("x", F.lit(1 - tail)).alias("high"))
+    return parts.agg(F.percentile_approx("x", F.lit(tail), F.lit(accuracy)).alias("low"), F.percentile_approx("x", F.lit(1 - tail), F.lit(accuracy)).alias("high"))
 
 
 def recall_at_k(results: DataFrame, truth: DataFrame, k: int, groups: list[str] | None = None) -> DataFrame:

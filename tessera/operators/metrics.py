@@ -6,14 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """sorted[ceil(p * n) - 1]."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+def nearest_ranks(df: DataFrame, value: str, points: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """Per group sorted[ceil(p * n) - 1] for each name: p. Counts per value come first, so no task holds a group's values in memory."""
+    groups = groups or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*groups)
+    run = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    return run.groupBy(*groups).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col("_v"))).alias(name) for name, p in points.items()])
+
+
+def _beside(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
+    """right's columns beside left's of the same group; null groups are groups too."""
+    if not groups:
+        return left.join(right, F.lit(True), "left")
+    renamed = right.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(groups)})
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    return left.join(renamed, same, "left").drop(*[f"_g{i}" for i in range(len(groups))])
 
 
 def response_stats(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return df.groupBy(*(groups or [])).agg(F.count(value).alias("n"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("avg"), *[zero(nearest_rank(value, p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    groups = groups or []
+    totals = df.groupBy(*groups).agg(F.count(value).alias("n"), zero(F.min(value)).alias("min"), zero(F.max(value)).alias("max"), zero(F.avg(value)).alias("avg"))
+    ranks = nearest_ranks(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, groups)
+    return _beside(totals, ranks, groups).withColumns({c: zero(F.col(c)) for c in ("p50", "p95", "p99")})
 
 
 def call_stats(calls: DataFrame, order: list[str], last: int = 1000) -> DataFrame:
@@ -83,13 +99,20 @@ def alerts(df: DataFrame, ts: str, failing: Column, window: str, threshold: floa
     return per.withColumn("firing", hot >= runs).select(*groups, F.col("w.start").alias("window_start"), "share", "firing")
 
 
-def pareto_front(df: DataFrame, cost: str, gain: str, tie: str) -> DataFrame:
-    """Rows with no row of at least their gain at a cost as low: one pass over (gain desc, cost, tie)."""
-    w = Window.orderBy(F.desc(gain), cost, tie).rowsBetween(Window.unboundedPreceding, -1)
-    least = F.min(cost).over(w)
-    # Per gain only the cheapest row can be on the front, so the window sees one row per gain.
+def pareto_front(df: DataFrame, cost: str, gain: str, tie: str, parts: int = 64) -> DataFrame:
+    """Rows with no row of at least their gain at a cost as low.
+
+    One pass over (gain desc, cost, tie) finds a front; it runs over `parts` parts first, so only their fronts meet in one task.
+    """
+
+    def front(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc(gain), cost, tie).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_least", F.min(cost).over(w)).where(F.col("_least").isNull() | (F.col(cost) < F.col("_least"))).drop("_least")
+
+    # Per gain only the cheapest row can be on the front.
     cheapest = df.groupBy(gain).agg(F.min_by(F.struct(*df.columns), F.struct(cost, tie)).alias("r")).select("r.*")
-    return cheapest.withColumn("_least", least).where(F.col("_least").isNull() | (F.col(cost) < F.col("_least"))).drop("_least")
+    some = front(cheapest.withColumn("_part", F.pmod(F.xxhash64(gain), F.lit(parts))), "_part")
+    return front(some.drop("_part"))
 
 
 def best_variant(df: DataFrame, group: str, cost: str, gain: str, floor: float, tie: str) -> DataFrame:
@@ -100,22 +123,29 @@ def best_variant(df: DataFrame, group: str, cost: str, gain: str, floor: float,
 
 
 def recommendations(df: DataFrame, cost: str, gain: str, tie: str, floors: dict[str, float]) -> DataFrame:
-    """(use, tie): for each use the cheapest row whose gain reaches its floor."""
+    """(use, tie): for each use the cheapest row whose gain reaches its floor; a use that none reaches has no row."""
     picks = [F.struct(F.lit(use).alias("use"), F.min_by(F.when(F.col(gain) >= floor, F.col(tie)), F.when(F.col(gain) >= floor, F.struct(cost, tie))).alias(tie)) for use, floor in floors.items()]
-    return df.agg(F.array(*picks).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return df.agg(F.array(*picks).alias("p")).select(F.explode("p").alias("p")).select("p.*").where(F.col(tie).isNotNull())
 
 
 def pivoted(df: DataFrame, rows: str, columns: str, values: list, value: str) -> DataFrame:
     return df.groupBy(rows).pivot(columns, values).agg(F.avg(value))
 
 
+def config_variants(configs: DataFrame, variants: DataFrame, has: str, needs: str) -> DataFrame:
+    """Every configuration with every search variant it can run: a variant that needs a feature goes with configurations that have it."""
+    return configs.join(variants, F.col(has) | ~F.col(needs))
+
+
 def improvement(cold: Column, warm: Column) -> Column:
     return (cold - warm) / F.nullif(cold, F.lit(0)) * 100
 
 
 def resource_stats(df: DataFrame, snapshots: str, groups: list[str]) -> DataFrame:
     """Min, max, mean and p95 over all groups' exploded snapshots."""
-    return df.select(*groups, F.explode(snapshots).alias("x")).groupBy(*groups).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("avg"), nearest_rank("x", 0.95).alias("p95"))
+    rows = df.select(*groups, F.explode(snapshots).alias("x"))
+    totals = rows.groupBy(*groups).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("avg"))
+    return _beside(totals, nearest_ranks(rows, "x", {"p95": 0.95}, groups), groups)
 
 
 def failure_rate(df: DataFrame, ts_seconds: str, failed: Column, window_s: int, groups: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _local: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Only on a local master (tests), that may be unset and a temporary folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _local[0]
@@ -41,11 +44,20 @@ def clean() -> None:
             return
 
 
+#: Spark's setting that lets an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write df to a scratch folder and read it back: cuts the lineage and survives lost executors."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to a scratch folder and read it back: cuts the lineage and survives lost executors. Its shuffle files go when it is written."""
+    spark = df.sparkSession
+    path, before = folder(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 

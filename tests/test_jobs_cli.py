@@ -10,7 +10,7 @@ from tessera.sources.jobs import Busy, ExportJobs
 
 def test_export_jobs(spark):
     jobs = ExportJobs(spark)
-    slow = jobs.start(lambda: spark.range(10**12).selectExpr("sum(id * id % 7)").collect())
+    slow = jobs.start(lambda: spark.range(10**12).selectExpr("sum(id % 7)").collect())
     with pytest.raises(Busy):
         jobs.start(lambda: None)
     time.sleep(1)
@@ -48,4 +48,4 @@ def test_approximate_search_recalls(spark):
     celled, centres = ann.with_cells(points, 4)
     assert knn.recall_at_k(ann.cell_search(celled, centres, asked, 5, 2), truth, 5).first().recall > 0.9
     coded, books = ann.product_codes(points, 16, 4)
-    assert knn.recall_at_k(ann.product_search(coded, books, asked, 5, 10), truth, 5).first().recall > 0.7
+    assert knn.recall_at_k(ann.product_search(coded, books, asked, 5, 20), truth, 5).first().recall >= 0.9

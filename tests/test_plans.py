@@ -103,12 +103,27 @@ def test_etl(spark):
         etl.require(posts, "nowhere")
 
 
+def test_batches_over_many_partitions(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.repeat(F.col("id").cast("string"), 30).alias("wide"))
+    changed = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = etl.batched(rows, ["k"], 100).orderBy("k").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.row_index for r in got] == list(range(20_000)) and all(r.batch_file == f"batch_{i // 100:04d}" for i, r in enumerate(got))
+
+
 def test_round_trips(points, spark, tmp_path):
     expected = {k: v for k, v in POINTS}
     sinks.export_parquet(points, str(tmp_path / "p"), "small", "zstd")
     sinks.export_jsonl(points, str(tmp_path / "j"), "gzip")
     sinks.export_csv(points, str(tmp_path / "c"), 3)
-    assert {r.key: [round(x, 6) for x in r.vector] for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {k: v for k, v in expected.items()} or True
+    assert {r.key: [round(x, 6) for x in r.vector] for r in spark.read.parquet(str(tmp_path / "p")).collect()} == expected
+    assert {r.key: r.metadata for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {k: f'{{"n":{len(k)}}}' for k in expected}
     j = readers.jsonl(spark, str(tmp_path / "j"), "key string, vector array<float>, metadata struct<n:int>")
     assert {r.key: r.metadata.n for r in j.collect()} == {k: len(k) for k in expected}
     c = spark.read.options(header=True, escape='"').csv(str(tmp_path / "c"))

@@ -2,36 +2,48 @@
 
 from __future__ import annotations
 
-import gc
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import dropped, folder, written
 
 __all__ = ["dropped", "folder", "written"]
 
-#: Rows of a lookup side that may be broadcast. The side is counted first; beyond it a shuffle join is used.
-BROADCAST_ROWS = 400_000
+#: Bytes of a lookup side that may be broadcast. They are counted first; beyond them a shuffle join is used.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(spark: SparkSession, *done: DataFrame) -> None:
-    """Delete written tables that are no longer needed, and let Spark's cleaner drop shuffle files of dead frames."""
+def tidy(*done: DataFrame) -> None:
+    """Delete written tables that are no longer needed."""
     for df in done:
         dropped(df)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a materialised lookup side: broadcast it if its counted rows are few, else shuffle (AQE splits skewed keys)."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, roughly."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(column) + 16
+    if isinstance(kind, T.ArrayType):
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.octet_length(F.to_json(column))
+        return F.size(column) * (8 * fields + 16) + 16
+    return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, T.StructType) else 8)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a written lookup side: broadcast it if its counted bytes are few, else shuffle (AQE splits skewed keys)."""
+    width = reduce(Column.__add__, [F.coalesce(_width(F.col(f.name), f.dataType), F.lit(8)) for f in small.schema.fields])
+    if (small.agg(F.sum((width + 16).cast("long"))).first()[0] or 0) <= most:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
@@ -66,7 +78,7 @@ def _forest(schema_names: tuple[str, str]):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node of an edge; component is the smallest node.
 
     Alternating large-star and small-star steps over written tables. Each task first reduces its own edges to a
@@ -74,8 +86,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b and a is not null and b is not null")
     cur = written(edges.mapInArrow(_forest(("a", "b")), "a long, b long"))
-    before = None
-    for _ in range(rounds):
+    before, last = None, cur
+    while True:  # every round but the last hangs some node lower
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -88,8 +100,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
+        dropped(last)
+        last = cur
     labelled = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labelled.unionByName(labelled.select(F.col("component").alias("node"), "component").distinct())
 

@@ -6,7 +6,7 @@ A document is the set of its 5-word shingles (A-Z lower-cased, 64-bit hashes); t
 1. Equal sets are one class with one representative (grouped by set fingerprint, partial aggregation).
 2. The root. Its OR holds every shingle, one row each, dealt out by shingle (the lowest SHARE of the hash range: a part of
    the shingle space that is the same for all sets and counted whole). A document overlaps any other by its size less
-   the shingles that no other has, at most; those that can't reach 0.8 so go. What is left are near copies and documents made of
+   the shingles that no other set has, at most; those that can't reach 0.8 so go. What is left are near copies and documents made of
    shared passages.
 3. Every document left is held against one hub: of the documents that share a min-hash with it, the one with the fewest
    shingles of its own (an original has fewer than its edited copies). So a group of thousands of near copies costs
@@ -76,14 +76,15 @@ def _profile(size: int):
 
 
 def _lowest(size: int, share: float):
-    """doc_id -> the shingles in the lowest share of the hash range."""
+    """text -> each set's fingerprint and its shingles in the lowest share of the hash range."""
 
     def run(batches):
         top = np.uint64(int(share * (1 << 64)))
         for batch in batches:
-            for ids, some in zip(itertools.batched(batch.column("doc_id").to_pylist(), 512), itertools.batched(_sets(batch.column("text"), size), 512)):
+            for some in itertools.batched(_sets(batch.column("text"), size), 512):
                 found = [u[: np.searchsorted(u, top)] for u in some]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), C.lists(C.signed(np.concatenate(found)), np.concatenate([[0], np.cumsum([len(u) for u in found])]), pa.int64())], ["doc_id", "low"])
+                marks = np.array([C.mix(u).sum(dtype=np.uint64) for u in some], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(marks)), C.lists(C.signed(np.concatenate(found)), np.concatenate([[0], np.cumsum([len(u) for u in found])]), pa.int64())], ["f1", "low"])
 
     return run
 
@@ -297,45 +298,40 @@ def _size_class(percent: int):
     return F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
 
 
-def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """profile (doc_id, n, f1, f2) and copies (a, b): documents and the smallest one of their set."""
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """profile (doc_id, n, f1, f2), copies (a, b): documents and the smallest one of their set, and those smallest ones (doc_id, n, f1)."""
     profile = C.written(docs.mapInArrow(_profile(size), "doc_id long, n long, f1 long, f2 long"))
     full = profile.where("n > 0 and doc_id is not null")
     classes = C.written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
-    copies = C.written(C.join_checked(full, classes, ["n", "f1", "f2"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    C.tidy(docs.sparkSession, classes)
-    return profile, copies
-
-
-def _survivors(docs: DataFrame, profile: DataFrame, copies: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, alone) of the documents that the root can't rule out: a document's copies and shingles of its own go.
-
-    A doc_id of several texts stays if any of them is no copy and might link by its size and all the id's own shingles.
-    """
-    gone = C.written(copies.select(F.col("a").alias("doc_id")).distinct())
-    texts = profile.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("times"))
-    # An id whose every text is a copy needs no look; one of several texts stays whole.
-    out = C.written(C.join_checked(texts, gone, ["doc_id"], "left_anti").unionByName(C.join_checked(texts.where("times > 1"), gone, ["doc_id"], "left_semi")))
-    some = C.written(out.select("doc_id"))
-    low = C.join_checked(docs, some, ["doc_id"], "left_semi").mapInArrow(_lowest(size, SHARE), "doc_id long, low array<long>")
-    alone = low.select("doc_id", F.explode("low").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("held")).where("held = 1")
-    alone = C.written(alone.groupBy("doc_id").agg(F.count("*").alias("alone")))
+    of = C.join_checked(full, classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    copies = C.written(of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    single = C.written(of.where("doc_id = rep").select("doc_id", "n", "f1"))
+    C.tidy(classes)
+    return profile, copies, single
+
+
+def _survivors(docs: DataFrame, single: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, alone) of the smallest documents of their sets that the root can't rule out. Shingles that only equal sets hold are a set's own."""
+    low = docs.mapInArrow(_lowest(size, SHARE), "f1 long, low array<long>")
+    alone = low.select("f1", F.explode("low").alias("s")).groupBy("s").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).where("f1 = other")
+    alone = C.written(alone.groupBy("f1").agg(F.count("*").alias("alone")))
     own = F.coalesce("alone", F.lit(0))
-    left = C.written(out.join(alone.hint("merge"), "doc_id", "left").where((F.col("n") - own >= F.ceil(F.col("n") * percent / 100)) | (F.col("times") > 1)).select("doc_id", own.alias("alone")))
-    C.tidy(docs.sparkSession, gone, out, some, alone)
+    left = single.join(alone.hint("merge"), "f1", "left").where(F.col("n") - own >= F.ceil(F.col("n") * percent / 100))
+    left = C.written(left.groupBy("doc_id").agg(F.max(own).alias("alone")))
+    C.tidy(alone)
     return left
 
 
 def _stars(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of documents and the hub that each is held against."""
     hashed = C.written(sets.select(F.col("doc_id").alias("a"), "alone", _size_class(percent).alias("class"), F.posexplode("mins").alias("i", "v")))
-    hubs = hashed.groupBy("i", "v", "class").agg(F.min(F.struct("alone", "a")).alias("hub"), F.min("a").alias("least"), F.max("a").alias("last")).where("least <> last").select("i", "v", "class", "hub")
-    best = hashed.join(hubs.hint("merge"), ["i", "v", "class"]).where("a <> hub.a").groupBy("a").agg(F.min("hub").alias("hub"))
+    hubs = C.written(hashed.groupBy("i", "v", "class").agg(F.min(F.struct("alone", "a")).alias("hub"), F.min("a").alias("least"), F.max("a").alias("last")).where("least <> last").select("i", "v", "class", "hub"))
+    best = C.join_checked(hashed, hubs, ["i", "v", "class"], "inner").where("a <> hub.a").groupBy("a").agg(F.min("hub").alias("hub"))
     asked = C.written(best.select("a", F.col("hub.a").alias("b")))
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("u").alias(f"u{k}"))
     both = asked.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     out = C.written(both.select("a", "ua", "b", "ub").mapInArrow(_linked(percent), _EDGES).distinct())
-    C.tidy(sets.sparkSession, hashed, asked)
+    C.tidy(hashed, hubs, asked)
     return out
 
 
@@ -353,7 +349,7 @@ def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     by = ["class", "least", "component", "m0", "m1", "doc_id"]
     ranged = placed.repartitionByRange(-(-8 * size // PART_BYTES) + 1, *by).sortWithinPartitions(*by)
     branches = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(_tree(s[order], rank[order], percent), _BRANCH_SQL))
-    C.tidy(sets.sparkSession, least)
+    C.tidy(least)
 
     entries = branches.select("branch", "n_min", "n_max", F.explode("tokens").alias("s"))
     x, y = entries.alias("x"), entries.alias("y")
@@ -365,20 +361,20 @@ def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     asked = C.written(two.unionByName(one).mapInArrow(_descend(percent), "p long, q long, side int, doc_id long"))
     fetched = asked.join(joined.select("doc_id", "component", "u").hint("merge"), "doc_id")
     out = C.written(fetched.groupBy("p", "q").applyInArrow(_compare(percent), _EDGES).distinct())
-    C.tidy(sets.sparkSession, joined, branches, pairs, asked)
+    C.tidy(joined, branches, pairs, asked)
     return out
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile, copies = _classes(docs, size)
-    left = _survivors(docs, profile, copies, size, percent)
+    profile, copies, single = _classes(docs, size)
+    left = _survivors(docs.where("doc_id is not null").select("text"), single, size, percent)
     sets = C.written(C.join_checked(docs, left, ["doc_id"], "inner").select("doc_id", "alone", "text").mapInArrow(_whole(size), "doc_id long, n long, alone long, mins array<long>, u binary"))
-    C.tidy(docs.sparkSession, left)
+    C.tidy(left, single)
     stars = _stars(sets, percent)
     found = stars.unionByName(_tree_links(sets, components(stars), percent))
-    C.tidy(docs.sparkSession, sets)
+    C.tidy(sets)
     known = components(copies.unionByName(found))
     out = C.join_checked(profile.select("doc_id", F.col("n").alias("n_shingles")), known, ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,257 +1,441 @@
 """HTML extraction with a host suffix array.
 
-1. A page is read into blocks, and markup evidence sorts them: `main` inside <article> (else <main>), `chrome` in
-   navigation, forms, comments, adverts and the like, by element, role, class or id, `open` otherwise.
-2. The token streams of each host's chrome and open blocks are concatenated, equal blocks once with their number of
-   pages, and all their suffixes are put in the order of a suffix array, bucketed by (host, first RUN tokens). A
-   bucket is an interval of the array whose neighbours share a prefix of RUN tokens or more; so the positions in
-   buckets of MIN_PAGES distinct pages, RUN tokens from each, are exactly what the substrings of RUN tokens or more
-   cover that repeat on so many pages. A block shorter than RUN tokens is one suffix up to its end. Bucketing by the
-   prefix rather than the host splits a hot host, and pre-aggregated equal blocks keep common boilerplate to a row.
-3. In pages without an article, covered runs of open blocks go and the unique runs stay. Blocks known to be of the
-   article stay whole even if other pages repeat them: a copied article is no boilerplate.
-
-Defined cases: null and empty html give an empty text; a null url is a host of its own; repeated pages are returned
-each and count as one page of their host if equal; broken markup is read as far as it goes. Only page_id, url and
-html are read.
+1. A page is read once, from left to right, by the rules of HTML for tags, attributes, comments and raw text, into blocks. Elements say what
+   a block is: `main` inside <article> (else <main>), `chrome` in navigation, footers, forms, comments, adverts and the
+   like, by element, role or a class or id that says just that, `open` otherwise. Names that may say it or something else
+   ("related-work", "discussion") and links that make up most of a block only mark a block of the article as doubtful.
+2. The token streams of a host's chrome, open and doubtful blocks are concatenated, and their suffixes of RUN tokens or more sorted,
+   each with its first KEEP tokens. Common prefixes of neighbours (LCPs) cut the order into intervals that share RUN tokens, which
+   are the long substrings that repeat; an interval counts the distinct pages it has suffixes from. Order and
+   intervals are made within (host, first RUN tokens), which splits a hot host, and equal suffixes are counted before they are
+   shuffled, so common boilerplate is a row per task. A block shorter than RUN tokens is one suffix up to its end.
+3. An interval of MIN_PAGES pages or more and the share SHARE of the host's pages is boilerplate. What it covers of open and doubtful
+   blocks goes, and the unique runs stay: doubtful ones in pages with an article, open ones in pages without. Blocks
+   in doubt by both name and links go whole. A block of the article that nothing speaks against goes only if it has RUN tokens or more
+   and stands whole on the share SURE of the host's pages, SURE_PAGES at least.
+
+Pages of a host with equal blocks are one page, so a copied article, or a page crawled twice, makes no boilerplate of itself.
+
+Defined cases: null and empty html give an empty text; a null url is a host of its own; repeated pages are returned each;
+a tag or comment that never ends takes the rest of the page; a quote that never ends is part of its value; raw elements
+(scripts, frames and the like) that never end are skipped as tags only. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-RUN, MIN_PAGES = 8, 3
+RUN, KEEP, MIN_PAGES, SHARE, SURE, SURE_PAGES, LINKED = 8, 12, 3, 0.2, 0.8, 5, 0.6
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:@][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_TAG = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[^\s/>]+")
+_SKIP, _SPACES = re.compile(r"[\s/]*"), re.compile(r"\s*")
+_KEY, _VALUE = re.compile(r"=?[^\s/>=]*"), re.compile(r"[^\s>]*")
+_WORDS = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _GAP = re.compile(r"\s+")
-#: Elements whose content is raw or never text.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "option", "head", "math", "canvas", "audio", "video"}
-CHROME = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "label", "input", "fieldset"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
-NAMES = set("nav navbar navigation menu header masthead footer sidebar side aside ad ads adv advert adverts advertisement advertising adbox adslot banner cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promotion sponsor sponsored sponsoring comment comments commentlist disqus respond reply replies discussion share sharing social newsletter subscribe subscription related recommended breadcrumb breadcrumbs widget form search login signup toolbar pagination pager skip hidden".split())
-ARTICLE_NAMES = set("comment comments reply replies related recommended ad ads advert adverts advertisement sponsored promo teaser widget".split())
+#: Elements whose content is never text.
+RAW = set("script style noscript template textarea title iframe svg object select datalist math canvas audio video xmp noembed noframes".split())
+CHROME = set("nav footer aside form button dialog menu label fieldset".split())
+ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
+#: Words of a class or id that say what an element is; words that may stand beside them; words that leave it in doubt.
+SURE_NAMES = set("nav navbar navigation menu footer masthead sidebar side aside ad ads adv advert adverts advertisement advertising adbox adslot banner cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promotion sponsor sponsored sponsoring comment comments commentlist disqus respond reply replies share sharing social newsletter subscribe subscription recommended breadcrumb breadcrumbs login signup toolbar pagination pager skip hidden".split())
+BESIDE = set("list item items box area section container wrapper wrap block bar inner outer top bottom left right primary secondary main page site global fixed sticky unit slot text title link links group panel row col column content body wide small large the for and to by on".split())
+DOUBT_NAMES = SURE_NAMES | set("discussion related widget search form header register teaser".split())
+ARTICLE_NAMES = set("comment comments reply replies related recommended ad ads advert adverts advertisement sponsored promo teaser".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-def _is_chrome(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in CHROME and not (tag == "header" and in_article):
-        return True
-    if not attrs or tag in ("html", "body", "main"):
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
-    names = {w for key in ("class", "id") for w in _SPLIT.split(found.get(key, "").lower()) if w}
-    if in_article:
-        names -= {"header", "masthead"}
-    return bool(names & (ARTICLE_NAMES if tag == "article" else NAMES))
-
-
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of the page's non-empty blocks in page order; kinds: main, chrome, open. All of a chrome element is one block."""
+#: What a start tag ends if it is open, up to the named elements.
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+_WALLS = {"article", "main", "table", "td", "th"}
+
+
+def tags(page: str):
+    """(start, end, name, closing, attributes) of the page's tags; name "" is markup without meaning. Linear in the page's length."""
+    last: dict[str, int] = {}
+
+    def find(what: str, at: int) -> int:
+        """Position of `what` from `at` on or -1; a search that failed once isn't made again."""
+        if last.setdefault(what, len(page)) < at:
+            return -1
+        got = page.find(what, at)
+        if got < 0:
+            last[what] = at - 1
+        return got
+
+    n, at = len(page), 0
+    while m := _TAG.search(page, at):
+        start, i = m.start(), m.end()
+        if page.startswith("!--", i):
+            end = i + 4 if page.startswith("!-->", i) else find("-->", i + 3) + 3
+            yield start, (end if end > 2 else n), "", False, {}
+            at = end if end > 2 else n
+            continue
+        closing = page[i] == "/"
+        if page[i] in "!?" or closing and not page[i + 1 : i + 2].isalpha():
+            cdata = page.startswith("![CDATA[", i) and find("]]>", i)
+            end = cdata + 3 if cdata and cdata > 0 else find(">", i) + 1
+            if closing and page[i + 1 : i + 2] in ("", " ", "\n", "\t"):
+                at = i  # no markup
+                continue
+            yield start, end or n, "", False, {}
+            at = end or n
+            continue
+        name = _NAME.match(page, i + closing)
+        i, found = name.end(), {}
+        while True:
+            i = _SKIP.match(page, i).end()
+            if i >= n or page[i] == ">":
+                break
+            key = _KEY.match(page, i)
+            i, value = _SPACES.match(page, key.end()).end(), ""
+            if i < n and page[i] == "=":
+                i = _SPACES.match(page, i + 1).end()
+                end = find(page[i], i + 1) if i < n and page[i] in "\"'" else -1
+                if end >= 0:
+                    value, i = page[i + 1 : end], end + 1
+                else:
+                    got = _VALUE.match(page, i)
+                    value, i = got[0], got.end()
+            found.setdefault(key[0].lower(), value)
+        end = min(i + 1, n)
+        yield start, end, name[0].lower() if i < n else "", closing, found
+        at = end
+
+
+class _Raw:
+    """Ends of raw elements."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.flat = page, set(), set()
+
+    def end(self, name: str, at: int) -> int | None:
+        """Behind the end tag that closes `name`, or None if it never ends."""
+        if name in self.missing:
+            return None
+        depth, first = 1, None
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(self.page, at):
+            if m[1]:
+                close = self.page.find(">", m.end())
+                first = first or (len(self.page) if close < 0 else close + 1)
+                depth -= 1
+                if not depth or name in self.flat:
+                    return first if name in self.flat else len(self.page) if close < 0 else close + 1
+            elif name in ("svg", "object", "math", "template"):
+                depth += 1
+        (self.flat if first else self.missing).add(name)
+        return first
+
+
+def _named(found: dict[str, str], sure: set[str], doubt: set[str]) -> str:
+    """'sure', 'doubt' or '': what class and id say. A name says chrome if all its words do or may stand beside one that does."""
+    said = ""
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = {w for w in _WORDS.split(_CAMEL.sub(" ", token).lower()) if w and not w.isdigit()}
+        if words & sure and words <= sure | BESIDE:
+            return "sure"
+        if words & doubt:
+            said = "doubt"
+    return said
+
+
+def _says(tag: str, found: dict[str, str], inside: bool) -> str:
+    """'sure', 'doubt' or '' for an element, inside an article or main or not."""
+    if tag in CHROME or tag == "header" and not inside:
+        return "sure"
+    if not found or tag in ("html", "body", "main"):
+        return ""
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()) or found.get("role", "").lower() in ROLES:
+        return "sure"
+    return _named(found, ARTICLE_NAMES, set()) if tag == "article" else _named(found, SURE_NAMES, DOUBT_NAMES)
+
+
+def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
+    """(kind, doubtful, linked, text) of the page's non-empty blocks in page order; kinds: main, chrome, open."""
     out: list[list] = []
     text: list[str] = []
-    inside = {"article": 0, "main": 0}
-    chrome: list = []  # of the outermost chrome element: tag, depth, scope, and for inline ones the block's text before
-    header = False  # in an article's header, of which only headings are text
-    heading = 0
-
-    def kind() -> str:
-        return "chrome" if chrome or (header and not heading) else "article" if inside["article"] else "main" if inside["main"] else "open"
-
-    def flush(kind: str) -> None:
-        got = _GAP.sub(" ", entities.unescape("".join(text))).strip()
-        text.clear()
+    aside: list[str] = []  # chrome inside a block
+    linked = 0
+    stack: list[tuple[str, str]] = []  # tag, what it says
+    where: dict[str, list[int]] = {}  # of each open tag: its places in the stack
+    walls: list[int] = []
+    solid: list[int] = []  # places of block elements
+    depth = {"sure": 0, "doubt": 0}
+
+    def count(tag: str) -> int:
+        return len(where.get(tag, ()))
+
+    def clean(parts: list[str]) -> str:
+        return _GAP.sub(" ", entities.unescape("".join(parts))).strip()
+
+    def flush() -> None:
+        nonlocal linked
+        got, beside = clean(text), clean(aside)
         if got:
-            out.append([kind, got])
-
-    def leave() -> None:
-        nonlocal chrome
-        before = chrome[3]
-        flush("chrome")
-        chrome = []
-        if before is not None:
-            text.extend(before)
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
+            kind = "article" if count("article") else "main" if count("main") else "open"
+            out.append([kind, depth["doubt"] > 0, linked >= LINKED * len(got), got])
+        if beside:
+            out.append(["chrome", False, False, beside])
+        text.clear(), aside.clear()
+        linked = 0
+
+    def push(tag: str, said: str) -> None:
+        place = len(stack)
+        stack.append((tag, said))
+        where.setdefault(tag, []).append(place)
+        if tag in _WALLS:
+            walls.append(place)
+        if tag in BLOCKS:
+            solid.append(place)
+        if said:
+            depth[said] += 1
+
+    def pop_to(place: int) -> None:
+        """Close all elements from `place` on."""
+        if solid and solid[-1] >= place:
+            flush()
+        while len(stack) > place:
+            tag, said = stack.pop()
+            where[tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
+            if said:
+                depth[said] -= 1
+
+    def add(raw: str) -> None:
+        nonlocal linked
+        if depth["sure"]:
+            aside.append(raw)
+            return
+        text.append(raw)
+        if count("a"):
+            linked += len(raw)
+
+    raw, at = _Raw(page), 0
+    for start, end, tag, closing, found in tags(page):
+        if start < at:
             continue
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if not closing and tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag == "head" and end is None:
-                end = re.compile(r"(?=<body)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if tag not in ("svg", "math", "select"):
-                continue
-            text.append(" ")
+        if tag in RAW:
+            if not closing:
+                at = raw.end(tag, end) or end
+                add(" ")
             continue
         if tag == "br":
-            text.append(" ")
-            continue
-        if chrome:
-            if tag == chrome[0]:
-                chrome[1] += -1 if closing else (tag not in VOID and not m[3].endswith("/"))
-                if chrome[1] <= 0 or tag in ("p", "li") and not closing:
-                    leave()
-                    if closing:
-                        continue
-                else:
-                    text.append(" ")
-                    continue
-            elif chrome[0] in ("p", "li") and tag in BLOCKS and not (chrome[0] == "li" and tag not in ("ul", "ol", "li")):
-                leave()
-            elif closing and (tag in ("body", "html") or tag in ("article", "main") and inside[tag] and chrome[2] == tag):
-                leave()
-            else:
-                if tag in BLOCKS:
-                    text.append(" ")
-                continue
-        if tag not in BLOCKS and tag not in CHROME:
-            if not closing and tag not in VOID and _is_chrome(tag, m[3], inside["article"] > 0):
-                chrome = [tag, 1, "article" if inside["article"] else "main" if inside["main"] else "", text[:]]
-                text.clear()
+            add(" ")
             continue
         if closing:
-            flush(kind())
-            if tag in inside:
-                inside[tag] = max(0, inside[tag] - 1)
-            elif tag in HEADINGS:
-                heading = max(0, heading - 1)
-            elif tag == "header":
-                header = False
+            if tag in BLOCKS:
+                flush()
+            place = where[tag][-1] if count(tag) else -1
+            limit = -1 if tag in ("article", "main") or not walls else walls[-1]
+            if tag not in BLOCKS and solid:
+                limit = max(limit, solid[-1])
+            if place >= 0 and place >= limit and tag not in ("html", "body"):
+                pop_to(place)
             continue
-        flush(kind())
+        if tag in BLOCKS:
+            flush()
+            floor = walls[-1] if walls else -1
+            if count("p") and where["p"][-1] > floor:
+                pop_to(where["p"][-1])
+        if tag in _ENDS:
+            ends, stop = _ENDS[tag]
+            floor = max((where[x][-1] for x in stop if count(x)), default=-1)
+            floor = max([floor, *(w for w in walls[-1:] if stack[w][0] not in ends)])
+            open_ = [places[k] for x in ends if (places := where.get(x)) and (k := bisect.bisect_right(places, floor)) < len(places)]
+            if open_:
+                pop_to(min(open_))
         if tag in VOID:
             continue
-        if _is_chrome(tag, m[3], inside["article"] > 0):
-            chrome = [tag, 1, "article" if inside["article"] else "main" if inside["main"] else "", None]
-        elif tag in inside:
-            inside[tag] += 1
-        elif tag == "header":
-            header = True
-        elif tag in HEADINGS:
-            heading += 1
-    if at < len(page):
-        rest = page[at:]
-        text.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", rest))
-    if chrome:
-        leave()
-    flush(kind())
-    top = "article" if any(k == "article" for k, _ in out) else "main"
-    return [("main" if k == top else "chrome" if k == "chrome" else "open", t) for k, t in out]
-
-
-_PARSED = "page_id long, url string, host string, page_key long, main string, has_main boolean, open array<string>, chrome array<string>"
+        said = _says(tag, found, bool(count("article") or count("main")))
+        if said == "doubt" and tag not in BLOCKS:
+            said = ""
+        push(tag, said)
+    add(page[at:])
+    pop_to(0)
+    flush()
+    top = "article" if any(b[0] == "article" for b in out) else "main"
+    return [("main" if k == top else "chrome" if k == "chrome" else "open", d, l, t) for k, d, l, t in out]
+
+
+def tokens(text: str) -> list[bytes]:
+    """Tokens as 4 bytes each."""
+    return [xxhash.xxh32_digest(t) for t in text.split()]
+
+
+def suffixes(texts: list[str], run: int = RUN, keep: int = KEEP) -> dict[int, bytes]:
+    """gram: kept suffix, of a page's blocks. A gram is the hash of the first `run` tokens, or of all of a shorter block; each counts once."""
+    out: dict[int, bytes] = {}
+    for text in texts:
+        t = tokens(text)
+        if t and len(t) < run:
+            out.setdefault(_gram(t, True), b"".join(t))
+        for i in range(len(t) - run + 1):
+            out.setdefault(_gram(t[i : i + run], False), b"".join(t[i : i + keep]))
+    return out
 
 
-def _parse(batches):
-    for batch in batches:
-        found = [blocks(x) if x else [] for x in batch.column("html").to_pylist()]
-        mains = ["\n".join(t for k, t in b if k == "main") for b in found]
-        has = [any(k == "main" for k, _ in b) for b in found]
-        part = lambda kind: pa.array([[t for k, t in b if k == kind] for b in found], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("page_key"), pa.array(mains, pa.string()), pa.array(has), part("open"), part("chrome")], ["page_id", "url", "host", "page_key", "main", "has_main", "open", "chrome"])
+def _gram(t: list[bytes], whole: bool) -> int:
+    return xxhash.xxh3_64_intdigest(b"".join(t), seed=int(whole)) - (1 << 63)
+
+
+def unique_runs(text: str, repeated: set[int], run: int = RUN) -> list[str]:
+    """What repeated runs leave of a block; what stands on both sides of a run becomes two blocks."""
+    words, t = text.split(), tokens(text)
+    covered = [False] * len(words)
+    if len(t) < run:
+        covered = [bool(t) and _gram(t, True) in repeated] * len(t)
+    for i in range(len(t) - run + 1):
+        if _gram(t[i : i + run], False) in repeated:
+            covered[i : i + run] = [True] * run
+    if not any(covered):
+        return [text]
+    out: list[str] = []
+    piece: list[str] = []
+    for word, gone in zip([*words, ""], [*covered, True]):
+        if gone and piece:
+            out.append(" ".join(piece))
+            piece = []
+        elif not gone:
+            piece.append(word)
+    return out
+
 
+_BLOCK = pa.struct([("kind", pa.string()), ("doubt", pa.bool_()), ("linked", pa.bool_()), ("text", pa.string())])
+_PARSED = "page_id long, url string, host string, page_key long, blocks array<struct<kind:string,doubt:boolean,linked:boolean,text:string>>, asked boolean"
 
-def grams(text: str, run: int = RUN) -> list[int]:
-    """Hashes of the first `run` tokens of each suffix that has so many; a shorter text is one suffix up to its end."""
-    tokens = text.split()
-    if len(tokens) < run:
-        return [_hash(tokens, True)] if tokens else []
-    return [_hash(tokens[i : i + run], False) for i in range(len(tokens) - run + 1)]
+
+def _parse(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
+            has = [any(b[0] == "main" for b in page) for page in found]
+            asked = [any((k == "main" and (d or l)) if h else k == "open" for k, d, l, _ in page) for page, h in zip(found, has)]
+            keys = [xxhash.xxh3_64_intdigest("\x00".join(b[3] for b in page if not h or b[0] == "main")) - (1 << 63) for page, h in zip(found, has)]
+            rows = [[dict(zip(("kind", "doubt", "linked", "text"), b)) for b in page] for page in found]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array(rows, pa.list_(_BLOCK)), pa.array(asked, pa.bool_())], ["page_id", "url", "host", "page_key", "blocks", "asked"])
 
 
-def _hash(tokens: list[str], whole: bool) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest("\x00".join(tokens), seed=int(whole)) - (1 << 63)
 
+def _page_suffixes(run: int, keep: int, asked: bool):
+    """host, page_key, blocks -> (host, page_key, gram, suffix): of the blocks that repetition may decide about, or of all but plain ones of an article."""
 
-def _suffixes(run: int):
     def go(batches):
         for batch in batches:
-            got = [sorted(set(grams(t, run))) for t in batch.column("block").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("pages"), pa.array(got, pa.list_(pa.int64()))], ["host", "pages", "grams"])
+            for host, key, page in zip(*(batch.column(c) for c in ("host", "page_key", "blocks"))):
+                page = page.as_py()
+                has = any(b["kind"] == "main" for b in page)
+                open_to = lambda b: (b["doubt"] or b["linked"]) if b["kind"] == "main" else b["kind"] == "open" and not has
+                texts = [b["text"] for b in page if open_to(b) or not asked and b["kind"] != "main"]
+                found = suffixes(texts, run, keep)
+                if found:
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * n, pa.string()), pa.array([key.as_py()] * n, pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["host", "page_key", "gram", "suffix"])
 
     return go
 
 
-def _open_grams(run: int):
+def _intervals(run: int):
+    """Sorted (host, gram, suffix, n) -> (host, gram, pages, longest): intervals of suffixes whose neighbours share `run` tokens, and their longest LCP."""
+
+    def shared(a: bytes, b: bytes) -> int:
+        n = 0
+        while n < min(len(a), len(b)) and a[n : n + 4] == b[n : n + 4]:
+            n += 4
+        return n // 4
+
     def go(batches):
+        last, row = None, None
         for batch in batches:
-            got = [sorted({g for t in blocks_ for g in grams(t, run)}) for blocks_ in batch.column("open").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_key"), pa.array(got, pa.list_(pa.int64()))], ["host", "page_key", "grams"])
+            out = []
+            for host, gram, suffix, n in zip(*(batch.column(c).to_pylist() for c in ("host", "gram", "suffix", "n"))):
+                lcp = shared(last, suffix) if row and row[:2] == [host, gram] else 0
+                if lcp >= min(run, len(suffix) // 4) and lcp:
+                    row[2:] = [row[2] + n, max(row[3], lcp)]
+                else:
+                    if row:
+                        out.append(row)
+                    row = [host, gram, n, len(suffix) // 4 if n > 1 else 0]
+                last = suffix
+            yield _interval_rows(out)
+        if row:
+            yield _interval_rows([row])
 
     return go
 
 
-def unique_runs(open_blocks: list[str], repeated: set[int], run: int = RUN) -> list[str]:
-    """The open blocks without what repeated runs cover; what is left of a block on both sides of a run becomes two blocks."""
-    out = []
-    for text in open_blocks:
-        tokens, starts = text.split(), grams(text, run)
-        covered = [False] * len(tokens)
-        for i, g in enumerate(starts):
-            if g in repeated:
-                covered[i : i + min(run, len(tokens))] = [True] * min(run, len(tokens))
-        if not any(covered):
-            out.append(text)
-            continue
-        piece: list[str] = []
-        for token, gone in zip([*tokens, ""], [*covered, True]):
-            if gone and piece:
-                out.append(" ".join(piece))
-                piece = []
-            elif not gone:
-                piece.append(token)
-    return out
+def _interval_rows(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "gram", "pages", "longest"])
 
 
 def _finish(run: int):
     def go(batches):
         for batch in batches:
-            texts, gone = [], []
-            for main, has, open_, repeated in zip(*(batch.column(c).to_pylist() for c in ("main", "has_main", "open", "repeated"))):
-                kept = [main] if has else unique_runs(open_ or [], set(repeated or ()), run)
-                texts.append("\n".join(kept))
-                gone.append(len(repeated or ()))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_repeated_runs"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts, gone = [], []
+                for page, repeated, sure in zip(*(part.column(c).to_pylist() for c in ("blocks", "repeated", "sure"))):
+                    has, repeated, sure, kept, cut = any(b["kind"] == "main" for b in page), set(repeated or ()), set(sure or ()), [], 0
+                    for i, b in enumerate(page):
+                        if b["kind"] == "chrome" or has and b["kind"] != "main":
+                            continue
+                        if has and not b["doubt"] and not b["linked"]:
+                            left = [] if i in sure else [b["text"]]
+                        elif has and b["doubt"] and b["linked"]:
+                            left = []
+                        else:
+                            left = unique_runs(b["text"], repeated, run)
+                        cut += left != [b["text"]]
+                        kept += left
+                    texts.append("\n".join(kept))
+                    gone.append(cut)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_cut_blocks"])
 
     return go
 
 
-def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_repeated_runs (run starts in the page's open blocks that repeat on its host)."""
+def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep: int = KEEP) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars, n_cut_blocks (blocks of the text that repetition, or links, cut)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("page_key"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     parsed = C.written(rows.mapInArrow(_parse, _PARSED))
-    once = parsed.where("size(open) + size(chrome) > 0").select("host", "page_key", F.explode(F.array_distinct(F.concat("open", "chrome"))).alias("block"))
-    distinct = once.groupBy("host", "block").agg(F.count("*").alias("pages"))
-    suffixes = distinct.mapInArrow(_suffixes(run), "host string, pages long, grams array<long>").select("host", "pages", F.explode("grams").alias("gram"))
-    repeated = suffixes.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("host", "gram")
-    asked = parsed.where("not has_main and size(open) > 0").dropDuplicates(["page_key"])
-    own = asked.select("host", "page_key", "open").mapInArrow(_open_grams(run), "host string, page_key long, grams array<long>").select("host", "page_key", F.explode("grams").alias("gram"))
-    covered = C.written(own.join(repeated, ["host", "gram"]).groupBy("page_key").agg(F.collect_set("gram").alias("repeated")))
-    joined = C.join_checked(parsed, covered, ["page_key"], "left").select("page_id", "url", "main", "has_main", "open", "repeated")
-    out = joined.mapInArrow(_finish(run), "page_id long, url string, text string, n_repeated_runs long")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated_runs")
+    # One page for each different content of a host.
+    once = parsed.groupBy("host", "page_key").agg(F.first("blocks").alias("blocks"), F.first("asked").alias("asked"))
+    once = C.written(once)
+    sizes = C.written(once.groupBy("host").agg(F.count("*").alias("host_pages")))
+    found = once.select("host", "page_key", "blocks").mapInArrow(_page_suffixes(run, keep, False), "host string, page_key long, gram long, suffix binary")
+    counted = found.groupBy("host", "gram", "suffix").agg(F.count("*").alias("n")).repartition("host", "gram").sortWithinPartitions("host", "gram", "suffix")
+    intervals = counted.mapInArrow(_intervals(run), "host string, gram long, pages long, longest long").where(F.col("pages") >= min_pages)
+    repeated = C.join_checked(intervals, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SHARE).select("host", "gram")
+    repeated = C.written(repeated)
+    own = once.where("asked").select("host", "page_key", "blocks").mapInArrow(_page_suffixes(run, keep, True), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
+    covered = C.written(C.join_checked(own, repeated, ["host", "gram"], "inner").groupBy("host", "page_key").agg(F.collect_set("gram").alias("repeated")))
+
+    # Whole blocks of articles that hardly any page of the host is without.
+    plain = once.select("host", "page_key", F.posexplode("blocks").alias("i", "b")).where("b.kind = 'main' and not b.doubt").select("host", "page_key", "i", F.xxhash64("b.text").alias("h"), F.size(F.split("b.text", " ")).alias("words")).where(F.col("words") >= run)
+    common = plain.groupBy("host", "h").agg(F.count_distinct("page_key").alias("pages")).where(F.col("pages") >= SURE_PAGES)
+    common = C.written(C.join_checked(common, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SURE).select("host", "h"))
+    sure = C.written(C.join_checked(plain, common, ["host", "h"], "inner").groupBy("host", "page_key").agg(F.collect_set("i").alias("sure")))
+
+    joined = C.join_checked(C.join_checked(parsed, covered, ["host", "page_key"], "left"), sure, ["host", "page_key"], "left").select("page_id", "url", "blocks", "repeated", "sure")
+    out = joined.mapInArrow(_finish(run), "page_id long, url string, text string, n_cut_blocks long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_cut_blocks")

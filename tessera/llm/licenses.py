@@ -1,6 +1,6 @@
 """License scans by template-markup matching.
 
-A template is wording with two kinds of regions: <<optional>> ... <<end>>, which may be absent, and
+A template is a notice's wording, read as texts are, with two kinds of regions: <<optional>> ... <<end>>, which may be absent, and
 <<any N M /pattern/>>, which N to M words replace, each matching the pattern. It compiles to an automaton over
 words: literal words must match exactly, optional regions are bypass edges, replaceable ones counted loops. Base
 phrases are templates without regions, run by the same machine. A text is accepted at every place where a path from
@@ -22,17 +22,52 @@ from pyspark.sql import functions as F
 #: Phrases and labels of the base (fixed values).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates and the labels they add.
+_WHO = "<<any 1 8 /.*/>>"
+_GRANT = "<<optional>>this <<any 1 3 /.*/>> is<<end>> licensed under the"
+_LATER = "<<optional>>or <<any 0 4 /at|your|option|any|\\(|\\)/>> later <<optional>>version<<end>><<end>>"
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<any 0 1 /1|a/>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<any 0 1 /2|b/>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = f"<<any 0 1 /3|c/>> Neither the name of {_WHO} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = f"This software is provided by {_WHO} as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall {_WHO} be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """The FSF's notice for source files, and a plain grant."""
+    program = "<<any 1 6 /.*/>>"
+    return [
+        f"{_GRANT} gnu {name} version {version} {_LATER}",
+        f"{program} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version",
+        f"{program} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation version {version} <<optional>>of the license<<end>> <<optional>>only<<end>>",
+        f"under the terms of the gnu {name} as published by the free software foundation either version {version} of the license",
+    ]
+
+
+def _creative(parts: str, words: str, version: str) -> list[str]:
+    major, minor = version.split(".")
+    short = f"licensed under <<optional>>a <<optional>>creative commons<<end>><<end>> cc {parts.replace('-', ' ')} {major} {minor}"
+    return [short, f"licensed under <<any 0 1 /a|the/>> creative commons {words} {major} {minor} <<any 0 1 /international|unported|generic/>> <<optional>>public<<end>> license"]
+
+
+#: Templates and the labels they add: whole notices with their regions. The wording is fixed.
 TEMPLATES = {
-    "apache-2.0": ["<<optional>>this <<any 1 3 /.*/>> is<<end>> licensed under the apache license version 2 <<optional>>0<<end>>"],
-    "gpl-2.0": ["<<optional>>this <<any 1 3 /.*/>> is<<end>> licensed under the gnu general public license version 2 <<optional>>or <<any 0 3 /at|your|option|any/>> later <<optional>>version<<end>><<end>>"],
-    "gpl-3.0": ["<<optional>>this <<any 1 3 /.*/>> is<<end>> licensed under the gnu general public license version 3 <<optional>>or <<any 0 3 /at|your|option|any/>> later <<optional>>version<<end>><<end>>", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
+    "apache-2.0": [
+        f"{_GRANT} apache license version 2 <<optional>>0<<end>>",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<any 0 8 /.*/>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    **{f"{label}-{version}": _gnu(name, number) for label, name, some in (("gpl", "general public license", "2.0 3.0"), ("lgpl", "<<any 1 1 /lesser|library/>> general public license", "2.0 2.1 3.0"), ("agpl", "affero general public license", "3.0")) for version in some.split() for number in [version.replace(".0", "").replace(".", " ") + (" <<optional>>0<<end>>" if version.endswith(".0") else "")]},
     "mit-notice": ["<<optional>><<any 0 2 /this|is|work|software|code/>><<end>> released under the mit license", "licensed under the mit license"],
-    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy of this <<any 1 6 /.*/>> to deal in the <<any 1 2 /.*/>> without restriction"],
-    "cc-by-nc-4.0": ["licensed under <<optional>>a creative commons<<end>> cc by nc 4 0"],
-    "cc-by-4.0": ["licensed under <<optional>>a creative commons<<end>> cc by 4 0"],
-    "cc-by-sa-4.0": ["licensed under <<optional>>a creative commons<<end>> cc by sa 4 0"],
-    "bsd-text": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "mit-text": [f"Permission is hereby granted, free of charge, to any person obtaining a copy of this <<any 1 6 /.*/>> to deal in the <<any 1 2 /.*/>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the <<any 1 2 /.*/>>, and to permit persons to whom the <<any 1 2 /.*/>> is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the <<any 1 2 /.*/>>. {_AS_IS}"],
+    "isc-text": [f"Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided as is and {_WHO} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall {_WHO} be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."],
+    "bsd-2-clause": [f"{_BSD_HEAD} {_BSD_TAIL}"],
+    "bsd-3-clause": [f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"],
+    "bsd-text": [_BSD_HEAD],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<any 1 8 /.*/>>", f"{_GRANT} mozilla public license <<any 0 1 /v|version/>> 2 0"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License <<any 0 1 /v|version/>> 2.0", f"{_GRANT} eclipse public license <<any 0 1 /v|version/>> 2 0"],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0. <<any 0 4 /see|accompanying|file|the/>> <<optional>>license 1 0 txt<<end>>"],
+    "zlib-text": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<any 0 1 /1/>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<any 0 1 /2/>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<any 0 1 /3/>> This notice may not be removed or altered from any source distribution."],
+    "unlicense": [f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. <<any 0 200 /.*/>> {_AS_IS}"],
+    "cc0-1.0": ["<<any 0 1 /under|with/>> creative commons zero v1 0 universal", "licensed under <<any 0 1 /the/>> <<optional>>creative commons<<end>> cc0 1 0 <<any 0 2 /universal|license/>>", "to the extent possible under law <<any 1 12 /.*/>> waived all copyright and related or neighboring rights to"],
+    **{f"cc-{parts}-{version}": _creative(parts, words, version) for parts, words in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"), ("by-nd", "attribution noderivatives"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives")) for version in ("3.0", "4.0")},
 }
 
 #: Bytes of words, the rest becomes a space; A-Z are lowered first.
@@ -60,8 +95,10 @@ class Automaton:
         at = self._state()
         self.starts.append(at)
         opened: list[int] = []
-        must: list[str] = []
-        for mark, low, high, pattern, text in re.findall(r"<<(optional|end|any) ?(?:(\d+) (\d+) /(.*?)/)?>>|([^<\s]+)", template):
+        runs: list[list[bytes]] = [[]]
+        for mark, low, high, pattern, text in re.findall(r"<<(optional|end|any) ?(?:(\d+) (\d+) /(.*?)/)?>>|([^<]+)", template):
+            if mark:
+                runs.append([])
             if mark == "optional":
                 opened.append(at)
             elif mark == "end":
@@ -79,14 +116,15 @@ class Automaton:
                     at = new
                 self.free[at].append(out)
                 at = out
-            elif text:
+            for word in text.encode().translate(_TABLE).split():
                 new = self._state()
-                self.word[at].setdefault(text.encode(), []).append(new)
+                self.word[at].setdefault(word, []).append(new)
                 at = new
                 if not opened:
-                    must.append(text)
+                    runs[-1].append(word)
         self.ends[at] = name
-        self.mandatory.append(max(must, key=len).encode())
+        #: A run of words that no accepted text is without.
+        self.mandatory.append(b" " + b" ".join(max(runs, key=lambda r: sum(map(len, r)))) + b" ")
 
     def _closure(self, states) -> set[int]:
         seen, todo = set(states), list(states)
@@ -149,7 +187,8 @@ def _scan(templates, base):
                 words = flat.split()
                 places: list[int] = []
                 base_labels, labels, spans = set(), set(), []
-                if any(m in flat for m in needed):
+                line = b" ".join([b"", *words, b""])
+                if any(m in line for m in needed):
                     for (kind, label), start, end in machine.find(words):
                         labels.add(label)
                         if kind == "base":

@@ -1,13 +1,13 @@
 """Quality classifier: document evidence combined with host and path posteriors (hierarchical empirical Bayes).
 
 1. A logistic model over whole-text statistics is fitted on at most FIT_ROWS labelled documents (those of the
-   smallest id hashes; a documented bound, independent of the corpus size) and calibrated on that sample's classes.
+   smallest id hashes; a documented bound, independent of the corpus size).
 2. Every document gets p = P(good | its text). Grouped aggregation gives sums of p per host (source) and per path
    (source, lang), with partial aggregation before the shuffle, so a hot host costs one row per task.
 3. Hosts shrink toward the corpus mean with strength k1, paths toward their host with strength k2, both by the method
    of moments over all groups: posterior mean = (sum + k * parent) / (n + k). Sparse sites stay near their parent.
-4. A document's log-odds are its own evidence plus WEIGHT times the path's log-odds relative to the corpus, the
-   latter without the document itself. It is kept at a posterior of THRESHOLD or more.
+4. A document's log-odds are its own evidence plus WEIGHT times the path's log-odds relative to the corpus. The document
+   itself is left out of its path and its host there. It is kept at a posterior of THRESHOLD or more.
 
 Defined cases: a null text counts as empty; empty texts have no evidence of their own and follow their site; null
 sources and languages are groups of their own; without labels of both classes the model is constant and all stay;
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-FIT_ROWS, WEIGHT, THRESHOLD, FOLDS = 20_000, 0.5, 0.5, 10
+FIT_ROWS, WEIGHT, THRESHOLD = 20_000, 0.5, 0.5
 FEATURES = ["upper", "digit", "symbol", "bar", "bang", "stop", "newline", "word_length", "distinct_words", "repeated_shingles", "size"]
 
 _CLASS = np.zeros(256, np.int64)
@@ -113,22 +113,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | No
     return fit(x, np.asarray(found.column("quality"))[order])
 
 
-def _score(model):
+def _score(model, text: str):
     def run(batches):
         for batch in batches:
             found = [np.zeros(0)]
-            for _, data, offs in C.chunks(batch.column("text")):
+            for _, data, offs in C.chunks(batch.column(text)):
                 score = logit(model, features(data, offs))
                 found.append(np.where(np.diff(offs) == 0, 0.0, score) if model else score)
-            yield batch.append_column("evidence", pa.array(np.concatenate(found)))
+            yield batch.select([c for c in batch.schema.names if c != text]).append_column("evidence", pa.array(np.concatenate(found)))
 
     return run
 
 
-def evidence(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with a column `evidence`: the model's log-odds for the whole text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType())])
-    return docs.mapInArrow(_score(model), schema)
+def evidence(docs: DataFrame, model: dict | None, text: str) -> DataFrame:
+    """docs with `evidence`, the model's log-odds for the whole text, in place of the text column."""
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), T.StructField("evidence", T.DoubleType())])
+    return docs.mapInArrow(_score(model, text), schema)
 
 
 def _strength(groups: DataFrame, mean: str) -> float:
@@ -142,33 +142,35 @@ def _strength(groups: DataFrame, mean: str) -> float:
 
 
 def sites(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(source_key, lang_key, n, s, host, path posteriors), and the corpus mean, of rows with `p`."""
+    """(source_key, lang_key, n, s, host_n, host_s, host, path, k1, k2: sums, posteriors, strengths), and the corpus mean, of rows with `p`."""
     path = C.written(scored.groupBy("source_key", "lang_key").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     total = path.agg(F.sum("n"), F.sum("s")).first()
     mean = min(max(total[1] / total[0], 1e-6), 1 - 1e-6) if total[0] else 0.5
     host = path.groupBy("source_key").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("up", F.lit(mean))
     k1 = _strength(host, "up")
-    host = C.written(host.select("source_key", ((F.col("s") + k1 * mean) / (F.col("n") + k1)).alias("host")))
-    both = path.join(host, "source_key")
+    host = C.written(host.select("source_key", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k1 * mean) / (F.col("n") + k1)).alias("host")))
+    both = C.written(path.join(host, "source_key"))
     k2 = _strength(both, "host")
-    return C.written(both.withColumn("k", F.lit(k2)).withColumn("path", (F.col("s") + k2 * F.col("host")) / (F.col("n") + k2))), mean
+    return both.withColumns({"k1": F.lit(k1), "k2": F.lit(k2), "path": (F.col("s") + k2 * F.col("host")) / (F.col("n") + k2)}), mean
 
 
-def classify(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """docs' columns and evidence, document_p, host_p, path_p, posterior, keep; input columns of these names are replaced."""
+def classify(docs: DataFrame, labels: DataFrame, weight: float = WEIGHT, threshold: float = THRESHOLD, rows: int = FIT_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those asked) and evidence, document_p, host_p, path_p, posterior, keep; input columns of these names are replaced."""
     docs = docs.drop("evidence", "document_p", "host_p", "path_p", "posterior", "keep")
+    columns = [c for c in (columns or docs.columns) if c in docs.columns]
     model = train(docs, labels, rows)
     keys = {"source_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "lang_key": F.coalesce(F.concat(F.lit("s"), "lang"), F.lit("n"))}
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    narrow = evidence(docs.select(*[c.alias(k) for k, c in keys.items()], "text"), model).select("source_key", "lang_key", p.alias("p"))
-    groups, mean = sites(narrow)
-    own = [f"_tessera_{c}" for c in ("n", "s", "k", "host", "path", "source_key", "lang_key", "up")]
+    # Texts are read for evidence once; only what is returned is written beside it.
+    keyed = docs.select(*columns, *[F.col("text").alias("_tessera_text")], *[c.alias(f"_tessera_{k}") for k, c in keys.items()])
+    scored = C.written(evidence(keyed, model, "_tessera_text").withColumn("document_p", 1 / (1 + F.exp(-F.col("evidence")))))
+    groups, mean = sites(scored.select(*[F.col(f"_tessera_{k}").alias(k) for k in keys], F.col("document_p").alias("p")))
     groups = groups.toDF(*[f"_tessera_{c}" for c in groups.columns])
-    scored = evidence(docs.withColumns({f"_tessera_{k}": c for k, c in keys.items()}), model).withColumn("document_p", p)
     out = C.join_checked(scored, groups, ["_tessera_source_key", "_tessera_lang_key"], "inner")
     col = lambda c: F.col(f"_tessera_{c}")
-    rest = (col("s") - F.col("document_p") + col("k") * col("host")) / (col("n") - 1 + col("k"))
+    own = F.col("document_p")
+    host = (col("host_s") - own + col("k1") * mean) / (col("host_n") - 1 + col("k1"))
+    rest = (col("s") - own + col("k2") * host) / (col("n") - 1 + col("k2"))
     rest = F.least(F.greatest(rest, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("evidence") + weight * (F.log(rest / (1 - rest)) - float(np.log(mean / (1 - mean))))
-    out = out.withColumns({"host_p": col("host"), "path_p": col("path"), "posterior": 1 / (1 + F.exp(-odds))})
-    return out.withColumn("keep", F.col("posterior") >= threshold).drop(*own)
+    out = out.withColumns({"host_p": col("host"), "path_p": col("path"), "posterior": 1 / (1 + F.exp(-odds))}).withColumn("keep", F.col("posterior") >= threshold)
+    return out.select(*columns, "evidence", "document_p", "host_p", "path_p", "posterior", "keep")

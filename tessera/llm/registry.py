@@ -9,8 +9,8 @@ from .common import table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "source", "lang", "document_p", "host_p", "path_p", "posterior", "keep")
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])
+    return found.drop("evidence")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ perm(j mod blocks) of pass j div blocks, where perm is a keyed pseudorandom perm
 indices (a Feistel network with cycle walking, a new key for each pass). Slots and blocks meet in an equi-join on
 (source, block index), so a hot source spreads over its blocks.
 
-The draw is made conditionally on each source's total, so a source's taken words equal its rounded target; the last
-slot of the last pass may read only the head of its block. No block is read more than `cap` times.
+Departure: the draw per shard and source is a multinomial one conditioned on each source's total (each source's slots are dealt to
+the shards), so a source's taken words equal its rounded target, while shards differ in size; the last slot of the last
+pass may read only the head of its block. No block is read more than `cap` times.
 
 Defined cases: a null text has size 0 and nothing taken; a null source is a source of its own, last in order; an
 empty table gives an empty mix; repeated rows are documents of their own. Other columns are not read.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK, SHARDS, CAP, BUCKETS, SEED = 256, 64, 3, 256, 20_240_229
+BLOCK, SHARDS, CAP, BUCKET_ROWS, SEED = 256, 64, 3, 4096, 20_240_229
+#: Column that tells rows apart, if the caller has one.
+ROW = "_tessera_row"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -151,13 +154,17 @@ def mix(docs: DataFrame, weights: list[int] | None = None, cap: int = CAP, block
     pieces: doc_id, g, size, start, block, lo, hi (the document's words in the block), whole, part (full reads, words of the cut read).
     slots: g, shard, block, whole, part: the mix itself, shard by shard.
     """
-    sized = C.written(docs.select("doc_id", "source", source_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))))
+    own = [c for c in (ROW,) if c in docs.columns]
+    sized = C.written(docs.select(*own, "doc_id", "source", source_key(F.col("source")).alias("g"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")))
+    # Documents of a source are put in order inside buckets, as many as it takes for about BUCKET_ROWS of the largest.
+    buckets = -(-(sized.groupBy("g").count().agg(F.max("count")).first()[0] or 1) // BUCKET_ROWS)
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
     sums = C.written(sized.groupBy("g", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sums.select("g", "bucket", before.alias("base"))
-    local = F.coalesce(F.sum("size").over(Window.partitionBy("g", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.coalesce(F.sum("size").over(Window.partitionBy("g", "bucket").orderBy("doc_id", "size", "mark", *own).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     aim = C.written(targets(sums.groupBy("g").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights or [1, 2, 3], cap).select("g", "source_size", "target"))
-    placed = sized.withColumn("local", local).join(bases, ["g", "bucket"]).select("doc_id", "source", "g", "size", (F.col("base") + F.col("local")).alias("start"))
+    placed = sized.withColumn("local", local).join(bases, ["g", "bucket"]).select(*own, "doc_id", "source", "g", "size", (F.col("base") + F.col("local")).alias("start"))
     placed = C.written(C.join_checked(placed, aim, ["g"], "inner"))
     plan = aim.withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * cap)).mapInArrow(_plan(block, shards, seed), "g string, shard long, first long, n long, slots long, part long, blocks long")
     step = 1 << 16
@@ -204,15 +211,16 @@ def _render(batches):
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a document is returned once for each pass that reads words of it, with just those words.
 
-    Columns as the input's. A document of which no word is taken goes. doc_id must identify a row.
+    Columns as the input's. A document of which no word is taken goes. Rows are told apart by a number of their own, so null and
+    repeated ids are documents like others.
     """
-    _, pieces, _ = mix(docs, **options)
+    base = C.written(docs.select("doc_id", "text", "lang", "source").withColumn(ROW, F.monotonically_increasing_id()))
+    _, pieces, _ = mix(base, **options)
     at = F.col("block") * options.get("block", BLOCK) - F.col("start")
     segment = lambda hi, times: F.struct((F.col("lo") + at).alias("lo"), (hi + at).alias("hi"), times.cast("long").alias("times"))
     cut = F.least(F.col("hi"), F.col("part"))
-    parts = pieces.select("doc_id", F.when(cut > F.col("lo"), F.when(cut < F.col("hi"), F.array(segment(cut, F.col("whole") + 1), F.struct((cut + at).alias("lo"), (F.col("hi") + at).alias("hi"), F.col("whole").cast("long").alias("times")))).otherwise(F.array(segment(F.col("hi"), F.col("whole") + 1)))).otherwise(F.array(segment(F.col("hi"), F.col("whole")))).alias("s"))
-    parts = C.written(parts.groupBy("doc_id").agg(F.filter(F.flatten(F.collect_list("s")), lambda x: x["times"] > 0).alias("segments")).where("size(segments) > 0"))
-    base = docs.select("doc_id", "text", "lang", "source")
-    joined = base.join(parts.hint("merge"), "doc_id").select("doc_id", "lang", "source", "text", "segments")
+    parts = pieces.select(ROW, F.when(cut > F.col("lo"), F.when(cut < F.col("hi"), F.array(segment(cut, F.col("whole") + 1), F.struct((cut + at).alias("lo"), (F.col("hi") + at).alias("hi"), F.col("whole").cast("long").alias("times")))).otherwise(F.array(segment(F.col("hi"), F.col("whole") + 1)))).otherwise(F.array(segment(F.col("hi"), F.col("whole")))).alias("s"))
+    parts = C.written(parts.groupBy(ROW).agg(F.filter(F.flatten(F.collect_list("s")), lambda x: x["times"] > 0).alias("segments")).where("size(segments) > 0"))
+    joined = base.join(parts.hint("merge"), ROW).select("doc_id", "lang", "source", "text", "segments")
     out = joined.mapInArrow(_render, "doc_id long, lang string, source string, text string")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

@@ -75,7 +75,14 @@ def from_png(png: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
+#: Hadoop's names of object stores and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
@@ -119,6 +126,8 @@ def _store(folder: str, archive_bytes: int):
 def store(docs: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write the documents' payloads as archives; returns the folder (below the shared one unless given)."""
     folder = folder or C.folder(docs.sparkSession)
+    fs, root = _open(folder)
+    fs.create_dir(root)
     done = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store(folder, archive_bytes), "archive string, members long")
     done.agg(F.sum("members")).first()
     return folder
@@ -137,7 +146,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         fs, root = _open(self.folder)
-        files = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        files = fs.get_file_info(pafs.FileSelector(root))
         return [Span(f.path, f.size, lo, min(lo + self.range_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".tsa") for lo in range(0, f.size, self.range_bytes)] or [Span("", 0, 0, 0)]
 
     def _member(self, fs, span, offset: int, size: int, crc: int) -> bytes:

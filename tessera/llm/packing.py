@@ -8,7 +8,8 @@ cut into sequences of powers of two, which need no padding. The range bounds com
 BOUND_SAMPLE documents; they only balance the ranges.
 
 A document is tokenised once: its white-space-separated words are looked up by hash in a table of words seen by the
-worker (at most CACHE words, then started anew), and only new words go to the tokenizer.
+worker (at most CACHE words, then started anew), and only new words go to the tokenizer. The table's keys are of A-Z-lowered
+words, which is right for a tokenizer that lower-cases; one that doesn't is refused.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id stays null; repeated rows are packed each;
 an empty table gives no rows. Other columns are not read.
@@ -29,6 +30,8 @@ from . import common as C
 
 LENGTH, END, DIMS, BITS, BOUND_SAMPLE, CACHE = 2048, 1, 4, 8, 50_000, 1_200_000
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of text in one range of the curve, at most about; there are spark.sql.shuffle.partitions ranges at least.
+RANGE_BYTES = 256 << 20
 
 
 def tokenizer_path() -> str:
@@ -88,6 +91,9 @@ class Words:
 
         self.tok = Tokenizer.from_file(path)
         self.sep = self.tok.token_to_id("<|startoftext|>")
+        low, high = (self.tok.encode(x, add_special_tokens=False).ids for x in ("the quick az", "THE Quick AZ"))
+        if low != high:
+            raise ValueError("the tokenizer tells upper from lower case")
         self.clear()
 
     def clear(self) -> None:
@@ -240,13 +246,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids (little-endian uint32)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.count()
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
     some = docs if rows <= BOUND_SAMPLE else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * BOUND_SAMPLE / rows))
     keys = some.mapInArrow(_keys, "key long").toDF("key")
     bounds = keys.select(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     bounds = np.array(bounds or [], np.int64)[: n - 1]
     coded = docs.mapInArrow(_encode(path or tokenizer_path(), bounds, slots_for(spark, n), end), "doc_id long, slot long, key long, tokens binary")
-    dealt = coded.repartition(n, "slot").sortWithinPartitions("slot", "key", "doc_id")
+    dealt = coded.repartition(n, "slot").sortWithinPartitions("slot", "key", "doc_id", F.xxhash64("tokens"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return dealt.mapInArrow(_cut(length, with_ids), schema)

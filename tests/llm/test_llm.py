@@ -324,6 +324,30 @@ def test_mixed_texts(docs):
     assert dict(words) == {k: v for k, v in taken.items() if v}
 
 
+def test_mixed_texts_of_null_and_repeated_ids(docs):
+    """Rows without an id, or with one that others have, are documents like others: the mix has as many words as the plan takes."""
+    plan = Counter()
+    for r in mixing.mixed(docs, block=16).collect():
+        plan[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixing.mixed_texts(docs, block=16).collect():
+        got[r.doc_id] += len(WORD.findall(r.text))
+    assert dict(got) == {k: v for k, v in plan.items() if v} and got[None]
+
+
+def test_taken_words_by_brute_force(spark):
+    """Each document's taken words, from the blocks and permutations themselves."""
+    texts = {i: (prose(i, 7 + i * 3), "ab"[i % 2]) for i in range(20)}
+    df = spark.createDataFrame([(k, t, s) for k, (t, s) in texts.items()], "doc_id long, text string, source string")
+    placed, _, slots = mixing.mix(df, block=8, shards=4)
+    read = Counter()
+    for r in slots.collect():
+        for w in range(8 if r.whole else r.part):
+            read[r.g, r.block * 8 + w] += 1
+    want = {r.doc_id: sum(read[r.g, r.start + i] for i in range(r.size)) for r in placed.collect()}
+    assert {r.doc_id: r.taken for r in mixing.mixed(df, block=8, shards=4).collect()} == want
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
@@ -365,6 +389,12 @@ def test_media(docs, none, spark, tmp_path):
     assert len(same) == 1 and media.described(spark, media.store(none)).count() == 0
 
 
+def test_media_folder_must_exist(spark, tmp_path):
+    with pytest.raises(Exception):
+        media.described(spark, str(tmp_path / "nowhere")).count()
+    assert media._open("s3a://bucket/x")[1] == "bucket/x"
+
+
 def test_media_retries(docs, tmp_path, monkeypatch):
     media.store(docs, str(tmp_path / "a"), archive_bytes=1 << 30)
     reader = media.ArchiveReader({"path": str(tmp_path / "a"), "retries": "2"})
@@ -391,7 +421,7 @@ def test_media_retries(docs, tmp_path, monkeypatch):
 
 
 def test_licenses(spark, docs, none):
-    texts = ["Licensed under the Apache-License, Version 2.0.", "released under the MIT license; GNU GENERAL\nPublic license", "cc by cc by-NC 4.0 and licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License, version 3 or (at your option) any later version", "apache  lic license", None, "", "mit xlicense", "é mit license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this fine font to deal in the font without restriction"]
+    texts = ["Licensed under the Apache-License, Version 2.0.", "released under the MIT license; GNU GENERAL\nPublic license", "cc by cc by-NC 4.0 and licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License, version 3 or (at your option) any later version", "apache  lic license", None, "", "mit xlicense", "é mit license", licenses.TEMPLATES["mit-text"][0].replace("<<any 1 6 /.*/>>", "fine font").replace("<<any 1 2 /.*/>>", "Font").replace("<<optional>>(including the next paragraph)<<end>>", "")]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     base = [(1, 3, 3, "apache", "apache,apache-2.0", 1.0), (2, 3, 5, "gpl,mit", "gpl,mit,mit-notice", 1.0), (3, 0, 10, "cc-by", "cc-by,cc-by-nc-4.0", 1.0), (1, 6, 6, "gpl", "gpl,gpl-3.0", 1.0), (0, None, None, "", "", 0.0), (0, None, None, "", "", 0.0), (0, None, None, "", "", 0.0), (0, None, None, "", "", 0.0), (1, 1, 1, "mit", "mit", 0.5), (0, None, None, "", "mit-text", 1.0)]
     assert [(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in rows] == base
@@ -401,6 +431,68 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def _naive(parts, words, at):
+    """All ends of a template, given as nested parts, from a place on."""
+    if not parts:
+        return {at}
+    (kind, *rest), after = parts[0], parts[1:]
+    if kind == "word":
+        return _naive(after, words, at + 1) if at < len(words) and words[at] == rest[0] else set()
+    if kind == "optional":
+        return _naive(after, words, at).union(*(_naive(after, words, e) for e in _naive(rest[0], words, at)))
+    low, high, pattern = rest
+    ends = set()
+    for n in range(high + 1):
+        if n and (at + n > len(words) or not re.fullmatch(pattern, words[at + n - 1])):
+            break
+        if n >= low:
+            ends |= _naive(after, words, at + n)
+    return ends
+
+
+def test_automata_against_a_naive_matcher():
+    rng = np.random.default_rng(7)
+
+    def made(depth):
+        out = []
+        for _ in range(rng.integers(1, 4)):
+            k = rng.random()
+            if k < 0.55 or depth == 2:
+                out.append(("word", "abc"[rng.integers(3)]))
+            elif k < 0.8:
+                out.append(("optional", made(depth + 1)))
+            else:
+                low_ = int(rng.integers(0, 2))
+                out.append(("any", low_, low_ + int(rng.integers(1, 3)), ("a|b", ".*", "c")[rng.integers(3)]))
+        return out
+
+    def text(parts):
+        return " ".join(p[1] if p[0] == "word" else f"<<optional>>{text(p[1])}<<end>>" if p[0] == "optional" else f"<<any {p[1]} {p[2]} /{p[3]}/>>" for p in parts)
+
+    for _ in range(60):
+        templates = {f"t{i}": [("word", "abc"[rng.integers(3)]), *made(0)] for i in range(4)}
+        machine = licenses.compiled({k: [text(p)] for k, p in templates.items()}, {})
+        words = ["abcd"[i] for i in rng.integers(0, 4, 40)]
+        want = {(k, i, max(e)) for k, p in templates.items() for i in range(40) if (e := _naive(p, words, i))}
+        assert {(k[1], i, e) for k, i, e in machine.find([w.encode() for w in words])} == want
+
+
+def test_license_library(spark):
+    """Every template is found in its own wording, with regions filled or left out, and not when a mandatory word is changed."""
+    rows, want = [], []
+    for label, some in licenses.TEMPLATES.items():
+        for t in some:
+            full = re.sub(r"<<any (\d+) \d+ /(.*?)/>>", lambda m: " ".join([m[2].split("|")[0] if m[2] != ".*" else "Someone"] * int(m[1])), t)
+            plain_ = re.sub("<<(optional|end)>>", " ", full)
+            rows.append(plain_)
+            want.append(label)
+    rows.append(rows[want.index("isc-text")].replace("consequential", "other"))
+    got = licenses.scan(spark.createDataFrame([(i, f"start {t} stop") for i, t in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(w in r.labels.split(",") for w, r in zip(want, got)) and got[-1].labels == ""
+    long = licenses.scan(spark.createDataFrame([(0, prose(1, 100_000) + " mit license")], "doc_id long, text string")).first()
+    assert (long.n_words, long.n_base, long.first_word) == (100_002, 1, 100_000)
+
+
 def test_quality(spark, docs, none):
     good = [(i, prose(300 + i, 120 + i), "en", f"s{i % 4}", i % 10 != 0) for i in range(120)]
     bad = [(1000 + i, prose(600 + i, 100 + i).upper().replace(" ", "!! "), "en", f"s{i % 4}", i % 10 != 0) for i in range(60)]
@@ -509,6 +601,69 @@ def test_host_boilerplate(spark):
     assert got[9] == same
 
 
+BROKEN = [
+    ("<article><p>Hi <a title=it's>link</a> one</p><p>don't drop this</p></article>", "Hi link one\ndon't drop this"),
+    ('<article><p class="x>broken quote</p><p>and more</p></article>', "broken quote\nand more"),
+    ("<article><p>one</p><iframe src=x><p>two</p><video><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><header><h1>T</h1><p>The lead.</p></header><section id='discussion'><p>We discuss.</p></section><div class='related-work'><p>Others did.</p></div><div class='widget-content'>Kept too.</div></article>", "T\nThe lead.\nWe discuss.\nOthers did.\nKept too."),
+    ("<article><p>a<div class='ad'>buy<p>now</div>b</p><ul><li>x<li class='ad-box'>y<li>z</ul><svg><svg></svg><text>no</text></svg><p>end</article><div>out</div>", "a\nb\nx\nz\nend"),
+    ("<main><p>1 <!-- > --> 2<!--> 3 <b>4</p></b><script>'</p>'</script ><p>5 &lt; 6 &nonentity;</main", "1 2 3 4\n5 < 6 &nonentity;"),
+    ("<main><table><tr><td>a<td>b<tr><td>c</table><p>d</main><p>later", "a\nb\nc\nd"),
+    ("<article><p>x</p></div></section><p>y</p></article></p>", "x\ny"),
+]
+
+
+def test_html_broken(spark):
+    got = html.extract(spark.createDataFrame([(i, f"http://b{i}.x/", p) for i, (p, _) in enumerate(BROKEN)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: t for i, (_, t) in enumerate(BROKEN)}
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a <p>", "<p class='", '<p x="', "<!--", "<iframe>", "<svg>", "<svg><svg></svg>", "</div>", "<div>", "<b><p>", "<article><b></div>", "<li><ul>", "<", "</", "<![CDATA[", "&amp", "<td><tr>", "<script>", "<option>"])
+def test_html_long_broken_pages_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    html.blocks("<article><p>start " + unit * (1_000_000 // len(unit)) + " end")
+    assert time.process_time() - began < 20
+
+
+def test_html_repeats(spark):
+    """Copies make no boilerplate; repeats inside one page don't either; menus and notices inside main go by repetition."""
+    same = "one two three four five six seven eight"
+    menu = "<div><a href=/>Home</a> <a href=/x>News and all the other things here now</a></div><p>We use cookies on all of our pages, please accept them before.</p>"
+    pages = [(i, "http://c.x/1", f"<p>{prose(1, 20)}</p><p>short</p>") for i in range(3)]
+    pages += [(10, "http://d.x/1", "".join(f"<p>{same} {prose(i, 5)}</p>" for i in range(3)))]
+    pages += [(20 + i, f"http://e.x/{i}", f"<main>{menu}<p>{prose(30 + i, 30)}</p><p>Introduction</p></main>") for i in range(6)]
+    pages += [(40 + i, f"http://f.x/{i}", f"<article><div class='related'>{same} nine</div><div class='related'>{prose(60 + i, 12)}</div><div class='related'><a>{prose(70 + i, 3)}</a></div></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose(1, 20) + "\nshort" for i in range(3))
+    assert got[10] == "\n".join(f"{same} {prose(i, 5)}" for i in range(3))
+    assert all(got[20 + i] == prose(30 + i, 30) + "\nIntroduction" for i in range(6))
+    assert all(got[40 + i] == prose(60 + i, 12) for i in range(4))
+
+
+def test_html_runs_against_brute_force(spark):
+    """Open blocks lose exactly the tokens inside runs of 8 that enough distinct pages of the host have."""
+    rng = np.random.default_rng(4)
+    pool = [prose(200 + i, 6 + 2 * i) for i in range(8)]
+    pages = [(i, f"http://h{i % 2}.x/{i}", "".join("<div>" + " ".join(prose(int(rng.integers(1 << 30)), int(rng.integers(1, 9))) if rng.random() < 0.5 else pool[rng.integers(8)] for _ in range(rng.integers(1, 5))) + "</div>" for _ in range(3))) for i in range(24)]
+    split = lambda p: [b.split() for b in re.findall("<div>(.*?)</div>", p)]
+    runs = lambda t: {(True, *t)} if len(t) < 8 else {(False, *t[i : i + 8]) for i in range(len(t) - 7)}
+    seen = Counter((i % 2, r) for i, _, p in pages for r in set().union(*(runs(t) for t in split(p))))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, p in pages:
+        left = []
+        for t in split(p):
+            gone = [False] * len(t)
+            for k in range(max(1, len(t) - 7)):
+                r = (len(t) < 8, *t[k : k + 8])
+                if seen[i % 2, r] >= 3:
+                    gone[k : k + 8] = [True] * len(t[k : k + 8])
+            line = " ".join("\n" if g else w for w, g in zip(t, gone))
+            left += [x.strip() for x in line.split("\n") if x.strip()]
+        assert got[i] == "\n".join(left)
+
+
 def test_chat(spark):
     c = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"], 4: ["a", "b", "c"], 5: ["a", "x"], 6: [None], 7: ["b", "a"], 8: ["a", "b", ""]}
     rows = [(k, i, "user", t, 0) for k, ts in c.items() for i, t in enumerate(ts)] + [(None, 0, "user", "a", 0), (9, None, None, "z", 0), (9, 1, "user", "y", 0), (5, 1, "user", "x", 0)]

@@ -57,9 +57,19 @@ def two_bit(v: Column, bound: Column) -> Column:
     return F.transform(v, lambda x: F.when(x < -bound, 0).when(x < 0, 1).when(x < bound, 2).otherwise(3).cast("byte"))
 
 
+def pair_bits(v: Column, bound: Column) -> Column:
+    """1.5-bit codes: each pair of components as 4 * weight + 2 * sign + sign. weight is 1 if both are `bound` or more in size; a last odd
+    component counts with 0."""
+    n = F.size(v)
+    at = lambda i: F.coalesce(F.get(v, i), F.lit(0.0).cast("float"))
+    bit = lambda c: F.when(c, 1).otherwise(0)
+    code = lambda i: (bit((F.abs(at(i)) >= bound) & (F.abs(at(i + 1)) >= bound)) * 4 + bit(at(i) > 0) * 2 + bit(at(i + 1) > 0)).cast("byte")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), code)).otherwise(F.array().cast("array<byte>"))
+
+
 def stored_bytes(n: Column, dim: int, encoding: str, link_bytes: int = 100) -> Column:
     """Estimated bytes of n vectors: their encoding and about link_bytes of index per vector."""
-    bits = {"float32": 32, "int8": 8, "2bit": 2, "1bit": 1}[encoding]
+    bits = {"float32": 32, "int8": 8, "2bit": 2, "1.5bit": 1.5, "1bit": 1}[encoding]
     return n * (dim * bits / 8 + link_bytes)
 
 

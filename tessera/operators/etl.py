@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..scratch import written
@@ -46,6 +47,12 @@ def with_quoted(posts: DataFrame, key: str, quoted_key: str, body: str, order: s
     return posts.join(source, F.col(quoted_key) == F.col("_q"), "left").drop("_q")
 
 
+def quoted_in_conversation(posts: DataFrame, conversation: str, key: str, quoted_key: str, body: str, order: str) -> DataFrame:
+    """Posts with `quoted_text` if the quoted post is in their own conversation."""
+    source = posts.groupBy(F.col(conversation).alias("_c"), F.col(key).alias("_q")).agg(F.max_by(body, order).alias("quoted_text"))
+    return posts.join(source, (F.col(conversation) == F.col("_c")) & (F.col(quoted_key) == F.col("_q")), "left").drop("_c", "_q")
+
+
 def missing_quotes(posts: DataFrame, key: str, quoted_key: str) -> DataFrame:
     """Distinct (key, quoted key) whose quoted post is absent."""
     have = posts.select(F.col(key).alias(quoted_key))
@@ -107,3 +114,26 @@ def request_items(rows: DataFrame, body: str, content: str, extra: list[str]) ->
     """key, content and metadata as the embedding request has them; processing fields and extras stand beside the original text."""
     fields = [F.lit("parquet_import").alias("source"), F.col(body).alias("original_text"), "processing.has_quotes", "processing.is_truncated", "processing.character_difference", *extra]
     return rows.select("key", F.col(content).alias("content"), F.struct(*fields).alias("metadata"))
+
+
+def manifest(batches: DataFrame, key: str) -> DataFrame:
+    """One row per batch file: rows, first and last key."""
+    return batches.groupBy("batch_file").agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
+def progress_rows(batches: DataFrame, key: str, embedded: Column, stored: Column) -> DataFrame:
+    """The rows a run appends to its progress table, which unprocessed(), pending_batches() and progress_stats() read."""
+    return batches.select(F.col(key).alias("key"), "batch_file", embedded.alias("embedded"), stored.alias("embedding_stored"))
+
+
+def sanitized(column: Column, kind: T.DataType) -> Column:
+    """A value with every BIGINT in it, at any depth, as a string."""
+    if isinstance(kind, T.LongType):
+        return column.cast("string")
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[sanitized(column[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: sanitized(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, v: sanitized(v, kind.valueType))
+    return column

@@ -112,7 +112,7 @@ def _two_phase_block(points: DataFrame, queries: DataFrame, dim: int, k: int, ov
 def int8_bounds(points: DataFrame, quantile: float = 0.99, accuracy: int = 1_000_000) -> DataFrame:
     """One row (low, high): clip bounds of all components, the middle `quantile` of them. Ranks are exact up to `accuracy` components
     and off by a 1 / accuracy share at most beyond; a sketch of bounded size, not the values, is merged."""
-    tail = (1 - quantile) / 2
+    tail = round((1 - quantile) / 2, 12)
     parts = points.select(F.explode("vector").alias("x"))
     return parts.agg(F.percentile_approx("x", F.lit(tail), F.lit(accuracy)).alias("low"), F.percentile_approx("x", F.lit(1 - tail), F.lit(accuracy)).alias("high"))
 
@@ -133,3 +133,8 @@ def centroids(points: DataFrame, by: str) -> DataFrame:
 
 def similarity_to(points: DataFrame, literal: Column) -> DataFrame:
     return points.withColumn("distance", vectors.cosine(F.col("vector"), literal))
+
+
+def sample_queries(points: DataFrame, n: int) -> DataFrame:
+    """The first n points by key as query vectors."""
+    return points.orderBy("key").limit(n).select(F.col("key").alias("query_id"), F.col("vector").alias("query"))

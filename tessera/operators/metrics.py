@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +160,29 @@ def failure_rate(df: DataFrame, ts_seconds: str, failed: Column, window_s: int,
 def breaker_trips(df: DataFrame, min_calls: int, rate: float, failures: int) -> DataFrame:
     """Rows at which a breaker would open: enough failures, or a high rate over enough calls."""
     return df.withColumn("open", (F.col("failures") >= failures) | ((F.col("calls") >= min_calls) & (F.col("failure_rate") >= rate)))
+
+
+def filter_stats(runs: DataFrame, groups: list[str], latency: str = "latency", results: str = "results") -> DataFrame:
+    """Mean of the latencies above 0 and mean number of results."""
+    return runs.groupBy(*groups).agg(F.avg(F.when(F.col(latency) > 0, F.col(latency))).alias("avg_latency"), F.avg(results).alias("avg_results"))
+
+
+def ranked_by_recall(runs: DataFrame, recall: str, latency: str, tie: str) -> DataFrame:
+    """rank from 1: by recall to two digits, the lower latency first among equals."""
+    order = [F.desc(F.round(recall, 2)), F.col(latency), F.col(tie)]
+    return runs.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def slowest(rows: DataFrame, by: str, ties: list[str], n: int = 5) -> DataFrame:
+    return rows.orderBy(F.desc(by), *ties).limit(n)
+
+
+def code_histogram(rows: DataFrame, code: str) -> DataFrame:
+    """Rows per code, the most frequent first."""
+    return rows.groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code)
+
+
+def combinations(rows: DataFrame, *columns: str) -> DataFrame:
+    """Every combination of the columns' distinct values: the series that gap filling wants."""
+    found = [rows.select(c).distinct() for c in columns]
+    return reduce(DataFrame.crossJoin, found)

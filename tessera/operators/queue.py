@@ -61,3 +61,11 @@ def keep_newest(files: DataFrame, n: int, mtime: str, tie: str) -> DataFrame:
     """Files beyond the newest n."""
     kept = files.select(tie).join(files.orderBy(F.desc(mtime), tie).limit(n).select(F.col(tie).alias("_k")), F.col(tie) == F.col("_k"), "left_anti")
     return files.join(kept, tie, "left_semi")
+
+
+def due(queue: DataFrame, now: Column, n: int, base_s: int = 30) -> DataFrame:
+    """Pending rows whose retry time has come, the earliest first. retry_at: created_at plus the delay of their retries (none for the first try)."""
+    wait = F.when(F.col("retry_count") > 0, retry_delay_s(F.col("retry_count") - 1, base_s=base_s)).otherwise(0.0)
+    at = F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + (wait * 1_000_000).cast("long"))
+    ready = queue.where(F.col("status") == PENDING).withColumn("retry_at", at).where(F.col("retry_at") <= now)
+    return ready.orderBy("retry_at", "key").limit(n)

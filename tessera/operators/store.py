@@ -1,12 +1,15 @@
 """A collection of keyed vectors: pure plan functions, and VectorTable, which keeps one as Parquet versions.
 
-Rows are (key STRING, vector ARRAY<FLOAT>, metadata STRUCT). Every write makes a new version folder and then moves
-the pointer file to it, so readers see whole versions and a failed write leaves the last one.
+Rows are (key STRING, vector ARRAY<FLOAT>, metadata STRUCT). A version is a base folder and the deltas written since, in order. A
+write adds one folder and then publishes a numbered version file, which must not exist yet: readers see whole versions, a
+failed write leaves the last one, and of two writers at once one fails. Folders are deleted by `vacuum` alone.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,54 +103,125 @@ def rekey(table: DataFrame, id_column: str, key_column: str) -> DataFrame:
     return table.where(F.col(id_column).cast("string") != F.col(key_column)).withColumn(id_column, point_id(F.col(key_column)))
 
 
+def keys(table: DataFrame, key: str, limit: int, after=None) -> DataFrame:
+    """A page of keys in order; no vectors are read."""
+    return scroll(table.select(key), key, limit, after)
+
+
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
+def point_ref(key: Column) -> Column:
+    """struct(id, uuid, key): a number, a UUID (in lower case) or neither; the key itself stays as it is."""
+    return F.struct(point_id(key).alias("id"), F.when(key.rlike(UUID), F.lower(key)).alias("uuid"), key.alias("key"))
+
+
+class Conflict(RuntimeError):
+    """Another writer published the version first."""
+
+
 class VectorTable:
+    #: Deltas that are folded into a new base when they are so many.
+    COMPACT = 32
+
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
+    def versions(self) -> list[int]:
+        at = self._path(f"{self.path}/_versions")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
+    def _manifest(self, version: int) -> dict | None:
+        """None for a version file that a crash cut off."""
+        lines = self.spark.read.text(f"{self.path}/_versions/{version:012d}", wholetext=True).collect()
+        try:
+            return json.loads(lines[0][0]) if lines else None
+        except ValueError:
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
-    def read(self) -> DataFrame:
-        current = self._current()
+    def _current(self) -> dict | None:
+        for version in reversed(self.versions()):
+            found = self._manifest(version)
+            if found:
+                return found | {"version": version}
+        return None
+
+    def _publish(self, base: str, deltas: list[str]) -> None:
+        version = max(self.versions(), default=0) + 1
+        try:
+            out = self._fs.create(self._path(f"{self.path}/_versions/{version:012d}"), False)
+        except Exception as e:
+            raise Conflict(f"version {version} of {self.path} is there already") from e
+        out.write(bytearray(json.dumps({"base": base, "deltas": deltas}).encode()))
+        out.close()
+
+    def _add(self, df: DataFrame, kind: str) -> str:
+        """Rows sorted by key, with bloom filters on it, so lookups skip files and row groups."""
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        df.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _checked(self, df: DataFrame) -> DataFrame:
+        if df.where(~vectors.is_valid(F.col("vector"), self.dim)).limit(1).count():
+            raise ValueError(f"vectors must have {self.dim} finite components")
+        return df
+
+    def read(self, version: int | None = None) -> DataFrame:
+        current = self._current() if version is None else self._manifest(version)
         if current is None:
             raise ValueError(f"{self.path} holds no collection")
-        return self.spark.read.parquet(f"{self.path}/{current}")
+        base = self.spark.read.parquet(f"{self.path}/{current['base']}")
+        if not current["deltas"]:
+            return base
+        parts = [self.spark.read.parquet(f"{self.path}/{d}").withColumn("_seq", F.lit(i)) for i, d in enumerate(current["deltas"])]
+        changes = latest(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "key", ["_seq"])
+        kept = base.join(changes.select("key"), "key", "left_anti")
+        return kept.unionByName(changes.where("not _deleted").select(*base.columns))
 
     def write(self, df: DataFrame) -> None:
-        if df.where(~vectors.is_valid(F.col("vector"), self.dim)).limit(1).count():
-            raise ValueError(f"vectors must have {self.dim} finite components")
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._path(f"{self.path}/NEXT"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        old = self._current()
-        self._fs.delete(self._path(f"{self.path}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.path}/NEXT"), self._path(f"{self.path}/CURRENT"))
-        if old:
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
+        """A whole new collection."""
+        self._publish(self._add(self._checked(df), "base"), [])
+
+    def _change(self, rows: DataFrame, deleted: bool) -> None:
+        current = self._current()
+        folder = self._add(rows.withColumn("_deleted", F.lit(deleted)), "delta")
+        self._publish(current["base"], [*current["deltas"], folder])
+        if len(current["deltas"]) + 1 >= self.COMPACT:
+            self.compact()
+
+    def compact(self) -> None:
+        self._publish(self._add(self.read(), "base"), [])
 
     def upsert(self, rows: DataFrame, order: list[str] | None = None) -> None:
-        columns = [c for c in rows.columns if c not in (order or []) or c in ("key", "vector", "metadata")]
+        """Costs what the rows cost; the collection isn't rewritten."""
+        rows = latest(rows, "key", order) if order else rows.dropDuplicates(["key"])
+        rows = self._checked(rows.drop(*[c for c in order or [] if c not in ("key", "vector", "metadata")]))
         if self._current() is None:
-            self.write((latest(rows, "key", order) if order else rows.dropDuplicates(["key"])).select(*columns))
+            self._publish(self._add(rows, "base"), [])
         else:
-            self.write(upsert(self.read(), rows, order=order))
+            self._change(rows, False)
 
     def delete(self, keys: DataFrame) -> None:
-        self.write(delete(self.read(), keys))
+        self._change(keys.select("key").distinct(), True)
 
     def replace_metadata(self, updates: DataFrame) -> None:
-        self.write(replace_metadata(self.read(), updates))
+        hit = self.read().join(updates.select("key"), "key", "left_semi")
+        self._change(replace_metadata(hit, updates), False)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete folders that the last `keep` versions don't use, and older version files; how many folders went. No reader of an older version may run."""
+        versions = self.versions()
+        used = {f for v in versions[-keep:] for m in [self._manifest(v)] if m for f in [m["base"], *m["deltas"]]}
+        gone = [f.getPath() for f in self._fs.listStatus(self._path(self.path)) if f.getPath().getName().startswith(("base-", "delta-")) and f.getPath().getName() not in used]
+        for path in [*gone, *(self._path(f"{self.path}/_versions/{v:012d}") for v in versions[:-keep])]:
+            self._fs.delete(path, True)
+        return len(gone)
 
     def __getattr__(self, name):
-        if name in ("exists", "stats", "scroll", "range_scroll", "lookup", "id_bounds"):
+        if name in ("exists", "stats", "scroll", "range_scroll", "lookup", "id_bounds", "keys"):
             return lambda *a, **b: globals()[name](self.read(), *a, **b)
         raise AttributeError(name)
 

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CLAUSES, BOUNDS = ("must", "should", "must_not"), ("gt", "gte", "lt", "lte")
-YEAR_2100, YEAR_2000 = 4102444800, 946684800
+#: Numbers above this (the start of 2100 in seconds) are milliseconds. Fixed value.
+MILLISECONDS_ABOVE = 4102444800
 _OPS: dict[str, Callable] = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v}
 _SYMBOL = {">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}
-_ISO = re.compile(r"\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?")
 
 
 def is_clause_dialect(spec: dict) -> bool:
@@ -66,24 +66,16 @@ def validate(spec: dict) -> None:
                 raise ValueError("range needs a bound")
 
 
-def _seconds(value) -> float:
-    if isinstance(value, str):
-        try:
-            when = datetime.fromisoformat(value.replace("Z", "+00:00"))
-            return (when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp()
-        except ValueError:
-            value = float(value)
-    return value // 1000 if value > YEAR_2100 else value
-
-
-def _looks_dated(value) -> bool:
-    if isinstance(value, str) and _ISO.match(value):
-        try:
-            datetime.fromisoformat(value.replace("Z", "+00:00"))
-            return True
-        except ValueError:
-            return False
-    return False
+def moment(bound: str | float) -> float | None:
+    """Epoch seconds of a range bound: ISO 8601 text (UTC unless it says otherwise), or a number of seconds or, where large, of milliseconds.
+    None for text that is no date."""
+    if not isinstance(bound, str):
+        return bound / 1000 if bound > MILLISECONDS_ABOVE else float(bound)
+    try:
+        at = datetime.fromisoformat(bound) if bound.count("-") >= 2 else None
+    except ValueError:
+        at = None
+    return at and (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp()
 
 
 class Compiler:
@@ -115,10 +107,10 @@ class Compiler:
             return column == F.lit(value) if same else F.lit(False)
         bounds = {b: item["range"][b] for b in BOUNDS if item["range"].get(b) is not None}
         timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
-        if timed or any(_looks_dated(v) for v in bounds.values()):
-            moment = column.cast("timestamp") if timed else F.try_to_timestamp(column)
-            at = F.unix_micros(moment) / 1_000_000
-            return reduce(Column.__and__, [_OPS[b](at, F.lit(float(_seconds(v)))) for b, v in bounds.items()])
+        if timed or any(isinstance(v, str) and moment(v) is not None for v in bounds.values()):
+            at = F.unix_micros(column.cast("timestamp") if timed else F.try_to_timestamp(column)) / 1_000_000
+            seconds = {b: moment(v) if moment(v) is not None else moment(float(v)) for b, v in bounds.items()}
+            return reduce(Column.__and__, [_OPS[b](at, F.lit(v)) for b, v in seconds.items()])
         number = column.cast("double") if isinstance(kind, T.NumericType) else column.try_cast("double")
         return reduce(Column.__and__, [_OPS[b](number, F.lit(float(v))) for b, v in bounds.items()])
 
@@ -148,3 +140,12 @@ def clean_needle(text: str) -> str:
 
 def where(df: DataFrame, spec: dict | None, prefix: str | None = None) -> DataFrame:
     return df.where(Compiler(df.schema, prefix).compile(spec))
+
+
+def cases(word: str, kind: tuple[str, object], number: tuple[str, float, float], flag: tuple[str, object], body: str) -> dict[str, dict | None]:
+    """Seven filters by name that a search is tried with: none, one value, either of two, a range, an exclusion, words in a text, and all together."""
+    one = {"key": kind[0], "match": {"value": kind[1]}}
+    span = {"key": number[0], "range": {"gte": number[1], "lt": number[2]}}
+    no = {"key": flag[0], "match": {"value": flag[1]}}
+    says = {"key": body, "match": {"text": word}}
+    return {"none": None, "value": {"must": [one]}, "either": {"should": [one, no]}, "range": {"must": [span]}, "exclusion": {"must_not": [no]}, "words": {"must": [says]}, "nested": {"must": [{"should": [one, says]}, span], "must_not": [no]}}

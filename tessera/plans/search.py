@@ -49,3 +49,18 @@ def search(points: DataFrame, vector: list[float] | None = None, term: str | Non
             raise ValueError("a term needs an embedder")
         vector = embedder.embed([term])[0].tolist()
     return knn(points, SearchQuery(vector, DEFAULT_K if k is None else k, DEFAULT_THRESHOLD if threshold is None else threshold, filter), key, column, prefix)
+
+
+def flattened(found: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Results as key, distance and the metadata's fields side by side; vectors stay behind."""
+    return found.select("key", "distance", f"{metadata}.*")
+
+
+def shaped(found: DataFrame, digits: int = 4) -> DataFrame:
+    """Results for people: the similarity with fixed digits and in percent."""
+    return found.select("key", F.format_number("distance", digits).alias("similarity"), F.concat(F.format_number(F.col("distance") * 100, 1), F.lit("%")).alias("percent"))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """Mean similarity and the best match."""
+    return found.agg(F.avg("distance").alias("avg_similarity"), F.max_by("key", F.struct("distance", F.lit(0))).alias("best"))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text, vectors
-from .operators import etl, knn, metrics, queue, store, threads
+from .operators import etl, imports, knn, metrics, queue, store, threads
 from .plans import filters
-from .plans.search import SearchQuery
+from .plans.search import SearchQuery, flattened, shaped, summary
 from .plans.search import knn as knn_one
+from .scratch import folder
 from .session import table
+from .sources import readers, sinks
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,10 +278,15 @@ def etl_missing_refs(s, d):
     return orders.join(have, "o_custkey", "left_anti").select("o_orderkey", "o_custkey").distinct()
 
 
-@query(f"""WITH c AS (SELECT length(text) AS n0, length({_CLEAN.format('text')}) AS n1 FROM documents), p AS (SELECT n0, least(n1, 1024) AS n1, n1 > 1024 AS t FROM c)
-SELECT count(*) AS n, round(avg(n0), 6) AS avg_original, round(avg(n1), 6) AS avg_processed, CAST(0 AS BIGINT) AS with_quotes, count(*) FILTER (WHERE t) AS truncated, round(avg(n0 - n1), 6) AS avg_reduction FROM p WHERE n1 > 0""")
+@query(f"""WITH {_POSTS}, c AS (SELECT id, parent, body, {_CLEAN.format('body')} AS m FROM posts),
+j AS (SELECT c.body, c.m, q.m AS q, c.m || chr(10) || '[quoted] ' || q.m AS pair FROM c LEFT JOIN c q ON c.parent = q.id),
+k AS (SELECT *, q IS NOT NULL AND regexp_matches(q, '\\S') AS quoted FROM j),
+p AS (SELECT length(body) AS n0, quoted, CASE WHEN quoted THEN length(pair) > 1024 ELSE length(m) > 1024 END AS t,
+  CASE WHEN NOT quoted THEN least(length(m), 1024) WHEN length(pair) <= 1024 THEN length(pair) ELSE least(length(m), 716) + 10 + least(length(q), 295) + 3 END AS n1 FROM k)
+SELECT count(*) AS n, round(avg(n0), 6) AS avg_original, round(avg(n1), 6) AS avg_processed, count(*) FILTER (WHERE quoted) AS with_quotes, count(*) FILTER (WHERE t) AS truncated, round(avg(n0 - n1), 6) AS avg_reduction FROM p WHERE n1 > 0""")
 def etl_output_stats(s, d):
-    out = etl.output_stats(etl.processed(table(s, d, "documents"), "text"), "text", "content")
+    posts = etl.with_quoted(_posts(s, d), "id", "parent", "body", "turn")
+    out = etl.output_stats(etl.processed(posts, "body", "quoted_text"), "body", "content")
     return out.select("n", *[F.round(c, 6).alias(c) if c.startswith("avg") else F.col(c) for c in out.columns[1:]])
 
 
@@ -536,13 +543,13 @@ def agg_alerts(s, d):
 @query("SELECT d.lang, s.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM documents) d CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents WHERE n_chars > 4000 GROUP BY ALL) c USING (lang, source)")
 def agg_gap_fill(s, d):
     docs = table(s, d, "documents")
-    series = docs.select("lang").distinct().crossJoin(docs.select("source").distinct())
+    series = metrics.combinations(docs, "lang", "source")
     return metrics.filled(docs.where("n_chars > 4000").groupBy("lang", "source").agg(F.count("*").alias("n")), series, ["lang", "source"], "n")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC")
 def agg_status_histogram(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return metrics.code_histogram(table(s, d, "events"), "event_type")
 
 
 @query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS successes, count(*) FILTER (WHERE event_type = 'error') AS errors, round(count(*) FILTER (WHERE event_type <> 'error') / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events")
@@ -570,7 +577,7 @@ def rank_recommendations(s, d):
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 5")
 def rank_top_slowest(s, d):
-    rows = table(s, d, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(5)
+    rows = metrics.slowest(table(s, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"])
     return rows.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 6).alias("price"))
 
 
@@ -629,8 +636,6 @@ def io_json_props(s, d):
 
 @query("SELECT vec_id AS key, label, round(embedding[1]::DOUBLE, 6) AS v0, round(embedding[64]::DOUBLE, 6) AS v63 FROM embeddings")
 def io_wide_vectors(s, d):
-    from .sources import readers, sinks
-
     back = readers.wide_vectors(sinks.wide(_points(s, d), DIM))
     return back.select("key", "label", F.round(F.col("vector")[0].cast("double"), 6).alias("v0"), F.round(F.col("vector")[63].cast("double"), 6).alias("v63"))
 
@@ -652,8 +657,6 @@ def rank_config_variants(s, d):
 
 @query("SELECT doc_id, arg_max(v, f) AS metadata FROM (SELECT doc_id, lang AS v, 0 AS f FROM documents UNION ALL SELECT doc_id, CAST(quality AS VARCHAR), 1 FROM labels) GROUP BY doc_id")
 def io_merged_metadata(s, d):
-    from .sources import readers
-
     a = table(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("metadata"), F.lit(0).alias("file"))
     b = table(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("string").alias("metadata"), F.lit(1).alias("file"))
     return readers.merged_metadata(a.unionByName(b), ["file"]).select(F.col("key").alias("doc_id"), "metadata")
@@ -728,5 +731,328 @@ def vec_similarity_literal(s, d):
 def search_summary(s, d):
     """Mean similarity and best match of a search."""
     vector = _points(s, d).where("key = 0").first()["vector"]
-    found = knn_one(_points(s, d), SearchQuery(vector, K))
-    return found.agg(F.round(F.avg("distance"), 6).alias("avg_similarity"), F.max_by("key", "distance").alias("best"))
+    out = summary(knn_one(_points(s, d), SearchQuery(vector, K)))
+    return out.select(F.round("avg_similarity", 6).alias("avg_similarity"), "best")
+
+
+# ---- round trips: written to a scratch folder and read back ----
+
+
+def _collection(s, d):
+    """Points with a metadata struct, as exports have them."""
+    return _points(s, d).select(F.col("key").cast("string").alias("key"), "vector", F.struct("label").alias("metadata"))
+
+
+_BACK = "SELECT CAST(vec_id AS VARCHAR) AS key, label, round(embedding[1]::DOUBLE, 6) AS v0, round(embedding[64]::DOUBLE, 6) AS v63 FROM embeddings"
+
+
+def _ends(df, label):
+    return df.select("key", label.alias("label"), F.round(F.col("vector")[0].cast("double"), 6).alias("v0"), F.round(F.col("vector")[63].cast("double"), 6).alias("v63"))
+
+
+@query(_BACK)
+def io_export_parquet(s, d):
+    at = folder(s)
+    sinks.export_parquet(_collection(s, d), at, "small", "zstd")
+    return _ends(readers.parquet(s, at), F.get_json_object("metadata", "$.label").cast("int"))
+
+
+@query(_BACK)
+def io_export_jsonl(s, d):
+    at = folder(s)
+    sinks.export_jsonl(_collection(s, d), at, "gzip")
+    return _ends(readers.jsonl(s, at, "key string, vector array<float>, metadata struct<label:int>"), F.col("metadata.label"))
+
+
+@query(_BACK)
+def io_export_csv(s, d):
+    at = folder(s)
+    sinks.export_csv(_collection(s, d), at, DIM)
+    back = s.read.options(header=True, escape='"').csv(at).withColumn("vector", F.array(*[F.col(f"dim_{i}").cast("float") for i in range(DIM)]))
+    return _ends(back, F.get_json_object("metadata", "$.label").cast("int"))
+
+
+@query(_BACK)
+def io_npy(s, d):
+    at = folder(s)
+    index = sinks.npy(_collection(s, d), at, 300)
+    kept = folder(s)
+    index.write.parquet(kept)
+    place = F.regexp_extract("part", "([^/]+)$", 1)
+    keys = s.read.parquet(kept).select(place.alias("part"), "pos", "key", "metadata")
+    return _ends(readers.npy(s, at).withColumn("part", place).join(keys, ["part", "pos"]), F.get_json_object("metadata", "$.label").cast("int"))
+
+
+@query(_BACK)
+def io_convert_ndjson(s, d):
+    raw, at = folder(s), folder(s)
+    sinks.export_jsonl(_collection(s, d), raw, "gzip")
+    sinks.convert_ndjson(readers.jsonl(s, raw, "key string, vector array<double>, metadata struct<label:int>"), at)
+    return _ends(readers.parquet(s, at), F.col("metadata.label"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, format('batch_{:04d}', CAST((row_number() OVER (ORDER BY doc_id) - 1) // 200 AS INTEGER)) AS batch_file FROM documents")
+def io_batch_files(s, d):
+    at = folder(s)
+    sinks.batch_files(etl.batched(table(s, d, "documents").select("doc_id"), ["doc_id"], 200), at)
+    return s.read.schema("doc_id long, row_index long, batch_file string").json(at)
+
+
+@query("SELECT format('batch_{:04d}', CAST(r // 200 AS INTEGER)) AS batch_file, count(*) AS n, min(doc_id) AS first_key, max(doc_id) AS last_key FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) GROUP BY 1")
+def io_manifest(s, d):
+    at = folder(s)
+    sinks.manifest(etl.batched(table(s, d, "documents").select("doc_id"), ["doc_id"], 200), "doc_id", at)
+    return s.read.schema("batch_file string, n long, first_key long, last_key long").json(at)
+
+
+@query("SELECT DISTINCT format('batch_{:04d}', CAST(r // 200 AS INTEGER)) AS batch_file FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE doc_id % 1000 <> 7 AND doc_id % 3 <> 0")
+def io_progress_resume(s, d):
+    """Two runs append their progress; what neither stored is pending."""
+    at = folder(s)
+    batches = etl.batched(table(s, d, "documents").select("doc_id"), ["doc_id"], 200)
+    for rest in (F.col("doc_id") % 1000 == 7, F.col("doc_id") % 3 == 0):
+        sinks.progress(etl.progress_rows(batches.where(rest), "doc_id", F.lit(True), F.lit(True)), at)
+    return etl.pending_batches(batches.withColumnRenamed("doc_id", "key"), s.read.parquet(at), "key")
+
+
+@query("SELECT DISTINCT concat('source=', source, ', lang=', lang) AS line FROM documents")
+def io_distinct_lines(s, d):
+    at = folder(s)
+    sinks.distinct_lines(table(s, d, "documents"), at, "source", "lang")
+    return s.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("SELECT doc_id AS key, coalesce(CAST(quality AS VARCHAR), source) AS metadata FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id)")
+def io_rewrite_metadata(s, d):
+    at = folder(s)
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("metadata"))
+    sinks.rewrite_metadata(docs, table(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("string").alias("metadata")), at)
+    return s.read.parquet(at)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) || '_m' || CAST(page_id % 7 AS VARCHAR) AS key, url AS media_url FROM pages WHERE url <> ''")
+def io_media_csv(s, d):
+    """Quoted values with commas and quotes, blanks around, rows without a url."""
+    at = folder(s)
+    pages = table(s, d, "pages")
+    rows = pages.select(F.concat(F.lit("m"), (F.col("page_id") % 7).cast("string")).alias("media_id"), F.concat(F.lit(" "), F.col("page_id").cast("string")).alias("tweet_id"), F.col("url").alias("media_url"), F.lit('a "b", c').alias("media_type"), *[F.lit("1").alias(c) for c in ("width", "height", "archive_upload_id", "updated_at")])
+    rows.unionByName(rows.limit(20).withColumn("media_url", F.lit(None).cast("string"))).write.options(header=True, quote='"', escape='"').csv(at)
+    return readers.media_rows(s, at).select("key", "media_url")
+
+
+@query("SELECT count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents")
+def io_text_stats(s, d):
+    """A JSONL text store with broken lines."""
+    at = folder(s)
+    texts = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", F.timestamp_seconds("doc_id").alias("created_at"))
+    lines = texts.select(F.to_json(F.struct("key", "text", "created_at")).alias("value"))
+    lines.unionByName(s.createDataFrame([("{broken",), ("",)], "value string")).write.text(at)
+    return readers.text_stats(readers.jsonl(s, at, readers.TEXTS)).select("n", "bytes")
+
+
+def _texts(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text", F.timestamp_seconds("doc_id").alias("created_at"))
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS key, length(d.text) AS n FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1")
+def text_store_lookup(s, d):
+    asked = table(s, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("key"))
+    return readers.text_lookup(_texts(s, d), asked).select("key", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) AS found FROM labels")
+def text_store_exists(s, d):
+    asked = table(s, d, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    return readers.text_exists(_texts(s, d).where("key % 2 = 0"), asked)
+
+
+@query("SELECT event_type AS model, event_id AS id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events) WHERE r <= 40")
+def io_recent_calls(s, d):
+    at = folder(s)
+    calls = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("p").alias("provider"), F.col("event_type").alias("model"), F.col("user_id").alias("inputTokens"), F.lit(64).alias("outputDimension"), F.col("value").alias("latencyMs"), F.lit(True).alias("success"))
+    calls.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(at)
+    return readers.recent_calls(s, at, 40).select("model", F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT state, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'other' END AS state, strlen(url) AS b FROM pages WHERE url IS NOT NULL) GROUP BY state")
+def io_queue_files(s, d):
+    """States of a folder listing, by name."""
+    name = F.when(F.col("page_id") % 3 == 0, "x.pending.parquet").when(F.col("page_id") % 3 == 1, "y.failed.parquet").otherwise("z.parquet")
+    files = table(s, d, "pages").where("url is not null").select(F.concat(F.lit("/q/"), name).alias("path"), F.octet_length("url").cast("long").alias("length"))
+    return readers.queue_files(files)
+
+
+@query("SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes, arg_min(doc_id, n_chars * 1000000 + doc_id) AS oldest, arg_max(doc_id, n_chars * 1000000 + doc_id) AS newest FROM documents")
+def io_queue_span(s, d):
+    files = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("length"), F.timestamp_seconds("n_chars").alias("modificationTime"))
+    return readers.queue_span(files)
+
+
+@query("SELECT sha256(replace(text, chr(10), ' ') || chr(10)) AS sha256, count(*) AS n FROM (SELECT text FROM documents WHERE doc_id < 20) GROUP BY 1")
+def io_file_hashes(s, d):
+    """Files of one text each; their hashes and how many files have them."""
+    at = folder(s)
+    for_files = table(s, d, "documents").where("doc_id < 20").select(F.regexp_replace("text", "\n", " ").alias("text"), "doc_id")
+    for_files.write.partitionBy("doc_id").text(at)
+    found = readers.file_hashes(s, f"{at}/*/*.txt")
+    return found.groupBy("sha256").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error' AND event_id % 2 = 1")
+def io_failed_items(s, d):
+    at = folder(s)
+    bad = table(s, d, "events").where("event_type = 'error'")
+    for half in (0, 1):
+        sinks.failed_items(bad.where(F.col("event_id") % 2 == half).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), at)
+    return s.read.option("header", True).schema("user_id long, day string").csv(at)
+
+
+@query("SELECT event_type, format('{:.2f}', round(avg(value), 2)) AS avg_value, count(*) AS n FROM events GROUP BY 1")
+def io_report_table(s, d):
+    at = folder(s)
+    rows = table(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 2).alias("avg_value"), F.count("*").alias("n"))
+    sinks.report_table(rows, at, {"avg_value": 2})
+    return s.read.option("header", True).schema("event_type string, avg_value string, n long").csv(f"{at}/csv")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS key, label, vec_id % 4 = 0 AS renewed FROM embeddings WHERE vec_id % 10 <> 3")
+def io_bulk_import(s, d):
+    """Exports, then a later one, go into a collection; deletes and a compaction follow."""
+    a, b, at = folder(s), folder(s), folder(s)
+    points = _points(s, d).select(F.col("key").cast("string").alias("key"), "vector", F.struct("label", F.lit(False).alias("renewed")).alias("metadata"))
+    points.write.parquet(f"{a}/1")
+    again = points.where("key % 4 = 0").withColumn("metadata", F.struct("metadata.label", F.lit(True).alias("renewed")))
+    again.unionByName(again.limit(3).withColumn("vector", F.array(F.lit(1.0).cast("float")))).write.parquet(f"{b}/2")
+    to = store.VectorTable(s, at, DIM)
+    imports.bulk_import(s, [f"{a}/1"], to)
+    imports.bulk_import(s, [f"{b}/2"], to)
+    to.delete(points.where("key % 10 = 3").select("key"))
+    to.compact()
+    return to.read().select("key", "metadata.label", "metadata.renewed")
+
+
+@query("SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS n, round(avg(n), 6) AS avg_rows, round(sum(ok) / sum(n), 6) AS share FROM (SELECT label AS file, count(*) AS n, count(*) FILTER (WHERE vec_id % 7 <> 0) AS ok FROM embeddings GROUP BY 1)")
+def io_import_profile(s, d):
+    points = _points(s, d)
+    rows = imports.importable(points.withColumn("key", F.when(F.col("key") % 7 == 0, "").otherwise(F.col("key").cast("string"))), DIM)
+    out = imports.profile_summary(imports.profile(rows.withColumn("_file", F.col("label").cast("string"))))
+    return out.select("files", "n", F.round("avg_rows", 6).alias("avg_rows"), F.round("share", 6).alias("share"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S') AND doc_id % 5 = 0")
+def embed_and_store(s, d):
+    to = store.VectorTable(s, folder(s), DIM)
+    imports.generate_and_store(table(s, d, "documents").where("doc_id % 5 = 0"), "doc_id", "text", to)
+    return to.read().select("key", F.length("metadata.text").cast("long").alias("n"))
+
+
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS id_text, CASE WHEN page_id % 2 = 0 THEN page_id END AS id, CASE WHEN page_id % 2 = 1 THEN format('{:08x}-0000-0000-0000-00000000abcd', page_id) END AS uuid FROM pages")
+def id_point_ref(s, d):
+    pages = table(s, d, "pages")
+    key = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise(F.concat(F.lpad(F.lower(F.hex("page_id")), 8, "0"), F.lit("-0000-0000-0000-00000000ABCD")))
+    out = imports.referenced(pages.withColumn("key", key), "key")
+    return out.select("page_id", F.col("page_id").cast("string").alias("id_text"), "ref.id", "ref.uuid")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id > 30 ORDER BY vec_id LIMIT 40")
+def store_keys_page(s, d):
+    return store.keys(table(s, d, "embeddings"), "vec_id", 40, 30)
+
+
+@query("SELECT vec_id AS query_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings ORDER BY vec_id LIMIT 12")
+def knn_sample_queries(s, d):
+    return knn.sample_queries(_points(s, d), 12).select("query_id", F.round(F.col("query")[0].cast("double"), 6).alias("first"))
+
+
+@query(f"SELECT p.vec_id AS key, round({_COS}, 6) AS distance, p.label, p.vec_id % 3 AS third FROM embeddings p, embeddings q WHERE q.vec_id = 20 ORDER BY {_COS} DESC, p.vec_id LIMIT 10")
+def search_flattened(s, d):
+    points = _points(s, d).withColumn("metadata", F.struct("label", (F.col("key") % 3).alias("third")))
+    vector = points.where("key = 20").first()["vector"]
+    return flattened(knn_one(points, SearchQuery(vector, K))).select("key", F.round("distance", 6).alias("distance"), "label", "third")
+
+
+@query(f"SELECT p.vec_id AS key, format('{{:.4f}}', round({_COS}, 4)) AS similarity FROM embeddings p, embeddings q WHERE q.vec_id = 20 AND p.label = 3 ORDER BY {_COS} DESC, p.vec_id LIMIT 10")
+def search_prefixed_shape(s, d):
+    """Filter keys below a prefix, results shaped for people."""
+    points = _points(s, d).withColumn("metadata", F.struct("label"))
+    vector = points.where("key = 20").first()["vector"]
+    found = knn_one(points, SearchQuery(vector, K, None, {"must": [{"key": "label", "match": {"value": 3}}]}), prefix="metadata")
+    return shaped(found).select("key", "similarity")
+
+
+_CASES = "CASE name WHEN 'none' THEN true WHEN 'value' THEN lang = 'en' WHEN 'either' THEN lang = 'en' OR source = 'src0' WHEN 'range' THEN n_chars >= 500 AND n_chars < 5000 WHEN 'exclusion' THEN source <> 'src0' WHEN 'words' THEN contains(lower(text), 'the') ELSE (lang = 'en' OR contains(lower(text), 'the')) AND n_chars >= 500 AND n_chars < 5000 AND source <> 'src0' END"
+
+
+@query(f"SELECT name, count(*) AS n FROM documents, (VALUES ('none'), ('value'), ('either'), ('range'), ('exclusion'), ('words'), ('nested')) AS t(name) WHERE {_CASES} GROUP BY name")
+def filter_cases(s, d):
+    docs = table(s, d, "documents")
+    every = filters.cases("The", ("lang", "en"), ("n_chars", 500, 5000), ("source", "src0"), "text")
+    counts = F.array(*[F.struct(F.lit(k).alias("name"), F.count_if(filters.Compiler(docs.schema).compile(v)).alias("n")) for k, v in every.items()])
+    return docs.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(range(1, 65, 2), lambda i: 4 * CASE WHEN abs(embedding[i]) >= 0.1::FLOAT AND abs(embedding[i + 1]) >= 0.1::FLOAT THEN 1 ELSE 0 END + 2 * CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END + CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS code_sum FROM embeddings")
+def vec_pair_bits(s, d):
+    codes = vectors.pair_bits(F.col("embedding"), F.lit(0.1).cast("float"))
+    return table(s, d, "embeddings").select("vec_id", F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+@query("SELECT p.conv_id, p.turn, length(q.text) AS n FROM conversations p LEFT JOIN conversations q ON p.conv_id = q.conv_id AND q.turn = p.turn - 2")
+def thread_quoted_inside(s, d):
+    posts = table(s, d, "conversations").withColumn("asked", F.col("turn") - 2)
+    out = etl.quoted_in_conversation(posts, "conv_id", "turn", "asked", "text", "text")
+    return out.select("conv_id", "turn", F.length("quoted_text").cast("long").alias("n"))
+
+
+@query("SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, CAST(label AS INTEGER) AS label, [CAST(vec_id AS VARCHAR), CAST(vec_id + 1 AS VARCHAR)] AS both FROM embeddings")
+def etl_sanitized(s, d):
+    rows = table(s, d, "embeddings").withColumn("m", F.struct(F.col("vec_id").alias("id"), "label", F.array("vec_id", F.col("vec_id") + 1).alias("both")))
+    out = rows.withColumn("m", etl.sanitized(F.col("m"), rows.schema["m"].dataType))
+    return out.select("vec_id", "m.id", "m.label", "m.both")
+
+
+@query(f"WITH {_QUEUE} SELECT key, CAST(epoch_us(created_at) + CASE WHEN retry_count > 0 THEN 30000000 * pow(2, retry_count - 1) ELSE 0 END AS BIGINT) AS us FROM q WHERE status = 'pending' AND epoch_us(created_at) + CASE WHEN retry_count > 0 THEN 30000000 * pow(2, retry_count - 1) ELSE 0 END <= epoch_us(TIMESTAMP '2024-01-05 00:00:00') ORDER BY us, key LIMIT 60")
+def queue_due(s, d):
+    out = queue.due(_queue(s, d), F.to_timestamp(F.lit("2024-01-05 00:00:00")), 60)
+    return out.select("key", F.unix_micros("retry_at").alias("us"))
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value > 0 THEN value END), 6) AS avg_latency, round(avg(user_id), 6) AS avg_results FROM (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 0 ELSE value END AS value, user_id FROM events) GROUP BY 1")
+def agg_filter_stats(s, d):
+    runs = table(s, d, "events").select("event_type", F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.col("value")).alias("latency"), F.col("user_id").alias("results"))
+    out = metrics.filter_stats(runs, ["event_type"])
+    return out.select("event_type", F.round("avg_latency", 6).alias("avg_latency"), F.round("avg_results", 6).alias("avg_results"))
+
+
+@query("SELECT u AS config, CAST(row_number() OVER (ORDER BY round(r, 2) DESC, l, u) AS INTEGER) AS rank FROM (SELECT user_id AS u, count(*) FILTER (WHERE event_type <> 'error') / count(*) AS r, sum(event_id) AS l FROM events GROUP BY 1)")
+def rank_by_recall(s, d):
+    runs = table(s, d, "events").groupBy(F.col("user_id").alias("config")).agg((F.count_if(F.col("event_type") != "error") / F.count("*")).alias("r"), F.sum("event_id").alias("l"))
+    return metrics.ranked_by_recall(runs, "r", "l", "config").select("config", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
+def io_row_count(s, d):
+    return s.range(1).select(F.lit(readers.row_count(s, f"{d}/documents.parquet")).cast("long").alias("n"))
+
+
+def _recall(found, truth):
+    return knn.recall_at_k(found, truth, K).select((F.col("recall") >= 0.9).alias("enough"), "n_queries")
+
+
+_ENOUGH = "SELECT true AS enough, count(*) AS n_queries FROM embeddings WHERE vec_id % 20 = 0"
+
+
+@query(_ENOUGH)
+def ann_cells_recall(s, d):
+    """Whether the cells' answers hold nine tenths of the true neighbours."""
+    return _recall(ann_cells(s, d), knn.knn_batched(_points(s, d), _asked(s, d), K))
+
+
+@query(_ENOUGH)
+def ann_product_codes_recall(s, d):
+    return _recall(ann_product_codes(s, d), knn.knn_batched(_points(s, d), _asked(s, d), K))
+
+
+@query(_ENOUGH)
+def knn_two_phase_recall(s, d):
+    return _recall(knn.knn_two_phase(_points(s, d), _asked(s, d), DIM, K, OVERSAMPLING), knn.knn_batched(_points(s, d), _asked(s, d), K))

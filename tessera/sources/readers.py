@@ -60,6 +60,34 @@ def queue_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.when(state == "", "other").otherwise(state).alias("state")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
+def queue_span(files: DataFrame) -> DataFrame:
+    """Files, bytes, and the oldest and newest by time (ties by path)."""
+    at = F.struct("modificationTime", "path")
+    return files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min_by("path", at).alias("oldest"), F.max_by("path", at).alias("newest"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of a folder's files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def row_count(spark: SparkSession, *paths: str) -> int:
+    """Rows by the Parquet footers."""
+    return spark.read.parquet(*paths).count()
+
+
+def text_lookup(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored texts of the asked keys; of repeated keys the last by time."""
+    hit = texts.join(keys.select("key").distinct(), "key", "left_semi")
+    return hit.groupBy("key").agg(F.max_by(F.struct(*[c for c in texts.columns if c != "key"]), F.struct("created_at", "text")).alias("t")).select("key", "t.*")
+
+
+def text_exists(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each asked key with `found`."""
+    hit = texts.select("key").distinct().withColumn("_hit", F.lit(True))
+    return keys.select("key").join(hit, "key", "left").select("key", F.coalesce("_hit", F.lit(False)).alias("found"))
+
+
 def recent_calls(spark: SparkSession, path: str, n: int) -> DataFrame:
     return jsonl(spark, path, CALLS).orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
 

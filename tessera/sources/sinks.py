@@ -101,3 +101,31 @@ def report(stats: DataFrame, title: str) -> str:
     row = stats.first().asDict()
     cards = "".join(f"<tr><th>{html.escape(k)}</th><td>{html.escape(str(v))}</td></tr>" for k, v in row.items())
     return f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{cards}</table>"
+
+
+def report_table(rows: DataFrame, path: str, decimals: dict[str, int], mode: str = "errorifexists") -> None:
+    """A benchmark report as CSV with fixed decimals, and the same rows as JSON beside it."""
+    fixed = rows.select(*[F.format_string(f"%.{decimals[c]}f", F.col(c).cast("double")).alias(c) if c in decimals else F.col(c) for c in rows.columns])
+    fixed.write.mode(mode).option("header", True).csv(f"{path}/csv")
+    rows.write.mode(mode).json(f"{path}/json")
+
+
+def failed_items(rows: DataFrame, path: str) -> None:
+    """Append what failed, one CSV line each."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def manifest(batches: DataFrame, key: str, path: str, mode: str = "overwrite") -> None:
+    from ..operators.etl import manifest as of
+
+    of(batches, key).write.mode(mode).json(path)
+
+
+def progress(rows: DataFrame, path: str) -> None:
+    """Append progress rows; readers take a key as done once any row says so."""
+    rows.write.mode("append").parquet(path)
+
+
+def convert_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows read from compressed JSON lines as zstd Parquet, vectors as FLOAT arrays."""
+    df.withColumn("vector", F.col("vector").cast("array<float>")).write.mode(mode).option("compression", "zstd").parquet(path)

@@ -44,19 +44,21 @@ def clean() -> None:
             return
 
 
-#: Spark's setting that lets an execution's shuffle files go when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of scratch writes: shuffle files go when an execution has ended, and Arrow batches, of which an executor holds several, are small.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write df to a scratch folder and read it back: cuts the lineage and survives lost executors. Its shuffle files go when it is written."""
     spark = df.sparkSession
-    path, before = folder(spark), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = folder(spark), {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

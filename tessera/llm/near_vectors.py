@@ -10,8 +10,9 @@ Dense groups are drawn together first, so that no group's pairs are all listed:
 meets the smallest vec_id of its region, and joins it as a ball's centre if their angle is at most half the linking
 angle; members of a ball all link with each other. On the lines, a ball's members of one region are one interval from the
 least to the greatest of their values, so every member takes part: balls collide where members would, and colliding balls
-are verified by their centres' angle with the slack of their radii. Links are then counted exactly inside each group of touching balls, in blocks of about BLOCK vectors by
-BLOCK; the blocks yield counts and one edge per vector, not pairs.
+are verified by their centres' angle with the slack of their radii. Links are then counted exactly across each pair of balls that touch,
+in blocks of about BLOCK vectors by BLOCK; they yield counts and one edge per vector, not pairs. Equal vectors
+are one from the start, with their number as weight.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths don't link; null ids and repeated ids: rows of a null id link with nothing, rows that repeat an id
@@ -137,80 +138,70 @@ def _cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _count(cosine: float):
-    """One block pair (rows with block, vec_id, unit): each vector's links across it and the smallest vec_id it reaches."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, a, b = (k.as_py() for k in key)
-        ids, block = np.asarray(table.column("vec_id")), np.asarray(table.column("block"))
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        p, q = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        links = x[p] @ x[q].T >= cosine
-        if a == b:
-            np.fill_diagonal(links, False)
-        far = np.iinfo(np.int64).max
-        least_p = np.where(links.any(1), np.where(links, ids[q][None], far).min(1), far) if len(q) else np.full(len(p), far)
-        if a == b:
-            out_ids, out_n, out_to = ids[p], links.sum(1), least_p
-        else:
-            least_q = np.where(links, ids[p][:, None], far).min(0) if len(p) else np.full(len(q), far)
-            out_ids, out_n, out_to = np.concatenate([ids[p], ids[q]]), np.concatenate([links.sum(1), links.sum(0)]), np.concatenate([least_p, least_q])
-        # One edge per vector and side isn't enough for connectedness where a row links to several components: close it here.
-        roots = _closed(links, a == b, ids[p], ids[q])
-        return pa.table({"vec_id": pa.array(out_ids, pa.int64()), "n": pa.array(out_n.astype(np.int64)), "root": pa.array(np.where(out_n > 0, roots, out_ids), pa.int64())})
-
-    return run
+    """Rows of two blocks (a, ids, weights, units and b, ids_b, ...) -> (vec_id, n, root): links across by weight, and the other ball's centre."""
 
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i in range(batch.num_rows):
+                (p, w, x), (q, v, y) = ((np.array(batch.column(f"ids{k}")[i].as_py(), np.int64), np.array(batch.column(f"weights{k}")[i].as_py(), np.int64), batch.column(f"units{k}")[i].values.to_pylist()) for k in ("", "_b"))
+                x, y = (np.frombuffer(b"".join(u), np.float64).reshape(len(u), -1) for u in (x, y))
+                links = x @ y.T >= cosine
+                for ids, n, root in ((p, links @ v, batch.column("b")[i].as_py()), (q, w @ links, batch.column("a")[i].as_py())):
+                    good = n > 0
+                    out.append((ids[good], n[good], np.full(good.sum(), root)))
+            columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["vec_id", "n", "root"])
 
-def _closed(links: np.ndarray, same: bool, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For the vectors of p (and q): the smallest id in their component of this block pair's links."""
-    label_p, label_q = p.copy(), (p if same else q).copy()
-    far = np.iinfo(np.int64).max
-    while True:
-        new_p = np.minimum(label_p, np.where(links, label_q[None], far).min(1, initial=far))
-        new_q = new_p if same else np.minimum(label_q, np.where(links, new_p[:, None], far).min(0, initial=far))
-        if (new_p == label_p).all() and (new_q == label_q).all():
-            return new_p if same else np.concatenate([new_p, new_q])
-        label_p, label_q = new_p, new_q
+    return run
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int = COLLISIONS, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = C.written(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"))
-    valid = C.written(rows.where("unit is not null and vec_id is not null").groupBy("vec_id").agg(F.min("unit").alias("unit")))
+    known = C.written(rows.where("unit is not null and vec_id is not null").groupBy("vec_id").agg(F.min("unit").alias("unit")))
+    valid = C.written(known.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
+    copied = C.written(valid.where("weight > 1").select("unit", F.col("vec_id").alias("rep")))
+    same = C.written(C.join_checked(known, copied, ["unit"], "left").select("vec_id", F.coalesce("rep", "vec_id").alias("rep")))
     n = valid.count()
     lines, bits = lines_needed(n, cosine, collisions, recall)
     half = math.acos(cosine) / 2
     hub_lines = min(HUB_LINES, lines)
+    units = valid.select("vec_id", "unit")
 
-    drawn = C.written(valid.mapInArrow(_lines(lines, bits, hub_lines, seed), _LINES).select("vec_id", "line", "region"))
+    drawn = C.written(units.mapInArrow(_lines(lines, bits, hub_lines, seed), _LINES).select("vec_id", "line", "region"))
     hubs = C.written(drawn.groupBy("line", "region").agg(F.min("vec_id").alias("b"), F.max("vec_id").alias("last")).where("b <> last").drop("last"))
     meets = C.join_checked(drawn, hubs, ["line", "region"], "inner").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b").distinct()
-    close = C.written(_cosine(meets, valid).where(F.col("cosine") >= math.cos(half)))
-    centres = valid.select("vec_id").join(close.select(F.col("a").alias("vec_id")).distinct(), "vec_id", "left_anti")
+    close = C.written(_cosine(meets, units).where(F.col("cosine") >= math.cos(half)))
+    centres = units.select("vec_id").join(close.select(F.col("a").alias("vec_id")).distinct(), "vec_id", "left_anti")
     ball = close.join(centres.withColumnRenamed("vec_id", "b"), "b").groupBy("a").agg(F.min_by(F.struct("b", "cosine"), "b").alias("c"))
     ball = C.written(ball.select(F.col("a").alias("vec_id"), F.col("c.b").alias("centre"), F.acos(F.least(F.col("c.cosine"), F.lit(1.0))).alias("angle")))
-    member = C.written(valid.join(ball, "vec_id", "left").select("vec_id", F.coalesce("centre", "vec_id").alias("centre"), F.coalesce("angle", F.lit(0.0)).alias("angle"), "unit"))
-    radius = C.written(member.groupBy("centre").agg(F.max("angle").alias("radius"), F.count("*").alias("held")))
+    member = C.written(valid.join(ball, "vec_id", "left").select("vec_id", F.coalesce("centre", "vec_id").alias("centre"), F.coalesce("angle", F.lit(0.0)).alias("angle"), "unit", "weight"))
+    radius = C.written(member.groupBy("centre").agg(F.max("angle").alias("radius"), F.count("*").alias("held"), F.sum("weight").alias("mass")))
 
     parts = member.select(F.col("centre").alias("vec_id"), "unit").mapInArrow(_lines(lines, bits, lines, seed), _LINES)
     balls = parts.groupBy("line", "region", "vec_id").agg(F.min("value").alias("value"), F.max("value").alias("high"))
     reach = WINDOW * math.sqrt(2 - 2 * cosine)
     spread = balls.repartition("line", "region").sortWithinPartitions("line", "region", "value", "vec_id")
     counted = C.written(spread.mapInArrow(_collisions(reach), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= collisions).select("a", "b"))
-    near = _cosine(counted, valid).join(radius.select(F.col("centre").alias("a"), F.col("radius").alias("ra")), "a").join(radius.select(F.col("centre").alias("b"), F.col("radius").alias("rb")), "b")
-    touching = C.written(near.where(F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) <= math.acos(cosine) + F.col("ra") + F.col("rb") + 1e-9).select("a", "b"))
-    groups = C.written(C.components(touching).toDF("centre", "component"))
-
-    of = C.join_checked(member.select("vec_id", "centre", "unit"), groups, ["centre"], "left").select("vec_id", F.coalesce("component", "centre").alias("grp"), "unit")
-    of = C.written(of)
-    sizes = C.written(of.groupBy("grp").count().where("count > 1").select("grp", F.ceil(F.col("count") / BLOCK).alias("blocks")))
-    blocks = C.join_checked(of, sizes, ["grp"], "inner").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    # Each block meets every block of its group once, itself included.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = blocks.withColumn("other", other).select("grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "vec_id", "unit")
-    found = C.written(pairs.groupBy("grp", "p", "q").applyInArrow(_count(cosine), "vec_id long, n long, root long"))
-    totals = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    linked = C.components(found.where("n > 0").select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).toDF("vec_id", "component_id")
-    out = rows.select("vec_id").join(totals, "vec_id", "left").join(linked, "vec_id", "left")
+    of = lambda k: radius.select(F.col("centre").alias(k), F.col("radius").alias(f"r{k}"), F.ceil(F.col("held") / BLOCK).alias(f"n{k}"))
+    near = _cosine(counted, units).join(of("a"), "a").join(of("b"), "b")
+    touching = near.where(F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) <= math.acos(cosine) + F.col("ra") + F.col("rb") + 1e-9)
+    # Members of a ball all link. Across balls that touch, each block of the one meets each of the other.
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{k}") - 1))
+    pairs = C.written(touching.withColumn("i", each("a")).withColumn("j", each("b")).select("a", "i", "b", "j"))
+    sized = C.join_checked(member, radius.select("centre", "held"), ["centre"], "inner").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("held") / BLOCK)))
+    r = F.collect_list(F.struct("vec_id", "weight", "unit"))
+    blocks = C.written(sized.groupBy("centre", "block").agg(r.alias("r")).select("centre", "block", F.col("r.vec_id").alias("ids"), F.col("r.weight").alias("weights"), F.col("r.unit").alias("units")))
+    second = blocks.toDF("b", "j", "ids_b", "weights_b", "units_b")
+    met = pairs.join(blocks.withColumnsRenamed({"centre": "a", "block": "i"}), ["a", "i"]).join(second, ["b", "j"])
+    across = met.select("a", "b", "ids", "weights", "units", "ids_b", "weights_b", "units_b").mapInArrow(_count(cosine), "vec_id long, n long, root long")
+    inside = member.join(radius.select("centre", "mass"), "centre").select("vec_id", (F.col("mass") - F.col("weight")).alias("n"), F.col("centre").alias("root"))
+    found = C.written(across.unionByName(inside))
+    totals = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    linked = C.components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).toDF("vec_id", "component")
+    classes = valid.select("vec_id", "weight").join(totals, "vec_id", "left").join(linked, "vec_id", "left")
+    classes = C.written(classes.select(F.col("vec_id").alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    out = rows.select("vec_id").join(same, "vec_id", "left").join(classes, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -15,7 +15,7 @@ from ..scratch import dropped, folder, written
 __all__ = ["dropped", "folder", "written"]
 
 #: Bytes of a lookup side that may be broadcast. They are counted first; beyond them a shuffle join is used.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Null and empty texts pass all stages up to mixing,
-which takes no words from them; empty tables stay empty; rows that repeat a doc_id leave the n-gram join once.
+which takes no words from them; empty tables stay empty; rows that repeat a doc_id and its text leave the n-gram join once;
+rows without a doc_id are documents like others, which no other is a copy of.
 """
 
 from __future__ import annotations

@@ -50,23 +50,29 @@ def combine(main: Column, quoted: Column | None = None, max_chars: int = MAX_CHA
     Overflowing pairs give the main text max(floor, share) of the room; the quoted text gets the rest if that is
     worth it and always ends in an ellipsis then.
     """
-    main = clean(main)
+    # Texts are cleaned once: inside the lambda they are values, not expressions that every use repeats.
+    nothing = F.lit(None).cast("string")
+    parts = F.struct(clean(main).alias("main"), (nothing if quoted is None else clean(quoted)).alias("quote"), (F.lit(True) if quoted is None else is_blank(quoted)).alias("alone"))
+    return F.get(F.transform(F.array(parts), lambda p: _combined(p["main"], p["quote"], p["alone"], quoted is not None, max_chars)), F.lit(0))
+
+
+def _combined(main: Column, quote: Column, is_alone: Column, quotes: bool, max_chars: int) -> Column:
     for_main = max(min(MAIN_FLOOR, max_chars), int(max_chars * MAIN_SHARE))
     for_quote = max_chars - for_main - len(QUOTE_MARK) - len(ELLIPSIS)
 
     def cut(text: Column, room: int) -> Column:
         return F.when(F.length(text) > room, F.concat(F.substring(text, 1, room - len(ELLIPSIS)), F.lit(ELLIPSIS))).otherwise(text)
 
-    alone = F.struct(cut(main, max_chars).alias("text"), F.lit(False).alias("has_quotes"), (F.length(main) > max_chars).alias("is_truncated"))
-    out = alone
-    if quoted is not None:
-        quote = clean(quoted)
-        both = F.concat(main, F.lit(QUOTE_MARK), quote)
-        short = F.concat(cut(main, for_main), F.lit(QUOTE_MARK), F.substring(quote, 1, max(for_quote, 0)), F.lit(ELLIPSIS)) if for_quote > QUOTE_MIN else cut(main, for_main)
-        fits = F.length(both) <= max_chars
-        pair = F.struct(F.when(fits, both).otherwise(short).alias("text"), (fits | F.lit(for_quote > QUOTE_MIN)).alias("has_quotes"), (~fits).alias("is_truncated"))
-        out = F.when(is_blank(quoted), alone).otherwise(pair)
-    return F.struct(out["text"].alias("text"), out["has_quotes"].alias("has_quotes"), out["is_truncated"].alias("is_truncated"), F.length(out["text"]).alias("n_chars"))
+    def shaped(text: Column, has_quotes: Column, truncated: Column) -> Column:
+        return F.struct(text.alias("text"), has_quotes.alias("has_quotes"), truncated.alias("is_truncated"), F.length(text).alias("n_chars"))
+
+    alone = shaped(cut(main, max_chars), F.lit(False), F.length(main) > max_chars)
+    if not quotes:
+        return alone
+    both = F.concat(main, F.lit(QUOTE_MARK), quote)
+    short = F.concat(cut(main, for_main), F.lit(QUOTE_MARK), F.substring(quote, 1, max(for_quote, 0)), F.lit(ELLIPSIS)) if for_quote > QUOTE_MIN else cut(main, for_main)
+    fits = F.length(both) <= max_chars
+    return F.when(is_alone, alone).otherwise(shaped(F.when(fits, both).otherwise(short), fits | F.lit(for_quote > QUOTE_MIN), ~fits))
 
 
 def labelled(kind: Column, text: Column, created_at: Column | None = None, quoted: Column | None = None) -> Column:

@@ -27,14 +27,14 @@ class ExportJobs:
             self._jobs[job] = {"status": "running", "started": time.time(), "ended": None, "error": None}
 
         def run():
-            self.spark.addTag(job)
+            self.spark.sparkContext.addJobTag(job)
             try:
                 export()
                 outcome, error = "completed", None
             except Exception as e:  # noqa: BLE001  the job's state carries it
                 outcome, error = "failed", str(e)[:500]
             finally:
-                self.spark.removeTag(job)
+                self.spark.sparkContext.removeJobTag(job)
             with self._lock:
                 state = self._jobs[job]
                 state.update(ended=time.time(), error=error, status="cancelled" if state["status"] == "cancelling" else outcome)
@@ -47,10 +47,18 @@ class ExportJobs:
         return {k: v for k, v in self._jobs[job].items() if k != "thread"}
 
     def cancel(self, job: str) -> None:
+        """Interrupt the export until it ends: what it starts later, after an interrupt that met nothing, is interrupted too."""
         with self._lock:
-            if self._jobs[job]["status"] == "running":
-                self._jobs[job]["status"] = "cancelling"
-        self.spark.interruptTag(job)
+            if self._jobs[job]["status"] != "running":
+                return
+            self._jobs[job]["status"] = "cancelling"
+
+        def interrupt():
+            while self._jobs[job]["thread"].is_alive():
+                self.spark.sparkContext.cancelJobsWithTag(job)
+                self._jobs[job]["thread"].join(0.2)
+
+        threading.Thread(target=interrupt, daemon=True).start()
 
     def wait(self, job: str) -> dict:
         self._jobs[job]["thread"].join()

@@ -267,6 +267,41 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert all(r.doc_id == r.first_doc_id + 1 for r in found.values())
 
 
+def test_near_passages_against_brute_force(spark):
+    """Passages with a word changed here and there: those whose shingle sets reach 0.8 by brute force are found, nearly all of them."""
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for i in range(60):
+        p = prose(20_000 + i, int(rng.integers(70, 160))).split()
+        q = list(p)
+        for k in range(int(rng.integers(1, 5))):
+            q[rng.integers(5, len(q) - 5)] = f"x{k}"
+        a, b = shingles(" ".join(p)), shingles(" ".join(q))
+        rows += [(2 * i, " ".join([prose(21_000 + i, 60), *p, prose(22_000 + i, 60)])), (2 * i + 1, " ".join([prose(23_000 + i, 50), *q, prose(24_000 + i, 60)]))]
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(2 * i + 1)
+    texts = dict(rows)
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        a, b = texts[r.doc_id].split()[r.start_word : r.end_word], texts[r.first_doc_id].split()
+        assert r.end_word - r.start_word >= 50 and r.doc_id == r.first_doc_id + 1
+        if r.similarity == 1.0:
+            assert a == b[r.first_word : r.first_word + len(a)]
+    assert len(want & {r.doc_id for r in found}) >= 0.95 * len(want) and len(want) > 20
+
+
+def test_texts_that_repeat_themselves(spark):
+    """A line that one text holds a thousand times and another once: all its places are found, in few rows."""
+    line = prose(1, 60)
+    rows = [(0, prose(2, 40) + " " + line), (1, " ".join([line] * 1000)), (2, prose(3, 30) + " " + " ".join([line] * 3))]
+    covered = np.zeros(60_000, bool)
+    found = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        if r.doc_id == 1:
+            covered[r.start_word : r.end_word] = True
+    assert covered.reshape(1000, 60).all(1).mean() > 0.99 and len(found) < 5000
+
+
 def test_extents():
     rng = np.random.default_rng(1)
     keys = common.mix(rng.permutation(500).astype(np.uint64))
@@ -703,3 +738,17 @@ def test_pipeline(spark):
     n = frames[3].select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     mixed = frames[4].select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert abs(n - mixed) <= 20 and frames[5].count() > 0
+
+
+def test_columns_of_the_same_names(spark):
+    """Columns that the operators use inside don't disturb them."""
+    names = "v at reach f last host block blocks spans windows words k open first_doc_id n component u mins s p q side doc slot key tokens g size bucket start row evidence weight unit centre rep line region ids media archive lang source".split()
+    text = prose(1, 80)
+    rows = [(i, text if i < 2 else prose(i, 60), f"<p>{prose(i, 9)}</p>", f"http://x.y/{i}", [1.0, float(i)], *["z"] * len(names)) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, html string, url string, embedding array<double>, " + ", ".join(f"`{n}` string" for n in names))
+    assert substrings.cut(df, substrings.passages(df)).columns == df.columns and substrings.passages(df).count() == 1
+    assert html.extract(df.withColumn("page_id", F.col("doc_id"))).count() == 4 and ngram_join.one_of_each(df).count() == 3
+    assert media.described(spark, media.store(df)).count() == 4 and packing.pack(df).select("doc_id").distinct().count() == 4
+    assert mixing.mixed(df).count() == 4 and mixing.mixed_texts(df).count() >= 1 and licenses.scan(df).count() == 4
+    assert near_vectors.near_vectors(df.withColumn("vec_id", F.col("doc_id"))).count() == 4
+    assert quality.classify(df, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).columns[: len(df.columns) - 1] == [c for c in df.columns if c != "evidence"]

@@ -5,21 +5,38 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from .knn import best, blocks
 
-FIT_ROWS = 100_000
+#: Vectors that centres are fitted on, by the smallest key hashes; a bound that doesn't depend on the collection.
+FIT_ROWS = 20_000
 
 
-def _centres(points: DataFrame, column, k: int, seed: int) -> np.ndarray:
-    """k-means centres over at most FIT_ROWS points, by the smallest key hashes."""
-    some = points.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select(array_to_vector(column.cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(some).clusterCenters())
+def _sample(points: DataFrame) -> np.ndarray:
+    """Unit vectors of at most FIT_ROWS points."""
+    some = points.select("key", vectors.normalized(F.col("vector")).alias("unit")).where("unit is not null").orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("unit").toArrow()
+    return np.stack([np.asarray(u.as_py()) for u in some.column("unit")]) if some.num_rows else np.zeros((0, 0))
+
+
+def centres_of(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """k-means centres: seeded by distance, then Lloyd's steps. With fewer rows than k, the rows themselves."""
+    rng = np.random.default_rng(seed)
+    if len(x) <= k:
+        return x.copy()
+    found = x[[rng.integers(len(x))]]
+    near = ((x - found[0]) ** 2).sum(1)
+    while len(found) < k:
+        spot = rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(x))
+        found = np.vstack([found, x[spot]])
+        near = np.minimum(near, ((x - x[spot]) ** 2).sum(1))
+    for _ in range(rounds):
+        label = ((found**2).sum(1) - 2 * x @ found.T).argmin(1)
+        for c in np.unique(label):
+            found[c] = x[label == c].mean(0)
+    return found
 
 
 def _literal(rows: np.ndarray):
@@ -35,7 +52,7 @@ def _nearest(column, centres):
 def with_cells(points: DataFrame, cells: int, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
     """points with `cell`, a column to partition the collection by, and the cells' centres (of unit vectors)."""
     unit = vectors.normalized(F.col("vector"))
-    centres = _centres(points.where(unit.isNotNull()), unit, cells, seed)
+    centres = centres_of(_sample(points), cells, seed)
     return points.withColumn("cell", _nearest(unit, _literal(centres))), centres
 
 
@@ -56,7 +73,8 @@ def product_codes(points: DataFrame, dim: int, parts: int, k: int = 16, seed: in
     unit, width = vectors.normalized(F.col("vector")), dim // parts
     base = points.where(unit.isNotNull())
     part = lambda p: F.slice(unit, p * width + 1, width)
-    books = [_centres(base, part(p), k, seed + p) for p in range(parts)]
+    sample = _sample(points)
+    books = [centres_of(sample[:, p * width : (p + 1) * width], k, seed + p) for p in range(parts)]
     return base.withColumn("codes", F.array(*[_nearest(part(p), _literal(b)) for p, b in enumerate(books)])), books
 
 

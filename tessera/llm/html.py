@@ -337,16 +337,13 @@ def _parse(batches):
 
 
 def _page_suffixes(run: int, keep: int, asked: bool):
-    """host, page_key, blocks -> (host, page_key, gram, suffix): of the blocks that repetition may decide about, or of all but plain ones of an article."""
+    """host, page_key, has_main, evidence -> (host, page_key, gram, suffix): of the blocks that repetition may decide about (asked), or of all in evidence."""
 
     def go(batches):
         for batch in batches:
-            for host, key, page in zip(*(batch.column(c) for c in ("host", "page_key", "blocks"))):
-                page = page.as_py()
-                has = any(b["kind"] == "main" for b in page)
-                open_to = lambda b: (b["doubt"] or b["linked"]) if b["kind"] == "main" else b["kind"] == "open" and not has
-                texts = [b["text"] for b in page if open_to(b) or not asked and b["kind"] != "main"]
-                found = suffixes(texts, run, keep)
+            for host, key, has, page in zip(*(batch.column(c) for c in ("host", "page_key", "has_main", "evidence"))):
+                kind = "main" if has.as_py() else "open"
+                found = suffixes([b["text"] for b in page.as_py() if not asked or b["kind"] == kind], run, keep)
                 if found:
                     n = len(found)
                     yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * n, pa.string()), pa.array([key.as_py()] * n, pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["host", "page_key", "gram", "suffix"])
@@ -418,20 +415,23 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     parsed = C.written(rows.mapInArrow(_parse, _PARSED))
-    # One page for each different content of a host.
-    once = parsed.groupBy("host", "page_key").agg(F.first("blocks").alias("blocks"), F.first("asked").alias("asked"))
-    once = C.written(once)
+    # One page for each different content of a host: what of it is in evidence, and hashes of the article's plain blocks.
+    plain = F.transform("blocks", lambda b, i: F.struct(i.alias("i"), F.xxhash64(b["text"]).alias("h"), F.size(F.split(b["text"], " ")).alias("words"), ((b["kind"] == "main") & ~b["doubt"] & ~b["linked"]).alias("plain")))
+    plain = F.transform(F.filter(plain, lambda x: x["plain"] & (x["words"] >= run)), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))
+    evidence = F.filter("blocks", lambda b: (b["kind"] != "main") | b["doubt"] | b["linked"])
+    seen = parsed.select("page_id", "host", "page_key", "asked", F.exists("blocks", lambda b: b["kind"] == "main").alias("has_main"), evidence.alias("evidence"), plain.alias("plain"))
+    once = C.written(seen.groupBy("host", "page_key").agg(F.min_by(F.struct("asked", "has_main", "evidence", "plain"), F.coalesce("page_id", F.lit(1 << 62))).alias("r")).select("host", "page_key", "r.*"))
     sizes = C.written(once.groupBy("host").agg(F.count("*").alias("host_pages")))
-    found = once.select("host", "page_key", "blocks").mapInArrow(_page_suffixes(run, keep, False), "host string, page_key long, gram long, suffix binary")
+    found = once.select("host", "page_key", "has_main", "evidence").mapInArrow(_page_suffixes(run, keep, False), "host string, page_key long, gram long, suffix binary")
     counted = found.groupBy("host", "gram", "suffix").agg(F.count("*").alias("n")).repartition("host", "gram").sortWithinPartitions("host", "gram", "suffix")
     intervals = counted.mapInArrow(_intervals(run), "host string, gram long, pages long, longest long").where(F.col("pages") >= min_pages)
     repeated = C.join_checked(intervals, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SHARE).select("host", "gram")
     repeated = C.written(repeated)
-    own = once.where("asked").select("host", "page_key", "blocks").mapInArrow(_page_suffixes(run, keep, True), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
+    own = once.where("asked").select("host", "page_key", "has_main", "evidence").mapInArrow(_page_suffixes(run, keep, True), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
     covered = C.written(C.join_checked(own, repeated, ["host", "gram"], "inner").groupBy("host", "page_key").agg(F.collect_set("gram").alias("repeated")))
 
     # Whole blocks of articles that hardly any page of the host is without.
-    plain = once.select("host", "page_key", F.posexplode("blocks").alias("i", "b")).where("b.kind = 'main' and not b.doubt").select("host", "page_key", "i", F.xxhash64("b.text").alias("h"), F.size(F.split("b.text", " ")).alias("words")).where(F.col("words") >= run)
+    plain = once.select("host", "page_key", F.explode("plain").alias("b")).select("host", "page_key", "b.i", "b.h")
     common = plain.groupBy("host", "h").agg(F.count_distinct("page_key").alias("pages")).where(F.col("pages") >= SURE_PAGES)
     common = C.written(C.join_checked(common, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SURE).select("host", "h"))
     sure = C.written(C.join_checked(plain, common, ["host", "h"], "inner").groupBy("host", "page_key").agg(F.collect_set("i").alias("sure")))

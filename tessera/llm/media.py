@@ -79,10 +79,13 @@ def from_png(png: bytes) -> bytes:
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+def arrow_uri(uri: str) -> str:
     scheme, mark, rest = uri.partition("://")
-    if mark:
-        uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else uri
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = arrow_uri(uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 

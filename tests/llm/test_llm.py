@@ -427,7 +427,7 @@ def test_media(docs, none, spark, tmp_path):
 def test_media_folder_must_exist(spark, tmp_path):
     with pytest.raises(Exception):
         media.described(spark, str(tmp_path / "nowhere")).count()
-    assert media._open("s3a://bucket/x")[1] == "bucket/x"
+    assert media.arrow_uri("s3a://bucket/x") == "s3://bucket/x" and media.arrow_uri("/a/b") == "/a/b"
 
 
 def test_media_retries(docs, tmp_path, monkeypatch):

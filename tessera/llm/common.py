@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
 
 import numpy as np
@@ -106,6 +107,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(labelled.select(F.col("component").alias("node"), "component").distinct())
 
 
+def trimmed(run):
+    """A batch function whose worker gives freed memory back to the system when its task ends; workers outlive tasks and stand idle beside others."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return go
+
+
 # ---- byte-level hashing, vectorised over the texts of an Arrow batch ----
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,13 +152,13 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(max(n, 1 << 20), base, _U)
+            steps = np.full(max(n, 1 << 18), base, _U)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0], _powers[1]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20):
+def chunks(column: pa.Array, most: int = 1 << 18):
     """Yield (first row, bytes, offsets) of consecutive rows with about `most` bytes; a longer text stands alone. Nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")
     if len(column) == 0:

@@ -414,7 +414,7 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep:
     """One row per page: page_id, url, text, n_chars, n_cut_blocks (blocks of the text that repetition, or links, cut)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    parsed = C.written(rows.mapInArrow(_parse, _PARSED))
+    parsed = C.written(rows.mapInArrow(C.trimmed(_parse), _PARSED))
     # One page for each different content of a host: what of it is in evidence, and hashes of the article's plain blocks.
     plain = F.transform("blocks", lambda b, i: F.struct(i.alias("i"), F.xxhash64(b["text"]).alias("h"), F.size(F.split(b["text"], " ")).alias("words"), ((b["kind"] == "main") & ~b["doubt"] & ~b["linked"]).alias("plain")))
     plain = F.transform(F.filter(plain, lambda x: x["plain"] & (x["words"] >= run)), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))
@@ -422,12 +422,12 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep:
     seen = parsed.select("page_id", "host", "page_key", "asked", F.exists("blocks", lambda b: b["kind"] == "main").alias("has_main"), evidence.alias("evidence"), plain.alias("plain"))
     once = C.written(seen.groupBy("host", "page_key").agg(F.min_by(F.struct("asked", "has_main", "evidence", "plain"), F.coalesce("page_id", F.lit(1 << 62))).alias("r")).select("host", "page_key", "r.*"))
     sizes = C.written(once.groupBy("host").agg(F.count("*").alias("host_pages")))
-    found = once.select("host", "page_key", "has_main", "evidence").mapInArrow(_page_suffixes(run, keep, False), "host string, page_key long, gram long, suffix binary")
+    found = once.select("host", "page_key", "has_main", "evidence").mapInArrow(C.trimmed(_page_suffixes(run, keep, False)), "host string, page_key long, gram long, suffix binary")
     counted = found.groupBy("host", "gram", "suffix").agg(F.count("*").alias("n")).repartition("host", "gram").sortWithinPartitions("host", "gram", "suffix")
-    intervals = counted.mapInArrow(_intervals(run), "host string, gram long, pages long, longest long").where(F.col("pages") >= min_pages)
+    intervals = counted.mapInArrow(C.trimmed(_intervals(run)), "host string, gram long, pages long, longest long").where(F.col("pages") >= min_pages)
     repeated = C.join_checked(intervals, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SHARE).select("host", "gram")
     repeated = C.written(repeated)
-    own = once.where("asked").select("host", "page_key", "has_main", "evidence").mapInArrow(_page_suffixes(run, keep, True), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
+    own = once.where("asked").select("host", "page_key", "has_main", "evidence").mapInArrow(C.trimmed(_page_suffixes(run, keep, True)), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
     covered = C.written(C.join_checked(own, repeated, ["host", "gram"], "inner").groupBy("host", "page_key").agg(F.collect_set("gram").alias("repeated")))
 
     # Whole blocks of articles that hardly any page of the host is without.
@@ -437,5 +437,5 @@ def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep:
     sure = C.written(C.join_checked(plain, common, ["host", "h"], "inner").groupBy("host", "page_key").agg(F.collect_set("i").alias("sure")))
 
     joined = C.join_checked(C.join_checked(parsed, covered, ["host", "page_key"], "left"), sure, ["host", "page_key"], "left").select("page_id", "url", "blocks", "repeated", "sure")
-    out = joined.mapInArrow(_finish(run), "page_id long, url string, text string, n_cut_blocks long")
+    out = joined.mapInArrow(C.trimmed(_finish(run)), "page_id long, url string, text string, n_cut_blocks long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_cut_blocks")

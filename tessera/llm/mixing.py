@@ -222,5 +222,5 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     parts = pieces.select(ROW, F.when(cut > F.col("lo"), F.when(cut < F.col("hi"), F.array(segment(cut, F.col("whole") + 1), F.struct((cut + at).alias("lo"), (F.col("hi") + at).alias("hi"), F.col("whole").cast("long").alias("times")))).otherwise(F.array(segment(F.col("hi"), F.col("whole") + 1)))).otherwise(F.array(segment(F.col("hi"), F.col("whole")))).alias("s"))
     parts = C.written(parts.groupBy(ROW).agg(F.filter(F.flatten(F.collect_list("s")), lambda x: x["times"] > 0).alias("segments")).where("size(segments) > 0"))
     joined = base.join(parts.hint("merge"), ROW).select("doc_id", "lang", "source", "text", "segments")
-    out = joined.mapInArrow(_render, "doc_id long, lang string, source string, text string")
+    out = joined.mapInArrow(C.trimmed(_render), "doc_id long, lang string, source string, text string")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

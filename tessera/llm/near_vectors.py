@@ -134,7 +134,7 @@ def _cosines(batches):
 
 def _cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     both = pairs.join(vectors.toDF("a", "x"), "a").join(vectors.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_cosines, "a long, b long, cosine double")
+    return both.select("a", "b", "x", "y").mapInArrow(C.trimmed(_cosines), "a long, b long, cosine double")
 
 
 def _count(cosine: float):
@@ -158,7 +158,7 @@ def _count(cosine: float):
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int = COLLISIONS, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = C.written(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary"))
+    rows = C.written(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(C.trimmed(_units), "vec_id long, unit binary"))
     known = C.written(rows.where("unit is not null and vec_id is not null").groupBy("vec_id").agg(F.min("unit").alias("unit")))
     valid = C.written(known.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
     copied = C.written(valid.where("weight > 1").select("unit", F.col("vec_id").alias("rep")))
@@ -169,7 +169,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int
     hub_lines = min(HUB_LINES, lines)
     units = valid.select("vec_id", "unit")
 
-    drawn = C.written(units.mapInArrow(_lines(lines, bits, hub_lines, seed), _LINES).select("vec_id", "line", "region"))
+    drawn = C.written(units.mapInArrow(C.trimmed(_lines(lines, bits, hub_lines, seed)), _LINES).select("vec_id", "line", "region"))
     hubs = C.written(drawn.groupBy("line", "region").agg(F.min("vec_id").alias("b"), F.max("vec_id").alias("last")).where("b <> last").drop("last"))
     meets = C.join_checked(drawn, hubs, ["line", "region"], "inner").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b").distinct()
     close = C.written(_cosine(meets, units).where(F.col("cosine") >= math.cos(half)))
@@ -179,11 +179,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int
     member = C.written(valid.join(ball, "vec_id", "left").select("vec_id", F.coalesce("centre", "vec_id").alias("centre"), F.coalesce("angle", F.lit(0.0)).alias("angle"), "unit", "weight"))
     radius = C.written(member.groupBy("centre").agg(F.max("angle").alias("radius"), F.count("*").alias("held"), F.sum("weight").alias("mass")))
 
-    parts = member.select(F.col("centre").alias("vec_id"), "unit").mapInArrow(_lines(lines, bits, lines, seed), _LINES)
+    parts = member.select(F.col("centre").alias("vec_id"), "unit").mapInArrow(C.trimmed(_lines(lines, bits, lines, seed)), _LINES)
     balls = parts.groupBy("line", "region", "vec_id").agg(F.min("value").alias("value"), F.max("value").alias("high"))
     reach = WINDOW * math.sqrt(2 - 2 * cosine)
     spread = balls.repartition("line", "region").sortWithinPartitions("line", "region", "value", "vec_id")
-    counted = C.written(spread.mapInArrow(_collisions(reach), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= collisions).select("a", "b"))
+    counted = C.written(spread.mapInArrow(C.trimmed(_collisions(reach)), "a long, b long").groupBy("a", "b").count().where(F.col("count") >= collisions).select("a", "b"))
     of = lambda k: radius.select(F.col("centre").alias(k), F.col("radius").alias(f"r{k}"), F.ceil(F.col("held") / BLOCK).alias(f"n{k}"))
     near = _cosine(counted, units).join(of("a"), "a").join(of("b"), "b")
     touching = near.where(F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) <= math.acos(cosine) + F.col("ra") + F.col("rb") + 1e-9)
@@ -195,7 +195,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, collisions: int
     blocks = C.written(sized.groupBy("centre", "block").agg(r.alias("r")).select("centre", "block", F.col("r.vec_id").alias("ids"), F.col("r.weight").alias("weights"), F.col("r.unit").alias("units")))
     second = blocks.toDF("b", "j", "ids_b", "weights_b", "units_b")
     met = pairs.join(blocks.withColumnsRenamed({"centre": "a", "block": "i"}), ["a", "i"]).join(second, ["b", "j"])
-    across = met.select("a", "b", "ids", "weights", "units", "ids_b", "weights_b", "units_b").mapInArrow(_count(cosine), "vec_id long, n long, root long")
+    across = met.select("a", "b", "ids", "weights", "units", "ids_b", "weights_b", "units_b").mapInArrow(C.trimmed(_count(cosine)), "vec_id long, n long, root long")
     inside = member.join(radius.select("centre", "mass"), "centre").select("vec_id", (F.col("mass") - F.col("weight")).alias("n"), F.col("centre").alias("root"))
     found = C.written(across.unionByName(inside))
     totals = found.groupBy("vec_id").agg(F.sum("n").alias("n"))

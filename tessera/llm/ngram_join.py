@@ -300,7 +300,7 @@ def _size_class(percent: int):
 
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """profile (doc_id, n, f1, f2), copies (a, b): documents and the smallest one of their set, and those smallest ones (doc_id, n, f1)."""
-    profile = C.written(docs.mapInArrow(_profile(size), "doc_id long, n long, f1 long, f2 long"))
+    profile = C.written(docs.mapInArrow(C.trimmed(_profile(size)), "doc_id long, n long, f1 long, f2 long"))
     full = profile.where("n > 0 and doc_id is not null")
     classes = C.written(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
     of = C.join_checked(full, classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -312,7 +312,7 @@ def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFram
 
 def _survivors(docs: DataFrame, single: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, alone) of the smallest documents of their sets that the root can't rule out. Shingles that only equal sets hold are a set's own."""
-    low = docs.mapInArrow(_lowest(size, SHARE), "f1 long, low array<long>")
+    low = docs.mapInArrow(C.trimmed(_lowest(size, SHARE)), "f1 long, low array<long>")
     alone = low.select("f1", F.explode("low").alias("s")).groupBy("s").agg(F.min("f1").alias("f1"), F.max("f1").alias("other")).where("f1 = other")
     alone = C.written(alone.groupBy("f1").agg(F.count("*").alias("alone")))
     own = F.coalesce("alone", F.lit(0))
@@ -330,14 +330,14 @@ def _stars(sets: DataFrame, percent: int) -> DataFrame:
     asked = C.written(best.select("a", F.col("hub.a").alias("b")))
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("u").alias(f"u{k}"))
     both = asked.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    out = C.written(both.select("a", "ua", "b", "ub").mapInArrow(_linked(percent), _EDGES).distinct())
+    out = C.written(both.select("a", "ua", "b", "ub").mapInArrow(C.trimmed(_linked(percent)), _EDGES).distinct())
     C.tidy(hashed, hubs, asked)
     return out
 
 
 def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components, by the tree."""
-    often = sets.select("u").mapInArrow(_every, "s long").groupBy("s").count().where(F.col("count") > HEAVY)
+    often = sets.select("u").mapInArrow(C.trimmed(_every), "s long").groupBy("s").count().where(F.col("count") > HEAVY)
     heavy = often.orderBy(F.desc("count"), "s").limit(HEAVY_LIST).toArrow()
     s, rank = np.asarray(heavy.column("s").combine_chunks()).view(np.uint64), np.arange(heavy.num_rows, 0, -1)
     order = np.argsort(s)
@@ -348,7 +348,7 @@ def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     size = sets.agg(F.sum("n")).first()[0] or 0
     by = ["class", "least", "component", "m0", "m1", "doc_id"]
     ranged = placed.repartitionByRange(-(-8 * size // PART_BYTES) + 1, *by).sortWithinPartitions(*by)
-    branches = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(_tree(s[order], rank[order], percent), _BRANCH_SQL))
+    branches = C.written(ranged.select("doc_id", "component", "class", "u").mapInArrow(C.trimmed(_tree(s[order], rank[order], percent)), _BRANCH_SQL))
     C.tidy(least)
 
     entries = branches.select("branch", "n_min", "n_max", F.explode("tokens").alias("s"))
@@ -358,7 +358,7 @@ def _tree_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     side = lambda k, name: branches.select(F.col("branch").alias(k), F.col("nodes").alias(name))
     two = pairs.join(side("p", "x").hint("merge"), "p").join(side("q", "y").hint("merge"), "q").select("x", "y")
     one = branches.select(F.col("nodes").alias("x"), F.lit(None).cast(branches.schema["nodes"].dataType).alias("y"))
-    asked = C.written(two.unionByName(one).mapInArrow(_descend(percent), "p long, q long, side int, doc_id long"))
+    asked = C.written(two.unionByName(one).mapInArrow(C.trimmed(_descend(percent)), "p long, q long, side int, doc_id long"))
     fetched = asked.join(joined.select("doc_id", "component", "u").hint("merge"), "doc_id")
     out = C.written(fetched.groupBy("p", "q").applyInArrow(_compare(percent), _EDGES).distinct())
     C.tidy(joined, branches, pairs, asked)
@@ -370,7 +370,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile, copies, single = _classes(docs, size)
     left = _survivors(docs.where("doc_id is not null").select("text"), single, size, percent)
-    sets = C.written(C.join_checked(docs, left, ["doc_id"], "inner").select("doc_id", "alone", "text").mapInArrow(_whole(size), "doc_id long, n long, alone long, mins array<long>, u binary"))
+    sets = C.written(C.join_checked(docs, left, ["doc_id"], "inner").select("doc_id", "alone", "text").mapInArrow(C.trimmed(_whole(size)), "doc_id long, n long, alone long, mins array<long>, u binary"))
     C.tidy(left, single)
     stars = _stars(sets, percent)
     found = stars.unionByName(_tree_links(sets, components(stars), percent))

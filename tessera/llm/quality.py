@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | No
     """The model from at most `rows` labelled documents, by the smallest hash of doc_id."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     labels = labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows).select("doc_id", "quality")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").mapInArrow(_features, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.max(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").mapInArrow(C.trimmed(_features), "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.max(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").toArrow()
     if not found.num_rows:
         return None
     order = np.argsort(np.asarray(found.column("doc_id")), kind="stable")
@@ -128,7 +128,7 @@ def _score(model, text: str):
 def evidence(docs: DataFrame, model: dict | None, text: str) -> DataFrame:
     """docs with `evidence`, the model's log-odds for the whole text, in place of the text column."""
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != text), T.StructField("evidence", T.DoubleType())])
-    return docs.mapInArrow(_score(model, text), schema)
+    return docs.mapInArrow(C.trimmed(_score(model, text)), schema)
 
 
 def _strength(groups: DataFrame, mean: str) -> float:

@@ -33,11 +33,10 @@ _BSD_TAIL = f"This software is provided by {_WHO} as is and any express or impli
 
 def _gnu(name: str, version: str) -> list[str]:
     """The FSF's notice for source files, and a plain grant."""
-    program = "<<any 1 6 /.*/>>"
     return [
         f"{_GRANT} gnu {name} version {version} {_LATER}",
-        f"{program} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version",
-        f"{program} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation version {version} <<optional>>of the license<<end>> <<optional>>only<<end>>",
+        f"is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version",
+        f"is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation version {version} <<optional>>of the license<<end>> <<optional>>only<<end>>",
         f"under the terms of the gnu {name} as published by the free software foundation either version {version} of the license",
     ]
 
@@ -48,14 +47,15 @@ def _creative(parts: str, words: str, version: str) -> list[str]:
     return [short, f"licensed under <<any 0 1 /a|the/>> creative commons {words} {major} {minor} <<any 0 1 /international|unported|generic/>> <<optional>>public<<end>> license"]
 
 
-#: Templates and the labels they add: whole notices with their regions. The wording is fixed.
+#: Templates and the labels they add: whole notices with their regions. The wording is fixed. A notice begins at its first mandatory or literal
+#: word: one that began with any word would start everywhere.
 TEMPLATES = {
     "apache-2.0": [
         f"{_GRANT} apache license version 2 <<optional>>0<<end>>",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<any 0 8 /.*/>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     **{f"{label}-{version}": _gnu(name, number) for label, name, some in (("gpl", "general public license", "2.0 3.0"), ("lgpl", "<<any 1 1 /lesser|library/>> general public license", "2.0 2.1 3.0"), ("agpl", "affero general public license", "3.0")) for version in some.split() for number in [version.replace(".0", "").replace(".", " ") + (" <<optional>>0<<end>>" if version.endswith(".0") else "")]},
-    "mit-notice": ["<<optional>><<any 0 2 /this|is|work|software|code/>><<end>> released under the mit license", "licensed under the mit license"],
+    "mit-notice": ["released under the mit license", "licensed under the mit license"],
     "mit-text": [f"Permission is hereby granted, free of charge, to any person obtaining a copy of this <<any 1 6 /.*/>> to deal in the <<any 1 2 /.*/>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the <<any 1 2 /.*/>>, and to permit persons to whom the <<any 1 2 /.*/>> is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the <<any 1 2 /.*/>>. {_AS_IS}"],
     "isc-text": [f"Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided as is and {_WHO} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall {_WHO} be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."],
     "bsd-2-clause": [f"{_BSD_HEAD} {_BSD_TAIL}"],
@@ -66,7 +66,7 @@ TEMPLATES = {
     "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0. <<any 0 4 /see|accompanying|file|the/>> <<optional>>license 1 0 txt<<end>>"],
     "zlib-text": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<any 0 1 /1/>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<any 0 1 /2/>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<any 0 1 /3/>> This notice may not be removed or altered from any source distribution."],
     "unlicense": [f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. <<any 0 200 /.*/>> {_AS_IS}"],
-    "cc0-1.0": ["<<any 0 1 /under|with/>> creative commons zero v1 0 universal", "licensed under <<any 0 1 /the/>> <<optional>>creative commons<<end>> cc0 1 0 <<any 0 2 /universal|license/>>", "to the extent possible under law <<any 1 12 /.*/>> waived all copyright and related or neighboring rights to"],
+    "cc0-1.0": ["creative commons zero v1 0 universal", "licensed under <<any 0 1 /the/>> <<optional>>creative commons<<end>> cc0 1 0 <<any 0 2 /universal|license/>>", "to the extent possible under law <<any 1 12 /.*/>> waived all copyright and related or neighboring rights to"],
     **{f"cc-{parts}-{version}": _creative(parts, words, version) for parts, words in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"), ("by-nd", "attribution noderivatives"), ("by-nc-sa", "attribution noncommercial sharealike"), ("by-nc-nd", "attribution noncommercial noderivatives")) for version in ("3.0", "4.0")},
 }
 

@@ -9,7 +9,8 @@ BOUND_SAMPLE documents; they only balance the ranges.
 
 A document is tokenised once: its white-space-separated words are looked up by hash in a table of words seen by the
 worker (at most CACHE words, then started anew), and only new words go to the tokenizer. The table's keys are of A-Z-lowered
-words, which is right for a tokenizer that lower-cases; one that doesn't is refused.
+words, which is right for a tokenizer that lower-cases; one that doesn't is refused. Words with "<|", which may be added
+tokens and are matched as they are spelled, go by their bytes.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id stays null; repeated rows are packed each;
 an empty table gives no rows. Other columns are not read.
@@ -22,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +101,17 @@ class Words:
     def clear(self) -> None:
         self.keys, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
+    @staticmethod
+    def _raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Words that may hold added tokens, which are matched before lower-casing, go by their own bytes."""
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if not len(marks):
+            return hashes
+        hashes = hashes.copy()
+        for i in np.unique(np.searchsorted(starts, marks, "right") - 1):
+            hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=1)
+        return hashes
+
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         ids: list[list[int]] = [[] for _ in words]
         plain = [i for i, w in enumerate(words) if "<|" not in w]
@@ -126,6 +139,7 @@ class Words:
         """Token ids of all words in order, and their offsets per text."""
         if not len(hashes):
             return np.zeros(0, np.uint16), np.zeros(len(per), np.int64)
+        hashes = self._raw(data, starts, ends, hashes)
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > CACHE:
             self.clear()

@@ -21,7 +21,9 @@ are made: one whose equal parts all stand in earlier documents, none of which ho
 first occurrence stays; the passages found in later documents are cut.
 
 Defined cases: null, empty and short texts have no windows; rows with a null doc_id take no part; repeats within one
-document are left; rows that repeat a doc_id are read as one document; an empty table gives no rows. Texts are read
+document are left; rows that repeat a doc_id and its text are one document, rows of one doc_id with different texts are
+several (the one of the least text hash in the place of its doc_id, the others after all documents), told apart by text_key;
+an empty table gives no rows. Texts are read
 whole; other columns are kept as they are by `cut`.
 """
 
@@ -162,6 +164,8 @@ def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 
 def _shingles(w: np.ndarray) -> np.ndarray:
+    if len(w) < SHINGLE:
+        return np.zeros(0, np.uint64)
     w = w.astype(np.uint64)
     return sum(C.mix(w[j : len(w) - SHINGLE + 1 + j] + np.uint64(j << 33)) for j in range(SHINGLE))
 
@@ -169,7 +173,7 @@ def _shingles(w: np.ndarray) -> np.ndarray:
 def _set_similarity(x: np.ndarray, y: np.ndarray) -> float:
     a, b = np.unique(_shingles(x)), np.unique(_shingles(y))
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / max(len(a) + len(b) - both, 1)
 
 
 def matched(x: np.ndarray, x0: int, y: np.ndarray, y0: int, met: tuple, enough: int, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -401,9 +405,37 @@ def _whole_runs(zero: DataFrame, found: DataFrame, words: DataFrame, span: int)
     return out
 
 
+def _several(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, row): the rows of doc_ids that have different texts, by text hash, with a number that stands for each."""
+    keys = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    odd = keys.groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("last")).where("least <> last")
+    texts = C.join_checked(keys, C.written(odd.select("doc_id", "least")), ["doc_id"], "inner").distinct()
+    apart = F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 2).bitwiseOR(F.lit(1 << 62))
+    return C.written(texts.select("doc_id", "key", F.when(F.col("key") == F.col("least"), F.col("doc_id")).otherwise(apart).alias("row")))
+
+
 def passages(docs: DataFrame, span: int = SPAN, enough: int = ENOUGH, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Repeated passages: doc_id, start_word, end_word (words from 0, end exclusive), first_doc_id, first_word, n_hashes, similarity."""
+    """Repeated passages: doc_id, start_word, end_word (words from 0, end exclusive), first_doc_id, first_word, n_hashes, similarity, text_key.
+
+    text_key is the text's hash (xxhash64) where a doc_id has several texts, else null.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    several = _several(docs)
+    some = several.limit(1).count() > 0
+    if some:
+        keyed = C.join_checked(docs.withColumn("key", F.xxhash64("text")), several, ["doc_id", "key"], "left")
+        docs = keyed.select(F.coalesce("row", "doc_id").alias("doc_id"), "text")
+    found = _passages(docs, span, enough, min_words, similarity)
+    if not some:
+        return found.withColumn("text_key", F.lit(None).cast("long"))
+    own = several.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("real"), F.col("key").alias("text_key"))
+    found = C.join_checked(found, C.written(own), ["doc_id"], "left").withColumn("doc_id", F.coalesce("real", "doc_id")).drop("real")
+    first = C.written(several.select(F.col("row").alias("first_doc_id"), F.col("doc_id").alias("real")))
+    found = C.join_checked(found, first, ["first_doc_id"], "left").withColumn("first_doc_id", F.coalesce("real", "first_doc_id"))
+    return found.select(*_COLUMNS, "text_key")
+
+
+def _passages(docs: DataFrame, span: int, enough: int, min_words: int, similarity: float) -> DataFrame:
     windows = docs.mapInArrow(C.trimmed(_windows(span)), _WINDOWS).select("doc_id", F.inline("windows"))
     # A value's first window is found by partial aggregation and joined back, so a passage that many texts share is split over tasks.
     first = windows.groupBy("v").agg(F.min(F.struct("doc_id", "at", "reach")).alias("f"), F.max("doc_id").alias("last"), (F.count("*") > 2).alias("docs"), F.max(F.size("more") > 0).alias("places"))
@@ -459,9 +491,16 @@ def _cut(schema_names: list[str]):
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the found passages cut out of text (what stays on both sides is joined by a newline) and n_chars counted anew if there is one."""
-    found = C.written(found.select("doc_id", F.struct("start_word", "end_word").alias("s")).distinct())
-    spans = C.written(found.groupBy("doc_id").agg(F.collect_list("s").alias("_tessera_spans")))
-    joined = C.join_checked(docs, spans, ["doc_id"], "left")
+    """docs with the found passages cut out of text (what stays on both sides is joined by a newline) and n_chars counted anew if there is one.
+
+    Passages with a text_key are cut from rows of that text only.
+    """
+    found = C.written(found.select("doc_id", "text_key", F.struct("start_word", "end_word").alias("s")).distinct())
+    spans = C.written(found.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("_tessera_spans")))
+    joined = C.join_checked(docs, spans.where("text_key is null").drop("text_key"), ["doc_id"], "left")
+    if spans.where("text_key is not null").limit(1).count():
+        own = spans.where("text_key is not null").select("doc_id", F.col("text_key").alias("_tessera_key"), F.col("_tessera_spans").alias("_tessera_own"))
+        joined = C.join_checked(joined.withColumn("_tessera_key", F.xxhash64("text")), own, ["doc_id", "_tessera_key"], "left")
+        joined = joined.withColumn("_tessera_spans", F.coalesce("_tessera_own", "_tessera_spans"))
     out = joined.select(*docs.columns, "_tessera_spans").mapInArrow(C.trimmed(_cut(docs.columns)), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

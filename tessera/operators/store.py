@@ -1,13 +1,17 @@
 """A collection of keyed vectors: pure plan functions, and VectorTable, which keeps one as Parquet versions.
 
 Rows are (key STRING, vector ARRAY<FLOAT>, metadata STRUCT). A version is a base folder and the deltas written since, in order. A
-write adds one folder and then publishes a numbered version file, which must not exist yet: readers see whole versions, a
-failed write leaves the last one, and of two writers at once one fails. Folders are deleted by `vacuum` alone.
+write adds one folder and then publishes a numbered version file, which must not exist yet: readers see whole versions, and a
+failed write leaves the last one. Of two writers at once one is first; the other takes the new version as its ground: its delta goes on
+top as it is if the keys of the deltas published meanwhile are others, or if it doesn't depend on what was there (upsert and delete); if it does
+(metadata), it is made anew. Numbers are given by the file system's exclusive create, so a store without one needs a single writer.
+Folders are deleted by `vacuum` alone.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -123,6 +127,10 @@ class Conflict(RuntimeError):
 class VectorTable:
     #: Deltas that are folded into a new base when they are so many.
     COMPACT = 32
+    #: Times that a change is published anew after others came first.
+    ATTEMPTS = 20
+    #: Seconds after which a version file that isn't whole counts as left by a crash.
+    GRACE = 3.0
 
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
@@ -142,19 +150,29 @@ class VectorTable:
         except ValueError:
             return None
 
+    def _age(self, version: int) -> float:
+        at = self._path(f"{self.path}/_versions/{version:012d}")
+        return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000
+
     def _current(self) -> dict | None:
-        for version in reversed(self.versions()):
+        """The newest whole version. One that isn't whole yet may still be written: it gets GRACE seconds."""
+        versions = self.versions()
+        for version in reversed(versions):
             found = self._manifest(version)
+            while not found and version == versions[-1] and self._age(version) < self.GRACE:
+                time.sleep(0.2)
+                found = self._manifest(version)
             if found:
-                return found | {"version": version}
+                return found | {"version": version, "last": versions[-1]}
         return None
 
-    def _publish(self, base: str, deltas: list[str]) -> None:
-        version = max(self.versions(), default=0) + 1
+    def _publish(self, base: str, deltas: list[str], after: int) -> None:
+        """The version after `after`; Conflict if it is there already."""
+        at = self._path(f"{self.path}/_versions/{after + 1:012d}")
         try:
-            out = self._fs.create(self._path(f"{self.path}/_versions/{version:012d}"), False)
+            out = self._fs.create(at, False)
         except Exception as e:
-            raise Conflict(f"version {version} of {self.path} is there already") from e
+            raise Conflict(f"version {after + 1} of {self.path} is there already") from e
         out.write(bytearray(json.dumps({"base": base, "deltas": deltas}).encode()))
         out.close()
 
@@ -179,37 +197,93 @@ class VectorTable:
         parts = [self.spark.read.parquet(f"{self.path}/{d}").withColumn("_seq", F.lit(i)) for i, d in enumerate(current["deltas"])]
         changes = latest(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "key", ["_seq"])
         kept = base.join(changes.select("key"), "key", "left_anti")
-        return kept.unionByName(changes.where("not _deleted").select(*base.columns))
+        # Deletes have keys alone.
+        changes = changes.where("not _deleted").select(*[F.col(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema])
+        return kept.unionByName(changes)
 
-    def write(self, df: DataFrame) -> None:
-        """A whole new collection."""
-        self._publish(self._add(self._checked(df), "base"), [])
+    def _last(self) -> int:
+        return max(self.versions(), default=0)
 
-    def _change(self, rows: DataFrame, deleted: bool) -> None:
+    def write(self, df: DataFrame) -> None:
+        """A whole new collection; it replaces what others publish meanwhile."""
+        folder = self._add(self._checked(df), "base")
+        for _ in range(self.ATTEMPTS):
+            try:
+                return self._publish(folder, [], self._last())
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path} changes too fast")
+
+    def _shared_keys(self, delta: str, others: list[str]) -> bool:
+        """Whether deltas published meanwhile touch a key of this one; files of other keys are skipped by their bloom filters and bounds."""
+        read = lambda d: self.spark.read.parquet(f"{self.path}/{d}").select("key")
+        return bool(others) and read(delta).join(reduce(DataFrame.unionByName, [read(d) for d in others]), "key", "left_semi").limit(1).count() > 0
+
+    def _change(self, make, deleted: bool, depends: bool = False) -> str | None:
+        """Publish the delta make(version) on top of the newest version. depends: its rows are made of the collection's own."""
+        ground, folder = self._current(), None
+        for _ in range(self.ATTEMPTS):
+            if ground is None and deleted:
+                return None
+            if folder is None:
+                rows = make(ground["version"] if ground else None)
+                folder = self._add(rows.withColumn("_deleted", F.lit(deleted)) if ground else rows, "delta" if ground else "base")
+            try:
+                if ground is None:
+                    self._publish(folder, [], self._last())
+                else:
+                    self._publish(ground["base"], [*ground["deltas"], folder], ground["last"])
+                    if len(ground["deltas"]) + 1 >= self.COMPACT:
+                        self.compact()
+                return folder
+            except Conflict:
+                found = self._current()
+                if found is None:
+                    continue
+                fresh = ground is None or found["base"] != ground["base"]
+                if fresh or (depends and self._shared_keys(folder, [d for d in found["deltas"] if d not in ground["deltas"]])):
+                    folder = None
+                ground = found
+        raise Conflict(f"{self.path} changes too fast")
+
+    def compact(self) -> bool:
+        """A new base of the newest version; False if others published meanwhile, whose version stays as it is."""
         current = self._current()
-        folder = self._add(rows.withColumn("_deleted", F.lit(deleted)), "delta")
-        self._publish(current["base"], [*current["deltas"], folder])
-        if len(current["deltas"]) + 1 >= self.COMPACT:
-            self.compact()
-
-    def compact(self) -> None:
-        self._publish(self._add(self.read(), "base"), [])
+        try:
+            self._publish(self._add(self.read(current["version"]), "base"), [], current["last"])
+        except Conflict:
+            return False
+        return True
 
     def upsert(self, rows: DataFrame, order: list[str] | None = None) -> None:
         """Costs what the rows cost; the collection isn't rewritten."""
         rows = latest(rows, "key", order) if order else rows.dropDuplicates(["key"])
         rows = self._checked(rows.drop(*[c for c in order or [] if c not in ("key", "vector", "metadata")]))
+        self._change(lambda _: rows, False)
+
+    def delete(self, keys: DataFrame) -> dict[str, int]:
+        """{requested, deleted}: distinct keys asked for, and those that were there."""
+        asked = keys.select("key").where("key is not null").distinct()
+        ground = self._current()
+        if ground is None:
+            return {"requested": asked.count(), "deleted": 0}
+        counts = delete_report(self.read(ground["version"]), asked).first()
+        self._change(lambda _: asked, True)
+        return {"requested": counts["requested"], "deleted": counts["deleted"]}
+
+    def replace_metadata(self, updates: DataFrame) -> dict[str, int]:
+        """{updated, failed}: keys whose metadata was replaced, and keys that the collection doesn't hold."""
+        asked = updates.where("key is not null").dropDuplicates(["key"])
         if self._current() is None:
-            self._publish(self._add(rows, "base"), [])
-        else:
-            self._change(rows, False)
+            return {"updated": 0, "failed": asked.count()}
 
-    def delete(self, keys: DataFrame) -> None:
-        self._change(keys.select("key").distinct(), True)
+        def make(version):
+            found = self.read(version)
+            return replace_metadata(found.join(asked.select("key"), "key", "left_semi"), asked)
 
-    def replace_metadata(self, updates: DataFrame) -> None:
-        hit = self.read().join(updates.select("key"), "key", "left_semi")
-        self._change(replace_metadata(hit, updates), False)
+        folder = self._change(make, False, depends=True)
+        updated = self.spark.read.parquet(f"{self.path}/{folder}").count()
+        return {"updated": updated, "failed": asked.count() - updated}
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete folders that the last `keep` versions don't use, and older version files; how many folders went. No reader of an older version may run."""

@@ -38,6 +38,62 @@ def test_versions(spark, tmp_path):
         t.upsert(rows(spark, ("z", [1.0, 0.0], 5)))
 
 
+def test_delete_first_and_last(spark, tmp_path):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    t = VectorTable(spark, str(tmp_path / "t"), 2)
+    assert t.delete(keys("a", "b")) == {"requested": 2, "deleted": 0} and t.versions() == []
+    t.write(rows(spark, ("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [0.0, 1.0], 3)))
+    assert t.delete(keys("b", "b", "zz", None)) == {"requested": 2, "deleted": 1}
+    assert {r.key: r.metadata.n for r in t.read().collect()} == {"a": 1, "c": 3} and t.read().columns == ["key", "vector", "metadata"]
+    assert t.replace_metadata(spark.createDataFrame([("c", 9), ("b", 9), ("q", 9)], "key string, n int").select("key", F.struct("n").alias("metadata"))) == {"updated": 1, "failed": 2}
+    assert t.delete(keys("a", "c")) == {"requested": 2, "deleted": 2} and t.read().count() == 0
+    t.compact()
+    assert t.read().count() == 0 and t.delete(keys("a")) == {"requested": 1, "deleted": 0}
+    t.upsert(rows(spark, ("a", [1.0, 0.0], 7)))
+    assert [r.metadata.n for r in t.read().collect()] == [7]
+
+
+def test_writers_at_once(spark, tmp_path, monkeypatch):
+    """Another writer publishes between a writer's look and its publication."""
+    path = str(tmp_path / "t")
+    t, other = VectorTable(spark, path, 1), VectorTable(spark, path, 1)
+    t.write(rows(spark, ("a", [1.0], 1), ("b", [2.0], 2), ("c", [3.0], 3)))
+    made, add = [], VectorTable._add
+
+    def between(action):
+        def run(self, df, kind):
+            folder = add(self, df, kind)
+            if self is t:
+                made.append(folder)
+                if len(made) == 1:
+                    action()
+            return folder
+
+        made.clear()
+        monkeypatch.setattr(VectorTable, "_add", run)
+
+    meta = lambda k, n: spark.createDataFrame([(k, n)], "key string, n int").select("key", F.struct("n").alias("metadata"))
+    state = lambda: {r.key: (r.vector[0], r.metadata.n) for r in t.read().collect()}
+    # Disjoint keys: the delta goes on top as it is.
+    between(lambda: other.upsert(rows(spark, ("b", [5.0], 5))))
+    assert t.replace_metadata(meta("a", 8)) == {"updated": 1, "failed": 0}
+    assert len(made) == 1 and state() == {"a": (1.0, 8), "b": (5.0, 5), "c": (3.0, 3)}
+    # A shared key: it is made anew, with the other's vector.
+    between(lambda: other.upsert(rows(spark, ("c", [6.0], 6))))
+    assert t.replace_metadata(meta("c", 9)) == {"updated": 1, "failed": 0}
+    assert len(made) == 2 and state()["c"] == (6.0, 9)
+    # A compaction in between, and one by itself.
+    between(other.compact)
+    t.upsert(rows(spark, ("d", [7.0], 7)))
+    assert state() == {"a": (1.0, 8), "b": (5.0, 5), "c": (6.0, 9), "d": (7.0, 7)}
+    between(lambda: other.delete(spark.createDataFrame([("d",)], "key string")))
+    assert not t.compact() and set(state()) == {"a", "b", "c"}
+    monkeypatch.setattr(VectorTable, "_add", add)
+    assert t.compact() and t._current()["deltas"] == []
+    # A version file that another is just writing is waited for; one that stays broken isn't.
+    assert VectorTable.GRACE > 0
+
+
 def test_many_small_upserts_are_folded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(VectorTable, "COMPACT", 3)
     t = VectorTable(spark, str(tmp_path / "t"), 1)

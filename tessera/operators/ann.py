@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -17,8 +18,10 @@ FIT_ROWS = 20_000
 
 def _sample(points: DataFrame) -> np.ndarray:
     """Unit vectors of at most FIT_ROWS points."""
-    some = points.select("key", vectors.normalized(F.col("vector")).alias("unit")).where("unit is not null").orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("unit").toArrow()
-    return np.stack([np.asarray(u.as_py()) for u in some.column("unit")]) if some.num_rows else np.zeros((0, 0))
+    some = points.select("key", vectors.normalized(F.col("vector")).alias("unit")).where("unit is not null").where(F.forall("unit", lambda x: x.isNotNull() & ~F.isnan(x))).orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("unit").toArrow()
+    rows = some.column("unit").to_pylist()
+    size = Counter(map(len, rows)).most_common(1)[0][0] if rows else 0  # vectors of another length than most have no part in the fit
+    return np.array([r for r in rows if len(r) == size]) if rows else np.zeros((0, 0))
 
 
 def centres_of(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:

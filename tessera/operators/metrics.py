@@ -7,14 +7,73 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from . import etl
+
+
+#: Accuracy of the sketch that brackets a rank: it leaves about 4 / ACCURACY of a group's rows. A bracket of more than BRACKET distinct values is cut into BINS.
+ACCURACY, BRACKET, BINS = 10_000, 500_000, 1_000
+
 
 def nearest_ranks(df: DataFrame, value: str, points: dict[str, float], groups: list[str] | None = None) -> DataFrame:
-    """Per group sorted[ceil(p * n) - 1] for each name: p. Counts per value come first, so no task holds a group's values in memory."""
+    """Per group sorted[ceil(p * n) - 1] for each name: p, exactly. value: a number; NaN comes after all others.
+
+    Selection in two passes: a mergeable sketch of bounded size brackets each rank, and only the bracket's values are counted and ordered,
+    after what lies below it was counted. A bracket that still holds many distinct values is narrowed by counts per bin, so no task
+    orders a group.
+    """
     groups = groups or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*groups)
-    run = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
-    return run.groupBy(*groups).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col("_v"))).alias(name) for name, p in points.items()])
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    names = list(points)
+    shares = [x for p in points.values() for x in (max(p - 2 / ACCURACY, 0.0), min(p + 2 / ACCURACY, 1.0))]
+    sketch = rows.groupBy(*groups).agg(F.count("*").alias("_all"), F.percentile_approx("_v", shares, ACCURACY).alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # The sketch's ends are no bounds, so a rank next to them is bracketed by the least and the greatest value.
+    low = lambda k, p: F.when(F.lit(p <= 4 / ACCURACY), F.col("_min")).otherwise(F.col("_q")[2 * k])
+    high = lambda k, p: F.when(F.lit(p >= 1 - 4 / ACCURACY), F.col("_max")).otherwise(F.col("_q")[2 * k + 1])
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.ceil(F.col("_all") * p), F.lit(1)).alias("rank"), low(k, p).alias("lo"), high(k, p).alias("hi")) for k, (n, p) in enumerate(points.items())])
+    brackets = written(sketch.select(*groups, F.explode(each).alias("b")).select(*groups, "b.*"))
+    found = _select(rows, brackets, groups)
+    missed = written(brackets.select(*groups, "name", "rank").join(_keyed(found, groups), [*[F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(groups)], F.col("name") == F.col("_kn")], "left_anti"))
+    if missed.limit(1).count():  # a bracket that the sketch's error moved off its rank: take the whole range
+        wide = rows.groupBy(*groups).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        found = found.unionByName(_select(rows, written(_beside(missed, wide, groups)), groups))
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in names])
+
+
+def _keyed(found: DataFrame, groups: list[str]) -> DataFrame:
+    return found.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], F.col("name").alias("_kn"))
+
+
+def _select(rows: DataFrame, brackets: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, name, _v): the value at each bracket's rank, if it lies in the bracket."""
+    small = F.broadcast(brackets) if brackets.count() <= 100_000 else brackets
+    named = small.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(groups)})
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)] or F.lit(True)
+    met = rows.join(named, same).where(F.col("_v") <= F.col("hi"))
+    inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
+    held = written(met.groupBy(*groups, "name", "rank", inside.alias("_v")).agg(F.count("*").alias("_n")))
+    by = [*groups, "name"]
+    below = held.where("_v is null").select(*groups, "name", F.col("_n").alias("_below"))
+    held = held.where("_v is not null")
+    while True:
+        many = held.groupBy(*by).agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).where(F.col("c") > BRACKET)
+        many = written(many)
+        if not many.limit(1).count():
+            break
+        # Only the bin that holds the rank stays; what lies below it is counted.
+        sized = _beside(held, many.drop("c").withColumn("wide", F.lit(True)), by)
+        spot = F.when(F.col("wide"), F.least(F.floor((F.col("_v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+        binned = written(sized.withColumn("bin", F.coalesce(spot, F.lit(0))))
+        counts = _beside(binned.groupBy(*by, "rank", "bin").agg(F.sum("_n").alias("n")), below, by)
+        w = Window.partitionBy(*by).orderBy("bin")
+        run = counts.withColumn("upto", F.coalesce("_below", F.lit(0)) + F.sum("n").over(w))
+        hit = run.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(*by, "bin", (F.col("upto") - F.col("n")).alias("_below"))
+        hit = written(hit)
+        held = written(_beside(binned, hit.withColumnRenamed("bin", "at"), by).where(F.col("bin") == F.col("at")).select(*by, "rank", "_v", "_n"))
+        below = hit.drop("bin")
+    w = Window.partitionBy(*by).orderBy("_v")
+    run = _beside(held, below, by).withColumn("upto", F.coalesce("_below", F.lit(0)) + F.sum("_n").over(w))
+    return run.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("_n") < F.col("rank"))).select(*by, "_v")
 
 
 def _beside(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
@@ -78,13 +137,20 @@ def histogram_quantile(buckets: DataFrame, q: float, groups: list[str] | None =
 
 
 def increase_rate(samples: DataFrame, value: str, ts: str, window: str, groups: list[str]) -> DataFrame:
-    """Per window: increase of a counter (a fall is a restart from 0) divided by the window's seconds."""
-    w = Window.partitionBy(*groups).orderBy(ts)
+    """Per window: increase of a counter (a fall is a restart from 0) divided by the window's seconds.
+
+    Steps are taken inside each window; a window's first sample meets the last of the series' window before, so a series is split over tasks by time.
+    """
+    by = samples.withColumn("_w", F.window(ts, window))
+    w = Window.partitionBy(*groups, "_w").orderBy(ts)
     before = F.lag(value).over(w)
-    step = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    by = samples.withColumn("_step", step).groupBy(*groups, F.window(ts, window).alias("w"))
-    seconds = F.col("w.end").cast("double") - F.col("w.start").cast("double")
-    return by.agg(F.sum("_step").alias("increase")).select(*groups, F.col("w.start").alias("window_start"), "increase", (F.col("increase") / seconds).alias("rate"))
+    rise = lambda now, old: F.when(old.isNull(), 0).when(now < old, now).otherwise(now - old)
+    inner = by.withColumn("_step", rise(F.col(value), before))
+    per = inner.groupBy(*groups, "_w").agg(F.sum("_step").alias("_inside"), F.min_by(value, ts).alias("_first"), F.max_by(value, ts).alias("_last"))
+    last = F.lag("_last").over(Window.partitionBy(*groups).orderBy("_w.start"))
+    seconds = F.col("_w.end").cast("double") - F.col("_w.start").cast("double")
+    out = per.withColumn("increase", F.col("_inside") + rise(F.col("_first"), last))
+    return out.select(*groups, F.col("_w.start").alias("window_start"), "increase", (F.col("increase") / seconds).alias("rate"))
 
 
 def filled(df: DataFrame, series: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -168,9 +234,10 @@ def filter_stats(runs: DataFrame, groups: list[str], latency: str = "latency", r
 
 
 def ranked_by_recall(runs: DataFrame, recall: str, latency: str, tie: str) -> DataFrame:
-    """rank from 1: by recall to two digits, the lower latency first among equals."""
-    order = [F.desc(F.round(recall, 2)), F.col(latency), F.col(tie)]
-    return runs.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """rank from 1: by recall to two digits, the lower latency first among equals. Numbered by ranges of the order."""
+    order = ["_down", latency, tie]
+    out = etl.batched(runs.withColumn("_down", -F.round(recall, 2)), order, 1)
+    return out.withColumn("rank", F.col("row_index") + 1).drop("_down", "row_index", "batch_file")
 
 
 def slowest(rows: DataFrame, by: str, ties: list[str], n: int = 5) -> DataFrame:

@@ -255,11 +255,11 @@ class VectorTable:
             return False
         return True
 
-    def upsert(self, rows: DataFrame, order: list[str] | None = None) -> None:
-        """Costs what the rows cost; the collection isn't rewritten."""
+    def upsert(self, rows: DataFrame, order: list[str] | None = None) -> int:
+        """Costs what the rows cost; the collection isn't rewritten. Returns how many went in."""
         rows = latest(rows, "key", order) if order else rows.dropDuplicates(["key"])
         rows = self._checked(rows.drop(*[c for c in order or [] if c not in ("key", "vector", "metadata")]))
-        self._change(lambda _: rows, False)
+        return self.spark.read.parquet(f"{self.path}/{self._change(lambda _: rows, False)}").count()
 
     def delete(self, keys: DataFrame) -> dict[str, int]:
         """{requested, deleted}: distinct keys asked for, and those that were there."""

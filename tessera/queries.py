@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text, vectors
-from .operators import etl, imports, knn, metrics, queue, store, threads
+from .operators import etl, graph, imports, knn, metrics, postings, queue, store, threads
+from .operators.cells import CellIndex
 from .plans import filters
 from .plans.search import SearchQuery, flattened, shaped, summary
 from .plans.search import knn as knn_one
 from .scratch import folder
 from .session import table
 from .sources import readers, sinks
-from .streaming import ingest
+from .streaming import batches, durable, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -587,12 +588,12 @@ def rank_improvement(s, d):
     return table(s, d, "events").agg(F.round(metrics.improvement(mean("error"), mean("view")), 6).alias("improvement"))
 
 
-@query("""WITH r AS (SELECT user_id AS query_id, event_id % 20 AS key, event_type AS config FROM events WHERE user_id < 50), t AS (SELECT DISTINCT user_id AS query_id, event_id % 20 AS key FROM events WHERE user_id < 40 AND event_id % 2 = 0),
+@query("""WITH r AS (SELECT user_id AS query_id, event_id % 20 AS key, event_type AS config FROM events), t AS (SELECT DISTINCT user_id AS query_id, event_id % 20 AS key FROM events WHERE event_type = 'view' AND event_id % 2 = 0),
 g AS (SELECT DISTINCT config, query_id, key FROM r), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1)
 SELECT config, round(avg(h / least(10, n)), 6) AS recall, count(*) AS n_queries FROM (SELECT g.config, g.query_id, count(t.key) AS h FROM g LEFT JOIN t USING (query_id, key) GROUP BY ALL) JOIN n USING (query_id) GROUP BY config""")
 def rank_recall_by_config(s, d):
     e = table(s, d, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 20).alias("key"), F.col("event_type").alias("config"), "event_id")
-    out = knn.recall_at_k(e.where("query_id < 50"), e.where("query_id < 40 and event_id % 2 = 0"), 10, ["config"])
+    out = knn.recall_at_k(e, e.where("config = 'view' and event_id % 2 = 0"), 10, ["config"])
     return out.withColumn("recall", F.round("recall", 6))
 
 
@@ -888,14 +889,13 @@ def io_queue_span(s, d):
     return readers.queue_span(files)
 
 
-@query("SELECT sha256(replace(text, chr(10), ' ') || chr(10)) AS sha256, count(*) AS n FROM (SELECT text FROM documents WHERE doc_id < 20) GROUP BY 1")
+@query("SELECT sha256(string_agg(replace(text, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS sha256, CAST(sum(strlen(text) + 1) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL GROUP BY doc_id % 16")
 def io_file_hashes(s, d):
-    """Files of one text each; their hashes and how many files have them."""
+    """Sixteen files of lines; their hashes and lengths."""
     at = folder(s)
-    for_files = table(s, d, "documents").where("doc_id < 20").select(F.regexp_replace("text", "\n", " ").alias("text"), "doc_id")
-    for_files.write.partitionBy("doc_id").text(at)
-    found = readers.file_hashes(s, f"{at}/*/*.txt")
-    return found.groupBy("sha256").agg(F.count("*").alias("n"))
+    lines = table(s, d, "documents").where("text is not null").select(F.regexp_replace("text", "\n", " ").alias("text"), "doc_id", (F.col("doc_id") % 16).alias("part"))
+    lines.repartition(16, "part").sortWithinPartitions("part", "doc_id").select("text", "part").write.partitionBy("part").text(at)
+    return readers.file_hashes(s, f"{at}/*/*.txt").select("sha256", F.col("length").alias("n"))
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error' AND event_id % 2 = 1")
@@ -939,10 +939,10 @@ def io_import_profile(s, d):
     return out.select("files", "n", F.round("avg_rows", 6).alias("avg_rows"), F.round("share", 6).alias("share"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S') AND doc_id % 5 = 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')")
 def embed_and_store(s, d):
     to = store.VectorTable(s, folder(s), DIM)
-    imports.generate_and_store(table(s, d, "documents").where("doc_id % 5 = 0"), "doc_id", "text", to)
+    imports.generate_and_store(table(s, d, "documents"), "doc_id", "text", to)
     return to.read().select("key", F.length("metadata.text").cast("long").alias("n"))
 
 
@@ -1056,3 +1056,234 @@ def ann_product_codes_recall(s, d):
 @query(_ENOUGH)
 def knn_two_phase_recall(s, d):
     return _recall(knn.knn_two_phase(_points(s, d), _asked(s, d), DIM, K, OVERSAMPLING), knn.knn_batched(_points(s, d), _asked(s, d), K))
+
+
+# ---- state, indexes and runs: written, read back ----
+
+
+def _replayed(s, d, name: str, columns: list[str], ts: str, parts: int = 3) -> tuple[str, str]:
+    """A table as a feed: files in the order of time, one after the other. Returns the folder and the schema."""
+    rows = table(s, d, name).select(*columns)
+    cuts = rows.select(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [k / parts for k in range(1, parts)], 1000)).first()[0]
+    at, us = folder(s), F.unix_micros(F.col(ts).cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        inside = (F.lit(True) if low is None else us >= low) & (F.lit(True) if high is None else us < high)
+        rows.where(inside).write.mode("append").parquet(at)
+    return at, rows.schema.simpleString()[7:-1].replace(":", " ")
+
+
+def _drained(writer, s) -> str:
+    """Run a stream on what is there into a folder."""
+    out = folder(s)
+    writer.outputMode("append").option("path", out).start().awaitTermination()
+    return out
+
+
+@query(f"{_SESS} SELECT user_id, CAST(session AS BIGINT) AS session, CAST(floor((r - 1) / 3) AS BIGINT) AS chunk, count(*) AS n, CASE WHEN count(*) = 3 THEN 'count' ELSE 'idle' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS r FROM s) GROUP BY 1, 2, 3")
+def stream_live_batches(s, d):
+    """The feed's batches by a live buffer for each user. Two runs from one checkpoint; the second brings a mark that ends all sessions."""
+    at, schema = _replayed(s, d, "events", ["event_id", "ts", "user_id"], "ts")
+    feed = s.readStream.schema(schema).option("maxFilesPerTrigger", 200).parquet(at)
+    live = batches.live_batches(feed, "ts", "2 hours", 3, ["user_id"], ["event_id"], late="90 days")
+    out, check = folder(s), folder(s)
+    run = lambda: live.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    run()
+    last = table(s, d, "events").select(F.lit(-1).cast("long").alias("event_id"), F.max("ts").alias("ts"), F.lit(-1).cast("long").alias("user_id"))
+    last.withColumn("ts", F.expr("ts + interval 1 year")).select(F.col("event_id"), "ts", F.col("user_id").cast(dict(table(s, d, "events").dtypes)["user_id"])).write.mode("append").parquet(at)
+    run()
+    found = s.read.schema(live.schema).parquet(out).where("event_id >= 0")
+    return found.groupBy("user_id", "session", "chunk").agg(F.count("*").alias("n"), F.max("reason").alias("reason"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'ack' END AS kind FROM events),
+k AS (SELECT *, count(*) FILTER (kind = 'enqueue') OVER w AS life, row_number() OVER w AS r FROM e WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT user_id, life, min(r) FILTER (kind = 'enqueue') AS began, min(r) FILTER (kind <> 'enqueue') AS answered FROM k WHERE life > 0 GROUP BY 1, 2),
+l AS (SELECT f.*, k.kind FROM f LEFT JOIN k ON k.user_id = f.user_id AND k.r = f.answered QUALIFY row_number() OVER (PARTITION BY f.user_id ORDER BY f.life DESC) = 1)
+SELECT CAST(user_id AS VARCHAR) AS key, CASE kind WHEN 'fail' THEN 'pending' ELSE 'processing' END AS status, CAST(CASE kind WHEN 'fail' THEN 1 ELSE 0 END AS INTEGER) AS retry_count, CAST(life AS BIGINT) AS attempt FROM l WHERE kind IS NULL OR kind = 'fail'""")
+def queue_durable_state(s, d):
+    """The queue as keyed state: users' signups enqueue, purchases acknowledge and errors fail the work at hand. Timers don't end within the run."""
+    kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "ack")
+    lives = F.count_if(F.col("kind") == "enqueue").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(s, d, "events").withColumn("kind", kind).where("kind is not null").withColumn("attempt", lives)
+    at, check = folder(s), folder(s)
+    durable.put(rows.select(F.col("user_id").cast("string").alias("key"), F.timestamp_seconds("event_id").alias("at"), "kind", "attempt"), at)
+    found = durable.transitions(s.readStream.schema(durable.EVENT).parquet(at), base_s=86_400, lease_s=86_400)
+    durable.drained(found.writeStream.format("parquet").outputMode("append").option("path", folder(s)).option("checkpointLocation", check)).awaitTermination()
+    return durable.items(s, check).select("key", "status", "retry_count", "attempt")
+
+
+@query("SELECT event_id FROM events")
+def stream_deduplicated(s, d):
+    """A feed in which every event comes twice, the second time in a later micro-batch."""
+    at, schema = _replayed(s, d, "events", ["event_id", "ts"], "ts", 2)
+    table(s, d, "events").select("event_id", "ts").write.mode("append").parquet(at)
+    once = ingest.deduplicated(s.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(at), "event_id", "ts", "400 days")
+    writer = once.select("event_id").writeStream.format("parquet").option("checkpointLocation", folder(s)).trigger(availableNow=True)
+    return s.read.schema("event_id long").parquet(_drained(writer, s))
+
+
+@query("SELECT count(*) AS received, count(DISTINCT user_id) FILTER (user_id % 3 <> 0) AS stored, count(*) - count(DISTINCT user_id) FILTER (user_id % 3 <> 0) AS skipped, CAST(0 AS BIGINT) AS failures FROM events")
+def stream_ingest_log(s, d):
+    """Ingestion of a feed with blank and repeated rows, as its run log tells it."""
+    import time
+
+    blank = F.when(F.col("user_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string")))
+    at, log_at = folder(s), folder(s)
+    table(s, d, "events").select(F.col("user_id").alias("id"), blank.alias("text"), F.col("ts").cast("timestamp").alias("ts")).repartition(2).write.parquet(at)
+    feed = s.readStream.schema("id long, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(at)
+    log = ingest.RunLog(s, log_at)
+    query_ = ingest.start(feed, store.VectorTable(s, folder(s), DIM), folder(s), log=log)
+    query_.awaitTermination()
+    until = time.time() + 30
+    while log._stored and time.time() < until:  # progress reports come a moment later
+        time.sleep(0.1)
+    s.streams.removeListener(log)
+    return ingest.progress(ingest.runs(s, log_at)).select("received", "stored", "skipped", "failures")
+
+
+@query(_KNN.format(""))
+def index_cells_all(s, d):
+    """The index on disk, half of it a delta, asked for all its cells: the exact answers."""
+    index = CellIndex(s, folder(s))
+    points = _points(s, d)
+    index.build(points.where("key % 2 = 0"), 24)
+    index.add(points.where("key % 2 = 1"))
+    return _shaped(index.search(_asked(s, d), K, len(index._tree()[0])))
+
+
+@query()
+def index_cells_report(s, d):
+    """Recall, share of the vectors scored and files read of the index on disk."""
+    index = CellIndex(s, folder(s))
+    index.build(_points(s, d), 24)
+    return index.report(_asked(s, d), knn.knn_batched(_points(s, d), _asked(s, d), K), K, 16)
+
+
+@query()
+def index_graph_report(s, d):
+    """Recall and share of the vectors scored of the graph index."""
+    index = graph.GraphIndex(s, folder(s))
+    index.build(_points(s, d))
+    return index.report(_asked(s, d), knn.knn_batched(_points(s, d), _asked(s, d), K), K)
+
+
+def _text_index(s, d):
+    index = postings.TextIndex(s, folder(s))
+    index.build(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return index
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}_]+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, n FROM (SELECT doc_id, CAST(length(text) AS BIGINT) AS n, {_WORDS} AS w FROM documents) WHERE list_has_all(w, ['the', 'ing', 'and'])")
+def filter_text_tokens(s, d):
+    """Texts with all words, by posting lists."""
+    return _text_index(s, d).tokens("And ing, the").select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
+def filter_text_trigrams(s, d):
+    """Texts that hold a string, by posting lists of its trigrams."""
+    return _text_index(s, d).contains("Tion the").select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN -1 ELSE n_chars END AS n FROM documents WHERE source IS NULL OR source <> 'src3'")
+def io_incremental(s, d):
+    """Files by source; then some rows of one file change and one file goes. The second run processes the changed file only."""
+    from .sources.incremental import Incremental
+
+    inputs, job = folder(s), Incremental(s, folder(s))
+    docs = table(s, d, "documents").select("doc_id", "n_chars", F.coalesce("source", F.lit("none")).alias("source"))
+    docs.repartition("source").write.partitionBy("source").parquet(inputs)
+    work = lambda rows: rows.select("doc_id", F.col("n_chars").alias("n"), "_file")
+    first = job.run(f"{inputs}/source=*/*.parquet", {"v": 1}, work)
+    changed = docs.withColumn("n_chars", F.when(F.col("doc_id") % 40 == 0, -1).otherwise(F.col("n_chars")).cast("long"))
+    for name in [r["source"] for r in changed.where("n_chars = -1").select("source").distinct().collect()]:
+        changed.where(F.col("source") == name).drop("source").coalesce(1).write.mode("overwrite").parquet(f"{inputs}/source={name}")
+    docs.where("false").drop("source").coalesce(1).write.mode("overwrite").parquet(f"{inputs}/source=src3")
+    again = job.run(f"{inputs}/source=*/*.parquet", {"v": 1}, work)
+    if again["kept"] + again["processed"] < first["processed"] - 1:
+        raise ValueError(f"{first} then {again}")
+    return job.outputs()
+
+
+# ---- helpers that had no query ----
+
+
+@query("SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type, regexp_matches(lower(column_name), 'text|content|message|body|tweet') AS text_hint, regexp_matches(lower(column_name), 'id|key|identifier') AS id_hint FROM (DESCRIBE documents)")
+def etl_describe(s, d):
+    docs = etl.require(table(s, d, "documents"), "doc_id", "text")
+    return etl.describe(docs).select(F.col("column").alias("name"), "type", "text_hint", "id_hint")
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS n, true AS spread FROM (SELECT count(*) AS n FROM lineitem)")
+def store_partitions(s, d):
+    return store.partitions(table(s, d, "lineitem").repartition(4)).agg(F.sum("n").alias("n"), (F.count("*") == 4).alias("spread"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN length(c) > 1024 THEN substring(c, 1, 1021) || '...' ELSE c END AS content, 'parquet_import' AS source, length(text) AS n_original, length(c) > 1024 AS is_truncated, CAST(coalesce(length(text), 0) - least(length(c), 1024) AS BIGINT) AS difference, lang FROM (SELECT doc_id, text, lang, {_CLEAN.format('text')} AS c FROM documents) WHERE regexp_matches(c, '\\S')")
+def etl_request_items(s, d):
+    done = etl.processed(table(s, d, "documents").withColumn("key", F.col("doc_id").cast("string")), "text")
+    out = etl.request_items(done, "text", "content", ["lang"])
+    return out.select("key", "content", "metadata.source", F.length("metadata.original_text").cast("long").alias("n_original"), "metadata.is_truncated", F.col("metadata.character_difference").cast("long").alias("difference"), "metadata.lang")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.avif' END AS extension FROM pages")
+def text_content_types(s, d):
+    kind = F.element_at(F.array(F.lit("image/jpeg"), F.lit(" IMAGE/PNG ; q=1"), F.lit("image/avif"), F.lit("x/unknown")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(s, d, "pages").select("page_id", text.content_type_extension(kind).alias("extension"))
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 3 = 2 THEN embedding[2] ELSE embedding[1] END::DOUBLE, 6) AS v FROM embeddings")
+def vec_named(s, d):
+    other = F.slice("embedding", 2, 1)
+    names = F.create_map(F.when(F.col("vec_id") % 3 == 0, "default").when(F.col("vec_id") % 3 == 1, "").otherwise("title"), F.when(F.col("vec_id") % 3 == 2, other).otherwise(F.col("embedding")))
+    return table(s, d, "embeddings").select("vec_id", F.round(vectors.named_vector(names)[0].cast("double"), 6).alias("v"))
+
+
+@query("SELECT CAST(conv_id * 1000000 + turn AS VARCHAR) AS key, text AS body FROM conversations WHERE regexp_matches(text, '\\S') AND role <> 'system'")
+def stream_insert_rows(s, d):
+    """Rows of a feed in its other naming; those without a text go."""
+    body = F.when(F.col("role") != "system", F.col("text"))
+    return ingest.insert_rows(table(s, d, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), body.alias("text"))).select("key", "body")
+
+
+@query(f"SELECT CAST(id AS VARCHAR) AS key, has_quotes, CAST(length(content) AS BIGINT) AS n FROM ({SQL['text_quote_combine']}) WHERE regexp_matches(content, '\\S')")
+def stream_enriched(s, d):
+    """A feed's rows with the static lookup of what they quote."""
+    posts = _posts(s, d)
+    feed = posts.where("body is not null").select(F.col("id").cast("string").alias("id"), "body", F.col("parent").cast("string").alias("key"))
+    quotes = posts.select(F.col("id").cast("string").alias("key"), F.col("body").alias("quoted_text"))
+    out = ingest.enriched(feed, quotes)
+    return out.select(F.col("id").alias("key"), "processing.has_quotes", F.length("content").cast("long").alias("n"))
+
+
+def _named_files(s, d):
+    """Real files named by state, one for each source of documents."""
+    at, states = folder(s), ["pending", "processing", "completed", "failed"]
+    docs = table(s, d, "documents").where("source is not null").select("doc_id", "source")
+    docs.repartition("source").write.partitionBy("source").parquet(at)
+    names = sorted(r["source"] for r in docs.select("source").distinct().collect())
+    sinks.renamed(s, at, {f"source={n}": f"{n}.{states[i % 4]}.parquet" for i, n in enumerate(names)})
+    return at
+
+
+_NAMED = "(SELECT source, (row_number() OVER (ORDER BY source) - 1) % 4 AS i FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))"
+
+
+@query(f"SELECT CASE i WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS state, count(*) AS n, true AS filled FROM {_NAMED} GROUP BY 1")
+def io_queue_listing(s, d):
+    files = readers.file_ids(s, _named_files(s, d) + "/*.parquet")
+    return readers.queue_files(files).select("state", "n", (F.col("bytes") > 0).alias("filled"))
+
+
+@query(f"SELECT count(*) AS n, true AS filled, true AS named FROM {_NAMED}")
+def io_queue_listing_span(s, d):
+    out = readers.queue_span(readers.file_ids(s, _named_files(s, d) + "/*.parquet"))
+    return out.select("n", (F.col("bytes") > 0).alias("filled"), (F.col("oldest").contains(".parquet") & F.col("newest").contains(".parquet")).alias("named"))
+
+
+@query(f"SELECT source || '.' || CASE i WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS id FROM {_NAMED}")
+def io_existing_ids(s, d):
+    return readers.file_ids(s, _named_files(s, d) + "/*.parquet").select("id")

@@ -66,7 +66,7 @@ def queue_span(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min_by("path", at).alias("oldest"), F.max_by("path", at).alias("newest"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length, sha256) of a folder's files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 

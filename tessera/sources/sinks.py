@@ -129,3 +129,17 @@ def progress(rows: DataFrame, path: str) -> None:
 def convert_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows read from compressed JSON lines as zstd Parquet, vectors as FLOAT arrays."""
     df.withColumn("vector", F.col("vector").cast("array<float>")).write.mode(mode).option("compression", "zstd").parquet(path)
+
+
+def renamed(spark, path: str, names: dict[str, str]) -> None:
+    """Give the single data file of each partition folder below path a name of its own beside them; the folders go. names: folder -> file name."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder, name in names.items():
+        inside = jvm.org.apache.hadoop.fs.Path(at, folder)
+        files = [f.getPath() for f in fs.listStatus(inside) if not f.getPath().getName().startswith(("_", "."))]
+        if len(files) != 1:
+            raise ValueError(f"{folder} holds {len(files)} files")
+        fs.rename(files[0], jvm.org.apache.hadoop.fs.Path(at, name))
+        fs.delete(inside, True)

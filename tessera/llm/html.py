@@ -2,8 +2,8 @@
 
 1. A page is read once, from left to right, by the rules of HTML for tags, attributes, comments and raw text, into blocks. Elements say what
    a block is: `main` inside <article> (else <main>), `chrome` in navigation, footers, forms, comments, adverts and the
-   like, by element, role or a class or id that says just that, `open` otherwise. Names that may say it or something else
-   ("related-work", "discussion") and links that make up most of a block only mark a block of the article as doubtful.
+   like, by element, role or a class or id that says just that, `open` otherwise; a form around an article or main is a wrapper. Names that may say it or something else
+   ("related-work", "discussion", "social") and links that make up most of a block only mark a block of the article as doubtful.
 2. The token streams of a host's chrome, open and doubtful blocks are concatenated, and their suffixes of RUN tokens or more sorted,
    each with its first KEEP tokens. Common prefixes of neighbours (LCPs) cut the order into intervals that share RUN tokens, which
    are the long substrings that repeat; an interval counts the distinct pages it has suffixes from. Order and
@@ -49,9 +49,9 @@ RAW = set("script style noscript template textarea title iframe svg object selec
 CHROME = set("nav footer aside form button dialog menu label fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
 #: Words of a class or id that say what an element is; words that may stand beside them; words that leave it in doubt.
-SURE_NAMES = set("nav navbar navigation menu footer masthead sidebar side aside ad ads adv advert adverts advertisement advertising adbox adslot banner cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promotion sponsor sponsored sponsoring comment comments commentlist disqus respond reply replies share sharing social newsletter subscribe subscription recommended breadcrumb breadcrumbs login signup toolbar pagination pager skip hidden".split())
-BESIDE = set("list item items box area section container wrapper wrap block bar inner outer top bottom left right primary secondary main page site global fixed sticky unit slot text title link links group panel row col column content body wide small large the for and to by on".split())
-DOUBT_NAMES = SURE_NAMES | set("discussion related widget search form header register teaser".split())
+SURE_NAMES = set("nav navbar navigation menu footer masthead sidebar side aside ad ads adv advert adverts advertisement advertising adbox adslot banner cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promotion sponsor sponsored sponsoring comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs toolbar pagination pager".split())
+BESIDE = set("form list item items box area section container wrapper wrap block bar inner outer top bottom left right primary secondary main page site global fixed sticky unit slot text title link links group panel row col column content body wide small large the for and to by on".split())
+DOUBT_NAMES = SURE_NAMES | set("discussion related recommended widget search form header register login signup newsletter subscribe subscription share sharing social skip hidden teaser".split())
 ARTICLE_NAMES = set("comment comments reply replies related recommended ad ads advert adverts advertisement sponsored promo teaser".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,6 +171,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     walls: list[int] = []
     solid: list[int] = []  # places of block elements
     depth = {"sure": 0, "doubt": 0}
+    depth_named: dict[int, bool] = {}  # of open forms: whether more than the element itself says chrome
 
     def count(tag: str) -> int:
         return len(where.get(tag, ()))
@@ -189,8 +190,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
         text.clear(), aside.clear()
         linked = 0
 
-    def push(tag: str, said: str) -> None:
+    def push(tag: str, said: str, named: bool = False) -> None:
         place = len(stack)
+        if tag == "form":
+            depth_named[place] = named
         stack.append((tag, said))
         where.setdefault(tag, []).append(place)
         if tag in _WALLS:
@@ -199,6 +202,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             solid.append(place)
         if said:
             depth[said] += 1
+        elif tag in ("article", "main"):  # a form around an article is a wrapper
+            for at_ in where.get("form", ()):
+                if stack[at_][1] == "sure" and not depth_named[at_]:
+                    stack[at_] = ("form", "")
+                    depth["sure"] -= 1
 
     def pop_to(place: int) -> None:
         """Close all elements from `place` on."""
@@ -267,7 +275,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
         said = _says(tag, found, bool(count("article") or count("main")))
         if said == "doubt" and tag not in BLOCKS:
             said = ""
-        push(tag, said)
+        push(tag, said, tag == "form" and _says("div", found, False) == "sure")
     add(page[at:])
     pop_to(0)
     flush()

@@ -42,8 +42,8 @@ def parser() -> argparse.ArgumentParser:
 def process(spark, o: argparse.Namespace) -> dict:
     if not 100 <= o.max_text_length <= 10_240 or not 1 <= o.batch_size <= 1000:
         raise ValueError("text length must be 100 to 10240, batch size 1 to 1000")
-    posts = etl.require(spark.read.parquet(o.path), o.id_column, o.text_column)
-    rows = etl.first_of_key(etl.valid(posts, o.id_column, o.text_column), o.id_column, [o.text_column])
+    posts = etl.require(spark.read.parquet(o.path).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at")), o.id_column, o.text_column)
+    rows = etl.first_of_key(etl.valid(posts, o.id_column, o.text_column), o.id_column, ["_at"])
     if o.quoted_column:
         rows = etl.with_quoted(rows, o.id_column, o.quoted_column, o.text_column, o.id_column)
     rows = rows.withColumn("key", F.col(o.id_column).cast("string"))

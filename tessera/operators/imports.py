@@ -19,12 +19,12 @@ def importable(rows: DataFrame, dim: int) -> DataFrame:
 
 
 def bulk_import(spark: SparkSession, paths: list[str], table: VectorTable) -> DataFrame:
-    """All valid rows of Parquet exports go to the table in one job, the last file's of a repeated key. Returns the profile per file."""
-    rows = importable(spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_file")), table.dim)
+    """All valid rows of Parquet exports go to the table in one job, the last of a repeated key by file and row. Returns the profile per file."""
+    rows = importable(spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), table.dim)
     good = rows.where("ok")
     if good.limit(1).count():
         columns = [c for c in ("key", "vector", "metadata") if c in good.columns]
-        table.upsert(good.select(*columns, "_file"), ["_file"])
+        table.upsert(good.select(*columns, "_file", "_row"), ["_file", "_row"])
     return profile(rows)
 
 

@@ -22,16 +22,12 @@ def best(scored: DataFrame, k: int, query: str = "query_id", key: str = "key") -
 
 
 def blocks(queries: DataFrame) -> list[DataFrame]:
-    """queries in ranges of query_id of about QUERY_BLOCK rows; rows of one query_id stay together."""
-    starts = []
-    for i, r in enumerate(queries.select("query_id").orderBy("query_id").toLocalIterator()):
-        if i % QUERY_BLOCK == 0 and i and r["query_id"] is not None and r["query_id"] not in starts[-1:]:
-            starts.append(r["query_id"])
-    if not starts:
+    """queries in hash parts of query_id of about QUERY_BLOCK rows; rows of one query_id stay together. The driver sees their number only."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    if n <= 1:
         return [queries]
-    q = F.col("query_id")
-    inner = [queries.where((q >= a) & (q < b)) for a, b in zip(starts[:-1], starts[1:])]
-    return [queries.where(q.isNull() | (q < starts[0])), *inner, queries.where(q >= starts[-1])]
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return [queries.where(part == i) for i in range(n)]
 
 
 def knn_sql(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:

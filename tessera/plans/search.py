@@ -62,5 +62,5 @@ def shaped(found: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Mean similarity and the best match."""
-    return found.agg(F.avg("distance").alias("avg_similarity"), F.max_by("key", F.struct("distance", F.lit(0))).alias("best"))
+    """Mean similarity and the best match, of equals the smallest key."""
+    return found.agg(F.avg("distance").alias("avg_similarity"), F.min_by("key", F.struct(-F.col("distance"), F.col("key"))).alias("best"))

@@ -18,7 +18,7 @@ from .plans.search import SearchQuery, flattened, shaped, summary
 from .plans.search import knn as knn_one
 from .scratch import folder
 from .session import table
-from .sources import readers, sinks
+from .sources import filestate, readers, sinks
 from .streaming import batches, durable, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,7 +305,7 @@ UNION ALL SELECT p.conv_id, p.id, w.root, w.depth + 1, list_append(w.path, p.id)
 
 @query(f"{_WALK} SELECT conv_id AS conversation, id AS key, root, CAST(depth AS INTEGER) AS depth FROM w")
 def thread_depth_root(s, d):
-    return threads.paths(_posts(s, d), "conv_id", "id", "parent").select("conversation", "key", "root", F.col("depth").cast("int").alias("depth"))
+    return threads.depths(_posts(s, d), "conv_id", "id", "parent").select("conversation", "key", "root", F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"{_WALK} SELECT conv_id AS conversation, id AS key, array_to_string(path, '>') AS path FROM w")
@@ -1287,3 +1287,36 @@ def io_queue_listing_span(s, d):
 @query(f"SELECT source || '.' || CASE i WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS id FROM {_NAMED}")
 def io_existing_ids(s, d):
     return readers.file_ids(s, _named_files(s, d) + "/*.parquet").select("id")
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id IS NULL OR user_id % 2 = 0 UNION ALL SELECT event_id, 'again' FROM events WHERE event_id % 5 = 0")
+def io_committed(s, d):
+    """Two writes by the committed sink, and one that fails between them."""
+    filestate.register(s)
+    at, e = folder(s), table(s, d, "events").select("event_id", "event_type", "user_id")
+    put = lambda df: df.write.format("committed").mode("append").save(at)
+    put(e.where("user_id is null or user_id % 2 = 0").drop("user_id"))
+    again = e.where("event_id % 5 = 0").select("event_id", F.lit("again").alias("event_type"))
+    try:
+        put(again.withColumn("event_type", F.when(F.col("event_id") % 10 == 0, F.raise_error(F.lit("meant to fail"))).otherwise(F.col("event_type"))))
+    except Exception as error:
+        if "meant to fail" not in str(error):
+            raise
+    put(again)
+    return filestate.committed_rows(s, at)
+
+
+@query(f"SELECT doc_id, n_chars FROM documents JOIN {_NAMED} USING (source) WHERE i = 0")
+def stream_file_queue(s, d):
+    """The pending files of a folder as a stream, two a micro-batch, over as many runs as it takes."""
+    filestate.register(s)
+    at, check, out = folder(s), folder(s), folder(s)
+    states = ["pending", "other", "completed", "failed"]
+    docs = table(s, d, "documents").where("source is not null").select("doc_id", "n_chars", "source")
+    docs.repartition("source").write.partitionBy("source").parquet(at)
+    names = sorted(r["source"] for r in docs.select("source").distinct().collect())
+    sinks.renamed(s, at, {f"source={n}": f"{n}.{states[i % 4]}.parquet" for i, n in enumerate(names)})
+    feed = s.readStream.format("filequeue").schema("doc_id long, n_chars long").option("files", 2).load(at)
+    for _ in range(-(-len(names) // 8) + 1):
+        feed.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("doc_id long, n_chars long").parquet(out)

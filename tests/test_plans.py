@@ -194,3 +194,18 @@ def test_threads_deeper_than_64_and_cycles(spark):
     posts.where("conversation = 'c'").createOrReplaceTempView("deep_posts")
     walked = spark.sql(threads.paths_sql("deep_posts", "conversation", "key", "parent")).collect()
     assert {(r.key, r.root, r.depth) for r in walked} == {(i, 0, i) for i in range(150)}
+
+
+def test_depths_without_paths(spark):
+    """Chains, trees, replies to absent posts, cycles and what hangs below them."""
+    import random
+
+    from tessera.operators import threads
+
+    r = random.Random(6)
+    rows = [(1, i, i - 1 if i else None) for i in range(300)]
+    rows += [(2, i, r.randrange(i) if i else None) for i in range(200)] + [(2, 900, 12345)]
+    rows += [(3, 1, 2), (3, 2, 3), (3, 3, 1), (3, 4, 3), (3, 5, 4), (3, 6, None), (3, 7, 6), (4, 1, 1), (4, 2, 1), (None, 1, None)]
+    posts = spark.createDataFrame(rows, "c long, k long, p long")
+    one = lambda df: sorted(map(str, ((x["conversation"], x["key"], x["root"], int(x["depth"])) for x in df.collect())))
+    assert one(threads.depths(posts.where("c is not null"), "c", "k", "p")) == one(threads.paths(posts.where("c is not null"), "c", "k", "p"))

@@ -21,8 +21,8 @@ from ..scratch import written
 from .ann import centres_of
 from .knn import best, recall_at_k
 
-DEGREE, LINES, CHUNK, ROUNDS, ENOUGH = 16, 3, 192, 6, 0.002
-BEAM, WIDTH = 64, 8
+DEGREE, LINES, CHUNK, ROUNDS, ENOUGH = 24, 3, 192, 6, 0.002
+BEAM, WIDTH = 80, 8
 #: Entry points at least and at most, and the bounded sample that they are fitted on and chosen from.
 ENTRIES, MAX_ENTRIES, SAMPLE = 16, 1024, 20_000
 

@@ -5,7 +5,8 @@ is a hash range of keys, so lists are of bounded length whatever a token's frequ
 block without shuffling keys one by one. Posting files are sorted by token with bloom filters: a search reads row groups of its tokens only.
 
 `tokens` finds texts that hold every word of a needle; `contains` finds texts that hold the needle as it stands, in any case: candidates
-hold all of its trigrams, and each candidate is then tested, so results are those of a scan. Needles of fewer than three characters are scanned for.
+hold all of its trigrams, and each candidate is then tested, so results are those of a scan. Needles of fewer than three characters, and all where trigrams weren't
+indexed, are scanned for.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def needle_words(text: str) -> list[str]:
 
 def _trigrams(batches):
     """key, _block, low (a text in lower case) -> its distinct trigrams."""
-    for batch in batches:
-        found = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in batch.column("low").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("_block"), pa.array(found, pa.list_(pa.string()))], ["key", "_block", "tokens"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 32):  # a worker holds the trigrams of a few texts
+            batch = whole.slice(at, 32)
+            found = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in batch.column("low").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("_block"), pa.array(found, pa.list_(pa.string()))], ["key", "_block", "tokens"])
 
 
 def needle_trigrams(text: str) -> list[str]:
@@ -57,8 +60,9 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def build(self, texts: DataFrame, key: str, body: str, files: int | None = None) -> None:
-        """texts: the rows to find, written beside the index in blocks; null keys stay out."""
+    def build(self, texts: DataFrame, key: str, body: str, files: int | None = None, substrings: bool = True) -> None:
+        """texts: the rows to find, written beside the index in blocks; null keys stay out. substrings: also index trigrams, which `contains` needs
+        and which are by far the larger part."""
         kept = texts.where(F.col(key).isNotNull())
         blocks = max(1, math.ceil(kept.count() / BLOCK_KEYS))
         placed = kept.withColumn("_block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
@@ -68,14 +72,14 @@ class TextIndex:
         kind = held.schema["key"].dataType.simpleString()
         grams = held.select("key", "_block", F.lower("body").alias("low")).mapInArrow(_trigrams, f"key {kind}, _block int, tokens array<string>")
         each = held.select("key", "_block", F.explode(words(F.col("body"))).alias("token")).withColumn("token", F.concat(F.lit("w"), "token"))
-        each = each.unionByName(grams.select("key", "_block", F.explode("tokens").alias("token")).withColumn("token", F.concat(F.lit("t"), "token")))
+        if substrings:
+            each = each.unionByName(grams.select("key", "_block", F.explode("tokens").alias("token")).withColumn("token", F.concat(F.lit("t"), "token")))
         lists = each.groupBy("token", "_block").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumn("n", F.size("keys").cast("long"))
         lists.repartitionByRange(files, "token", "_block").sortWithinPartitions("token", "_block").write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.path}/postings")
-        self.spark.createDataFrame([(key, body)], "key string, body string").coalesce(1).write.json(f"{self.path}/names")
+        self.spark.createDataFrame([(key, body, substrings)], "key string, body string, substrings boolean").coalesce(1).write.json(f"{self.path}/names")
 
-    def _names(self) -> tuple[str, str]:
-        row = self.spark.read.schema("key string, body string").json(f"{self.path}/names").first()
-        return row["key"], row["body"]
+    def _names(self) -> tuple[str, str, bool]:
+        return tuple(self.spark.read.schema("key string, body string, substrings boolean").json(f"{self.path}/names").first())
 
     def texts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/texts")
@@ -91,12 +95,12 @@ class TextIndex:
         return lists.select("_block", F.explode(both).alias("_key"))
 
     def _found(self, tokens: list[str], test: Column) -> DataFrame:
-        key, _ = self._names()
+        key, *_ = self._names()
         return self.texts().join(self.candidates(tokens).withColumnRenamed("_key", key), ["_block", key], "left_semi").where(test).drop("_block")
 
     def tokens(self, needle: str) -> DataFrame:
         """Texts with every word of the needle."""
-        _, body = self._names()
+        _, body, _ = self._names()
         wanted = needle_words(needle)
         if not wanted:
             return self.texts().where(F.lit(False)).drop("_block")
@@ -104,9 +108,9 @@ class TextIndex:
 
     def contains(self, needle: str) -> DataFrame:
         """Texts that contain the needle, in any case."""
-        _, body = self._names()
+        _, body, indexed = self._names()
         grams = needle_trigrams(needle)
-        if not grams:
+        if not grams or not indexed:
             return self.texts().where(has_text(F.col(body), needle)).drop("_block")
         return self._found([f"t{g}" for g in grams], has_text(F.col(body), needle))
 

@@ -1167,9 +1167,9 @@ def index_graph_report(s, d):
     return index.report(_asked(s, d), knn.knn_batched(_points(s, d), _asked(s, d), K), K)
 
 
-def _text_index(s, d):
+def _text_index(s, d, substrings: bool):
     index = postings.TextIndex(s, folder(s))
-    index.build(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    index.build(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", substrings=substrings)
     return index
 
 
@@ -1179,13 +1179,13 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}_]+'),
 @query(f"SELECT doc_id, n FROM (SELECT doc_id, CAST(length(text) AS BIGINT) AS n, {_WORDS} AS w FROM documents) WHERE list_has_all(w, ['the', 'ing', 'and'])")
 def filter_text_tokens(s, d):
     """Texts with all words, by posting lists."""
-    return _text_index(s, d).tokens("And ing, the").select("doc_id", F.length("text").cast("long").alias("n"))
+    return _text_index(s, d, False).tokens("And ing, the").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion the')")
 def filter_text_trigrams(s, d):
     """Texts that hold a string, by posting lists of its trigrams."""
-    return _text_index(s, d).contains("Tion the").select("doc_id")
+    return _text_index(s, d, True).contains("Tion the").select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN -1 ELSE n_chars END AS n FROM documents WHERE source IS NULL OR source <> 'src3'")

@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys of a block, about.
-BLOCK_KEYS = 8_192
+from ..scratch import dropped, written
+
+#: Keys of a block, about; pairs of token and key that a task holds before it passes lists on.
+BLOCK_KEYS, HELD_PAIRS = 8_192, 1 << 20
 WORD = r"[^\p{L}\p{Nd}_]+"
 
 
@@ -41,6 +44,33 @@ def _trigrams(batches):
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("_block"), pa.array(found, pa.list_(pa.string()))], ["key", "_block", "tokens"])
 
 
+def _partial_lists(batches):
+    """key, _block, tokens -> (token, _block, keys): lists of a task's texts, combined before the shuffle so that a frequent token isn't a row per text."""
+    held: list[pa.RecordBatch] = []
+    pairs = 0
+
+    def lists() -> pa.RecordBatch:
+        both = pa.Table.from_batches(held).combine_chunks()
+        found = both.column("tokens").combine_chunks()
+        row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+        codes = found.flatten().dictionary_encode()
+        block, code = both.column("_block").to_numpy()[row], codes.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((row, code, block))
+        row, block, code = row[order], block[order], code[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(row) else row
+        keys = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), both.column("key").combine_chunks().take(pa.array(row)))
+        return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(code[first])), pa.array(block[first], pa.int32()), keys], ["token", "_block", "keys"])
+
+    for batch in batches:
+        held.append(batch)
+        pairs += len(batch.column("tokens").flatten())
+        if pairs >= HELD_PAIRS:
+            yield lists()
+            held, pairs = [], 0
+    if pairs:
+        yield lists()
+
+
 def needle_trigrams(text: str) -> list[str]:
     low = text.lower()
     return sorted({low[i : i + 3] for i in range(len(low) - 2)})
@@ -71,11 +101,15 @@ class TextIndex:
         held = placed.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), "_block", F.col(body).alias("body"))
         kind = held.schema["key"].dataType.simpleString()
         grams = held.select("key", "_block", F.lower("body").alias("low")).mapInArrow(_trigrams, f"key {kind}, _block int, tokens array<string>")
-        each = held.select("key", "_block", F.explode(words(F.col("body"))).alias("token")).withColumn("token", F.concat(F.lit("w"), "token"))
+        each = held.select("key", "_block", F.transform(words(F.col("body")), lambda w: F.concat(F.lit("w"), w)).alias("tokens"))
         if substrings:
-            each = each.unionByName(grams.select("key", "_block", F.explode("tokens").alias("token")).withColumn("token", F.concat(F.lit("t"), "token")))
-        lists = each.groupBy("token", "_block").agg(F.sort_array(F.collect_set("key")).alias("keys")).withColumn("n", F.size("keys").cast("long"))
-        lists.repartitionByRange(files, "token", "_block").sortWithinPartitions("token", "_block").write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.path}/postings")
+            each = each.unionByName(grams.select("key", "_block", F.transform("tokens", lambda t: F.concat(F.lit("t"), t)).alias("tokens")))
+        # Ranges are sampled from the written lists; rows of one (token, block) are then in one range, and their lists are merged there.
+        partial = written(each.mapInArrow(_partial_lists, f"token string, _block int, keys array<{kind}>"))
+        lists = partial.repartitionByRange(files, "token", "_block").groupBy("token", "_block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+        lists = lists.withColumn("n", F.size("keys").cast("long")).sortWithinPartitions("token", "_block")
+        lists.write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.path}/postings")
+        dropped(partial)
         self.spark.createDataFrame([(key, body, substrings)], "key string, body string, substrings boolean").coalesce(1).write.json(f"{self.path}/names")
 
     def _names(self) -> tuple[str, str, bool]:

@@ -94,3 +94,25 @@ def test_postings_skip_files(spark, tmp_path, monkeypatch):
     assert lists.select("_metadata.file_path").distinct().count() <= 2 and lists.agg(F.max(F.size("keys"))).first()[0] <= 5
     assert "PushedFilters: [In(token" in lists._jdf.queryExecution().executedPlan().toString() or "EqualTo(token" in lists._jdf.queryExecution().executedPlan().toString()
     assert [tuple(x) for x in index.rare(["wneedle", "tnee"]).collect()][0][1] == 5
+
+
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_partial_lists(monkeypatch, held):
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from tessera.operators import postings
+
+    monkeypatch.setattr(postings, "HELD_PAIRS", held)
+    rows_ = [("a", 0, ["x", "y"]), ("b", 1, ["x"]), ("c", 0, []), ("a", 0, ["x", "y"]), ("d", 0, ["ü", "x", "z"])]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.list_(pa.string()))], ["key", "_block", "tokens"])
+    got, want = defaultdict(list), defaultdict(list)
+    for out in postings._partial_lists(iter([batch(rows_[:2]), batch(rows_[2:3]), batch(rows_[3:])])):
+        for r in out.to_pylist():
+            got[r["token"], r["_block"]] += r["keys"]
+    for key, block, tokens in rows_:
+        for t in tokens:
+            want[t, block].append(key)
+    assert got == want
+    assert not list(postings._partial_lists(iter([]))) and not list(postings._partial_lists(iter([batch(rows_[2:3])])))

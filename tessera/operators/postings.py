@@ -98,7 +98,8 @@ class TextIndex:
         placed = kept.withColumn("_block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
         files = files or max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         placed.repartitionByRange(files, "_block", key).sortWithinPartitions("_block", key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/texts")
-        held = placed.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), "_block", F.col(body).alias("body"))
+        # The written texts lie by block, so a task's lists are of one or two blocks and hardly shorter than the merged ones.
+        held = self.texts().where(F.col(body).isNotNull()).select(F.col(key).alias("key"), "_block", F.col(body).alias("body"))
         kind = held.schema["key"].dataType.simpleString()
         grams = held.select("key", "_block", F.lower("body").alias("low")).mapInArrow(_trigrams, f"key {kind}, _block int, tokens array<string>")
         each = held.select("key", "_block", F.transform(words(F.col("body")), lambda w: F.concat(F.lit("w"), w)).alias("tokens"))

@@ -9,6 +9,8 @@
    are the long substrings that repeat; an interval counts the distinct pages it has suffixes from. Order and
    intervals are made within (host, first RUN tokens), which splits a hot host, and equal suffixes are counted before they are
    shuffled, so common boilerplate is a row per task. A block shorter than RUN tokens is one suffix up to its end.
+   This isn't a suffix array over whole streams: suffixes end after KEEP tokens and are sorted among those with equal first RUN tokens, so
+   an interval counts the pages of one run of RUN tokens, and a longer repeat is covered by its runs, not found as one row.
 3. An interval of MIN_PAGES pages or more and the share SHARE of the host's pages is boilerplate. What it covers of open and doubtful
    blocks goes, and the unique runs stay: doubtful ones in pages with an article, open ones in pages without. Blocks
    in doubt by both name and links go whole. A block of the article that nothing speaks against goes only if it has RUN tokens or more

@@ -4,14 +4,17 @@
    a block is: `main` inside <article> (else <main>), `chrome` in navigation, footers, forms, comments, adverts and the
    like, by element, role or a class or id that says just that, `open` otherwise; a form around an article or main is a wrapper. Names that may say it or something else
    ("related-work", "discussion", "social") and links that make up most of a block only mark a block of the article as doubtful.
-2. The token streams of a host's chrome, open and doubtful blocks are concatenated, and their suffixes of RUN tokens or more sorted,
-   each with its first KEEP tokens. Common prefixes of neighbours (LCPs) cut the order into intervals that share RUN tokens, which
-   are the long substrings that repeat; an interval counts the distinct pages it has suffixes from. Order and
-   intervals are made within (host, first RUN tokens), which splits a hot host, and equal suffixes are counted before they are
-   shuffled, so common boilerplate is a row per task. A block shorter than RUN tokens is one suffix up to its end.
-   This isn't a suffix array over whole streams: suffixes end after KEEP tokens and are sorted among those with equal first RUN tokens, so
-   an interval counts the pages of one run of RUN tokens, and a longer repeat is covered by its runs, not found as one row.
-3. An interval of MIN_PAGES pages or more and the share SHARE of the host's pages is boilerplate. What it covers of open and doubtful
+2. The token streams of a host's chrome, open and doubtful blocks are concatenated, with an end after each block, and every position of
+   RUN tokens or more is a suffix. They are refined by prefix doubling: suffixes of a host that share a prefix have the same name for
+   its length, and a round counts the distinct pages of each name. Names of RUN tokens come first; suffixes whose name has the pages it needs
+   try twice the length, and when no name of a length has them, the lengths between are found by halves. Where some suffixes of a name
+   go on and others don't, those that go on stay in the shorter name too, so every name that is tried has all its suffixes. Thus each suffix ends with the
+   deepest LCP interval that has enough pages, and its length: a repeat of any length is found whole, with its ends.
+   The order between different prefixes isn't needed, so names are hashes, and a round is a count combined before its
+   shuffle, which splits hot hosts and hot prefixes, in place of a range sort of ranks. Suffixes in no such interval are gone after
+   the first round. A block shorter than RUN tokens is one suffix up to its end.
+3. An interval of MIN_PAGES pages or more and the share SHARE of the host's pages is boilerplate (`repeats` lists those that no other
+   covers). What it covers of open and doubtful
    blocks goes, and the unique runs stay: doubtful ones in pages with an article, open ones in pages without. Blocks
    in doubt by both name and links go whole. A block of the article that nothing speaks against goes only if it has RUN tokens or more
    and stands whole on the share SURE of the host's pages, SURE_PAGES at least.
@@ -29,6 +32,7 @@ import bisect
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-RUN, KEEP, MIN_PAGES, SHARE, SURE, SURE_PAGES, LINKED = 8, 12, 3, 0.2, 0.8, 5, 0.6
+RUN, MIN_PAGES, SHARE, SURE, SURE_PAGES, LINKED = 8, 3, 0.2, 0.8, 5, 0.6
 
 _TAG = re.compile(r"<(?=[a-zA-Z/!?])")
 _NAME = re.compile(r"[^\s/>]+")
@@ -285,38 +289,81 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     return [("main" if k == top else "chrome" if k == "chrome" else "open", d, l, t) for k, d, l, t in out]
 
 
-def tokens(text: str) -> list[bytes]:
-    """Tokens as 4 bytes each."""
-    return [xxhash.xxh32_digest(t) for t in text.split()]
+def tokens(text: str) -> np.ndarray:
+    """Codes of the tokens."""
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in text.split()], np.uint64)
 
 
-def suffixes(texts: list[str], run: int = RUN, keep: int = KEEP) -> dict[int, bytes]:
-    """gram: kept suffix, of a page's blocks. A gram is the hash of the first `run` tokens, or of all of a shorter block; each counts once."""
-    out: dict[int, bytes] = {}
-    for text in texts:
-        t = tokens(text)
-        if t and len(t) < run:
-            out.setdefault(_gram(t, True), b"".join(t))
-        for i in range(len(t) - run + 1):
-            out.setdefault(_gram(t[i : i + run], False), b"".join(t[i : i + keep]))
-    return out
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _gram(t: list[bytes], whole: bool) -> int:
-    return xxhash.xxh3_64_intdigest(b"".join(t), seed=int(whole)) - (1 << 63)
+def names(codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Names of the substrings of `length` tokens from `at`: equal for equal ones. Made from names of powers of two, longest first."""
+    out, top = length.astype(np.uint64), int(length.max(initial=0)).bit_length()
+    powers = [codes]
+    for k in range(1, top):
+        half = 1 << (k - 1)
+        powers.append(_mixed(powers[-1][:-half], powers[-1][half:]))
+    at = at.copy()
+    for k in range(top - 1, -1, -1):
+        has = np.flatnonzero((length >> k) & 1)
+        out[has] = _mixed(out[has], powers[k][at[has]])
+        at[has] += 1 << k
+    return out.view(np.int64)
 
 
-def unique_runs(text: str, repeated: set[int], run: int = RUN) -> list[str]:
-    """What repeated runs leave of a block; what stands on both sides of a run becomes two blocks."""
-    words, t = text.split(), tokens(text)
-    covered = [False] * len(words)
-    if len(t) < run:
-        covered = [bool(t) and _gram(t, True) in repeated] * len(t)
-    for i in range(len(t) - run + 1):
-        if _gram(t[i : i + run], False) in repeated:
-            covered[i : i + run] = [True] * run
-    if not any(covered):
+def starts(ends: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, lengths) of the first names: `run` tokens, or all of a shorter block."""
+    sizes = np.diff(ends, prepend=0)
+    first = np.where(_left(ends) >= run, run, 0)
+    short = (sizes > 0) & (sizes < run)
+    first[(ends - sizes)[short]] = sizes[short]
+    at = np.flatnonzero(first)
+    return at, first[at]
+
+
+def _left(ends: np.ndarray) -> np.ndarray:
+    """Tokens from each position to the end of its block."""
+    return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(ends[-1] if len(ends) else 0)
+
+
+def longer(lengths: np.ndarray, step: int, run: int) -> np.ndarray:
+    """The lengths that suffixes of these lengths try in a round, 0 for none. -s: twice the length s; s: s more, where the double is out."""
+    if step < 0:
+        return np.where(lengths == -step, -2 * step, 0)
+    doubled = run << np.floor(np.log2(np.maximum(lengths // run, 1))).astype(np.int64)
+    return np.where((lengths >= run) & (step < doubled), lengths + step, 0)
+
+
+def halves(double: int, run: int) -> list[int]:
+    """Steps after no name of the length `double` * 2 has its pages."""
+    return [run << k for k in range((double // run).bit_length() - 2, -1, -1)] + [1 << k for k in range((run - 1).bit_length() - 1, -1, -1)]
+
+
+def maximal(lengths: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """(block, start, end in the block) of the intervals that no other of the block covers."""
+    out, at = [], 0
+    for b, end in enumerate(ends):
+        reached = at
+        for i in np.flatnonzero(lengths[at:end]) + at:
+            if i + lengths[i] > reached:
+                reached = i + lengths[i]
+                out.append((b, int(i - at), int(reached - at)))
+        at = end
+    return out
+
+
+def unique_runs(text: str, repeated: list[tuple[int, int]]) -> list[str]:
+    """What repeated intervals leave of a block; what stands on both sides of one becomes two blocks."""
+    if not repeated:
         return [text]
+    words = text.split()
+    covered = [False] * len(words)
+    for start, end in repeated:
+        covered[start:end] = [True] * (end - start)
     out: list[str] = []
     piece: list[str] = []
     for word, gone in zip([*words, ""], [*covered, True]):
@@ -328,8 +375,12 @@ def unique_runs(text: str, repeated: set[int], run: int = RUN) -> list[str]:
     return out
 
 
-_BLOCK = pa.struct([("kind", pa.string()), ("doubt", pa.bool_()), ("linked", pa.bool_()), ("text", pa.string())])
-_PARSED = "page_id long, url string, host string, page_key long, blocks array<struct<kind:string,doubt:boolean,linked:boolean,text:string>>, asked boolean"
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+_BLOCK = pa.struct([("kind", pa.string()), ("doubt", pa.bool_()), ("linked", pa.bool_()), ("text", pa.string()), ("key", pa.int64())])
+_PARSED = "page_id long, url string, host string, page_key long, blocks array<struct<kind:string,doubt:boolean,linked:boolean,text:string,key:bigint>>, asked boolean"
 
 
 def _parse(batches):
@@ -340,68 +391,155 @@ def _parse(batches):
             has = [any(b[0] == "main" for b in page) for page in found]
             asked = [any((k == "main" and (d or l)) if h else k == "open" for k, d, l, _ in page) for page, h in zip(found, has)]
             keys = [xxhash.xxh3_64_intdigest("\x00".join(b[3] for b in page if not h or b[0] == "main")) - (1 << 63) for page, h in zip(found, has)]
-            rows = [[dict(zip(("kind", "doubt", "linked", "text"), b)) for b in page] for page in found]
+            rows = [[dict(zip(("kind", "doubt", "linked", "text", "key"), (*b, _key(b[3])))) for b in page] for page in found]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array(rows, pa.list_(_BLOCK)), pa.array(asked, pa.bool_())], ["page_id", "url", "host", "page_key", "blocks", "asked"])
 
 
 
+_STATE = "host string, page_key long, need long, asked boolean, codes binary, ends array<long>, keys array<long>, own array<boolean>, at array<long>, lengths array<long>, names array<long>, past array<long>, past_lengths array<long>, past_names array<long>, failed array<long>"
+_SPANS = "host string, page_key long, name long, length long, start long, end long, block long, own boolean"
+_NONE = np.zeros(0, np.int64)
 
-def _page_suffixes(run: int, keep: int, asked: bool):
-    """host, page_key, has_main, evidence -> (host, page_key, gram, suffix): of the blocks that repetition may decide about (asked), or of all in evidence."""
 
-    def go(batches):
-        for batch in batches:
-            for host, key, has, page in zip(*(batch.column(c) for c in ("host", "page_key", "has_main", "evidence"))):
-                kind = "main" if has.as_py() else "open"
-                found = suffixes([b["text"] for b in page.as_py() if not asked or b["kind"] == kind], run, keep)
-                if found:
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * n, pa.string()), pa.array([key.as_py()] * n, pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["host", "page_key", "gram", "suffix"])
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
-    return go
 
+def _rows_of(batches, schema: str, turn):
+    """Batches of `turn(row)` of the rows, without those that give nothing."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            rows = [x for r in batch.slice(lo, 256).to_pylist() if (x := turn(r)) is not None]
+            if rows:
+                yield _batch(rows, schema)
 
-def _intervals(run: int):
-    """Sorted (host, gram, suffix, n) -> (host, gram, pages, longest): intervals of suffixes whose neighbours share `run` tokens, and their longest LCP."""
 
-    def shared(a: bytes, b: bytes) -> int:
-        n = 0
-        while n < min(len(a), len(b)) and a[n : n + 4] == b[n : n + 4]:
-            n += 4
-        return n // 4
+def _array(x) -> np.ndarray:
+    return np.array(x if x is not None else [], np.int64)
 
-    def go(batches):
-        last, row = None, None
-        for batch in batches:
-            out = []
-            for host, gram, suffix, n in zip(*(batch.column(c).to_pylist() for c in ("host", "gram", "suffix", "n"))):
-                lcp = shared(last, suffix) if row and row[:2] == [host, gram] else 0
-                if lcp >= min(run, len(suffix) // 4) and lcp:
-                    row[2:] = [row[2] + n, max(row[3], lcp)]
-                else:
-                    if row:
-                        out.append(row)
-                    row = [host, gram, n, len(suffix) // 4 if n > 1 else 0]
-                last = suffix
-            yield _interval_rows(out)
-        if row:
-            yield _interval_rows([row])
 
-    return go
+def _fixed(r: dict) -> list:
+    return [r[c] for c in ("host", "page_key", "need", "asked", "codes", "ends", "keys", "own")]
 
 
-def _interval_rows(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "gram", "pages", "longest"])
+def _start(run: int):
+    """Distinct pages with evidence -> their token stream and the first names, lengths not reached yet."""
+
+    def turn(r):
+        page = [b for b in r["evidence"] if b["text"]]
+        parts = [tokens(b["text"]) for b in page]
+        if not sum(map(len, parts)):
+            return None
+        codes, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts], dtype=np.int64)
+        kind = "main" if r["has_main"] else "open"
+        at, length = starts(ends, run)
+        return [r["host"], r["page_key"], r["need"], r["asked"], codes.tobytes(), ends, [b["key"] for b in page], [b["kind"] == kind for b in page], at, length, names(codes, at, length), _NONE, _NONE, _NONE, _NONE]
+
+    return lambda batches: _rows_of(batches, _STATE, turn)
+
+
+def _pass(step: int, run: int):
+    """State and the names that passed -> suffixes with the lengths they reached; the lengths they left behind (past), and the names of those that stay there (failed)."""
+
+    def turn(r):
+        codes, left = np.frombuffer(r["codes"], np.uint64), _left(_array(r["ends"]))
+        at, lengths, named = _array(r["at"]), _array(r["lengths"]), _array(r["names"])
+        passed = _array(r["passed"])
+        if not step:
+            good = np.isin(named, passed)
+            return [*_fixed(r), at[good], lengths[good], _NONE, _NONE, _NONE, _NONE, _NONE]
+        tries = longer(lengths, step, run)
+        able = (tries > 0) & (tries <= left[at])
+        good = np.zeros(len(at), bool)
+        good[able] = np.isin(named, passed)
+        stays = (tries > 0) & ~good
+        past = names(codes, at[good], lengths[good])
+        return [*_fixed(r), np.concatenate([at[~good], at[good]]), np.concatenate([lengths[~good], tries[good]]), _NONE, at[good], lengths[good], past, names(codes, at[stays], lengths[stays])]
+
+    return lambda batches: _rows_of(batches, _STATE, turn)
 
 
-def _finish(run: int):
+def _propose(step: int, run: int):
+    """State and the names that some suffixes stay in (mixed) -> all suffixes of those names, and the names to try next."""
+
+    def turn(r):
+        codes, left = np.frombuffer(r["codes"], np.uint64), _left(_array(r["ends"]))
+        mixed = np.isin(_array(r["past_names"]), _array(r["mixed"]))
+        at, lengths = (np.concatenate([_array(r[c]), _array(r[f"past{p}"])[mixed]]) for c, p in (("at", ""), ("lengths", "_lengths")))
+        tries = longer(lengths, step, run)
+        able = (tries > 0) & (tries <= left[at])
+        return [*_fixed(r), at, lengths, names(codes, at[able], tries[able]), _NONE, _NONE, _NONE, _NONE]
+
+    return lambda batches: _rows_of(batches, _STATE, turn)
+
+
+def _spans(batches):
+    """Final state -> the intervals that no other covers."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            rows: list[tuple] = []
+            for r in batch.slice(lo, 256).to_pylist():
+                codes, ends = np.frombuffer(r["codes"], np.uint64), _array(r["ends"])
+                lengths = np.zeros(len(codes), np.int64)
+                np.maximum.at(lengths, _array(r["at"]), _array(r["lengths"]))
+                found = maximal(lengths, ends)
+                if found:
+                    block, start, end = (np.array(x, np.int64) for x in zip(*found))
+                    name = names(codes, np.concatenate([[0], ends])[block] + start, end - start)
+                    rows += [(r["host"], r["page_key"], int(n), e - s, s, e, r["keys"][b], r["own"][b] and r["asked"]) for n, (b, s, e) in zip(name, found)]
+            yield _batch(rows, _SPANS)
+
+
+def _told(state: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
+    """The state beside those names in `column` that are known: (host, name)."""
+    own = state.select("host", "page_key", F.explode(F.array_distinct(column)).alias("name"))
+    hit = C.written(C.join_checked(own, known, ["host", "name"], "inner").groupBy("host", "page_key").agg(F.collect_list("name").alias(name)))
+    return C.join_checked(state, hit, ["host", "page_key"], "left")
+
+
+def _intervals(once: DataFrame, run: int) -> DataFrame:
+    """Spans (`_SPANS`) of the distinct pages (host, page_key, need, asked, has_main, evidence), by prefix doubling."""
+    state = C.written(once.mapInArrow(C.trimmed(_start(run)), _STATE))
+    step, steps = 0, []
+    while True:
+        tried = state.select("host", "need", F.explode(F.array_distinct("names")).alias("name"))
+        frequent = C.written(tried.groupBy("host", "name").agg(F.count("*").alias("pages"), F.max("need").alias("need")).where("pages >= need").select("host", "name"))
+        some = not frequent.isEmpty()
+        if step <= 0 and some:
+            double = max(run, -2 * step)
+            following, steps = -double, halves(double, run)
+        elif step == 0:
+            following = None
+        else:
+            following = steps.pop(0) if steps else None
+        if some:  # else all stay where they are
+            told = _told(state, "names", frequent, "passed")
+            told = told.where("passed is not null") if step == 0 else told
+            state, last = C.written(told.mapInArrow(C.trimmed(_pass(step, run)), _STATE)), state
+            C.tidy(last)
+        elif step == 0:
+            state = state.limit(0)
+        if following is None:
+            return C.written(state.mapInArrow(C.trimmed(_spans), _SPANS))
+        mixed = C.written(state.select("host", F.explode(F.array_distinct("failed")).alias("name")).distinct())
+        state, last = C.written(_told(state, "past_names", mixed, "mixed").mapInArrow(C.trimmed(_propose(following, run)), _STATE)), state
+        C.tidy(last)
+        step = following
+
+
+def _finish():
     def go(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts, gone = [], []
                 for page, repeated, sure in zip(*(part.column(c).to_pylist() for c in ("blocks", "repeated", "sure"))):
-                    has, repeated, sure, kept, cut = any(b["kind"] == "main" for b in page), set(repeated or ()), set(sure or ()), [], 0
+                    has, sure, kept, cut = any(b["kind"] == "main" for b in page), set(sure or ()), [], 0
+                    held: dict[int, list[tuple[int, int]]] = {}
+                    for x in repeated or ():
+                        held.setdefault(x["block"], []).append((x["start"], x["end"]))
                     for i, b in enumerate(page):
                         if b["kind"] == "chrome" or has and b["kind"] != "main":
                             continue
@@ -410,7 +548,7 @@ def _finish(run: int):
                         elif has and b["doubt"] and b["linked"]:
                             left = []
                         else:
-                            left = unique_runs(b["text"], repeated, run)
+                            left = unique_runs(b["text"], held.get(b["key"], []))
                         cut += left != [b["text"]]
                         kept += left
                     texts.append("\n".join(kept))
@@ -420,32 +558,46 @@ def _finish(run: int):
     return go
 
 
-def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, keep: int = KEEP) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_cut_blocks (blocks of the text that repetition, or links, cut)."""
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    parsed = C.written(rows.mapInArrow(C.trimmed(_parse), _PARSED))
-    # One page for each different content of a host: what of it is in evidence, and hashes of the article's plain blocks.
+def _distinct(parsed: DataFrame, run: int, min_pages: int) -> DataFrame:
+    """One page for each different content of a host: what of it is in evidence, hashes of the article's plain blocks, and the pages a repeat needs."""
     plain = F.transform("blocks", lambda b, i: F.struct(i.alias("i"), F.xxhash64(b["text"]).alias("h"), F.size(F.split(b["text"], " ")).alias("words"), ((b["kind"] == "main") & ~b["doubt"] & ~b["linked"]).alias("plain")))
     plain = F.transform(F.filter(plain, lambda x: x["plain"] & (x["words"] >= run)), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))
     evidence = F.filter("blocks", lambda b: (b["kind"] != "main") | b["doubt"] | b["linked"])
     seen = parsed.select("page_id", "host", "page_key", "asked", F.exists("blocks", lambda b: b["kind"] == "main").alias("has_main"), evidence.alias("evidence"), plain.alias("plain"))
     once = C.written(seen.groupBy("host", "page_key").agg(F.min_by(F.struct("asked", "has_main", "evidence", "plain"), F.coalesce("page_id", F.lit(1 << 62))).alias("r")).select("host", "page_key", "r.*"))
     sizes = C.written(once.groupBy("host").agg(F.count("*").alias("host_pages")))
-    found = once.select("host", "page_key", "has_main", "evidence").mapInArrow(C.trimmed(_page_suffixes(run, keep, False)), "host string, page_key long, gram long, suffix binary")
-    counted = found.groupBy("host", "gram", "suffix").agg(F.count("*").alias("n")).repartition("host", "gram").sortWithinPartitions("host", "gram", "suffix")
-    intervals = counted.mapInArrow(C.trimmed(_intervals(run)), "host string, gram long, pages long, longest long").where(F.col("pages") >= min_pages)
-    repeated = C.join_checked(intervals, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SHARE).select("host", "gram")
-    repeated = C.written(repeated)
-    own = once.where("asked").select("host", "page_key", "has_main", "evidence").mapInArrow(C.trimmed(_page_suffixes(run, keep, True)), "host string, page_key long, gram long, suffix binary").select("host", "page_key", "gram")
-    covered = C.written(C.join_checked(own, repeated, ["host", "gram"], "inner").groupBy("host", "page_key").agg(F.collect_set("gram").alias("repeated")))
+    return C.join_checked(once, sizes, ["host"], "inner").withColumn("need", F.greatest(F.lit(min_pages), F.ceil(F.col("host_pages") * SHARE)).cast("long"))
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1)), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    return C.written(rows.mapInArrow(C.trimmed(_parse), _PARSED))
+
+
+def repeats(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
+    """One row per host and repeated substring: host, n_tokens, n_pages (distinct pages on which no longer one covers it), text. Words are apart by one space."""
+    parsed = _parsed(pages)
+    spans = _intervals(_distinct(parsed, run, min_pages), run)
+    found = spans.groupBy("host", "name", "length").agg(F.count_distinct("page_key").alias("n_pages"), F.min(F.struct("block", "start", "end")).alias("at"))
+    texts = parsed.select("host", F.explode("blocks").alias("b")).select("host", F.col("b.key").alias("block"), F.col("b.text").alias("text")).dropDuplicates(["host", "block"])
+    words = F.slice(F.split("text", " "), F.col("at.start").cast("int") + 1, F.col("length").cast("int"))
+    return found.withColumn("block", F.col("at.block")).join(texts, ["host", "block"]).select("host", F.col("length").alias("n_tokens"), "n_pages", F.array_join(words, " ").alias("text"))
+
+
+def extract(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars, n_cut_blocks (blocks of the text that repetition, or links, cut)."""
+    parsed = _parsed(pages)
+    once = _distinct(parsed, run, min_pages)
+    spans = _intervals(once.select("host", "page_key", "need", "asked", "has_main", "evidence"), run).where("own")
+    covered = C.written(spans.groupBy("host", "page_key").agg(F.collect_set(F.struct("block", "start", "end")).alias("repeated")))
 
     # Whole blocks of articles that hardly any page of the host is without.
-    plain = once.select("host", "page_key", F.explode("plain").alias("b")).select("host", "page_key", "b.i", "b.h")
-    common = plain.groupBy("host", "h").agg(F.count_distinct("page_key").alias("pages")).where(F.col("pages") >= SURE_PAGES)
-    common = C.written(C.join_checked(common, sizes, ["host"], "inner").where(F.col("pages") >= F.col("host_pages") * SURE).select("host", "h"))
+    plain = once.select("host", "page_key", "host_pages", F.explode("plain").alias("b")).select("host", "page_key", "host_pages", "b.i", "b.h")
+    common = plain.groupBy("host", "h").agg(F.count_distinct("page_key").alias("pages"), F.max("host_pages").alias("host_pages")).where(F.col("pages") >= SURE_PAGES)
+    common = C.written(common.where(F.col("pages") >= F.col("host_pages") * SURE).select("host", "h"))
     sure = C.written(C.join_checked(plain, common, ["host", "h"], "inner").groupBy("host", "page_key").agg(F.collect_set("i").alias("sure")))
 
     joined = C.join_checked(C.join_checked(parsed, covered, ["host", "page_key"], "left"), sure, ["host", "page_key"], "left").select("page_id", "url", "blocks", "repeated", "sure")
-    out = joined.mapInArrow(C.trimmed(_finish(run)), "page_id long, url string, text string, n_cut_blocks long")
+    out = joined.mapInArrow(C.trimmed(_finish()), "page_id long, url string, text string, n_cut_blocks long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_cut_blocks")

@@ -519,6 +519,8 @@ def _intervals(once: DataFrame, run: int) -> DataFrame:
             told = told.where("passed is not null") if step == 0 else told
             state, last = C.written(told.mapInArrow(C.trimmed(_pass(step, run)), _STATE)), state
             C.tidy(last)
+            if step == 0 and state.where(F.exists("lengths", lambda x: x >= run)).isEmpty():  # short blocks only
+                following = None
         elif step == 0:
             state = state.limit(0)
         if following is None:

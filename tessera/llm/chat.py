@@ -3,7 +3,8 @@
 A conversation logged again after each turn leaves snapshots that prefix a longer log. Every turn gets a hash of its
 position, role and text; a prefix's hash is the sum of its turns' hashes (two sums of 40-bit parts, so they never
 overflow). Grouped by (prefix length, prefix hash), a conversation is maximal if no longer one has its whole hash as
-a prefix; of equal conversations the smallest conv_id stays. Only maximal conversations are rendered.
+a prefix; of equal conversations the smallest conv_id stays. That grouped maximum stands in place of an anti-join, which gives the
+same rows with one shuffle more. Only maximal conversations are rendered.
 
 Turns are ordered by (turn, role, text), nulls first. Positions and prefix sums are taken in two levels, within
 ranges of RANGE turns and over the ranges, so one endless conversation doesn't sort in one task. Defined cases: null

@@ -9,27 +9,25 @@ and the files read.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..scratch import written
-from .ann import _sample, centres_of
-from .knn import best
-
-#: Rows of a block of one cell: a cell of any size meets its queries in pieces of so many rows.
-BLOCK = 8_192
+from . import products
+from .ann import _sample, centres_of, with_probes
+from .knn import best, blocks
 
 
 def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows that have one, and their places."""
     x = np.full((len(column), dim), np.nan)
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim:
-            x[i] = [np.nan if c is None else c for c in v]
+    for at, rows in products.matrices(column):
+        if rows.shape[1] == dim:
+            x[at] = rows
     length = np.linalg.norm(x, axis=1)
     good = np.flatnonzero(np.isfinite(length) & (length > 0))
     return x[good] / length[good, None], good
@@ -72,11 +70,10 @@ class CellIndex:
                 x, good = _units(batch.column("vector"), dim)
                 cell = (x @ leaves.T).argmax(1) if len(x) else np.zeros(0, np.int64)
                 kept = batch.take(pa.array(good))
-                unit = pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([kept.column("key"), unit, pa.array(cell.astype(np.int32))], ["key", "unit", "cell"])
+                yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("vector"), pa.array(cell.astype(np.int32))], ["key", "vector", "cell"])
 
-        key = points.schema["key"].dataType.simpleString()
-        dealt = points.select("key", "vector").mapInArrow(deal, f"key {key}, unit array<double>, cell int")
+        key, kind = (points.schema[c].dataType.simpleString() for c in ("key", "vector"))
+        dealt = points.select("key", "vector").mapInArrow(deal, f"key {key}, vector {kind}, cell int")
         # A hot cell is spread over several writers.
         spread = dealt.withColumn("_s", F.pmod(F.xxhash64("key"), F.lit(8)))
         spread.repartition("cell", "_s").drop("_s").write.mode("append").partitionBy("cell").parquet(f"{self.path}/points")
@@ -87,35 +84,21 @@ class CellIndex:
         return self.spark.read.parquet(f"{self.path}/points")
 
     def asked(self, queries: DataFrame, probes: int) -> DataFrame:
-        """(query_id, asked, cell): each query's unit vector with its nearest cells."""
+        """(query_id, query, cells): each query with its nearest cells."""
         leaves, dim = self._tree()
-
-        def rank(batches):
-            for batch in batches:
-                x, good = _units(batch.column("query"), dim)
-                near = np.argsort(-(x @ leaves.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if len(x) else np.zeros((0, probes), np.int32)
-                n = near.shape[1] if len(near) else 0
-                ids = batch.column("query_id").take(pa.array(np.repeat(good, n)))
-                unit = pa.array(list(np.repeat(x, n, 0)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([ids, unit, pa.array(near.ravel())], ["query_id", "asked", "cell"])
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.select("query_id", "query").mapInArrow(rank, f"query_id {kind}, asked array<double>, cell int")
+        return with_probes(queries.where(F.size("query") == dim), leaves, probes)
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """queries (query_id, query) -> query_id, key, distance, rank: exact inside the `probes` nearest cells."""
-        asked = written(self.asked(queries, probes))
-        return self._scored(asked, k)
+        return self._scored(written(self.asked(queries, probes)), k)
 
     def _wanted(self, asked: DataFrame) -> list[int]:
         """Cells that some query asks for; there are at most as many as leaves."""
-        return sorted(r["cell"] for r in asked.select("cell").distinct().collect())
+        return sorted(r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect())
 
     def _scored(self, asked: DataFrame, k: int) -> DataFrame:
         near = self.points().where(F.col("cell").isin(self._wanted(asked)))
-        pairs = near.join(asked, "cell")
-        scored = pairs.select("query_id", "key", vectors.dot(F.col("unit"), F.col("asked")).alias("distance"))
-        return best(scored, k)
+        return reduce(DataFrame.unionByName, [best(products.nearest(near, part, k, group="cell"), k) for part in blocks(asked)])
 
     def files(self, cells: list[int] | None = None) -> int:
         """Files below the partitions of these cells, or of all."""
@@ -130,7 +113,7 @@ class CellIndex:
         asked = written(self.asked(queries, probes))
         sizes = self.points().groupBy("cell").agg(F.count("*").alias("n"))
         total = sizes.agg(F.sum("n")).first()[0] or 0
-        scored = asked.join(sizes, "cell", "left").agg(F.sum("n").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+        scored = asked.select("query_id", F.explode("cells").alias("cell")).join(sizes, "cell", "left").agg(F.sum("n").alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
         share = (scored["pairs"] or 0) / (total * scored["queries"]) if total and scored["queries"] else 0.0
         found = recall_at_k(self._scored(asked, k), truth, k)
         return found.select("recall", "n_queries").withColumns({"share_scored": F.lit(float(share)), "files_read": F.lit(self.files(self._wanted(asked))).cast("long"), "files": F.lit(self.files()).cast("long")})

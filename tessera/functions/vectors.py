@@ -25,7 +25,8 @@ def cosine(a: Column, b: Column) -> Column:
 def normalized(v: Column) -> Column:
     """Unit vector; null for a zero vector."""
     n = F.nullif(norm(v), F.lit(0.0))
-    return F.when(n.isNotNull(), F.transform(_double(v), lambda x: x / n))
+    # An array of one binds the norm, which would be added up again for each component inside the inner lambda.
+    return F.when(n.isNotNull(), F.get(F.transform(F.array(n), lambda m: F.transform(_double(v), lambda x: x / m)), 0))
 
 
 def is_valid(v: Column, dim: int) -> Column:

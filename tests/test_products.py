@@ -49,3 +49,14 @@ def test_two_phase_sends_few_rows_and_segments_keep_recall(frames, monkeypatch):
     truth = knn.knn_batched(points, asked, 5)
     monkeypatch.setattr(knn, "SEGMENT", 40)
     assert knn.recall_at_k(knn.knn_two_phase_segments(points, asked, 8, 5, 4), truth, 5).first().recall >= 0.9
+
+
+def test_fit_sample_and_units_are_cheap_and_sound(frames):
+    from tessera.functions import vectors
+    from tessera.operators import ann
+
+    points, _ = frames
+    x = ann._sample(points)
+    assert x.shape == (300, 8) and np.allclose((x * x).sum(1), 1)
+    plan = points.select(vectors.normalized(F.col("vector")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ namedlambdavariable" in plan or "/ lambda" in plan  # the norm is bound once, not added up for each component

@@ -60,3 +60,12 @@ def test_fit_sample_and_units_are_cheap_and_sound(frames):
     assert x.shape == (300, 8) and np.allclose((x * x).sum(1), 1)
     plan = points.select(vectors.normalized(F.col("vector")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
     assert "/ namedlambdavariable" in plan or "/ lambda" in plan  # the norm is bound once, not added up for each component
+
+
+def test_int8_bounds_are_exact_ranks_over_many_parts(spark):
+    x = np.random.default_rng(5).standard_normal((10_500, 64)).astype(np.float32)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<float>").repartition(8)
+    low, high = knn.int8_bounds(points, 0.95).first()
+    flat = np.sort(x.ravel())
+    rank = lambda p: flat[int(np.ceil(p * len(flat))) - 1]
+    assert (np.float32(low), np.float32(high)) == (rank(0.025), rank(0.975))

@@ -55,6 +55,20 @@ def test_graph(spark, tmp_path):
     assert degree <= 24 and graph.build(points.where("key < 0")).count() == 0
 
 
+def test_graph_shuffles(spark, tmp_path):
+    """Meetings send codes and what may enter a list; a search sends ids and scores."""
+    points = mixture(spark, 1500, 64, 1)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    index = graph.GraphIndex(spark, str(tmp_path / "g"))
+    a = sent()
+    index.build(points, degree=12, rounds=2)
+    b = sent()
+    beams = index.beams(asked(points, 5), beam=24).select("query_id", F.size("seen").alias("n"), F.size(F.array_distinct("seen")).alias("once"), F.col("beam.key").alias("beam")).collect()
+    c = sent()
+    assert len(beams) == 300 and all(r.n == r.once for r in beams)
+    assert (b - a) / 1500 < 10_000 and (c - b) / sum(r.n for r in beams) < 25
+
+
 TEXTS = [(1, "The quick brown fox"), (2, "quick, THE Fox_y fox"), (3, None), (4, ""), (5, "ÄÖ über ñandú"), (6, "a b"), (7, "xx the the"), (8, "brownish quickly"), (9, "50% off! the fox"), (None, "the fox")]
 
 

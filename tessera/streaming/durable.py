@@ -29,10 +29,30 @@ from .batches import PROVIDER
 EVENT = "key string, at timestamp, kind string, attempt long, payload string, error string"
 ENQUEUE, ACK, FAIL, RETRY = "enqueue", "ack", "fail", "retry"
 _ITEM = "status string, retry_count int, attempt long, created_us long, updated_us long, payload string, error string, timer_ms long"
+_FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
 _OUT = "key string, action string, attempt long, retry_count int, payload string, error string"
 _ORDER = {ENQUEUE: 0, RETRY: 1, ACK: 2, FAIL: 3}
 
 
+class _Once:
+    """A state variable of one key, read at most once and written at most once: each use of the state is a call to the JVM."""
+
+    def __init__(self, state):
+        self.state, self.known, self.changed, self.value = state, False, False, None
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.known, self.value = True, self.state.get()
+        return self.value
+
+    def set(self, value: tuple | None) -> None:
+        self.known, self.changed, self.value = True, True, value
+
+    def write(self) -> None:
+        if self.changed:
+            self.state.clear() if self.value is None else self.state.update(self.value)
+
+
 class Queue(StatefulProcessor):
     def __init__(self, max_retries: int, base_s: float, lease_s: float, keep_s: float):
         self.max_retries, self.base_ms, self.lease_ms, self.keep_ms = max_retries, int(base_s * 1000), int(lease_s * 1000), int(keep_s * 1000)
@@ -43,64 +63,75 @@ class Queue(StatefulProcessor):
         self.failed = handle.getValueState("failed", _ITEM, ttlDurationMs=self.keep_ms)
         self.attempts = handle.getValueState("attempts", "n long")
 
+    def _open(self) -> None:
+        """A key's turn begins: nothing is read yet."""
+        self.one, self.lost, self.count = _Once(self.item), _Once(self.failed), _Once(self.attempts)
+
+    def _close(self, timer: int | None) -> None:
+        """Its turn ends: what changed is written, and the timer that it began with gives way to the last one."""
+        item = self._held()
+        last = item["timer_ms"] if item else None
+        if timer != last:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if last is not None:
+                self.handle.registerTimer(last)
+        for state in (self.one, self.lost, self.count):
+            state.write()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        self._open()
+        item = self._held()
+        timer = item["timer_ms"] if item else None
         for e in sorted(rows, key=lambda r: (r["at"], _ORDER.get(r["kind"], 9), r["attempt"] or 0, r["payload"] or "")):
             at = int(e["at"].timestamp() * 1_000_000)
             item = self._held()
             if e["kind"] == ENQUEUE:
-                self.failed.clear()
-                yield from self._hand_out(key, dict(retry_count=0, created_us=at, updated_us=at, payload=e["payload"], error=None, timer_ms=item and item["timer_ms"]), now)
-            elif e["kind"] == RETRY and self.failed.exists():
-                old = self._read(self.failed)
-                self.failed.clear()
-                yield from self._hand_out(key, dict(old, retry_count=0, updated_us=at, error=None, timer_ms=None), now)
+                self.lost.set(None)
+                yield self._hand_out(key, dict(retry_count=0, created_us=at, updated_us=at, payload=e["payload"], error=None), now)
+            elif e["kind"] == RETRY and self.lost.get():
+                old = self._named(self.lost.get())
+                self.lost.set(None)
+                yield self._hand_out(key, dict(old, retry_count=0, updated_us=at, error=None), now)
             elif item and item["status"] == PROCESSING and e["attempt"] == item["attempt"]:
                 if e["kind"] == ACK:
-                    self._timer(item, None)
-                    self.item.clear()
+                    self.one.set(None)
                 elif e["kind"] == FAIL:
                     if item["retry_count"] < self.max_retries:
                         due = now + self.base_ms * 2 ** item["retry_count"]
-                        self._store(dict(item, status=PENDING, retry_count=item["retry_count"] + 1, updated_us=at, error=e["error"]), due)
+                        self.one.set(self._row(dict(item, status=PENDING, retry_count=item["retry_count"] + 1, updated_us=at, error=e["error"], timer_ms=due)))
                     else:
-                        self._timer(item, None)
-                        self.item.clear()
-                        self.failed.update(self._row(dict(item, status=FAILED, updated_us=at, error=e["error"], timer_ms=None)))
+                        self.one.set(None)
+                        self.lost.set(self._row(dict(item, status=FAILED, updated_us=at, error=e["error"], timer_ms=None)))
                         yield Row(key=key[0], action=FAILED, attempt=item["attempt"], retry_count=item["retry_count"], payload=item["payload"], error=e["error"])
+        self._close(timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._open()
         item = self._held()
         # Due for its retry, or its lease has ended: the attempt was lost, which is no failure.
         if item and item["timer_ms"] == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._hand_out(key, dict(item, timer_ms=None), timerValues.getCurrentProcessingTimeInMs())
+            yield self._hand_out(key, item, timerValues.getCurrentProcessingTimeInMs())
+            self._close(None)
 
-    def _hand_out(self, key, item: dict, now: int) -> Iterator[Row]:
-        n = (self.attempts.get()[0] if self.attempts.exists() else 0) + 1
-        self.attempts.update((n,))
-        self._store(dict(item, status=PROCESSING, attempt=n), now + self.lease_ms)
-        yield Row(key=key[0], action="hand_out", attempt=n, retry_count=item["retry_count"], payload=item["payload"], error=item["error"])
+    def _hand_out(self, key, item: dict, now: int) -> Row:
+        n = (self.count.get() or (0,))[0] + 1
+        self.count.set((n,))
+        self.one.set(self._row(dict(item, status=PROCESSING, attempt=n, timer_ms=now + self.lease_ms)))
+        return Row(key=key[0], action="hand_out", attempt=n, retry_count=item["retry_count"], payload=item["payload"], error=item["error"])
 
     @staticmethod
     def _row(item: dict) -> tuple:
-        return tuple(item[f.split()[0]] for f in _ITEM.split(", "))
+        return tuple(item[f] for f in _FIELDS)
 
     @staticmethod
-    def _read(state) -> dict:
-        return dict(zip([f.split()[0] for f in _ITEM.split(", ")], state.get()))
+    def _named(row: tuple) -> dict:
+        return dict(zip(_FIELDS, row))
 
     def _held(self) -> dict | None:
-        return self._read(self.item) if self.item.exists() else None
-
-    def _timer(self, item: dict, at: int | None) -> None:
-        if item.get("timer_ms") is not None:
-            self.handle.deleteTimer(item["timer_ms"])
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def _store(self, item: dict, timer: int) -> None:
-        self._timer(item, timer)
-        self.item.update(self._row(dict(item, timer_ms=timer)))
+        row = self.one.get()
+        return self._named(row) if row else None
 
     def close(self) -> None:
         pass

@@ -178,3 +178,70 @@ def test_queue_crashes(spark, tmp_path):
     assert states(spark, check) == {} and calls[:3] == [20, 20, 20] and 10 in calls[3:]
     stored = store.read().collect()
     assert sorted(r["key"] for r in stored) == sorted(f"k{i}" for i in range(20))
+
+
+class Calls:
+    """A state variable, or the handle, that counts the calls made to it."""
+
+    def __init__(self, log, name="handle"):
+        self.log, self.name, self.value = log, name, None
+
+    def getValueState(self, name, *_, **__):
+        return Calls(self.log, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.log.append(("handle", "registerTimer", at))
+
+    def deleteTimer(self, at):
+        self.log.append(("handle", "deleteTimer", at))
+
+    def exists(self):
+        self.log.append((self.name, "exists"))
+        return self.value is not None
+
+    def get(self):
+        self.log.append((self.name, "get"))
+        return self.value if self.name in ("mark", "item", "failed", "attempts") else iter(self.value or [])
+
+    def update(self, value):
+        self.log.append((self.name, "update"))
+        self.value = value
+
+    put = update
+
+    def appendList(self, value):
+        self.log.append((self.name, "appendList"))
+        self.value = [*(self.value or []), *value]
+
+    def clear(self):
+        self.log.append((self.name, "clear"))
+        self.value = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getCurrentProcessingTimeInMs
+
+
+def test_queue_calls(spark):
+    """A key's state is read and written once a micro-batch, however many events it has; timers that an event sets and a later one lifts are never made."""
+    log: list[tuple] = []
+    own = durable.Queue(3, 30, 300, 86_400)
+    own.init(Calls(log))
+    event = lambda s, kind, attempt=None: {"at": T0 + timedelta(seconds=s), "kind": kind, "attempt": attempt, "payload": f"p{s}", "error": None}
+    # Fifty pieces of work: all are handed out and acknowledged but the last, which fails.
+    events = [e for n in range(1, 51) for e in (event(2 * n, "enqueue"), event(2 * n + 1, "fail" if n == 50 else "ack", n))]
+    out = list(own.handleInputRows(("k",), iter(events), Clock(1000)))
+    assert [(r["action"], r["attempt"], r["payload"]) for r in out] == [("hand_out", n, f"p{2 * n}") for n in range(1, 51)]
+    assert own.item.value[:3] == ("pending", 1, 50) and own.attempts.value == (50,)
+    assert [x for x in log if x[0] == "handle"] == [("handle", "registerTimer", 31_000)] and len(log) <= 8
+    del log[:]
+    out = list(own.handleInputRows(("k",), iter([event(200, "enqueue")]), Clock(2000)))
+    assert len(out) == 1 and [x for x in log if x[0] == "handle"] == [("handle", "deleteTimer", 31_000), ("handle", "registerTimer", 302_000)]

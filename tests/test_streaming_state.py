@@ -245,3 +245,21 @@ def test_queue_calls(spark):
     del log[:]
     out = list(own.handleInputRows(("k",), iter([event(200, "enqueue")]), Clock(2000)))
     assert len(out) == 1 and [x for x in log if x[0] == "handle"] == [("handle", "deleteTimer", 31_000), ("handle", "registerTimer", 302_000)]
+
+
+def test_live_batches_calls(spark):
+    """Rows before the watermark join those that wait without a reading of them, as few values; then all come out in order."""
+    log: list[tuple] = []
+    own = batches.Batcher(["_at_us", "id"], ["grp"], ["id"], 30_000_000, 4, False)
+    own.init(Calls(log))
+    row = lambda i: {"_at_us": i * 1_000_000, "id": i, "grp": "a"}
+    for k in range(5):
+        assert not list(own.handleInputRows(("a",), iter([row(1000 + 100 * k + i) for i in range(99, -1, -1)]), Clock(900_000)))
+    assert not [x for x in log if x[0] in ("waiting", "buffer") and x[1] == "get"]
+    assert [x for x in log if x[0] == "handle"] == [("handle", "registerTimer", 1_000_001)] and len(own.waiting.value) == 5
+    out = list(own.handleExpiredTimer(("a",), Clock(1_250_000), None))
+    assert [r["id"] for r in out] == list(range(1000, 1248)) and {r["reason"] for r in out} == {"count"} and out[-1]["chunk"] == 61
+    out = list(own.handleInputRows(("a",), iter([row(5000)]), Clock(4_000_000)))
+    assert [r["id"] for r in out] == list(range(1248, 1500)) and out[-1]["session"] == 1
+    out = list(own.handleExpiredTimer(("a",), Clock(9_000_000), None))
+    assert [(r["id"], r["session"], r["reason"]) for r in out] == [(5000, 2, "idle")] and own.waiting.value is None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.embed import Embedder, generate
+from ..scratch import dropped, written
 from ..sources import readers
 from .store import KEY_MAX, VectorTable, point_ref
 
@@ -40,13 +41,14 @@ def profile_summary(files: DataFrame) -> DataFrame:
 
 
 def generate_and_store(rows: DataFrame, key: str, body: str, table: VectorTable, embedder: Embedder | None = None) -> int:
-    """Embed the rows' texts and upsert them with the text as metadata; returns how many went in."""
-    made = generate(rows, key, body, embedder).withColumn("key", F.col("key").cast("string"))
-    texts = rows.select(F.col(key).cast("string").alias("key"), F.struct(F.col(body).alias("text")).alias("metadata")).dropDuplicates(["key"])
-    ready = made.dropDuplicates(["key"]).join(texts, "key")
-    n = ready.count()
-    if n:
-        table.upsert(ready)
+    """Embed the rows' texts and upsert them with the text as metadata; returns how many went in. Of a repeated key the smallest text that isn't blank
+    counts. Texts are embedded once: counting, checking and storing read the vectors made."""
+    once = rows.select(F.col(key).cast("string").alias("key"), F.col(body).alias("text")).where(F.col("key").isNotNull() & F.col("text").rlike(r"\S")).groupBy("key").agg(F.min("text").alias("text"))
+    made = written(generate(once, "key", "text", embedder))
+    n = 0
+    if made.limit(1).count():
+        n = table.upsert(made.join(once.select("key", F.struct("text").alias("metadata")), "key"))
+    dropped(made)
     return n
 
 

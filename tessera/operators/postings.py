@@ -35,13 +35,47 @@ def needle_words(text: str) -> list[str]:
     return sorted({w for w in regex.split(WORD, text.lower()) if w})
 
 
-def _trigrams(batches):
-    """key, _block, low (a text in lower case) -> its distinct trigrams."""
+def _coded(text: str) -> np.ndarray:
+    """Distinct trigrams of a text as numbers, 21 bits a character."""
+    x = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:])
+
+
+def _spelled(codes: np.ndarray) -> pa.Array:
+    """The tokens of trigrams: t and its characters."""
+    low = (1 << 21) - 1
+    letters = np.stack([np.full(len(codes), ord("t")), codes >> 42, codes >> 21 & low, codes & low], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return pa.array([letters[i : i + 4] for i in range(0, len(letters), 4)], pa.string())
+
+
+def _trigram_lists(batches):
+    """key, _block, low (a text in lower case) -> (token, _block, keys), as _partial_lists gives them, without a string for each pair of token and text."""
+    keys: list[pa.Array] = []
+    blocks: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+    pairs = 0
+
+    def lists() -> pa.RecordBatch:
+        code, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+        block = np.concatenate(blocks)[row]
+        order = np.lexsort((code, block))  # stable, so rows stay in order
+        code, row, block = code[order], row[order], block[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+        each = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.concat_arrays(keys).take(pa.array(row)))
+        return pa.RecordBatch.from_arrays([_spelled(code[first]), pa.array(block[first], pa.int32()), each], ["token", "_block", "keys"])
+
     for whole in batches:
-        for at in range(0, whole.num_rows, 32):  # a worker holds the trigrams of a few texts
+        for at in range(0, whole.num_rows, 32):
             batch = whole.slice(at, 32)
-            found = [sorted({t[i : i + 3] for i in range(len(t) - 2)}) for t in batch.column("low").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("_block"), pa.array(found, pa.list_(pa.string()))], ["key", "_block", "tokens"])
+            keys.append(batch.column("key"))
+            blocks.append(batch.column("_block").to_numpy())
+            found += [_coded(t) for t in batch.column("low").to_pylist()]
+            pairs += sum(len(x) for x in found[-batch.num_rows :])
+            if pairs >= HELD_PAIRS:
+                yield lists()
+                keys, blocks, found, pairs = [], [], [], 0
+    if pairs:
+        yield lists()
 
 
 def _partial_lists(batches):
@@ -101,12 +135,13 @@ class TextIndex:
         # The written texts lie by block, so a task's lists are of one or two blocks and hardly shorter than the merged ones.
         held = self.texts().where(F.col(body).isNotNull()).select(F.col(key).alias("key"), "_block", F.col(body).alias("body"))
         kind = held.schema["key"].dataType.simpleString()
-        grams = held.select("key", "_block", F.lower("body").alias("low")).mapInArrow(_trigrams, f"key {kind}, _block int, tokens array<string>")
         each = held.select("key", "_block", F.transform(words(F.col("body")), lambda w: F.concat(F.lit("w"), w)).alias("tokens"))
+        row = f"token string, _block int, keys array<{kind}>"
+        parts = each.mapInArrow(_partial_lists, row)
         if substrings:
-            each = each.unionByName(grams.select("key", "_block", F.transform("tokens", lambda t: F.concat(F.lit("t"), t)).alias("tokens")))
+            parts = parts.unionByName(held.select("key", "_block", F.lower("body").alias("low")).mapInArrow(_trigram_lists, row))
         # Ranges are sampled from the written lists; rows of one (token, block) are then in one range, and their lists are merged there.
-        partial = written(each.mapInArrow(_partial_lists, f"token string, _block int, keys array<{kind}>"))
+        partial = written(parts)
         lists = partial.repartitionByRange(files, "token", "_block").groupBy("token", "_block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
         lists = lists.withColumn("n", F.size("keys").cast("long")).sortWithinPartitions("token", "_block")
         lists.write.option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.path}/postings")

@@ -130,3 +130,34 @@ def test_partial_lists(monkeypatch, held):
             want[t, block].append(key)
     assert got == want
     assert not list(postings._partial_lists(iter([]))) and not list(postings._partial_lists(iter([batch(rows_[2:3])])))
+
+
+@pytest.mark.parametrize("held", [1, 40, 100_000])
+def test_trigram_lists(monkeypatch, held):
+    """The lists of a plain count, characters beyond 16 bits included, and little memory for each pair of trigram and text."""
+    import tracemalloc
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from tessera.operators import postings
+
+    monkeypatch.setattr(postings, "HELD_PAIRS", held)
+    texts = [("a", 0, "abcabc"), ("b", 1, "abcd"), ("c", 0, "ab"), ("d", 0, "\U0001f600\U0001f601\U0010ffff bc"), ("e", 0, ""), ("a", 0, "abc"), *((f"k{i}", i % 2, f"über {i} ñandú\x00") for i in range(70))]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part])], ["key", "_block", "low"])
+    got, want = defaultdict(list), defaultdict(list)
+    for out in postings._trigram_lists(iter([batch(texts[:3]), batch(texts[3:])])):
+        for r in out.to_pylist():
+            got[r["token"], r["_block"]] += r["keys"]
+    for key, block, text in texts:
+        for g in {text[i : i + 3] for i in range(len(text) - 2)}:
+            want[f"t{g}", block].append(key)
+    assert got == want
+    assert not list(postings._trigram_lists(iter([]))) and not list(postings._trigram_lists(iter([batch(texts[2:3])])))
+    r = np.random.default_rng(0)
+    long = [(f"{i}", 0, "".join(map(chr, r.integers(97, 123, 3000)))) for i in range(64)]
+    tracemalloc.start()
+    n = sum(len(x) for out in postings._trigram_lists(iter([batch(long)])) for x in out.column("keys"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and peak / n < 150
